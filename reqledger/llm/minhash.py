@@ -8,10 +8,11 @@ neighbours by longest common prefix: those next to it that share at least MIN_DE
 neighbours at MIN_DEPTH are met; where it is crowded, the neighbours are those with the longest prefix, so the depth adapts by region.
 
 Candidates whose signatures agree too little for the threshold (by more than SLACK standard deviations) are passed over.
-Each class's best candidate is confirmed first and the links are closed into components; then every other candidate pair
-between two components is confirmed. Confirmation intersects full sets. A pair at the threshold shares MIN_DEPTH hashes in
-at least one of the 16 orders but for one case in 100,000; a class with more than NEIGHBOURS such neighbours in an order meets
-the nearest there, and others in the other orders or through links of those in between.
+First only direct neighbours in each order are met, each class's best one is confirmed, and the links are closed into
+components. Then the orders are sorted again, and up to NEIGHBOURS places on, every candidate pair of two components is confirmed: pairs within a
+component could change nothing, so a large group of near copies costs a few pairs for each of its classes. Confirmation intersects full sets.
+A pair at the threshold shares MIN_DEPTH hashes in at least one of the 16 orders but for one case in 100,000; a class with more than NEIGHBOURS
+such neighbours in an order meets the nearest there, and others in the other orders or through links of those in between.
 
 Odd cases: a text without words (or null) has an empty set and links with nothing; a null id keeps its row, with a null
 component and kept true; rows that repeat an id are each judged by their own text; an empty table gives no rows."""
@@ -92,46 +93,49 @@ def _orders(classes: DataFrame) -> DataFrame:
     step, width = 2 * DEPTH, 2 * KEY_HASHES
     doubled = F.concat("signature", "signature")
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.concat(F.unhex(F.lpad(F.hex(t), 2, "0")), F.substring(doubled, 1 + t * step, F.lit(width))))
-    rows = classes.select("rep", F.explode(trees).alias("key"), F.xxhash64("rep").alias("tie"))
+    rows = classes.select("rep", "component", F.explode(trees).alias("key"), F.xxhash64("rep").alias("tie"))
     parts = min(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + classes.count() * TREES // 1000)
     return rows.repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie")
 
 
 def _neighbours(orders: DataFrame, neighbours: int, min_depth: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, within so many places in an order that share min_depth hashes there. Rows at the ends of a
+    """Distinct pairs (a, b), a < b, of two components, within so many places in an order, that share min_depth hashes there. Rows at the ends of a
     partition leave a copy, and the few copies at each border between partitions are paired in a second, small step."""
     prefix = 1 + 2 * min_depth
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("border", pa.int64()), ("place", pa.int64()), ("key", pa.binary())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("border", pa.int64()), ("place", pa.int64()), ("component", pa.int64()), ("key", pa.binary())])
 
-    def border(at: int, side: int, rep: np.ndarray, keys: list[bytes]) -> pa.RecordBatch:
+    def border(at: int, side: int, rep: np.ndarray, component: np.ndarray, keys: list[bytes]) -> pa.RecordBatch:
         n = len(rep)
-        return pa.RecordBatch.from_arrays([pa.array(rep), pa.nulls(n, pa.int64()), pa.array([at] * n, pa.int64()), pa.array(range(side * neighbours, side * neighbours + n), pa.int64()), pa.array(keys, pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(rep), pa.nulls(n, pa.int64()), pa.array([at] * n, pa.int64()), pa.array(range(side * neighbours, side * neighbours + n), pa.int64()), pa.array(component), pa.array(keys, pa.binary())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        me, rep, keys = TaskContext.get().partitionId(), None, None
+        me, rep, component, keys = TaskContext.get().partitionId(), None, None, None
         for got in batches:
             old = 0
             if rep is None:
-                rep, keys = got.column(0).to_numpy(), got.column(1).to_pylist()
-                yield border(me, 1, rep[:neighbours], keys[:neighbours])
+                rep, component, keys = got.column(0).to_numpy(), got.column(1).to_numpy(), got.column(2).to_pylist()
+                yield border(me, 1, rep[:neighbours], component[:neighbours], keys[:neighbours])
             else:
                 old = len(rep)
-                rep, keys = np.concatenate([rep, got.column(0).to_numpy()]), keys + got.column(1).to_pylist()
+                rep, component, keys = np.concatenate([rep, got.column(0).to_numpy()]), np.concatenate([component, got.column(1).to_numpy()]), keys + got.column(2).to_pylist()
             region = np.cumsum([0, *[x[:prefix] != y[:prefix] for x, y in pairwise(keys)]])
-            near = [(rep[:-step][fresh], rep[step:][fresh]) for step in range(1, min(neighbours, len(rep) - 1) + 1) if (fresh := (region[step:] == region[:-step]) & (np.arange(len(rep) - step) >= old - step)).any()]
-            if near:
-                x, y = (np.concatenate(side) for side in zip(*near, strict=True))
+            near = []
+            for step in range(1, min(neighbours, len(rep) - 1) + 1):
+                fresh = (region[step:] == region[:-step]) & (component[step:] != component[:-step]) & (np.arange(len(rep) - step) >= old - step)
+                near.append((rep[:-step][fresh], rep[step:][fresh]))
+            x, y = (np.concatenate(side) for side in zip(*near, strict=True)) if near else (rep[:0], rep[:0])
+            if len(x):
                 none = pa.nulls(len(x), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), none, none, pa.nulls(len(x), pa.binary())], schema=schema)
-            rep, keys = rep[-neighbours:], keys[-neighbours:]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), none, none, none, pa.nulls(len(x), pa.binary())], schema=schema)
+            rep, component, keys = rep[-neighbours:], component[-neighbours:], keys[-neighbours:]
         if rep is not None:
-            yield border(me + 1, 0, rep, keys)
+            yield border(me + 1, 0, rep, component, keys)
 
-    made = materialize(orders.select("rep", "key").mapInArrow(run, "a long, b long, border long, place long, key binary"), "neighbours")
+    made = materialize(orders.select("rep", "component", "key").mapInArrow(run, "a long, b long, border long, place long, component long, key binary"), "neighbours")
     inner = made.filter("border is null").select("a", "b")
     w = Window.partitionBy("border").orderBy("place")
-    later = F.array(*[F.lead(F.struct("a", "key", "place"), s).over(w) for s in range(1, neighbours + 1)])
-    across = made.filter("border is not null").select("a", "key", "place", later.alias("later")).select("a", "key", "place", F.explode("later").alias("n")).filter(f"n is not null and place < {neighbours} and n.place >= {neighbours}")
+    later = F.array(*[F.lead(F.struct("a", "component", "key", "place"), s).over(w) for s in range(1, neighbours + 1)])
+    across = made.filter("border is not null").select("a", "component", "key", "place", later.alias("later")).select("a", "component", "key", "place", F.explode("later").alias("n")).filter(f"n is not null and place < {neighbours} and n.place >= {neighbours} and n.component <> component")
     across = across.filter(F.substring("key", 1, prefix) == F.substring("n.key", 1, prefix)).select(F.least("a", "n.a").alias("a"), F.greatest("a", "n.a").alias("b"))
     out = materialize(inner.union(across).filter("a <> b").distinct(), "pairs")
     discard(made)
@@ -196,27 +200,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A class is named by the hash of its set; in the end its smallest id stands for it.
     known = rows.filter("set_hash is not null and doc_id is not null")
     classes = materialize(known.groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.first("set_hash").alias("set_hash"), F.first("signature").alias("signature")), "classes")
-    found = _neighbours(_orders(classes), neighbours, min_depth)
-    pairs = materialize(_estimated(found, classes, percent), "estimated")
-    discard(found)
-    met = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = materialize(_sets(docs, id_col, text_col, words, classes.select("rep", "doc_id", "set_hash").join(met, "rep")).dropDuplicates(["rep"]), "sets")
+
+    def candidates(now: DataFrame, places: int) -> tuple[DataFrame, DataFrame]:
+        found = _neighbours(_orders(now), places, min_depth)
+        pairs = materialize(_estimated(found, classes, percent), "estimated")
+        discard(found)
+        met = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        sets = _sets(docs, id_col, text_col, words, classes.select("rep", "doc_id", "set_hash").join(met, "rep"))
+        return pairs, materialize(sets.dropDuplicates(["rep"]), "sets")
+
+    pairs, sets = candidates(classes.withColumn("component", F.col("rep")), 1)
     both_ways = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     best = both_ways.groupBy("a").agg(F.max_by("b", F.struct("similarity", "b")).alias("b"))
-    best = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "best")
-    sure = materialize(_confirmed(best, sets, percent), "sure")
+    sure = materialize(_confirmed(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent), "sure")
     closed = materialize(components(sure), "closed")
+    for t in (pairs, sets, sure):
+        discard(t)
+    now = materialize(classes.join(closed.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "now")
+    pairs, sets = candidates(now, neighbours)
+    late = materialize(_confirmed(pairs, sets, percent), "late")
+    # Links between components: components of the components.
     names = {end: closed.select(F.col("id").alias(end), F.col("component").alias(f"c{end}")) for end in "ab"}
-    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(names["a"], "a", "left").join(names["b"], "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)")
-    late = materialize(_confirmed(rest, sets, percent), "late")
-    # Only links between components are new: components of the components.
     over = late.join(names["a"], "a", "left").join(names["b"], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     joined = components(over).select(F.col("id").alias("component"), F.col("component").alias("top"))
-    member = classes.select("rep", "doc_id").join(closed.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).join(joined, "component", "left")
+    member = now.select("rep", "doc_id", "component").join(joined, "component", "left")
     member = materialize(member.select("rep", "doc_id", F.coalesce("top", "component").alias("component")), "members")
     least = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     lookup = materialize(member.join(materialize(least, "least"), "component").select("rep", "component_id"), "components")
-    for t in (pairs, sets, best, sure, closed, late, member, classes):
+    for t in (pairs, sets, closed, late, now, member, classes):
         discard(t)
     whole = F.coalesce("component_id", "doc_id")
     return rows.select("doc_id", "n_shingles", "rep", "set_hash").join(lookup, "rep", "left").select(
