@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = _neighbours(_orders(now), places, min_depth)
         pairs = materialize(_estimated(found, classes, percent), "estimated")
         discard(found)
-        met = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        met = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
         sets = _sets(docs, id_col, text_col, words, classes.select("rep", "doc_id", "set_hash").join(met, "rep"))
         return pairs, materialize(sets.dropDuplicates(["rep"]), "sets")
 
