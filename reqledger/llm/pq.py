@@ -9,8 +9,8 @@ code differs from the true one by at most the stored error, so discarding what l
 What is left is compared by exact cosines in double precision.
 
 Work is dealt in blocks: a list's members, and the classes that probe it, are packed BLOCK to a row, and every pair of blocks of
-a list is a task row, so a list with a third of all rows is many rows. A pair of blocks returns for each vector its number of links and its
-smallest neighbour, never all pairs, and a spanning set of links for the components.
+a list is a task row, so a list with a third of all rows is many rows. A pair of blocks returns for each vector its number of links, and
+a spanning forest of the links for the components, never all pairs.
 
 Odd cases: null, zero, non-finite vectors and ones with null components, and rows without an id, have no links (component: the own id); rows that repeat an id
 count as vectors of their own; an empty table gives no rows. All vectors must have the length of the first valid one; others have no links."""
@@ -103,8 +103,23 @@ def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
 
 
-PAIR = "id long, n long, least long, a long, b long"
-ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("least", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+PAIR = "id long, n long, a long, b long"
+ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each node of the links (a, b) to the least node that it reaches through them."""
+    nodes, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = where[: len(a)], where[len(a) :]
+    label, seen = np.arange(len(nodes)), None
+    while seen is None or (label != seen).any():
+        seen = label.copy()
+        np.minimum.at(label, seen[a], seen[b])
+        np.minimum.at(label, seen[b], seen[a])
+        while (label[label] != label).any():
+            label = label[label]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
 
 
 def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
@@ -166,7 +181,6 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             near += table_[:, codes[:, j]]
         a, b = np.nonzero(near <= (radius + error + 1e-6) ** 2)
         links = np.zeros(len(px), np.int64)
-        least = np.full(len(px), np.iinfo(np.int64).max)
         edges = []
         for part in range(0, len(a), 200_000):
             x, y = a[part : part + 200_000], b[part : part + 200_000]
@@ -174,21 +188,16 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             x, y = x[other], y[other]
             x, y = (k[_exact(p[2][x], m[2][y]) >= cosine] for k in (x, y))
             np.add.at(links, x, m[1][y])
-            np.minimum.at(least, x, m[0][y])
-            # A spanning set: each member with the smallest vector of the probing block that it meets.
-            low = np.full(len(mx), np.iinfo(np.int64).max)
-            np.minimum.at(low, y, p[0][x])
-            hit = np.flatnonzero(low < np.iinfo(np.int64).max)
-            edges += [low[hit], m[0][hit]]
+            edges += stars(p[0][x], m[0][y])
         found = np.flatnonzero(links)
         ea, eb = (np.concatenate(edges[k::2]) if edges else np.zeros(0, np.int64) for k in (0, 1))
         none, gap = pa.nulls(len(ea), pa.int64()), pa.nulls(len(found), pa.int64())
-        pick = [np.concatenate([p[0][found]]), links[found], least[found]]
+        pick = [p[0][found], links[found]]
         return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(c, pa.int64()), none]) for c in pick] + [pa.concat_arrays([gap, pa.array(c, pa.int64())]) for c in (ea, eb)], schema=ARROW)
 
     compared = materialize(probing.join(members, ["list", "ms"]).select("list", "p", "m").mapInArrow(compare, PAIR), "compared")
     degree = compared.filter("id is not null").groupBy("id").agg(F.sum("n").alias("others"))
-    links = compared.filter("a is not null").select("a", "b").union(compared.filter("id is not null").select("id", "least"))
+    links = compared.filter("a is not null").select("a", "b")
     closed = materialize(components(links), "closed")
     told = classes.join(degree, "id", "left").join(closed, "id", "left")
     told = materialize(told.select("v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component")), "told")

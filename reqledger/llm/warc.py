@@ -227,7 +227,7 @@ def lookup(index: DataFrame, folder: str, wanted: DataFrame, id_col: str = "page
 
     asked = wanted.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url")).distinct()
     # Near the keys' order, so that a task meets few blocks.
-    asked = asked.repartitionByRange(int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.reverse(F.split(F.col("url"), "/")[2]), "url", "page_id").sortWithinPartitions("url", "page_id")
+    asked = asked.repartitionByRange(int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.reverse(F.get(F.split(F.col("url"), "/"), 2)), "url", "page_id").sortWithinPartitions("url", "page_id")
     return asked.mapInArrow(run, "page_id long, archive string, offset long, length long")
 
 
