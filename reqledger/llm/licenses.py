@@ -1,23 +1,27 @@
 """Licence scan: sparse TF-IDF cosine of passages to licence templates, then inheritance from the nearest ancestor directory.
 
 A passage is a sentence or line. Its terms are words without stop words; weights are term counts times inverse document frequencies, which are
-counted over all files for the templates' terms, while every other term has the weight of one that no file holds. A passage
-without a template's term has cosine 0 with all, so such files are passed over by one regular expression. A file's own licence is the template of
+counted over all files for the templates' terms, while every other term has the weight of one that no file holds. A file is
+judged in its task, and only its licence leaves it: no term is ever shuffled. A file's own licence is the template of
 the best passage at THRESHOLD or more. A licence file is one named like one, or one that is mostly such passages. A directory takes the best licence of its
 licence files, and a file without its own takes that of the nearest directory above it: directories, not files, are joined with
 their ancestors, so a directory with a third of all files costs one row.
 
-Null or empty text has no licence of its own. A null path stands in the root. Ties go to the template's name in order. Rows that repeat an id are scanned
-as one file of its smallest text and path order. An empty table gives no rows."""
+Null or empty text has no licence of its own. A null path stands in the root. Ties go to the template's name in order. Rows that repeat an id are
+files of their own. An empty table gives no rows."""
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize, table
+from .shared import materialize, small_batches, table
 
 THRESHOLD, FILE_SHARE = 0.6, 0.5
 #: Words without weight.
@@ -51,60 +55,92 @@ def terms_of(text: str) -> list[str]:
     return [t for t in re.findall(TERM, text.lower()) if t not in STOP_WORDS]
 
 
-def terms(text: Column) -> Column:
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1), lambda t: ~t.isin(STOP_WORDS))
-
-
-def passages(text: Column) -> Column:
-    return F.split(text, r"\n|(?<=[.!?])\s+")
+def passages(text: str) -> list[list[str]]:
+    """The terms of each passage that has any."""
+    return [found for part in re.split(r"(?a:\n|(?<=[.!?])\s+)", text) if (found := terms_of(part))]
+
+
+class Model:
+    """Inverse document frequencies of the templates' terms, and the templates' weights, scaled to length one."""
+
+    def __init__(self, templates: list[tuple[str, str]], counts: dict[str, int], total: int, threshold: float, file_share: float):
+        self.threshold, self.file_share, self.rare = threshold, file_share, math.log(1 + total) + 1
+        self.idf = {t: math.log((1 + total) / (1 + counts.get(t, 0))) + 1 for _, text in templates for t in terms_of(text)}
+        self.templates = []
+        for name, text in templates:
+            weights = {t: n * self.idf[t] for t, n in Counter(terms_of(text)).items()}
+            norm = math.sqrt(sum(w * w for w in weights.values()))
+            self.templates.append((name, {t: w / norm for t, w in weights.items()}))
+
+    def best(self, passage: list[str]) -> tuple[float, str] | None:
+        """The least of (-cosine, name) at the threshold or more."""
+        known, norm, inner = {}, 0.0, 0.0
+        for t, n in Counter(passage).items():
+            w = n * self.idf.get(t, self.rare)
+            norm += w * w
+            if t in self.idf:
+                known[t] = w
+                inner += w * w
+        # The terms outside all templates alone can keep the cosine below the threshold.
+        if inner < (self.threshold - 1e-6) ** 2 * norm:
+            return None
+        scores = ((-round(sum(w * weights.get(t, 0.0) for t, w in known.items()) / math.sqrt(norm), 9), name) for name, weights in self.templates)
+        return min((s for s in scores if -s[0] >= self.threshold), default=None)
+
+    def judge(self, path: str, text: str) -> tuple[str | None, float | None, bool]:
+        """The own licence of a file, its score, and whether it is a licence file."""
+        top, words, license_words = None, 0, 0
+        for passage in passages(text):
+            words += len(passage)
+            if found := self.best(passage):
+                license_words += len(passage)
+                top = min(top or found, found)
+        if top is None:
+            return None, None, False
+        return top[1], -top[0], bool(re.search(LICENSE_NAME, path)) or license_words >= self.file_share * words
+
+
+def term_counts(texts: DataFrame, vocabulary: set[str]) -> DataFrame:
+    """(term, files): in how many rows of texts each term of the vocabulary occurs; each batch is counted before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            counts = Counter()
+            for text in got.column(0):
+                counts.update(vocabulary.intersection(re.findall(TERM, text.as_py().lower())))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "files"])
+
+    return texts.mapInArrow(run, "term string, files long").groupBy("term").agg(F.sum("files").alias("files"))
 
 
 def scan(files: DataFrame, id_col: str, path: Column, text_col: str, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
     """id, path, own_license, own_score, is_license_file, license and inherited_from (a directory) of each file. See the module."""
     spark = files.sparkSession
+    small_batches(spark)
     named = files.select(F.col(id_col).alias("id"), F.coalesce(path, F.lit("")).alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    vocabulary = sorted({t for _, text in templates for t in terms_of(text)})
-    any_term = r"(?i)(?<![a-z0-9.-])(?:" + "|".join(re.escape(t) for t in vocabulary) + r")(?![a-z0-9])"
-    # The few files with a template's term; the rest are never exploded.
-    hits = named.filter(F.col("text").rlike(any_term))
-    parts = hits.select("id", "path", F.posexplode(F.transform(passages(F.col("text")), terms)).alias("place", "terms")).filter(F.size("terms") > 0)
-    parts = materialize(parts, "passages")
-    total = named.count()
-    known = spark.createDataFrame([(t,) for t in vocabulary], "term string")
-    counts = parts.select("id", F.explode("terms").alias("term")).join(F.broadcast(known), "term").distinct().groupBy("term").count()
-    df = {r["term"]: r["count"] for r in counts.collect()}  # at most one row for each template term
-    import math
-
-    idf = {t: math.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in vocabulary}
-    rare = math.log(1 + total) + 1
-    weighed = []
-    for i, (name, text) in enumerate(templates):
-        mine = terms_of(text)
-        norm = math.sqrt(sum((mine.count(t) * idf[t]) ** 2 for t in set(mine)))
-        weighed += [(i, name, t, mine.count(t) * idf[t] / norm) for t in sorted(set(mine))]
-    model = F.broadcast(spark.createDataFrame(weighed, "template int, name string, term string, weight double"))  # one row for each term of a template
-    weights = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
-    tf = parts.select("id", "path", "place", F.size("terms").alias("words"), F.explode("terms").alias("term")).groupBy("id", "path", "place", "words", "term").agg(F.count("*").alias("tf"))
-    tf = tf.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(rare)))
-    norms = tf.groupBy("id", "path", "place", "words").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = tf.join(model, "term").groupBy("id", "path", "place", "template", "name").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["id", "path", "place"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("score") >= threshold)
-    best = scored.groupBy("id", "path", "place", "words").agg(F.min_by("name", F.struct(-F.col("score"), "name")).alias("name"), F.max("score").alias("score"))
-    words = parts.groupBy("id", "path").agg(F.sum(F.size("terms")).alias("all_words"))
-    own = best.groupBy("id", "path").agg(F.min_by("name", F.struct(-F.col("score"), "name")).alias("own_license"), F.max("score").alias("own_score"), F.sum("words").alias("license_words")).join(words, ["id", "path"])
-    own = own.withColumn("is_license_file", F.col("path").rlike(LICENSE_NAME) | (F.col("license_words") >= file_share * F.col("all_words"))).select("id", "path", "own_license", "own_score", "is_license_file")
-    own = materialize(own.groupBy("id", "path").agg(F.first("own_license").alias("own_license"), F.max("own_score").alias("own_score"), F.max("is_license_file").alias("is_license_file")), "own")
-    discard(parts)
+    vocabulary = {t for _, text in templates for t in terms_of(text)}
+    counts = {r["term"]: r["files"] for r in term_counts(named.select("text"), vocabulary).collect()}  # at most one row for each template term
+    shared = spark.sparkContext.broadcast(Model(templates, counts, named.count(), threshold, file_share))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            judged = [shared.value.judge(p.as_py(), t.as_py()) for p, t in zip(got.column(1), got.column(2), strict=True)]
+            columns = [pa.array([j[k] for j in judged], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), *columns], names=["id", "path", "own_license", "own_score", "is_license_file"])
+
+    schema = named.select("id", "path").schema.add("own_license", "string").add("own_score", "double").add("is_license_file", "boolean")
+    own = materialize(named.mapInArrow(run, schema), "own")
     above = F.regexp_replace("path", "/[^/]*$", "")
     given = own.filter("is_license_file").groupBy(above.alias("above")).agg(F.min_by("own_license", F.struct(-F.col("own_score"), "own_license")).alias("given"))
-    folders = named.select(F.when(F.col("path").contains("/"), above).otherwise("").alias("folder")).distinct()
+    folder = F.when(F.col("path").contains("/"), above).otherwise("")
+    folders = own.select(folder.alias("folder")).distinct()
     steps = F.split("folder", "/")
     ancestors = folders.select("folder", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))).alias("above"))
     nearest = ancestors.join(given, "above").groupBy("folder").agg(F.max_by("given", F.length("above")).alias("given"), F.max_by("above", F.length("above")).alias("inherited_from"))
     nearest = materialize(nearest, "inherited")
-    out = named.select("id", "path", F.when(F.col("path").contains("/"), above).otherwise("").alias("folder")).join(own, ["id", "path"], "left").join(nearest, "folder", "left")
+    out = own.withColumn("folder", folder).join(nearest, "folder", "left")
     return out.select(
-        "id", "path", "own_license", "own_score", F.coalesce("is_license_file", F.lit(False)).alias("is_license_file"),
+        "id", "path", "own_license", "own_score", "is_license_file",
         F.coalesce("own_license", "given").alias("license"), F.when(F.col("own_license").isNull(), F.col("inherited_from")).alias("inherited_from"),
     )
 
