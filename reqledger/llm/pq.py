@@ -4,7 +4,8 @@ Vectors are scaled to length one, and equal ones become one class first, so copi
 coarse centroids and, on its residuals, the codebooks of the subspaces; both go to the executors as small arrays. Every class
 is stored in its nearest list with its codes and the length of its quantisation error. A class probes a list when the list's
 cell can hold a vector within the radius that the cosine threshold gives: when its distance to the plane between its own
-and the other centroid is at most that radius. So the probes are sufficient, not a guess. In a list, the table-lookup distance to a
+and the other centroid is at most that radius. So the probes are sufficient, not a guess. Of two lists the one of lower number
+probes, so a pair of vectors meets once. In a list, the table-lookup distance to a
 code differs from the true one by at most the stored error, so discarding what lies beyond radius + error loses nothing.
 What is left is compared by exact cosines in double precision.
 
@@ -28,7 +29,7 @@ from .graph import components
 from .shared import discard, materialize, table
 
 #: Rows that centroids and codebooks are trained on, at most.
-SAMPLE, MAX_LISTS, SUBSPACES, CODES, BLOCK = 16_384, 1024, 16, 64, 1024
+SAMPLE, MAX_LISTS, SUBSPACES, CODES, BLOCK = 16_384, 1024, 16, 64, 2048
 COSINE = 0.9
 
 
@@ -125,7 +126,10 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row. See the module for the method and the odd cases."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    # Single-precision vectors travel as they are, at half the bytes; all sums are in double precision.
+    single = dict(vectors.dtypes)[vector_col] == "array<float>"
+    stored = np.float32 if single else np.float64
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"))
     size = vector_size(rows, "v")
     rows = rows.withColumn("good", valid("v", size) & F.col("vec_id").isNotNull())
     classes = materialize(rows.filter("good").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
@@ -133,7 +137,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     picked = classes.select("v", F.xxhash64("id").alias("h")).orderBy("h").limit(sample).select("v").toArrow().column(0).combine_chunks()
-    quantizer = Quantizer(unit(as_matrix(picked)), int(min(MAX_LISTS, max(1, round(n**0.5 / 2)))), SUBSPACES, CODES)
+    quantizer = Quantizer(unit(as_matrix(picked)), int(min(MAX_LISTS, max(1, round(n / block)))), SUBSPACES, CODES)
     shared = spark.sparkContext.broadcast(quantizer)
     radius = (2 - 2 * cosine) ** 0.5
 
@@ -142,20 +146,23 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         for got in batches:
             v = as_matrix(got.column(1))
             x = unit(v)
-            own, probes = q.nearest(x), q.probes(x, radius)
+            own = q.nearest(x)
+            probes = [p[p >= o] for p, o in zip(q.probes(x, radius), own, strict=True)]
             many = np.array([len(p) for p in probes])
             lists = np.concatenate([own, *probes]) if len(x) else own
             source = np.concatenate([np.arange(len(x)), np.repeat(np.arange(len(x)), many)])
             member = np.arange(len(source)) < len(x)
-            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(member), got.column(0).take(pa.array(source)), got.column(2).take(pa.array(source)), pa.array([r.tobytes() for r in v[source]], pa.binary())], names=["list", "member", "id", "copies", "v"])
+            sent = v.astype(stored)
+            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(member), got.column(0).take(pa.array(source)), got.column(2).take(pa.array(source)), pa.array(lists == own[source]), pa.array([r.tobytes() for r in sent[source]], pa.binary())], names=["list", "member", "id", "copies", "home", "v"])
 
-    placed = materialize(classes.select("id", "v", "copies").mapInArrow(place, "list int, member boolean, id long, copies long, v binary"), "placed")
+    placed = materialize(classes.select("id", "v", "copies").mapInArrow(place, "list int, member boolean, id long, copies long, home boolean, v binary"), "placed")
     # Blocks: a slice of a list by hash, as many as its size asks for.
     sizes = placed.groupBy("list", "member").agg(F.count("*").alias("size"))
     slices = F.ceil(F.col("size") / block).cast("int")
     dealt = placed.join(F.broadcast(sizes.withColumn("slices", slices).drop("size")), ["list", "member"])  # at most 2 * MAX_LISTS rows
-    packed = dealt.groupBy("list", "member", "slices", F.pmod(F.xxhash64("id"), F.col("slices")).alias("slice")).agg(F.collect_list(F.struct("id", "copies", "v")).alias("rows"))
+    packed = dealt.groupBy("list", "member", "slices", F.pmod(F.xxhash64("id"), F.col("slices")).alias("slice")).agg(F.collect_list(F.struct("id", "copies", "home", "v")).alias("rows"))
     packed = materialize(packed, "blocks")
+    discard(placed)
     members = packed.filter("member").select("list", F.col("slice").alias("ms"), F.col("rows").alias("m"))
     probing = packed.filter("not member").select("list", "slice", F.col("rows").alias("p"))
     counts = packed.filter("member").groupBy("list").agg(F.first("slices").alias("n"))
@@ -167,10 +174,10 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             for i in range(len(got)):
                 yield pair_of_blocks(q, got.column(0)[i].as_py(), *[open_block(got.column(c), i) for c in (1, 2)])
 
-    def open_block(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def open_block(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         rows = column[i].values
-        v = np.frombuffer(b"".join(rows.field("v").to_pylist()), np.float64).reshape(len(rows), -1)
-        return rows.field("id").to_numpy(), rows.field("copies").to_numpy(), v
+        v = np.frombuffer(b"".join(rows.field("v").to_pylist()), stored).reshape(len(rows), -1).astype(np.float64)
+        return rows.field("id").to_numpy(), rows.field("copies").to_numpy(), v, rows.field("home").to_numpy(zero_copy_only=False)
 
     def pair_of_blocks(q: Quantizer, at: int, p: tuple, m: tuple) -> pa.RecordBatch:
         center = q.centroids[at]
@@ -180,7 +187,10 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         for j, table_ in enumerate(q.tables(px - center)):
             near += table_[:, codes[:, j]]
         a, b = np.nonzero(near <= (radius + error + 1e-6) ** 2)
-        links = np.zeros(len(px), np.int64)
+        if 40 * len(a) > near.size:  # many candidates: one product of matrices passes over those well below the threshold
+            keep = (px @ mx.T)[a, b] >= cosine - 1e-9
+            a, b = a[keep], b[keep]
+        links, met = np.zeros(len(px), np.int64), np.zeros(len(mx), np.int64)
         edges = []
         for part in range(0, len(a), 200_000):
             x, y = a[part : part + 200_000], b[part : part + 200_000]
@@ -188,11 +198,14 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             x, y = x[other], y[other]
             x, y = (k[_exact(p[2][x], m[2][y]) >= cosine] for k in (x, y))
             np.add.at(links, x, m[1][y])
+            away = ~p[3][x]  # within its own list a pair is met from both sides
+            np.add.at(met, y[away], p[1][x[away]])
             edges += stars(p[0][x], m[0][y])
+        ids, links = np.concatenate([p[0], m[0]]), np.concatenate([links, met])
         found = np.flatnonzero(links)
         ea, eb = (np.concatenate(edges[k::2]) if edges else np.zeros(0, np.int64) for k in (0, 1))
         none, gap = pa.nulls(len(ea), pa.int64()), pa.nulls(len(found), pa.int64())
-        pick = [p[0][found], links[found]]
+        pick = [ids[found], links[found]]
         return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(c, pa.int64()), none]) for c in pick] + [pa.concat_arrays([gap, pa.array(c, pa.int64())]) for c in (ea, eb)], schema=ARROW)
 
     compared = materialize(probing.join(members, ["list", "ms"]).select("list", "p", "m").mapInArrow(compare, PAIR), "compared")
@@ -201,7 +214,7 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     closed = materialize(components(links), "closed")
     told = classes.join(degree, "id", "left").join(closed, "id", "left")
     told = materialize(told.select("v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component")), "told")
-    for t in (classes, placed, packed, compared, closed):
+    for t in (classes, packed, compared, closed):
         discard(t)
     out = rows.select("vec_id", F.when(F.col("good"), F.col("v")).alias("v")).join(told, "v", "left")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
