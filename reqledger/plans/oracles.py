@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import normalize as N
+from ..operators.drafts import MOVES, REFUSALS
 from ..sources.bridge import with_views
 
 AS_OF = "2024-01-15 00:00:00"
@@ -21,8 +22,8 @@ reg AS (SELECT r.req_id, r.project_id, r.req_number, r.priority, r.date_required
 LOCATED = "located AS (SELECT line_id, cast(sum(quantity) AS decimal(14,4)) AS located FROM movements WHERE action = 'CONFIRM_AVAILABLE' GROUP BY line_id)"
 
 
-def _take(quantity: str, budget: str, order: str) -> str:
-    return f"greatest(0, least({quantity}, {budget} - coalesce(sum({quantity}) OVER (PARTITION BY line_id ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))"
+def _take(quantity: str, budget: str, order: str, key: str = "line_id") -> str:
+    return f"greatest(0, least({quantity}, {budget} - coalesce(sum({quantity}) OVER (PARTITION BY {key} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))"
 
 
 CHECKS = {
@@ -55,6 +56,34 @@ UNION ALL SELECT line_id, n, {', '.join(f'cast(CASE WHEN ok THEN {k} + {v} ELSE
 SELECT line_id, {', '.join(f'cast({k} AS double) AS {k}' for k in move)}, accepted, refused FROM st WHERE accepted + refused = (SELECT count(*) FROM c WHERE c.line_id = st.line_id)"""
 
 
+def _workflow() -> str:
+    to = "CASE " + " ".join(f"WHEN c.action = '{a}' AND state IN ({', '.join(repr(x) for x in sources)}) THEN '{end}'" for a, (sources, end) in MOVES.items()) + " END"
+    counts = {"accepted": "OK"} | {k.lower(): k for k in REFUSALS}
+    return f"""WITH c AS (SELECT draft_id, row_number() OVER (PARTITION BY draft_id ORDER BY ts, id) AS n, action, allowed, reason FROM transitions),
+st AS (SELECT DISTINCT draft_id, cast(0 AS bigint) AS n, 'DRAFT' AS state, {', '.join(f'cast(0 AS bigint) AS {k}' for k in counts)} FROM transitions
+UNION ALL SELECT draft_id, n, CASE WHEN code = 'OK' THEN goal ELSE state END, {', '.join(f"{k} + CASE WHEN code = '{v}' THEN 1 ELSE 0 END" for k, v in counts.items())} FROM (
+  SELECT *, CASE WHEN NOT allowed THEN 'FORBIDDEN' WHEN goal IS NULL THEN 'BAD_STATE' WHEN action = 'PLANNER_RETURN' AND length(trim(reason)) < 3 THEN 'MISSING_REASON' ELSE 'OK' END AS code FROM (
+    SELECT st.draft_id, c.n, c.action, c.allowed, c.reason, state, {', '.join(counts)}, {to} AS goal FROM st JOIN c ON st.draft_id = c.draft_id AND c.n = st.n + 1)))
+SELECT draft_id, state, {', '.join(counts)} FROM st WHERE n = (SELECT count(*) FROM c WHERE c.draft_id = st.draft_id)"""
+
+
+def _corrections() -> str:
+    move = {
+        "located": "CASE WHEN action IN ('CONFIRM_AVAILABLE', 'DIRECT_ISSUE') THEN quantity ELSE 0 END", "available": "CASE WHEN action = 'CONFIRM_AVAILABLE' THEN quantity WHEN action IN ('BAG', 'ISSUE_FROM_AVAILABLE') THEN -quantity ELSE 0 END",
+        "bagged": "CASE WHEN action = 'BAG' THEN quantity ELSE 0 END", "issued": "CASE WHEN action IN ('DIRECT_ISSUE', 'ISSUE_FROM_AVAILABLE') THEN quantity ELSE 0 END", "pending": "CASE WHEN action = 'BACKORDER_REQUESTED' THEN quantity ELSE 0 END",
+    }
+    told = [f"CASE WHEN {k} < 0 THEN '{k} below zero' END" for k in move] + [f"CASE WHEN {k} > 1000 THEN '{k} over requested' END" for k in ("located", "issued")]
+    return f"""WITH whole AS (SELECT line_id, {', '.join(f'sum({v}) AS w_{k}' for k, v in move.items())} FROM movements GROUP BY line_id),
+grp AS (SELECT line_id, day, {', '.join(f'sum({v}) AS d_{k}' for k, v in move.items())} FROM movements GROUP BY line_id, day),
+aft AS (SELECT grp.line_id, day, {', '.join(f'cast(w_{k} - d_{k} AS double) AS {k}' for k in move)} FROM grp JOIN whole ON grp.line_id = whole.line_id)
+SELECT *, concat_ws('; ', {', '.join(told)}) AS refused_because FROM aft"""
+
+
+OWED = "greatest(0, qty_borrowed - qty_repaid)"
+DRAFT_LINES = """dl AS (SELECT drawing, part_id, row_number() OVER (PARTITION BY drawing ORDER BY part_id) AS line_number, sheet IS NULL AS no_sheet, quantity IS NULL AS bad, coalesce(quantity <= 0, false) AS zero, coalesce(NOT regexp_matches(size, '^[0-9/-]+"?(x[0-9/-]+"?)?$'), false) AS odd FROM materials WHERE drawing IS NOT NULL)"""
+CONFIDENCE = "c AS (SELECT part_id, round(greatest(0, 1 - (CASE WHEN quantity IS NULL THEN 0.25 ELSE 0 END + CASE WHEN drawing IS NULL THEN 0.25 ELSE 0 END + CASE WHEN size IS NULL THEN 0.05 ELSE 0 END + CASE WHEN takeoff_sheet = 'OTHER MATERIALS' THEN 0.10 ELSE 0 END)), 3)::double AS confidence, (quantity IS NULL OR drawing IS NULL OR size IS NULL OR takeoff_sheet = 'OTHER MATERIALS') AS warned FROM materials)"
+
+
 def _sizes() -> str:
     return """CASE raw_size WHEN '6 IN' THEN '6"' WHEN '1.5' THEN '1-1/2"' WHEN '0.75' THEN '3/4"' WHEN '2X1 1/2' THEN '2"x1-1/2"' WHEN '1-1/2' THEN '1-1/2"' WHEN '3/4"' THEN '3/4"' WHEN 'SEE DETAIL' THEN 'SEE DETAIL' END"""
 
@@ -123,6 +152,22 @@ def oracle_sql() -> dict[str, str]:
         "normalize_materials": v(f"WITH {MATERIALS} SELECT * FROM materials", "material_text"),
         "row_confidence": v(f"WITH {MATERIALS} SELECT part_id, round(greatest(0, 1 - (CASE WHEN quantity IS NULL THEN 0.25 ELSE 0 END + CASE WHEN drawing IS NULL THEN 0.25 ELSE 0 END + CASE WHEN size IS NULL THEN 0.05 ELSE 0 END + CASE WHEN takeoff_sheet = 'OTHER MATERIALS' THEN 0.10 ELSE 0 END)), 3)::double AS confidence, concat_ws('; ', CASE WHEN quantity IS NULL THEN 'no quantity' END, CASE WHEN drawing IS NULL THEN 'no drawing' END, CASE WHEN size IS NULL THEN 'no size' END, CASE WHEN takeoff_sheet = 'OTHER MATERIALS' THEN 'category unclear' END) AS warnings FROM materials", "material_text"),
         "read_paste": "SELECT doc_id, count(*) AS rows, cast(sum(length(line)) AS bigint) AS characters, cast(max(pos) - 1 AS bigint) AS last_row FROM (SELECT doc_id, unnest(string_split_regex(text, '\\r?\\n')) AS line, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) AS pos FROM documents) WHERE trim(line, ' ') <> '' GROUP BY doc_id",
+        "replay_workflow": v(_workflow(), "transitions", recursive=True),
+        "group_extracted": v(f"WITH {MATERIALS}, {DRAFT_LINES} SELECT drawing, part_id, line_number, concat_ws(',', CASE WHEN no_sheet THEN 'NO_SHEET' END, CASE WHEN bad THEN 'BAD_QUANTITY' END, CASE WHEN zero THEN 'ZERO_QUANTITY' END, CASE WHEN odd THEN 'ODD_SIZE' END) AS issues FROM dl", "material_text"),
+        "stage_status": v(f"WITH {MATERIALS}, {DRAFT_LINES}, s AS (SELECT drawing, count(*) AS line_count, cast(sum(no_sheet::int + bad::int + zero::int) AS bigint) AS errors, cast(sum(odd::int) AS bigint) AS warnings FROM dl GROUP BY drawing) SELECT *, CASE WHEN errors > 0 THEN 'Blocked' ELSE 'Ready' END AS status FROM s", "material_text"),
+        "number_sequence_resume": v("SELECT project_id, cast(coalesce(max(try_cast(req_number AS bigint)), 0) + 1 AS bigint) AS next_number FROM requisitions GROUP BY project_id", "requisitions"),
+        "package_number": v("SELECT project_id, date_required, count(DISTINCT iwp_number) AS candidates, CASE count(DISTINCT iwp_number) WHEN 0 THEN 'missing' WHEN 1 THEN 'unique' ELSE 'multiple' END AS fate, CASE WHEN count(DISTINCT iwp_number) = 1 THEN min(iwp_number) END AS package_number FROM requisitions GROUP BY project_id, date_required", "requisitions"),
+        "content_hash": v("SELECT req_id, iso_number, iso_revision, count(*) AS rows, sha256(iso_number || '|' || iso_revision || chr(10) || string_agg(cast(line_number AS string) || '|' || commodity_code || '|' || size || '|' || description, chr(10) ORDER BY line_number)) AS content_hash FROM lines GROUP BY req_id, iso_number, iso_revision", "lines"),
+        "spool_reconcile": v("WITH k AS (SELECT drawing_number, revision, count(DISTINCT content_hash) AS copies FROM iso_pages GROUP BY 1, 2), h AS (SELECT drawing_number, revision, source_path AS value, count(DISTINCT content_hash) AS held_by FROM iso_pages GROUP BY 1, 2, 3) SELECT h.*, copies, CASE WHEN held_by = copies THEN 'common' ELSE 'conflict' END AS fate FROM h JOIN k ON h.drawing_number = k.drawing_number AND h.revision = k.revision", "iso_pages"),
+        "write_split": v(f"WITH {MATERIALS}, {CONFIDENCE} SELECT CASE WHEN confidence >= 0.65 THEN 'clean' ELSE 'review' END AS bucket, count(*) AS rows, count(*) FILTER (warned) AS with_warnings FROM c GROUP BY 1", "material_text"),
+        "repay_swaps": v(f"WITH {LOCATED}, a AS (SELECT s.*, {OWED} AS owed, located FROM swaps s JOIN located ON donor_id = line_id WHERE status <> 'Cancelled' AND {OWED} > 0), t AS (SELECT *, {_take('owed', 'located', 'created_at, id', 'donor_id')} AS applied FROM a) SELECT id, donor_id, cast(applied AS double) AS applied, cast(owed - applied AS double) AS outstanding, CASE WHEN owed - applied <= 0 THEN 'Repaid' ELSE 'Partially Repaid' END AS status FROM t WHERE applied > 0", "swaps"),
+        "open_swaps": v(f"SELECT project_id, id, donor_id, receiver_id, cast({OWED} AS double) AS owed, greatest(0, (epoch_us(timestamp '{AS_OF}') - epoch_us(created_at)) // 86400000000) AS age_days, row_number() OVER (PARTITION BY project_id ORDER BY created_at, id) AS place FROM swaps WHERE status <> 'Cancelled' AND {OWED} > 0", "swaps"),
+        "swaps_for_line": v("SELECT line_id, count(*) AS swaps, cast(sum(lent) AS double) AS lent, cast(sum(borrowed) AS double) AS borrowed FROM (SELECT donor_id AS line_id, qty_borrowed AS lent, 0 AS borrowed FROM swaps WHERE status <> 'Cancelled' UNION ALL SELECT receiver_id, 0, qty_borrowed FROM swaps WHERE status <> 'Cancelled') GROUP BY line_id", "swaps"),
+        "correctable_history": v("SELECT line_id, day, count(*) AS movements, cast(sum(quantity) AS double) AS quantity, max(id) AS last_id, string_agg(DISTINCT action, ',' ORDER BY action) AS actions FROM movements GROUP BY line_id, day", "movements"),
+        "plan_corrections": v(_corrections(), "movements"),
+        "field_notes_topk": v("WITH n AS (SELECT line_id, ts, id, action AS note FROM movements WHERE action <> 'CONFIRM_AVAILABLE' UNION ALL SELECT line_id, reported_at, id, status FROM backorders), p AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY ts DESC, id DESC, note) AS place, count(*) OVER (PARTITION BY line_id) AS notes FROM n) SELECT line_id, notes, notes > 20 AS truncated, string_agg(cast(id AS string) || ':' || note, ',' ORDER BY place) AS listed FROM p WHERE place <= 20 GROUP BY line_id, notes", "backorders"),
+        "bag_closure": v("SELECT bag_id, count(*) AS items, CASE WHEN bool_or(active AND qty_remaining > 0) THEN 'Active' ELSE 'Closed' END AS status FROM bag_items GROUP BY bag_id", "bag_items"),
+        "stream_sessions": "SELECT line_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY line_id ORDER BY ts, event_id) AS k FROM (SELECT user_id AS line_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < interval 30 minutes THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY line_id, k",
         "stream_dedup": f"SELECT DISTINCT user_id AS line_id, {act} AS action FROM events",
         "stream_activity": f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, {act} AS action, count(*) AS n, sum(ceil(value / 10)) AS quantity FROM events GROUP BY ALL",
     }

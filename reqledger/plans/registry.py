@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import derive, normalize
-from ..operators import integrity, registers, replay, takeoff, waterfall
+from ..operators import drafts, integrity, registers, replay, swaps, takeoff, waterfall
 from ..sources.bridge import domain
 from ..streaming import streams
 from . import oracles
@@ -99,6 +99,22 @@ def queries() -> dict[str, Query]:
         "normalize_materials": _over(normalize.normalize_materials, "material_text"),
         "row_confidence": _over(lambda m: takeoff.row_confidence(normalize.normalize_materials(m)), "material_text"),
         "read_paste": lambda spark, d: takeoff.read_paste(spark.read.parquet(f"{d}/documents.parquet")),
+        "replay_workflow": _over(drafts.replay_workflow, "transitions"),
+        "group_extracted": _over(lambda m: drafts.group_extracted(normalize.normalize_materials(m)), "material_text"),
+        "stage_status": _over(lambda m: drafts.stage_status(drafts.group_extracted(normalize.normalize_materials(m))), "material_text"),
+        "number_sequence_resume": _over(drafts.next_numbers, "requisitions"),
+        "package_number": _over(drafts.package_numbers, "requisitions"),
+        "content_hash": _over(drafts.content_hashes, "lines"),
+        "spool_reconcile": _over(drafts.reconcile_copies, "iso_pages"),
+        "write_split": _over(lambda m: drafts.split_by_confidence(takeoff.row_confidence(normalize.normalize_materials(m))), "material_text"),
+        "repay_swaps": _over(lambda s, m: swaps.repay_swaps(s, _located(m)), "swaps", "movements"),
+        "open_swaps": _over(lambda s: swaps.open_swaps(s, AS_OF), "swaps"),
+        "swaps_for_line": _over(swaps.swaps_by_line, "swaps"),
+        "correctable_history": _over(swaps.correctable_history, "movements"),
+        "plan_corrections": _over(swaps.plan_corrections, "movements"),
+        "field_notes_topk": _over(swaps.field_notes, "movements", "backorders"),
+        "bag_closure": _over(swaps.bag_closure, "bag_items"),
+        "stream_sessions": lambda spark, d: streams.run(streams.sessions(streams.movements(spark, d)), "complete"),
         "stream_dedup": lambda spark, d: streams.run(streams.dedup(streams.movements(spark, d))),
         "stream_activity": lambda spark, d: streams.run(streams.activity(streams.movements(spark, d)), "complete"),
         "stream_ledger": stream_ledger,

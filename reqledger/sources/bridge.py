@@ -44,6 +44,12 @@ SELECT id, line_id, project_id, CASE id % 3 WHEN 0 THEN 'REJECTED' WHEN 1 THEN '
     "bag_items": f"""
 SELECT line_id, req_id, project_id, iso_number, 'P' || cast(req_id AS string) || '-' || iso_number AS bag_id,
   cast(qty_active_bagged + CASE WHEN line_id % 97 = 0 THEN 1 ELSE 0 END AS {Q}) AS qty_remaining, active FROM lines WHERE qty_active_bagged > 0""",
+    "transitions": """
+SELECT event_id AS id, user_id AS draft_id, ts, CASE event_id % 6 WHEN 0 THEN 'SUBMIT' WHEN 1 THEN 'PLANNER_APPROVE' WHEN 2 THEN 'SEND_TO_MATERIAL' WHEN 3 THEN 'ASSIGN_NUMBER' WHEN 4 THEN 'PUBLISH' ELSE 'PLANNER_RETURN' END AS action,
+  event_id % 7 <> 0 AS allowed, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS reason FROM events""",
+    "swaps": f"""
+SELECT id, line_id AS donor_id, line_id + 1 AS receiver_id, project_id, ts AS created_at, quantity AS qty_borrowed, cast(CASE WHEN id % 3 = 0 THEN floor(quantity / 3) ELSE 0 END AS {Q}) AS qty_repaid,
+  CASE WHEN id % 11 = 0 THEN 'Cancelled' WHEN id % 3 = 0 THEN 'Partially Repaid' ELSE 'Open' END AS status FROM movements WHERE action = 'BAG'""",
     "material_text": """
 SELECT p_partkey AS part_id, CASE p_partkey % 8 WHEN 0 THEN '6 IN' WHEN 1 THEN '1.5' WHEN 2 THEN '0.75' WHEN 3 THEN '2X1 1/2' WHEN 4 THEN '1-1/2' WHEN 5 THEN '3/4"' WHEN 6 THEN 'SEE DETAIL' END AS raw_size,
   CASE p_partkey % 5 WHEN 0 THEN '1,200' WHEN 1 THEN '49.2''' WHEN 2 THEN '40 FT' WHEN 3 THEN 'abc' ELSE '' END AS raw_quantity,
@@ -55,7 +61,7 @@ SELECT p_partkey AS part_id, CASE p_partkey % 8 WHEN 0 THEN '6 IN' WHEN 1 THEN '
 SELECT 'D-' || cast(l_partkey % 500 AS string) AS drawing_number, CASE WHEN l_partkey % 50 = 0 AND l_suppkey % 3 = 2 THEN 'B' ELSE cast(l_suppkey % 3 AS string) END AS revision,
   cast(l_suppkey % 2 AS string) AS content_hash, 'src' || cast(l_orderkey % 10 AS string) AS source_path, l_orderkey * 1000 + line_number AS page FROM raw_lines""",
 }
-NEEDS = {"lines": ["raw_lines"], "backorders": ["movements"], "notices": ["movements", "backorders"], "bag_items": ["raw_lines", "lines"], "iso_pages": ["raw_lines"]}
+NEEDS = {"lines": ["raw_lines"], "backorders": ["movements"], "notices": ["movements", "backorders"], "swaps": ["movements"], "bag_items": ["raw_lines", "lines"], "iso_pages": ["raw_lines"]}
 
 
 def _order(names: list[str]) -> list[str]:
