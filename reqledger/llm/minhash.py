@@ -11,8 +11,9 @@ Candidates whose signatures agree too little for the threshold (by more than SLA
 First only direct neighbours in each order are met, each class's best one is confirmed, and the links are closed into
 components. Then the orders are sorted again, and up to NEIGHBOURS places on, every candidate pair of two components is confirmed: pairs within a
 component could change nothing, so a large group of near copies costs a few pairs for each of its classes. Confirmation intersects full sets.
-A pair at the threshold shares MIN_DEPTH hashes in at least one of the 16 orders but for one case in 100,000; a class with more than NEIGHBOURS
-such neighbours in an order meets the nearest there, and others in the other orders or through links of those in between.
+A region (the classes that share an order's first MIN_DEPTH hashes) with more places than that and more than one component is crowded: there every
+pair of two components is compared, block against block. A component that fills a block has blocks of its own, which do not meet each other.
+A pair at the threshold shares MIN_DEPTH hashes in at least one of the 16 orders but for one case in 100,000, and every such pair is met.
 
 Odd cases: a text without words (or null) has an empty set and links with nothing; a null id keeps its row, with a null
 component and kept true; rows that repeat an id are each judged by their own text; an empty table gives no rows."""
@@ -38,6 +39,8 @@ TREES, DEPTH, MIN_DEPTH, NEIGHBOURS, SLACK = 16, 8, 3, 6, 5.0
 #: Hashes of the rotated signature in a sort key, two bytes each.
 KEY_HASHES = 16
 WORDS, PERCENT = 5, 80
+#: Classes of a crowded region in a block, and bytes of their shingle sets.
+BLOCK, BLOCK_BYTES = 1024, 1 << 23
 _SEEDS = np.random.default_rng(11).integers(0, 1 << 32, 2 * TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
 MULTIPLIERS, OFFSETS = _SEEDS[: TREES * DEPTH] | np.uint32(1), _SEEDS[TREES * DEPTH :]
 
@@ -142,10 +145,15 @@ def _neighbours(orders: DataFrame, neighbours: int, min_depth: int) -> DataFrame
     return out
 
 
+def _least(percent: int) -> float:
+    """The share of equal hashes below which a pair is too far from the threshold for chance."""
+    t = percent / 100
+    return t - SLACK * (t * (1 - t) / (TREES * DEPTH)) ** 0.5
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """pairs with the similarity that their signatures show, without those too far below the threshold for chance."""
-    t = percent / 100
-    least = t - SLACK * (t * (1 - t) / (TREES * DEPTH)) ** 0.5
+    least = _least(percent)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,12 +202,127 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, neighbours: int = NEIGHBOURS, min_depth: int = MIN_DEPTH) -> DataFrame:
+def _crowded(now: DataFrame, neighbours: int, min_depth: int, percent: int, block: int) -> DataFrame:
+    """(task, xs, ys, at): the pairs of two components in crowded regions that reach the estimate, those of two blocks in a row. xs and ys are
+    classes, at their places in the two lists by turns. A pair is in the first order whose region it shares."""
+    step, width = 2 * DEPTH, 2 * min_depth
+    regions = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.concat(F.unhex(F.lpad(F.hex(t), 2, "0")), F.substring("signature", 1 + t * step, F.lit(width))))
+    rows = now.select("rep", "component", "n_shingles", F.explode(regions).alias("region"))
+    full = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter((F.col("n") > neighbours + 1) & (F.col("lo") != F.col("hi")))
+    full = materialize(full.select("region"), "crowded")
+    member = materialize(rows.join(full, "region"), "member")
+    load = member.groupBy("region", "component").agg(F.count("*").alias("n"), F.sum(8 * F.col("n_shingles")).alias("bytes"))
+    load = load.withColumn("own", F.when((F.col("n") > block) | (F.col("bytes") > BLOCK_BYTES), F.col("component")))
+    load = materialize(load, "load")
+    parts = load.groupBy("region", "own").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    parts = materialize(parts.select("region", "own", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).alias("many")), "parts")
+    sided = load.select("region", "component", "own").join(parts.withColumnsRenamed({"region": "r", "own": "o"}), (F.col("region") == F.col("r")) & F.col("own").eqNullSafe(F.col("o"))).select("region", "component", "own", "many")
+    sided = materialize(sided, "sided")
+    dealt = member.select("rep", "component", "region").join(sided, ["region", "component"]).withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(7)), F.col("many")))
+    dealt = dealt.join(now.select("rep", "signature"), "rep")
+    blocks = dealt.groupBy("region", "own", "salt").agg(F.collect_list(F.struct("rep", "component", "signature")).alias("rows"))
+    blocks = materialize(blocks.withColumn("name", F.xxhash64("own", "salt")), "blocks")
+    names = blocks.select("region", "name", "own")
+    met = names.join(names.withColumnsRenamed({"name": "other", "own": "their"}), "region").filter("name <= other and (own is null or their is null or own <> their)").select("region", "name", "other")
+    both = met.join(blocks.select("region", "name", F.col("rows").alias("x")), ["region", "name"]).join(blocks.select("region", F.col("name").alias("other"), F.col("rows").alias("y")), ["region", "other"])
+    least = _least(percent)
+    schema = pa.schema([("task", pa.string()), ("xs", pa.list_(pa.int64())), ("ys", pa.list_(pa.int64())), ("at", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            got = column[row].values
+            hashes = np.frombuffer(b"".join(got.field("signature").to_pylist()), ">u2").reshape(len(got), -1).astype(np.uint16)
+            heads = [[bytes(h) for h in np.ascontiguousarray(hashes[:, DEPTH * t : DEPTH * t + min_depth])] for t in range(TREES)]
+            return got.field("rep").to_numpy(), got.field("component").to_numpy(), hashes, np.array([[hash(h) for h in head] for head in heads])
+
+        for got in batches:
+            for row in range(len(got)):
+                (x, cx, hx, px), (y, cy, hy, py) = side(got.column("x"), row), side(got.column("y"), row)
+                region, name, other = got.column("region")[row].as_py(), got.column("name")[row].as_py(), got.column("other")[row].as_py()
+                # An order's first hash-sized prefix decides the region, so a pair that met in an earlier order is left to that.
+                for at in range(0, len(x), 256):
+                    part = slice(at, at + 256)
+                    open_ = cx[part, None] != cy
+                    if name == other:
+                        open_ &= x[part, None] < y
+                    for t in range(region[0]):
+                        open_ &= px[t][part, None] != py[t]
+                    if not open_.any():
+                        continue
+                    same = np.zeros(open_.shape, np.uint8)
+                    for h in range(hx.shape[1]):
+                        same += hx[part, h, None] == hy[:, h]
+                    i, j = np.nonzero(open_ & (same >= least * hx.shape[1]))
+                    if len(i):
+                        ui, i = np.unique(i, return_inverse=True)
+                        uj, j = np.unique(j, return_inverse=True)
+                        pairs = np.stack([i, j], 1).astype("<u2").tobytes()
+                        yield pa.RecordBatch.from_arrays([pa.array([f"{region.hex()}.{name}.{other}.{at}"]), pa.array([x[part][ui]], schema[1].type), pa.array([y[uj]], schema[2].type), pa.array([pairs], pa.binary())], schema=schema)
+
+    out = materialize(both.select("region", "name", "other", "x", "y").mapInArrow(run, "task string, xs array<long>, ys array<long>, at binary"), "crowd")
+    for t in (full, member, load, parts, sided, blocks):
+        discard(t)
+    return out
+
+
+def _crowd_confirmed(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join whatever the pairs of a row of crowd do that meet the threshold; a row leaves fewer links than it has classes."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    wanted = crowd.select("task", F.explode(F.array_union("xs", "ys")).alias("rep"))
+    held = wanted.join(sets, "rep").groupBy("task").agg(F.collect_list(F.struct("rep", "shingles")).alias("held"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            for row in range(len(got)):
+                names = got.column("held")[row].values.field("rep").to_pylist()
+                of = {n: np.frombuffer(s.as_buffer(), np.uint64) for n, s in zip(names, got.column("held")[row].values.field("shingles"), strict=True)}
+                xs, ys = got.column("xs")[row].values.to_pylist(), got.column("ys")[row].values.to_pylist()
+                ij = np.frombuffer(got.column("at")[row].as_py(), "<u2").reshape(-1, 2).astype(np.int64)
+                x, y = [of[n] for n in xs], [of[n] for n in ys]
+                nx, ny = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+                if len(ij) > 4 * (len(x) + len(y)):
+                    # Only shingles of both sides count; ranks in their union address columns of two 0/1 matrices.
+                    fx, fy = np.concatenate(x), np.concatenate(y)
+                    shared = np.intersect1d(fx, fy)
+                    rx, ry, total = np.repeat(np.arange(len(x)), nx), np.repeat(np.arange(len(y)), ny), np.zeros((len(x), len(y)))
+                    inx, iny = np.isin(fx, shared), np.isin(fy, shared)
+                    rx, cx, ry, cy = rx[inx], np.searchsorted(shared, fx[inx]), ry[iny], np.searchsorted(shared, fy[iny])
+                    for at in range(0, len(shared), 4096):
+                        m, k = np.zeros((len(x), 4096), np.float32), np.zeros((len(y), 4096), np.float32)
+                        here, there = (cx >= at) & (cx < at + 4096), (cy >= at) & (cy < at + 4096)
+                        m[rx[here], cx[here] - at] = 1
+                        k[ry[there], cy[there] - at] = 1
+                        total += m @ k.T
+                    both = total[ij[:, 0], ij[:, 1]].astype(np.int64)
+                else:
+                    both = np.array([len(np.intersect1d(x[i], y[j], assume_unique=True)) for i, j in ij], np.int64)
+                good = ij[100 * both >= percent * (nx[ij[:, 0]] + ny[ij[:, 1]] - both)]
+                part: dict[int, int] = {}
+
+                def find(n: int) -> int:
+                    while part.setdefault(n, n) != n:
+                        part[n] = n = part[part[n]]
+                    return n
+
+                links = []
+                for i, j in good.tolist():
+                    a, b = find(xs[i]), find(ys[j])
+                    if a != b:
+                        part[a] = b
+                        links.append((xs[i], ys[j]))
+                if links:
+                    a, b = zip(*links, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    return crowd.join(held, "task").select("xs", "ys", "at", "held").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, neighbours: int = NEIGHBOURS, min_depth: int = MIN_DEPTH, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs. See the module for the method and the odd cases."""
     rows = materialize(describe(docs, id_col, text_col, words).withColumn("rep", F.xxhash64("set_hash")), "signatures")
     # A class is named by the hash of its set; in the end its smallest id stands for it.
     known = rows.filter("set_hash is not null and doc_id is not null")
-    classes = materialize(known.groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.first("set_hash").alias("set_hash"), F.first("signature").alias("signature")), "classes")
+    classes = materialize(known.groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("set_hash").alias("set_hash"), F.first("signature").alias("signature")), "classes")
 
     def candidates(now: DataFrame, places: int) -> tuple[DataFrame, DataFrame]:
         found = _neighbours(_orders(now), places, min_depth)
@@ -218,7 +341,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         discard(t)
     now = materialize(classes.join(closed.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "now")
     pairs, sets = candidates(now, neighbours)
-    late = materialize(_confirmed(pairs, sets, percent), "late")
+    crowd = _crowded(now, neighbours, min_depth, percent, block)
+    met = crowd.select(F.explode("xs").alias("rep")).union(crowd.select(F.explode("ys"))).distinct()
+    dense = materialize(_sets(docs, id_col, text_col, words, classes.select("rep", "doc_id", "set_hash").join(met, "rep")).dropDuplicates(["rep"]), "dense")
+    late = materialize(_confirmed(pairs, sets, percent).union(_crowd_confirmed(crowd, dense, percent)), "late")
+    discard(crowd)
+    discard(dense)
     # Links between components: components of the components.
     names = {end: closed.select(F.col("id").alias(end), F.col("component").alias(f"c{end}")) for end in "ab"}
     over = late.join(names["a"], "a", "left").join(names["b"], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))

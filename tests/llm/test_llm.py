@@ -123,6 +123,36 @@ def test_minhash_chain_and_crowd(spark):
     assert {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("block", [minhash.BLOCK, 300])
+def test_minhash_template_family(spark, block):
+    """A crowded region: every pair is at 0.7 but for some at 0.82 to 0.85, and one component fills blocks of its own."""
+    r, n, common = random.Random(4), 2000, [f"t{i}" for i in range(70)]
+    sets = [{*common, *(f"u{i}_{j}" for j in range(15))} for i in range(n)]
+    for k in range(150):
+        i, j = r.sample(range(n), 2)
+        sets[j] = {*common, *sorted(sets[i] - {*common})[: r.choice([7, 8])], *(f"v{k}_{x}" for x in range(8))}
+    copies = [{*common, *(f"w{j}" for j in range(14)), f"c{i}"} for i in range(400)]
+    sets += copies
+    r.shuffle(sets)
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in enumerate(sets)], "doc_id long, text string"), words=1, block=block).collect()}
+    where = {w: i for i, w in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(sets), len(where)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [where[w] for w in s]] = 1
+    both, size = m @ m.T, m.sum(1)
+    part = list(range(len(sets)))
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for i, j in np.argwhere(100 * both >= 80 * (size[:, None] + size - both)).tolist():
+        a, b = find(i), find(j)
+        part[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in range(len(sets))}
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randint(0, 400), r.randint(0, 400)) for _ in range(250)] + [(i, i + 1) for i in range(1000, 1040)] + [(5000, x) for x in range(5001, 5100)]
