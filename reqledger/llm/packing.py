@@ -15,7 +15,7 @@ import heapq
 import re
 import struct
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,8 @@ class Encoder:
 
     Byte-level BPE never merges across a single space between two other characters, so a text is cut there and the ids
     of recurring words are remembered. New words go through tiktoken over the file's own vocabulary where that
-    vocabulary is ranked by its merges (checked here); otherwise through tokenizers."""
+    vocabulary is ranked by its merges (checked here); otherwise through tokenizers. A text that holds an added token
+    is not cut and goes through tokenizers whole."""
 
     def __init__(self, file: str):
         import json
@@ -54,7 +55,9 @@ class Encoder:
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted({t["content"] for t in spec.get("added_tokens", [])} - {""})
+        #: Starts of added tokens, which tokenizers takes out of a text first.
+        self.added = re.compile(b"(?=" + b"|".join(re.escape(t.encode()) for t in added) + b")") if added else None
         self.known: dict[int, bytes] = {}
         self.fast = self._ranked(spec)
 
@@ -78,14 +81,17 @@ class Encoder:
             self.token_bytes[i] = len(w)
         return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks={bytes(byte_of[c] for c in w): i for w, i in plain.items()}, special_tokens={})
 
+    def _holds_added(self, piece: bytes) -> bool:
+        return self.added is not None and self.added.search(piece) is not None
+
     def _ids(self, piece: bytes) -> bytes:
         text = piece.decode()
-        ids = self.fast.encode_ordinary(text) if self.fast else self.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = self.fast.encode_ordinary(text) if self.fast and not self._holds_added(piece) else self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, hashes: list[int], pieces: list[bytes]) -> None:
         """Remember the ids of new pieces. Those between two cuts are encoded as one text: no token crosses a cut, so the tokens' lengths tell where each piece ends."""
-        joint = [i for i, p in enumerate(pieces) if p[:1] == b" " and not p[-1:].isspace()] if self.fast else []
+        joint = [i for i, p in enumerate(pieces) if p[:1] == b" " and not p[-1:].isspace() and not self._holds_added(p)] if self.fast else []
         if joint:
             ids = np.array(self.fast.encode_ordinary(b"".join([pieces[i] for i in joint]).decode()), "<u4")
             ends = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum([len(pieces[i]) for i in joint])) + 1
@@ -102,7 +108,7 @@ class Encoder:
             cut[:1] = cut[-1:] = False
             cut[1:-1] &= ~space[:-2] & ~space[2:]
             raw = data.tobytes()
-            for m in UNCUT.finditer(raw):
+            for m in chain(UNCUT.finditer(raw), self.added.finditer(raw) if self.added else ()):
                 row = int(np.searchsorted(offsets, m.start(), side="right")) - 1
                 cut[offsets[row] : offsets[row + 1]] = False
             cut = np.append(cut, False)

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
+tokenizers = pytest.importorskip("tokenizers")
 
 import corpus_pipeline
 from reqledger.llm import additive, graph, language, licenses, minhash, mixing, packing, pq, secrets, toxicity, warc
@@ -75,6 +76,15 @@ def test_packing(docs, none, rows):
     assert packing.pack(none, file).count() == 0
 
 
+def test_packing_ids_are_those_of_a_fresh_tokenizer():
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    fresh = tokenizers.Tokenizer.from_file(file)
+    texts = ["a <|endoftext|> b", " <|endoftext|>", "a b<|endoftext|>c d", "<|endo", "ftext|> x", "<|endoftext|><|endoftext|>", "plain words here", None, " lead <|endoftext|> 漢字 z", "a  b <|endoftext"]
+    got = [x.tolist() for x in packing.Encoder(file).encode(pa.array(texts))]
+    assert got == [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got[0] == [64, 220, 50256, 275]
+
+
 def test_assign_is_balanced_and_full():
     r = random.Random(1)
     sizes = [r.randint(1, 99) for _ in range(300)]
