@@ -48,6 +48,33 @@ def row_constraints(lines: DataFrame) -> DataFrame:
     return lines.select("project_id", F.explode(broken).alias("code"), F.col("line_id").cast("long").alias("entity_id"), F.col("qty_requested").cast("double").alias("difference"))
 
 
+#: Issues and what takes them back: corrections carry a negative quantity, reversals the quantity that they undo.
+ISSUES = ("DIRECT_ISSUE", "ISSUE_FROM_AVAILABLE", "ISSUE_FROM_BAG")
+
+
+def backorder_ledger(lines: DataFrame, requests: DataFrame) -> DataFrame:
+    """Backorder totals of a line against its active requests; the difference adds both totals' gaps."""
+    asked = requests.filter("active").groupBy("line_id").agg(F.sum("qty_pending").alias("p"), F.sum("qty_confirmed").alias("c"))
+    pending = F.abs(F.col("qty_pending_backorder") - F.coalesce("p", F.lit(0)))
+    confirmed = F.abs(F.col("qty_confirmed_backorder") - F.coalesce("c", F.lit(0)))
+    return _found(lines.filter("active").join(asked, "line_id", "left").filter((pending > TOLERANCE) | (confirmed > TOLERANCE)), "BACKORDER_LEDGER", "line_id", pending + confirmed)
+
+
+def issued_history(lines: DataFrame, movements: DataFrame) -> DataFrame:
+    """Issued quantity of a line against its issue movements."""
+    kept = movements.filter(F.regexp_replace("action", "^(CORRECTION|REVERSAL)_", "").isin(*ISSUES))
+    told = kept.groupBy("line_id").agg(F.sum(F.when(F.col("action").startswith("REVERSAL_"), -F.col("quantity")).otherwise(F.col("quantity"))).alias("told"))
+    gap = F.col("qty_issued") - F.coalesce("told", F.lit(0))
+    return _found(lines.filter("active").join(told, "line_id", "left").filter(F.abs(gap) > TOLERANCE), "ISSUED_HISTORY", "line_id", gap)
+
+
+def status(lines: DataFrame, stored: DataFrame) -> DataFrame:
+    """Lines whose stored status contradicts their quantities; the difference is what remains."""
+    left, marked = derive.remaining(), F.col("line_status")
+    wrong = ((marked == "Issued") & (left > TOLERANCE)) | ((marked == "Open") & (F.col("qty_confirmed_located") > TOLERANCE)) | ((left <= TOLERANCE) & (F.col("qty_requested") > 0) & (marked != "Issued"))
+    return _found(lines.filter("active").join(stored, "line_id").filter(wrong), "STATUS", "line_id", left)
+
+
 def report(*violations: DataFrame) -> DataFrame:
     """Count and total difference of each project and check."""
     return reduce(DataFrame.unionByName, violations).groupBy("project_id", "code").agg(F.count("*").alias("violations"), F.round(F.sum("difference"), 4).alias("difference"))

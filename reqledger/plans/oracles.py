@@ -36,6 +36,19 @@ LEFT JOIN (SELECT line_id, sum(qty_remaining) AS held FROM bag_items WHERE activ
 SELECT *, 'LOCATED_SPLIT' AS code FROM lines WHERE qty_confirmed_located <> qty_available + qty_active_bagged + qty_issued UNION ALL SELECT *, 'ISSUED_OVER_REQUESTED' FROM lines WHERE qty_issued > qty_requested
 UNION ALL SELECT *, 'NEGATIVE' FROM lines WHERE least(qty_available, qty_issued, qty_active_bagged) < 0 UNION ALL SELECT *, 'SMALL_REQUEST' FROM lines WHERE qty_requested < 2)""",
 }
+#: The reference's other checks; integrity_report_all unites these with CHECKS.
+MORE_CHECKS = {
+    "chk_backorder_ledger": """SELECT l.project_id, 'BACKORDER_LEDGER' AS code, l.line_id AS entity_id, cast(abs(qty_pending_backorder - coalesce(p, 0)) + abs(qty_confirmed_backorder - coalesce(c, 0)) AS double) AS difference FROM lines l
+LEFT JOIN (SELECT line_id, sum(qty_pending) AS p, sum(qty_confirmed) AS c FROM backorders WHERE active GROUP BY line_id) b ON l.line_id = b.line_id
+WHERE l.active AND (abs(qty_pending_backorder - coalesce(p, 0)) > 1e-4 OR abs(qty_confirmed_backorder - coalesce(c, 0)) > 1e-4)""",
+    "chk_issued_history": """SELECT l.project_id, 'ISSUED_HISTORY' AS code, l.line_id AS entity_id, cast(qty_issued - coalesce(told, 0) AS double) AS difference FROM lines l
+LEFT JOIN (SELECT line_id, sum(CASE WHEN starts_with(action, 'REVERSAL_') THEN -quantity ELSE quantity END) AS told FROM movements
+  WHERE action IN ('DIRECT_ISSUE', 'ISSUE_FROM_AVAILABLE', 'ISSUE_FROM_BAG', 'CORRECTION_DIRECT_ISSUE', 'CORRECTION_ISSUE_FROM_AVAILABLE', 'CORRECTION_ISSUE_FROM_BAG', 'REVERSAL_DIRECT_ISSUE', 'REVERSAL_ISSUE_FROM_AVAILABLE', 'REVERSAL_ISSUE_FROM_BAG')
+  GROUP BY line_id) t ON l.line_id = t.line_id WHERE l.active AND abs(qty_issued - coalesce(told, 0)) > 1e-4""",
+    "chk_status": f"""SELECT l.project_id, 'STATUS' AS code, l.line_id AS entity_id, cast({REM} AS double) AS difference FROM lines l JOIN stored_statuses s ON l.line_id = s.line_id
+WHERE l.active AND ((line_status = 'Issued' AND {REM} > 1e-4) OR (line_status = 'Open' AND qty_confirmed_located > 1e-4) OR ({REM} <= 1e-4 AND qty_requested > 0 AND line_status <> 'Issued'))""",
+}
+MORE_VIEWS = ("lines", "bag_items", "notices", "backorders", "movements", "stored_statuses")
 CHECK_VIEWS = ("lines", "bag_items", "notices", "backorders")
 
 
@@ -172,4 +185,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_activity": f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, {act} AS action, count(*) AS n, sum(ceil(value / 10)) AS quantity FROM events GROUP BY ALL",
     }
     out |= {k: v(s, *CHECK_VIEWS) for k, s in CHECKS.items()}
+    out |= {k: v(s, *MORE_VIEWS) for k, s in MORE_CHECKS.items()}
+    every = " UNION ALL ".join(f"({s})" for s in (CHECKS | MORE_CHECKS).values())
+    out["integrity_report_all"] = v(f"SELECT project_id, code, count(*) AS violations, round(sum(difference), 4) AS difference FROM ({every}) GROUP BY ALL", *MORE_VIEWS)
     return out | {"stream_ledger": out["replay_ledger"]}

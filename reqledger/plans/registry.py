@@ -52,6 +52,11 @@ def integrity_report(lines: DataFrame, items: DataFrame, notices: DataFrame, req
     return integrity.report(integrity.bag_ledger(lines, items), integrity.backorder_excess(lines), integrity.orphan_items(lines, items), integrity.notice_without_request(notices, requests), integrity.row_constraints(lines))
 
 
+def integrity_report_all(lines: DataFrame, items: DataFrame, notices: DataFrame, requests: DataFrame, movements: DataFrame, stored: DataFrame) -> DataFrame:
+    five = (integrity.bag_ledger(lines, items), integrity.backorder_excess(lines), integrity.orphan_items(lines, items), integrity.notice_without_request(notices, requests), integrity.row_constraints(lines))
+    return integrity.report(*five, integrity.backorder_ledger(lines, requests), integrity.issued_history(lines, movements), integrity.status(lines, stored))
+
+
 def queries() -> dict[str, Query]:
     return {
         "register": _over(registers.register, "requisitions", "lines"),
@@ -83,6 +88,10 @@ def queries() -> dict[str, Query]:
         "chk_notice_without_request": _over(integrity.notice_without_request, "notices", "backorders"),
         "chk_row_constraints": _over(integrity.row_constraints, "lines"),
         "integrity_report": _over(integrity_report, "lines", "bag_items", "notices", "backorders"),
+        "chk_backorder_ledger": _over(integrity.backorder_ledger, "lines", "backorders"),
+        "chk_issued_history": _over(integrity.issued_history, "lines", "movements"),
+        "chk_status": _over(integrity.status, "lines", "stored_statuses"),
+        "integrity_report_all": _over(integrity_report_all, "lines", "bag_items", "notices", "backorders", "movements", "stored_statuses"),
         "repair_backorder_totals": _over(integrity.repair_backorder_totals, "lines", "backorders"),
         "sweep_stale_notices": _over(integrity.sweep_stale_notices, "notices", "backorders"),
         "replay_ledger": _over(replay.replay_ledger, "movements"),

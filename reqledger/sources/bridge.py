@@ -28,6 +28,9 @@ SELECT l_orderkey * 1000 + line_number AS line_id, l_orderkey AS req_id, 'P' ||
   cast(CASE state_code WHEN 'ON' THEN floor(l_quantity / 5) ELSE 0 END AS {Q}) AS qty_pending_backorder,
   cast(CASE state_code WHEN 'FR' THEN floor(l_quantity / 6) ELSE 0 END AS {Q}) AS qty_confirmed_backorder
 FROM raw_lines JOIN part ON l_partkey = p_partkey""",
+    "stored_statuses": """
+SELECT line_id, CASE WHEN line_id % 89 = 0 THEN 'Open' WHEN line_id % 83 = 0 THEN 'Issued' WHEN qty_issued >= qty_requested THEN 'Issued' WHEN qty_issued > 0 THEN 'Partially Issued'
+  WHEN qty_confirmed_located > 0 THEN 'Partially Located' ELSE 'Open' END AS line_status FROM lines""",
     "movements": f"""
 SELECT event_id AS id, user_id AS line_id, ts, cast(ts AS date) AS day, 'P' || cast(user_id % 4 AS string) AS project_id,
   CASE event_type WHEN 'view' THEN 'CONFIRM_AVAILABLE' WHEN 'click' THEN 'BAG' WHEN 'purchase' THEN 'ISSUE_FROM_AVAILABLE' WHEN 'error' THEN 'DIRECT_ISSUE' ELSE 'BACKORDER_REQUESTED' END AS action,
@@ -61,7 +64,7 @@ SELECT p_partkey AS part_id, CASE p_partkey % 8 WHEN 0 THEN '6 IN' WHEN 1 THEN '
 SELECT 'D-' || cast(l_partkey % 500 AS string) AS drawing_number, CASE WHEN l_partkey % 50 = 0 AND l_suppkey % 3 = 2 THEN 'B' ELSE cast(l_suppkey % 3 AS string) END AS revision,
   cast(l_suppkey % 2 AS string) AS content_hash, 'src' || cast(l_orderkey % 10 AS string) AS source_path, l_orderkey * 1000 + line_number AS page FROM raw_lines""",
 }
-NEEDS = {"lines": ["raw_lines"], "backorders": ["movements"], "notices": ["movements", "backorders"], "swaps": ["movements"], "bag_items": ["raw_lines", "lines"], "iso_pages": ["raw_lines"]}
+NEEDS = {"lines": ["raw_lines"], "stored_statuses": ["raw_lines", "lines"], "backorders": ["movements"], "notices": ["movements", "backorders"], "swaps": ["movements"], "bag_items": ["raw_lines", "lines"], "iso_pages": ["raw_lines"]}
 
 
 def _order(names: list[str]) -> list[str]:
