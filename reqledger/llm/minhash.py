@@ -8,9 +8,10 @@ neighbours by longest common prefix: those next to it that share at least MIN_DE
 neighbours at MIN_DEPTH are met; where it is crowded, the neighbours are those with the longest prefix, so the depth adapts by region.
 
 Candidates whose signatures agree too little for the threshold (by more than SLACK standard deviations) are passed over.
-First only direct neighbours in each order are met, each class's best one is confirmed, and the links are closed into
-components. Then the orders are sorted again, and up to NEIGHBOURS places on, every candidate pair of two components is confirmed: pairs within a
-component could change nothing, so a large group of near copies costs a few pairs for each of its classes. Confirmation intersects full sets.
+First only direct neighbours in each order are met (TREES pairs a class at most), all that reach the estimate are confirmed, and the links are closed into
+components. Then the orders are sorted again, and in sparse regions, up to NEIGHBOURS places on, every candidate pair of two components is confirmed: pairs within a
+component could change nothing, so a large group of near copies costs a few pairs for each of its classes. Confirmation intersects full sets, worked
+out again from the texts of candidates alone: a bitmap of their ids, of at most BITMAP_BITS, keeps the other texts out of the shuffle.
 A region (the classes that share an order's first MIN_DEPTH hashes) with more places than that and more than one component is crowded: there every
 pair of two components is compared, block against block. A component that fills a block has blocks of its own, which do not meet each other.
 A pair at the threshold shares MIN_DEPTH hashes in at least one of the 16 orders but for one case in 100,000, and every such pair is met.
@@ -41,6 +42,8 @@ KEY_HASHES = 16
 WORDS, PERCENT = 5, 80
 #: Classes of a crowded region in a block, and bytes of their shingle sets.
 BLOCK, BLOCK_BYTES = 1024, 1 << 23
+#: Bits of the broadcast bitmap of wanted ids (32 MB). With more wanted ids than that bears, more texts pass it and are dropped by the join after it.
+BITMAP_BITS = 1 << 28
 _SEEDS = np.random.default_rng(11).integers(0, 1 << 32, 2 * TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
 MULTIPLIERS, OFFSETS = _SEEDS[: TREES * DEPTH] | np.uint32(1), _SEEDS[TREES * DEPTH :]
 
@@ -96,14 +99,15 @@ def _orders(classes: DataFrame) -> DataFrame:
     step, width = 2 * DEPTH, 2 * KEY_HASHES
     doubled = F.concat("signature", "signature")
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.concat(F.unhex(F.lpad(F.hex(t), 2, "0")), F.substring(doubled, 1 + t * step, F.lit(width))))
-    rows = classes.select("rep", "component", F.explode(trees).alias("key"), F.xxhash64("rep").alias("tie"))
+    rows = classes.select("rep", "component", F.explode(trees).alias("key"), F.xxhash64("set_hash").alias("tie"))
     parts = min(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + classes.count() * TREES // 1000)
     return rows.repartitionByRange(parts, "key", "tie").sortWithinPartitions("key", "tie")
 
 
-def _neighbours(orders: DataFrame, neighbours: int, min_depth: int) -> DataFrame:
+def _neighbours(orders: DataFrame, neighbours: int, min_depth: int, most: int | None = None) -> DataFrame:
     """Distinct pairs (a, b), a < b, of two components, within so many places in an order, that share min_depth hashes there. Rows at the ends of a
-    partition leave a copy, and the few copies at each border between partitions are paired in a second, small step."""
+    partition leave a copy, and the few copies at each border between partitions are paired in a second, small step. Pairs in a run of more than
+    `most` places of one region are left out: such regions are compared whole elsewhere."""
     prefix = 1 + 2 * min_depth
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("border", pa.int64()), ("place", pa.int64()), ("component", pa.int64()), ("key", pa.binary())])
 
@@ -123,8 +127,9 @@ def _neighbours(orders: DataFrame, neighbours: int, min_depth: int) -> DataFrame
                 rep, component, keys = np.concatenate([rep, got.column(0).to_numpy()]), np.concatenate([component, got.column(1).to_numpy()]), keys + got.column(2).to_pylist()
             region = np.cumsum([0, *[x[:prefix] != y[:prefix] for x, y in pairwise(keys)]])
             near = []
+            sparse = np.bincount(region)[region] <= (most or len(rep))
             for step in range(1, min(neighbours, len(rep) - 1) + 1):
-                fresh = (region[step:] == region[:-step]) & (component[step:] != component[:-step]) & (np.arange(len(rep) - step) >= old - step)
+                fresh = (region[step:] == region[:-step]) & (component[step:] != component[:-step]) & sparse[step:] & (np.arange(len(rep) - step) >= old - step)
                 near.append((rep[:-step][fresh], rep[step:][fresh]))
             x, y = (np.concatenate(side) for side in zip(*near, strict=True)) if near else (rep[:0], rep[:0])
             if len(x):
@@ -169,8 +174,20 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataFrame) -> DataFrame:
-    """(rep, shingles) for the wanted(rep, doc_id, set_hash): the sets worked out again from the texts, so that none but these are ever shuffled."""
+def _listed(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose doc_id is in wanted, and a few of the others, by a bitmap of hashed ids that every task gets."""
+    bits = min(BITMAP_BITS, 1 << (16 * wanted.count()).bit_length())
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    bitmap = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap"))
+    at = F.bitmap_bit_position("place")
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    kept = rows.withColumn("place", place).withColumn("bucket", F.bitmap_bucket_number("place")).join(F.broadcast(bitmap), "bucket")
+    return kept.filter(byte.bitwiseAND(F.array(*[F.lit(1 << i) for i in range(8)])[(at % 8).cast("int")]) != 0).select(*rows.columns)
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, classes: DataFrame, met: DataFrame) -> DataFrame:
+    """(rep, shingles) of the classes in met(rep): the sets worked out again from the texts, so that none but these are ever shuffled."""
+    wanted = materialize(classes.select("rep", "doc_id", "set_hash").join(met.distinct(), "rep"), "wanted")
     schema = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +197,10 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, wanted: DataF
             keep = pa.array([xxhash.xxh3_128_digest(s) == h for s, h in zip(sets, got.column(1).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([got.column(0).filter(keep), pa.array(sets, pa.binary()).filter(keep)], schema=schema)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(wanted.select("doc_id", "rep", "set_hash"), "doc_id")
-    return rows.select("rep", "set_hash", "text").mapInArrow(run, "rep long, shingles binary")
+    rows = _listed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), wanted).join(wanted, "doc_id")
+    out = materialize(rows.select("rep", "set_hash", "text").mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
+    discard(wanted)
+    return out
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -193,7 +212,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(got.column(2), got.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
+                x, y = (x, y) if len(x) > len(y) else (y, x)
+                both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([got.column(0).filter(keep), got.column(1).filter(keep)], schema=schema)
@@ -318,55 +338,65 @@ def _crowd_confirmed(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, neighbours: int = NEIGHBOURS, min_depth: int = MIN_DEPTH, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs. See the module for the method and the odd cases."""
-    rows = materialize(describe(docs, id_col, text_col, words).withColumn("rep", F.xxhash64("set_hash")), "signatures")
-    # A class is named by the hash of its set; in the end its smallest id stands for it.
+    """doc_id, n_shingles, component_id and kept for each row of docs. See the module for the method and the odd cases. Jobs run while the result is built."""
+    return _judged(docs, id_col, text_col, words, percent, neighbours, min_depth, block)[0]
+
+
+def _judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, neighbours: int = NEIGHBOURS, min_depth: int = MIN_DEPTH, block: int = BLOCK) -> tuple[DataFrame, list[DataFrame]]:
+    """The result, and the written tables that it reads."""
+    rows = materialize(describe(docs, id_col, text_col, words), "signatures")
     known = rows.filter("set_hash is not null and doc_id is not null")
-    classes = materialize(known.groupBy("rep").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("set_hash").alias("set_hash"), F.first("signature").alias("signature")), "classes")
+    classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    # Numbered as they are written; the table is the only source of the numbers. In the end a class's smallest id stands for it.
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
-    def candidates(now: DataFrame, places: int) -> tuple[DataFrame, DataFrame]:
-        found = _neighbours(_orders(now), places, min_depth)
-        pairs = materialize(_estimated(found, classes, percent), "estimated")
+    def candidates(now: DataFrame, places: int, most: int | None = None) -> DataFrame:
+        found = _neighbours(_orders(now), places, min_depth, most)
+        pairs = materialize(_estimated(found, classes, percent).select("a", "b"), "estimated")
         discard(found)
-        met = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-        sets = _sets(docs, id_col, text_col, words, classes.select("rep", "doc_id", "set_hash").join(met, "rep"))
-        return pairs, materialize(sets.dropDuplicates(["rep"]), "sets")
-
-    pairs, sets = candidates(classes.withColumn("component", F.col("rep")), 1)
-    both_ways = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    best = both_ways.groupBy("a").agg(F.max_by("b", F.struct("similarity", "b")).alias("b"))
-    sure = materialize(_confirmed(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent), "sure")
+        return pairs
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
+
+    pairs = candidates(classes.withColumn("component", F.col("rep")), 1)
+    sets = _sets(docs, id_col, text_col, words, classes, ends(pairs))
+    sure = materialize(_confirmed(pairs, sets, percent), "sure")
     closed = materialize(components(sure), "closed")
     for t in (pairs, sets, sure):
         discard(t)
     now = materialize(classes.join(closed.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "now")
-    pairs, sets = candidates(now, neighbours)
+    pairs = candidates(now, neighbours, neighbours + 1)
     crowd = _crowded(now, neighbours, min_depth, percent, block)
-    met = crowd.select(F.explode("xs").alias("rep")).union(crowd.select(F.explode("ys"))).distinct()
-    dense = materialize(_sets(docs, id_col, text_col, words, classes.select("rep", "doc_id", "set_hash").join(met, "rep")).dropDuplicates(["rep"]), "dense")
-    late = materialize(_confirmed(pairs, sets, percent).union(_crowd_confirmed(crowd, dense, percent)), "late")
-    discard(crowd)
-    discard(dense)
+    sets = _sets(docs, id_col, text_col, words, classes, ends(pairs).union(crowd.select(F.explode("xs"))).union(crowd.select(F.explode("ys"))))
+    late = materialize(_confirmed(pairs, sets, percent).union(_crowd_confirmed(crowd, sets, percent)), "late")
+    for t in (pairs, crowd, sets):
+        discard(t)
     # Links between components: components of the components.
     names = {end: closed.select(F.col("id").alias(end), F.col("component").alias(f"c{end}")) for end in "ab"}
     over = late.join(names["a"], "a", "left").join(names["b"], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     joined = components(over).select(F.col("id").alias("component"), F.col("component").alias("top"))
-    member = now.select("rep", "doc_id", "component").join(joined, "component", "left")
-    member = materialize(member.select("rep", "doc_id", F.coalesce("top", "component").alias("component")), "members")
-    least = member.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    lookup = materialize(member.join(materialize(least, "least"), "component").select("rep", "component_id"), "components")
-    for t in (pairs, sets, closed, late, now, member, classes):
+    member = now.select("set_hash", "doc_id", "component").join(joined, "component", "left")
+    member = materialize(member.select("set_hash", "doc_id", F.coalesce("top", "component").alias("component")), "members")
+    least = materialize(member.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
+    lookup = materialize(member.join(least, "component").select("set_hash", "component_id"), "components")
+    for t in (closed, late, now, member, least, classes):
         discard(t)
     whole = F.coalesce("component_id", "doc_id")
-    return rows.select("doc_id", "n_shingles", "rep", "set_hash").join(lookup, "rep", "left").select(
+    out = rows.select("doc_id", "n_shingles", "set_hash").join(lookup, "set_hash", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("set_hash").isNull(), F.col("doc_id")).otherwise(whole)).alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out, [rows, lookup]
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that are kept; of rows that repeat a kept id, one. The columns stay, and rows without an id all stay."""
-    judged = materialize(near_duplicates(docs, id_col, **options).select("doc_id", "kept").filter("doc_id is not null"), "judged")
-    out = docs.join(judged.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct(), F.col(id_col) == F.col("__gone"), "left_anti")
+    found, tables = _judged(docs, id_col, **options)
+    judged = materialize(found.select("doc_id", "kept").filter("doc_id is not null"), "judged")
+    for t in tables:
+        discard(t)
+    gone = judged.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    out = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
     if judged.filter("kept").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return out
     return out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(out.filter(F.col(id_col).isNull()))

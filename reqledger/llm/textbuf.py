@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: A random number for each byte at each of the first places of a word; hashes of words are sums of these.
+PLACES = 64
+TABLE = np.random.default_rng(29).integers(0, 1 << 64, (PLACES, 256), dtype=np.uint64).ravel()
 #: Bytes that are worked on together; one longer text is worked on alone.
 CHUNK_BYTES = 4 << 20
 
@@ -17,16 +20,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_powers = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        grown = np.full(max(n, 256), BASE, np.uint64)
-        grown[0] = 1
-        _powers = np.multiply.accumulate(grown)
-    return _powers
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -83,5 +76,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     lengths = stops - starts
     before = np.cumsum(lengths) - lengths
     within = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
-    value = (data[within + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[within]
+    at = data[within + np.repeat(starts, lengths)].astype(np.int64)
+    value = TABLE[((within & (PLACES - 1)) << 8) + at]
+    far = np.flatnonzero(within >= PLACES)
+    if len(far):  # the table again, mixed with the number of the run of places, so that runs that trade places change the sum
+        value[far] = mix(value[far] + (within[far] >> 6).astype(np.uint64) * BASE)
     return mix(np.add.reduceat(value, before) + lengths.astype(np.uint64) * BASE)
