@@ -3,10 +3,10 @@
 A word (a run of letters, lower case) has hashed features: its byte trigrams, of which the first and last reach over the word's edge,
 its three-byte prefix and suffix (affixes), and the word itself (lexicon). Each feature has a weight for each language, and a learned matrix
 scores the language of a word after that of the word before it. Training maximises the likelihood of word labels in code-switched
-sequences, spliced from pieces of texts of different languages; the sample is bounded (SAMPLE texts, a window of WINDOW words of each). Prediction
+sequences, spliced from pieces of texts of different languages; the sample is bounded (SAMPLE texts, of each a window of WINDOW words, out of at most TRAIN_CHARS characters at a hashed place). Prediction
 runs forward-backward over all words of a text, vectorised over the texts of a batch, and averages the words' posteriors by length.
 
-A text without a letter, and a null one, is "und" with score 0. A language is any non-null label of the training rows; without any,
+A text without a letter, and a null one, is "und" with score 0. A language is any non-null label of a training row with some text; without any,
 every text is "und". Rows that repeat are predicted alike; an empty table gives no rows. Added columns replace input columns of their names."""
 
 from __future__ import annotations
@@ -17,12 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import fold, small_batches, table
+from .shared import column, fold, packed, small_batches, table, unpacked
 from .textbuf import NOT_LETTER, chunks, fold_case, mix, span_hashes, word_spans
 
 SAMPLE, TRAIN_CHARS, WINDOW, EPOCHS = 2000, 20_000, 150, 4
-BITS, CHUNK = 18, 16 << 20
+BITS = 18
+#: Bytes of text times languages that are worked on together.
+CHUNK = 64 << 20
 PIECE, PIECES = (4, 25), 8
 
 
@@ -133,7 +136,7 @@ class Field:
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of the likeliest language, and its mean posterior, for each text; (-1, 0) without words."""
         best, score = [], []
-        for _, data, offsets in chunks(column, CHUNK):
+        for _, data, offsets in chunks(column, CHUNK // max(4, len(self.languages))):
             words = Words(data, offsets)
             post, _, _ = forward_backward(words.emissions(self.weights).astype(np.float64), self.transitions, words.before)
             full = np.flatnonzero(np.diff(words.before))
@@ -172,17 +175,15 @@ def spliced(texts: pa.Array, labels: np.ndarray, kinds: int, window: int, seed:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE, window: int = WINDOW, train_chars: int = TRAIN_CHARS) -> Field | None:
     """A field from the rows given (the caller leaves out held-out ones). The driver gets at most sample texts of train_chars characters."""
-    usable = docs.filter(F.col(label_col).isNotNull() & (F.length(text_col) > 0) & (F.length(text_col) <= train_chars))
-    languages = sorted(r[0] for r in usable.select(F.col(label_col).cast("string")).distinct().collect())  # one row a language
+    usable = docs.select(column(id_col).alias("id"), column(label_col).cast("string").alias("lang"), column(text_col).cast("string").alias("text")).filter("lang is not null and length(text) > 0")
+    languages = sorted(r[0] for r in usable.select("lang").distinct().collect())  # one row a language
     if not languages:
         return None
-    share = max(1, sample // len(languages))
-    ids, picked = usable.select(F.col(id_col).alias("__id"), F.col(label_col).cast("string").alias("__lang")), None
-    for language in languages:
-        part = ids.filter(F.col("__lang") == language).orderBy(F.xxhash64("__id", F.lit(23)), "__id").limit(share)
-        picked = part if picked is None else picked.union(part)
-    rows = usable.select(F.col(id_col).alias("__id"), F.col(label_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked.distinct()), ["__id", "__lang"])
-    got = rows.select("__lang", "text", F.xxhash64("__id", F.lit(23)).alias("h")).orderBy("h", "text").limit(sample).toArrow()
+    # Long texts lend a window at a hashed place, so every language is learned from however long its texts are.
+    place = 1 + F.pmod(F.xxhash64("id", F.lit(29)), F.greatest(F.length("text") - train_chars, F.lit(0)) + 1)
+    cut = usable.select("lang", F.xxhash64("id", F.lit(23)).alias("h"), F.substring("text", place.cast("int"), F.lit(train_chars)).alias("text"))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    got = cut.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= max(1, sample // len(languages))).select("lang", "text", "h").orderBy("h", "lang", "text").toArrow()
     names = {x: i for i, x in enumerate(languages)}
     field = Field(languages)
     sequences, targets = spliced(got.column(1).combine_chunks(), np.array([names[x] for x in got.column(0).to_pylist()]), len(languages), window)
@@ -195,19 +196,20 @@ def identify(docs: DataFrame, field: Field | None, text_col: str = "text", to: s
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(field)
-    names = [c for c in docs.columns if c not in (to, score_to)]
-    rows = docs.select(*names, F.col(text_col).cast("string").alias("__text"), F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    text = column(text_col).cast("string")
+    rows = docs.select(packed(docs, to, score_to), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letter"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = shared.value
         for got in batches:
-            letter = got.column(len(names) + 1).to_numpy(zero_copy_only=False)
-            best, score = field.predict(got.column(len(names))) if field else (np.full(len(got), -1), np.zeros(len(got)))
+            letter = got.column(2).to_numpy(zero_copy_only=False)
+            best, score = field.predict(got.column(1)) if field else (np.full(len(got), -1), np.zeros(len(got)))
             known = letter & (best >= 0)
             labels = [field.languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([*got.columns[: len(names)], pa.array(labels, pa.string()), pa.array(np.where(known, score, 0.0))], names=[*names, to, score_to])
+            yield pa.RecordBatch.from_arrays([got.column(0), pa.array(labels, pa.string()), pa.array(np.where(known, score, 0.0))], names=["row", "found", "sure"])
 
-    return rows.mapInArrow(run, docs.select(*names).schema.add(to, "string").add(score_to, "double"))
+    found = rows.mapInArrow(run, rows.select("row").schema.add("found", "string").add("sure", "double"))
+    return found.select(*unpacked(docs, to, score_to), F.col("found").alias(to), F.col("sure").alias(score_to))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

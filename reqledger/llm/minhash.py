@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .shared import discard, materialize, small_batches, table
+from .shared import column, discard, materialize, packed, small_batches, table, unpacked
 from .textbuf import ASCII_SPACE, LOWER, chunks, mix, span_hashes, word_spans
 
 TREES, DEPTH, MIN_DEPTH, NEIGHBOURS, SLACK = 16, 8, 3, 6, 5.0
@@ -395,8 +395,8 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options)
     judged = materialize(found.select("doc_id", "kept").filter("doc_id is not null"), "judged")
     for t in tables:
         discard(t)
-    gone = judged.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = judged.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    out = docs.select(packed(docs), column(id_col).alias("id")).join(gone, F.col("id") == F.col("gone"), "left_anti").select(*unpacked(docs))
     if judged.filter("kept").groupBy("doc_id").count().filter("count > 1").isEmpty():
         return out
     return out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(out.filter(F.col(id_col).isNull()))

@@ -1,8 +1,9 @@
 """Temperature mixing of sources.
 
 Source shares of tokens (words of whole texts) are raised to an exponent and normalised. The exponent is bisected, in
-sections of a grid that one aggregate over the source table evaluates, until the weights meet a target entropy (nats)
-or no source repeats more often than a limit. A budget of tokens turns weights into quotas, and a quota into whole
+sections of a grid that one aggregate over the source table evaluates: the least one, from 0 (all alike) up to MAX_EXPONENT, whose weights
+have no more than a target entropy (nats), and then, between it and 1 (as they are), the least by which no source repeats more often than
+a limit. A target that no such exponent meets, or only one that breaks the limit, is an error. A budget of tokens turns weights into quotas, and a quota into whole
 passes over the source plus part of one. Documents fall by hash into blocks of bounded size; each pass orders the
 blocks, and the documents of a block, by a seeded permutation. The part pass takes whole blocks in that order and, of
 the block where the quota ends, the documents in its order up to the quota. No row of documents is shuffled: the
@@ -10,7 +11,7 @@ plan has a row for each block, at most a million and one for each source.
 
 budget "keep" is the least budget that takes every document of every source at least once. A null source is a source
 of its own; null text has no tokens. Rows equal in id and text share their fate. Sources without tokens pass once. An
-empty table gives an empty result. Added columns replace input columns of their names."""
+empty table gives an empty result. Added columns replace input columns of their names, in any case. Jobs run while the result is built."""
 
 from __future__ import annotations
 
@@ -20,17 +21,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import discard, materialize, table
+from .shared import column, discard, materialize, packed, table, unpacked
 
 BLOCK_TOKENS, MAX_BLOCKS, SEED = 1 << 16, 1_000_000, 7
 GRID, ROUNDS = 16, 5
+#: Shares to this power leave nearly all to the largest source.
+MAX_EXPONENT = 64.0
 MAX_REPEAT = 2.0
 #: Up to so many sources (one short row each), their table is broadcast.
 BROADCAST_SOURCES = 100_000
 
 
+ADDED = ("copy", "block", "block_order", "place", "weight", "exponent")
+
+
 def _keys(docs: DataFrame, id_col: str, source_col: str, text_col: str, seed: int) -> DataFrame:
-    return docs.select("*", F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")).alias("__source"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__hash"))
+    return docs.select(packed(docs, *ADDED), column(text_col).alias("text"), F.coalesce(F.concat(F.lit("s"), column(source_col).cast("string")), F.lit("null")).alias("source"), F.xxhash64(F.lit(seed), column(id_col), column(text_col)).alias("hash"))
 
 
 def tokens(text: Column) -> Column:
@@ -43,7 +49,7 @@ def _rate(share: Column, exponent: float, z: float, scale: float) -> Column:
 
 
 def exponent_for(sources: DataFrame, target_entropy: float | None, max_repeat: float | None, budget: str | int) -> tuple[float, float, float]:
-    """(exponent, sum of powered shares, budget / all tokens). sources(__source, t): t > 0. The driver gets one row of sums a round."""
+    """(exponent, sum of powered shares, budget / all tokens). sources(source, t): t > 0. The driver gets one row of sums a round."""
     total, most = sources.agg(F.sum("t"), F.max("t")).first()
     share = F.col("t") / F.lit(float(total))
 
@@ -53,34 +59,41 @@ def exponent_for(sources: DataFrame, target_entropy: float | None, max_repeat: f
         out = []
         for i in range(len(grid)):
             z, power_log, high, low = row[4 * i : 4 * i + 4]
-            scale = z / low if budget == "keep" else float(budget) / total
+            scale = (z / low if low > 0 else math.inf) if budget == "keep" else float(budget) / total
             out.append((math.log(z) - power_log / z, high * scale / z, scale))
         return out
 
-    def met(entropy: float, repeat: float) -> bool:
-        return (target_entropy is None or entropy <= target_entropy) and (max_repeat is None or repeat <= max_repeat)
-
-    low, high = 0.0, 1.0  # entropy and repeats both fall as the exponent grows
-    first = evaluate([low])[0]
-    if target_entropy is None and max_repeat is None:
-        low = high = 1.0
-    elif met(*first[:2]):
-        high = low
-    else:
+    def least(low: float, high: float, met) -> float:
+        """The least exponent from low to high that meets a condition which, once met, stays so."""
+        if met(*evaluate([low])[0]):
+            return low
         for _ in range(ROUNDS):
             grid = [low + (high - low) * i / GRID for i in range(GRID + 1)]
-            good = [i for i, (entropy, repeat, _) in enumerate(evaluate(grid)) if met(entropy, repeat)]
-            at = min(good, default=GRID)
+            at = min((i for i, x in enumerate(evaluate(grid)) if met(*x)), default=GRID)
             low, high = grid[max(0, at - 1)], grid[at]
+        return high
+
+    high = 1.0 if target_entropy is None and max_repeat is None else 0.0
+    if target_entropy is not None:
+        flat, peaked = (x[0] for x in evaluate([0.0, MAX_EXPONENT]))
+        if not peaked - 1e-6 <= target_entropy <= flat + 1e-6:
+            raise ValueError(f"no exponent from 0 to {MAX_EXPONENT:g} gives an entropy of {target_entropy}: these sources reach {peaked} to {flat}")
+        at_most = next((e for e in (1.0, 4.0, 16.0) if evaluate([e])[0][0] <= target_entropy), MAX_EXPONENT)
+        high = least(0.0, at_most, lambda entropy, repeat, scale: entropy <= target_entropy)
+    if max_repeat is not None:
+        if high < 1:
+            high = least(high, 1.0, lambda entropy, repeat, scale: repeat <= max_repeat)
+        if evaluate([high])[0][1] > max_repeat + 1e-6:
+            raise ValueError(f"a source would repeat more than {max_repeat} times at exponent {high}")
     z = sources.agg(F.sum(F.pow(share, F.lit(high)))).first()[0]
     return high, z, evaluate([high])[0][2]
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", target_entropy: float | None = None, max_repeat: float | None = MAX_REPEAT, budget: str | int = "keep", block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
-    """docs, each row as often as the mix takes it, with copy (the pass), block, block_order (place of the block in that pass's permutation), weight (of the source) and exponent."""
+    """docs, each row as often as the mix takes it, with copy (the pass), block, block_order and place (by which a pass orders its blocks, and the documents of a block), weight (of the source) and exponent."""
     keyed = _keys(docs, id_col, source_col, text_col, seed)
-    sized = materialize(keyed.select("__source", "__hash", tokens(F.col(text_col)).alias("__tokens")), "mix-sizes")
-    sources = materialize(sized.groupBy("__source").agg(F.sum("__tokens").alias("t")), "mix-sources")
+    sized = materialize(keyed.select("source", "hash", tokens(F.col("text")).alias("tokens")), "mix-sizes")
+    sources = materialize(sized.groupBy("source").agg(F.sum("tokens").alias("t")), "mix-sources")
     live = sources.filter("t > 0")
     total = live.agg(F.sum("t")).first()[0] or 0
     exponent, z, scale = exponent_for(live, target_entropy, max_repeat, budget) if total else (1.0, 1.0, 1.0)
@@ -90,40 +103,39 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     passes = F.floor(rate + 1e-6)
     size = max(block_tokens, total // MAX_BLOCKS)
     plan = sources.select(
-        "__source", passes.cast("int").alias("__passes"), F.greatest(F.lit(0.0), (rate - passes) * F.col("t")).alias("__part"),
-        F.when(F.col("t") > 0, F.pow(share, F.lit(exponent)) / z).otherwise(0.0).alias("__weight"), F.ceil(F.greatest(F.col("t"), F.lit(1)) / size).alias("__blocks"),
+        "source", passes.cast("int").alias("passes"), F.greatest(F.lit(0.0), (rate - passes) * F.col("t")).alias("part"),
+        F.when(F.col("t") > 0, F.pow(share, F.lit(exponent)) / z).otherwise(0.0).alias("weight"), F.ceil(F.greatest(F.col("t"), F.lit(1)) / size).alias("blocks"),
     )
-    placed = sized.join(plan.select("__source", "__blocks"), "__source").withColumn("__block", F.pmod(F.col("__hash"), F.col("__blocks")))
-    blocks = placed.groupBy("__source", "__block").agg(F.sum("__tokens").alias("__size"))
-    order = Window.partitionBy("__source").orderBy(F.xxhash64(F.lit(seed), F.col("__passes"), F.col("__source"), F.col("__block")), "__block")
-    blocks = blocks.join(plan, "__source").withColumn("__left", F.col("__part") - (F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")))
+    placed = sized.join(plan.select("source", "blocks"), "source").withColumn("block", F.pmod(F.col("hash"), F.col("blocks")))
+    blocks = placed.groupBy("source", "block").agg(F.sum("tokens").alias("size"))
+    order = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), F.col("passes"), F.col("source"), F.col("block")), "block")
+    blocks = blocks.join(plan, "source").withColumn("rest", F.col("part") - (F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")))
     blocks = materialize(blocks, "mix-blocks")
     # The block where a quota ends: its documents in hash order, up to the quota.
-    edge = placed.join(blocks.filter("__left > 0 and __left < __size").select("__source", "__block", "__left"), ["__source", "__block"])
-    inner = Window.partitionBy("__source", "__block").orderBy(_place(seed))
-    run = edge.withColumn("__run", F.sum("__tokens").over(inner.rangeBetween(Window.unboundedPreceding, Window.currentRow))).filter("__run <= __left")
-    cuts = run.groupBy("__source", "__block").agg(F.max(_place(seed)).alias("__cut"))
-    plan = materialize(blocks.join(cuts, ["__source", "__block"], "left"), "mix-plan")
+    edge = placed.join(blocks.filter("rest > 0 and rest < size").select("source", "block", "rest"), ["source", "block"])
+    inner = Window.partitionBy("source", "block").orderBy(_place(seed))
+    run = edge.withColumn("run", F.sum("tokens").over(inner.rangeBetween(Window.unboundedPreceding, Window.currentRow))).filter("run <= rest")
+    cuts = run.groupBy("source", "block").agg(F.max(_place(seed)).alias("cut"))
+    plan = materialize(blocks.join(cuts, ["source", "block"], "left"), "mix-plan")
     for t in (sized, sources, blocks):
         discard(t)
     # Both sides of the join on source and block; the plan is small, so Spark broadcasts it where its size allows.
-    where = plan.select("__source", F.col("__block"), "__passes", "__left", "__size", "__cut", "__weight", "__blocks")
-    per_source = plan.groupBy("__source").agg(F.first("__blocks").alias("__n"))
-    if plan.select("__source").distinct().count() <= BROADCAST_SOURCES:
+    where = plan.select("source", F.col("block"), "passes", "rest", "size", "cut", "weight", "blocks")
+    per_source = plan.groupBy("source").agg(F.first("blocks").alias("n"))
+    if plan.select("source").distinct().count() <= BROADCAST_SOURCES:
         per_source = F.broadcast(per_source)
-    rows = keyed.join(per_source, "__source").withColumn("__block", F.pmod(F.col("__hash"), F.col("__n"))).join(where, ["__source", "__block"])
-    more = ((F.col("__left") >= F.col("__size")) & (F.col("__left") > 0)) | F.coalesce(_place(seed) <= F.col("__cut"), F.lit(False))
-    copies = F.col("__passes") + more.cast("int")
-    added = ["copy", "block", "block_order", "weight", "exponent"]
-    out = rows.withColumn("__copies", copies).filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    rows = keyed.join(per_source, "source").withColumn("block", F.pmod(F.col("hash"), F.col("n"))).join(where, ["source", "block"])
+    more = ((F.col("rest") >= F.col("size")) & (F.col("rest") > 0)) | F.coalesce(_place(seed) <= F.col("cut"), F.lit(False))
+    copies = F.col("passes") + more.cast("int")
+    out = rows.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     return out.select(
-        *[c for c in docs.columns if c not in added], F.col("__copy").cast("int").alias("copy"), F.col("__block").alias("block"),
-        F.xxhash64(F.lit(seed), F.col("__copy"), F.col("__source"), F.col("__block")).alias("block_order"), F.col("__weight").alias("weight"), F.lit(exponent).alias("exponent"),
+        *unpacked(docs, *ADDED), F.col("copy").cast("int").alias("copy"), F.col("block").alias("block"),
+        F.xxhash64(F.lit(seed), F.col("copy"), F.col("source"), F.col("block")).alias("block_order"), _place(seed).alias("place"), F.col("weight").alias("weight"), F.lit(exponent).alias("exponent"),
     )
 
 
 def _place(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.lit("place"), F.col("__hash"))
+    return F.xxhash64(F.lit(seed), F.lit("place"), F.col("hash"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import small_batches, table
-from .textbuf import ASCII_SPACE, chunks, span_hashes
+from .textbuf import ASCII_SPACE, chunks, same_spans, span_hashes
 
 CAPACITY, END_ID = 2048, 1
 #: Tokens of remainders that are packed together.
@@ -58,7 +58,7 @@ class Encoder:
         added = sorted({t["content"] for t in spec.get("added_tokens", [])} - {""})
         #: Starts of added tokens, which tokenizers takes out of a text first.
         self.added = re.compile(b"(?=" + b"|".join(re.escape(t.encode()) for t in added) + b")") if added else None
-        self.known: dict[int, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
         self.fast = self._ranked(spec)
 
     def _ranked(self, spec: dict):
@@ -89,16 +89,16 @@ class Encoder:
         ids = self.fast.encode_ordinary(text) if self.fast and not self._holds_added(piece) else self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, hashes: list[int], pieces: list[bytes]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         """Remember the ids of new pieces. Those between two cuts are encoded as one text: no token crosses a cut, so the tokens' lengths tell where each piece ends."""
         joint = [i for i, p in enumerate(pieces) if p[:1] == b" " and not p[-1:].isspace() and not self._holds_added(p)] if self.fast else []
         if joint:
             ids = np.array(self.fast.encode_ordinary(b"".join([pieces[i] for i in joint]).decode()), "<u4")
             ends = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum([len(pieces[i]) for i in joint])) + 1
             raw, ends = ids.tobytes(), [0, *(4 * ends).tolist()]
-            self.known.update(zip([hashes[i] for i in joint], [raw[x:y] for x, y in pairwise(ends)], strict=True))
+            self.known.update(zip([pieces[i] for i in joint], [raw[x:y] for x, y in pairwise(ends)], strict=True))
         for i in sorted({*range(len(pieces))} - {*joint}):
-            self.known[hashes[i]] = self._ids(pieces[i])
+            self.known[pieces[i]] = self._ids(pieces[i])
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order; null counts as empty."""
@@ -117,15 +117,18 @@ class Encoder:
             cut[offsets] = True
             starts = np.flatnonzero(cut)[:-1] if cut[-1] else np.flatnonzero(cut)
             stops = np.append(starts[1:], len(data))
-            distinct, first, which = np.unique(span_hashes(data, starts, stops), return_index=True, return_inverse=True)
+            _, first, which = np.unique(span_hashes(data, starts, stops), return_index=True, return_inverse=True)
             known = self.known
             if len(known) > CACHE_WORDS:
                 known.clear()
-            names = distinct.tolist()
-            new = [i for i, h in enumerate(names) if h not in known]
+            names = [raw[x:y] for x, y in zip(starts[first].tolist(), stops[first].tolist(), strict=True)]
+            # Spans of one hash may differ; those that do stand for themselves.
+            odd = np.flatnonzero(~same_spans(data, starts, stops, first[which]))
+            which[odd] = len(names) + np.arange(len(odd))
+            names += [raw[starts[i] : stops[i]] for i in odd]
+            new = list(dict.fromkeys(n for n in names if n not in known))
             if new:
-                begin, over = starts[first[new]].tolist(), stops[first[new]].tolist()
-                self._learn([names[i] for i in new], [raw[x:y] for x, y in zip(begin, over, strict=True)])
+                self._learn(new)
             ids = [known[h] for h in names]
             size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             flat = np.frombuffer(b"".join(ids), "<u4")

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: bounds a worker's memory when texts are long.
@@ -69,6 +69,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of exactly that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, *without: str) -> Column:
+    """All columns but those named (in any case, as Spark takes names) as one struct "row", so that working columns can have any name."""
+    gone = {w.lower() for w in without}
+    return F.struct(*[column(c).alias(c) for c in df.columns if c.lower() not in gone]).alias("row")
+
+
+def unpacked(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of packed(df, *without), out of "row"."""
+    gone = {w.lower() for w in without}
+    return [F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in gone]
+
+
 def fold(doc_id: str = "doc_id"):
     """crc32 of the id as text, mod 4; a null id falls in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4, F.lit(0))

@@ -82,3 +82,14 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     if len(far):  # the table again, mixed with the number of the run of places, so that runs that trade places change the sum
         value[far] = mix(value[far] + (within[far] >> 6).astype(np.uint64) * BASE)
     return mix(np.add.reduceat(value, before) + lengths.astype(np.uint64) * BASE)
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether each span has the bytes of span number to[i]; spans must not be empty."""
+    if not len(starts):
+        return np.zeros(0, bool)
+    lengths = stops - starts
+    before = np.cumsum(lengths) - lengths
+    within = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
+    theirs = np.minimum(within + np.repeat(starts[to], lengths), len(data) - 1)
+    return (lengths == lengths[to]) & np.logical_and.reduceat(data[within + np.repeat(starts, lengths)] == data[theirs], before)

@@ -11,6 +11,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
@@ -233,20 +234,30 @@ def brute_secrets(text):
     return [f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(out)]
 
 
+PROSE = "about account after balance begin bridge button cache change channel check client close column common config connect counter create current customer default delete device direct document driver engine error event export factory feature field filter folder format frame handle header helper image import index input items kernel layout length level limit local manager memory message method model module network number object option order output package page parent payment person point policy port process profile project proxy query queue reader record region remote report request result return route sample schema screen search section select server service session setting shadow signal simple single source stage state status store stream string style subject submit switch system table target template thread ticket timer token total tracker transfer tree update upload user value vector version view volume widget window worker writer zone".split()
+
+
 def test_secrets(spark, docs, none):
     r = random.Random(3)
     hexes = "".join(r.choice("0123456789abcdef") for _ in range(40))
     token = base64.b64encode(r.randbytes(48)).decode().rstrip("=")
     texts = [f"é漢 Password: '{hexes}' end", f"token=secret=abcdefgh {hexes}", "token=token = abcdefgh", "AKIA" + "B7" * 9, "AKIASHORT", f"x \x01\x02 {token} y", "api_key:short passwd = longenough", "1" * 40, "aaaa1" * 10, hexes.upper(), None, "", words(3000, 8) + " " + hexes]
+    prose = [" ".join(r.choice(PROSE) for _ in range(60)) for _ in range(400)]
+    names = ["-".join(r.choice(PROSE) for _ in range(4)) + str(r.randint(10, 99)) if i % 2 else "".join(r.choice(PROSE).title() for _ in range(4)) + str(r.randint(10, 99)) for i in range(200)]
+    planted = [base64.b64encode(r.randbytes(30)).decode().rstrip("=") for _ in range(40)]
+    texts += prose + [f"see {n} there" for n in names] + [f"see {n} there" for n in planted]
     table = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
     got = {x.doc_id: x for x in secrets.scan(table, secrets.thresholds(table), to="found").collect()}
     for i, t in enumerate(texts):
         assert [f"{s.kind}:{s.start}:{s.end}" for s in got[i].found if s.kind != "random"] == brute_secrets(t)
         assert all((t[s.start : s.end] == s.text) or "\x01" in t for s in got[i].found)
     assert any(s.kind == "random" and s.text == token for s in got[5].found) and not any(s.kind == "random" for i in (7, 8) for s in got[i].found)
+    told = {s.text for x in got.values() for s in x.found if s.kind == "random"}
+    tested = [n for n in names if len(n) >= 20]
+    assert len(told & set(planted)) >= 0.9 * len(planted) and len(told & set(tested)) <= 0.1 * len(told)
     clean = {x.doc_id: x.text for x in secrets.redact(table).collect()}
     assert clean[0] == "é漢 [SECRET]' end" and clean[11] == "" and clean[10] is None and secrets.redact(table).columns == table.columns
-    assert secrets.scan(docs, {}, to="s").count() == docs.count() and secrets.redact(none).count() == 0
+    assert secrets.scan(docs.withColumnRenamed("start", "Row"), {}, to="SCORE").count() == docs.count() and secrets.redact(none).count() == 0
 
 
 def test_mixing(spark, none):
@@ -269,6 +280,12 @@ def test_mixing(spark, none):
     assert max((shares ** (e - 1)) / (shares ** (e - 1)).min()) <= 1.5 + 1e-4
     half = mixing.mix(table, max_repeat=None, target_entropy=float(-(shares * np.log(shares)).sum()) + 0.05, budget=sum(size.values()) // 2, block_tokens=500)
     assert abs(sum(len((r.text or "").split()) for r in half.collect()) - sum(size.values()) // 2) < 400
+    skewed = table.filter("source in ('big', 's1')").select(F.col("doc_id"), "text", "source", F.lit(1).alias("__source"), F.lit(1).alias("Copy"))
+    low = mixing.mix(skewed, target_entropy=0.1, max_repeat=None, budget=3000).select("source", "weight", "exponent").distinct().collect()
+    assert abs(-sum(r.weight * math.log(r.weight) for r in low) - 0.1) < 0.01 and low[0].exponent > 1
+    for entropy, repeat in ((2.0, None), (0.1, 2.0)):
+        with pytest.raises(ValueError):
+            mixing.mix(skewed, target_entropy=entropy, max_repeat=repeat)
     assert mixing.mix(none).count() == 0
 
 
