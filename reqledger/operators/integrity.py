@@ -88,8 +88,9 @@ def repair_backorder_totals(lines: DataFrame, requests: DataFrame) -> DataFrame:
     return off.select("line_id", *[F.col(a).cast("double").alias(b) for a, b in (("qty_pending_backorder", "pending_from"), ("p", "pending_to"), ("qty_confirmed_backorder", "confirmed_from"), ("c", "confirmed_to"))])
 
 
-def sweep_stale_notices(notices: DataFrame, requests: DataFrame) -> DataFrame:
-    """Active notices of a confirmation or return whose request is no longer active are superseded."""
+def sweep_stale_notices(notices: DataFrame, requests: DataFrame, issued: DataFrame, requested: int = 1000) -> DataFrame:
+    """Active notices: superseded when their line has all it asked for (issued(line_id, issued)), or, unless they are rejections, when the request behind them is closed."""
     live = requests.filter("active").select("id", F.lit(True).alias("live"))
-    out = notices.filter("active").join(live, "id", "left")
-    return out.select("id", "kind", F.when(F.col("kind").isin("CONFIRMED", "RETURNED") & F.col("live").isNull(), "Superseded").otherwise("Active").alias("status"))
+    rows = notices.filter("active").join(live, "id", "left").join(issued, "line_id", "left")
+    reason = F.when(F.coalesce("issued", F.lit(0)) >= requested, "No longer outstanding").when(F.col("kind").isin("CONFIRMED", "RETURNED") & F.col("live").isNull(), "The request behind it is closed")
+    return rows.select("id", "kind", F.when(reason.isNotNull(), "Superseded").otherwise("Active").alias("status"), reason.alias("reason"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import derive
+from .order import numbered
 
 SUMS = {
     "requested": "qty_requested", "located": "qty_confirmed_located", "available": "qty_available", "bagged": "qty_active_bagged",
@@ -49,12 +50,17 @@ def register_filters(requisitions: DataFrame) -> DataFrame:
     return requisitions.groupBy("project_id").agg(F.array_join(F.array_sort(F.collect_set("priority")), ",").alias("priorities"))
 
 
+#: Width of the slices that a register is numbered in, and the slice of rows without a sort value.
+PAGE_SLICE, LAST_SLICE = 25, 1 << 62
+
+
 def register_page(registered: DataFrame, page: int, size: int, sort: str = "remaining") -> DataFrame:
     """A page of each project's register by a sort key, largest first; the size is held to 10 to 100."""
     size = min(100, max(10, size))
-    w = Window.partitionBy("project_id")
-    numbered = registered.withColumn("record", F.row_number().over(w.orderBy(F.col(sort).desc_nulls_last(), "req_number"))).withColumn("records", F.count("*").over(w))
-    return numbered.filter(F.col("record").between((page - 1) * size + 1, page * size)).select("project_id", "record", "records", F.ceil(F.col("records") / size).alias("pages"), "req_number", F.col(sort).alias("sort_value"))
+    records = registered.groupBy("project_id").agg(F.count("*").alias("records"))
+    places = numbered(registered, "project_id", F.coalesce(-F.floor(F.col(sort) / PAGE_SLICE), F.lit(LAST_SLICE)), [F.col(sort).desc_nulls_last(), "req_number"], "record")
+    here = places.filter(F.col("record").between((page - 1) * size + 1, page * size)).join(records, "project_id")
+    return here.select("project_id", "record", "records", F.ceil(F.col("records") / size).alias("pages"), "req_number", F.col(sort).alias("sort_value"))
 
 
 def drawing_summary(lines: DataFrame) -> DataFrame:
@@ -74,15 +80,15 @@ def header_rollup(lines: DataFrame) -> DataFrame:
 def backorder_queue(backorders: DataFrame, status: str | None = None) -> DataFrame:
     """Active requests of each project in order of line and time, numbered for paging."""
     rows = backorders.filter("active") if status is None else backorders.filter("active").filter(F.col("status") == status)
-    order = Window.partitionBy("project_id").orderBy("line_id", "reported_at", "id")
-    return rows.select("project_id", "id", "line_id", "status", F.col("qty_pending").cast("double").alias("qty_pending"), F.col("qty_confirmed").cast("double").alias("qty_confirmed"), F.row_number().over(order).alias("place"))
+    placed = numbered(rows, "project_id", F.floor(F.col("line_id") / 16), ["line_id", "reported_at", "id"], "place")
+    return placed.select("project_id", "id", "line_id", "status", F.col("qty_pending").cast("double").alias("qty_pending"), F.col("qty_confirmed").cast("double").alias("qty_confirmed"), "place")
 
 
 def outstanding_notices(notices: DataFrame) -> DataFrame:
     """Active notices of each project: critical before warning before info, oldest first."""
     rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    order = Window.partitionBy("project_id").orderBy(rank, "raised_at", "id")
-    return notices.filter("active").select("project_id", "id", "line_id", "kind", "severity", F.col("qty_notified").cast("double").alias("qty_notified"), F.row_number().over(order).alias("place"))
+    placed = numbered(notices.filter("active"), "project_id", F.struct(rank.alias("rank"), F.col("day")), [rank, "raised_at", "id"], "place")
+    return placed.select("project_id", "id", "line_id", "kind", "severity", F.col("qty_notified").cast("double").alias("qty_notified"), "place")
 
 
 def notices_by_line(notices: DataFrame) -> DataFrame:
@@ -110,23 +116,31 @@ def dashboard_bags(items: DataFrame) -> DataFrame:
     return items.filter("active").groupBy("project_id").agg(F.count("*").alias("items"), F.sum("qty_remaining").cast("double").alias("quantity"))
 
 
-def health(requisitions: DataFrame, backorders: DataFrame, notices: DataFrame, as_of: str, backorder_days: int = 7, notice_days: int = 3) -> DataFrame:
-    """Stale requests and notices of each project; a project with none has zeros."""
+def health(requisitions: DataFrame, backorders: DataFrame, notices: DataFrame, stock: DataFrame, movements: DataFrame, as_of: str, backorder_days: int = 7, notice_days: int = 3, bag_days: int = 30) -> DataFrame:
+    """Stale requests, notices and bag items of each project, and its last movement; a project with none has zeros."""
     before = lambda name, days: F.col(name) < F.expr(f"timestamp_ntz '{as_of}' - interval {days} days")
     late = backorders.filter("active and status = 'Pending'").groupBy("project_id").agg(F.count_if(before("reported_at", backorder_days)).alias("stale_backorders"))
     told = notices.filter("active").groupBy("project_id").agg(F.count_if(before("raised_at", notice_days)).alias("stale_notices"))
-    out = requisitions.select("project_id").distinct().join(late, "project_id", "left").join(told, "project_id", "left").na.fill(0, ["stale_backorders", "stale_notices"])
-    return out.withColumn("ok", (F.col("stale_backorders") == 0) & (F.col("stale_notices") == 0))
+    held = stock.filter("active and qty_remaining > 0").groupBy("project_id").agg(F.count_if(before("bagged_at", bag_days)).alias("stale_bags"))
+    last = movements.groupBy("project_id").agg(F.max("day").alias("last_activity"))
+    out = requisitions.select("project_id").distinct()
+    for part in (late, told, held, last):
+        out = out.join(part, "project_id", "left")
+    counts = ["stale_backorders", "stale_notices", "stale_bags"]
+    out = out.na.fill(0, counts)
+    return out.withColumn("ok", sum((F.col(c) for c in counts), F.lit(0)) == 0)
 
 
 def donor_candidates(lines: DataFrame, most: int = 25) -> DataFrame:
     """For each short line, the lines of its project with equal code, size and unit that have stock, most stock first.
 
-    Only lines with stock are on one side and only short ones on the other. Popular materials are split by the skew-join of adaptive execution."""
+    A line takes at most `most` donors, and only itself can be passed over, so the most + 1 best of each material are all that any line can need."""
     key = [F.col("project_id"), *[F.upper(F.trim(c)).alias(f"k_{c}") for c in ("commodity_code", "size", "uom")]]
     names = ["project_id", "k_commodity_code", "k_size", "k_uom"]
     live = lines.filter("active").filter(F.trim("commodity_code") != "")
     donors = live.filter(derive.lendable() > 0).select(*key, F.col("line_id").alias("donor_id"), derive.lendable().alias("lendable"))
+    best = Window.partitionBy(*names).orderBy(F.desc("lendable"), "donor_id")
+    donors = donors.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= most + 1).drop("n")
     short = live.filter(derive.shortage() > 0).select(*key, F.col("line_id").alias("receiver_id"), derive.shortage().alias("shortage"))
     pairs = short.join(donors, names).filter("donor_id <> receiver_id")
     order = Window.partitionBy("receiver_id").orderBy(F.desc("lendable"), "donor_id")

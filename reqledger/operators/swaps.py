@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order import numbered
 from .replay import DELTAS, STATE
 from .waterfall import take
 
@@ -32,8 +33,8 @@ def open_swaps(swaps: DataFrame, as_of: str) -> DataFrame:
     """Swaps with something owed, with their age in whole days, each project's oldest first."""
     owing = swaps.filter("status <> 'Cancelled'").withColumn("owed", _owed()).filter("owed > 0")
     days = F.expr(f"cast(floor((unix_micros(timestamp '{as_of} UTC') - unix_micros(cast(created_at as timestamp))) / 86400000000) as bigint)")
-    place = F.row_number().over(Window.partitionBy("project_id").orderBy("created_at", "id"))
-    return owing.select("project_id", "id", "donor_id", "receiver_id", F.col("owed").cast("double").alias("owed"), F.greatest(F.lit(0), days).alias("age_days"), place.alias("place"))
+    placed = numbered(owing, "project_id", F.to_date("created_at"), ["created_at", "id"], "place")
+    return placed.select("project_id", "id", "donor_id", "receiver_id", F.col("owed").cast("double").alias("owed"), F.greatest(F.lit(0), days).alias("age_days"), "place")
 
 
 def swaps_by_line(swaps: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order import numbered
+
 
 def select_revisions(pages: DataFrame) -> DataFrame:
     """Of each drawing's copies: which are accepted, superseded, duplicates, or set aside because their revisions cannot be ordered or their contents differ."""
@@ -43,8 +45,9 @@ def iso_candidates(terms: DataFrame) -> DataFrame:
 def assign_bag_numbers(items: DataFrame) -> DataFrame:
     """Numbers of a project's bags in order, padded to five places and growing beyond."""
     bags = items.groupBy("project_id", "bag_id").agg(F.count("*").alias("items"))
-    n = F.row_number().over(Window.partitionBy("project_id").orderBy("bag_id")).cast("string")
-    return bags.select("bag_id", "items", F.concat(F.lit("BAG-2024-"), F.when(F.length(n) >= 5, n).otherwise(F.lpad(n, 5, "0"))).alias("tag_number"))
+    placed = numbered(bags, "project_id", F.substring("bag_id", 1, 5), ["bag_id"], "place")
+    n = F.col("place").cast("string")
+    return placed.select("bag_id", "items", F.concat(F.lit("BAG-2024-"), F.when(F.length(n) >= 5, n).otherwise(F.lpad(n, 5, "0"))).alias("tag_number"))
 
 
 def one_draft_per_number(requisitions: DataFrame) -> DataFrame:
@@ -54,15 +57,28 @@ def one_draft_per_number(requisitions: DataFrame) -> DataFrame:
     return drafts.select("req_id", F.when(first, F.col("number")).alias("number"), F.when(~first, F.lit("ALREADY_STAGED")).alias("issue"))
 
 
-def row_confidence(materials: DataFrame) -> DataFrame:
-    """1 less a deduction for each thing that a person would have to check (fixed values), with the warnings."""
-    checks = [(F.col("quantity").isNull(), 0.25, "no quantity"), (F.col("drawing").isNull(), 0.25, "no drawing"), (F.col("size").isNull(), 0.05, "no size"), (F.col("takeoff_sheet") == "OTHER MATERIALS", 0.10, "category unclear")]
-    lost = sum((F.when(c, F.lit(d)).otherwise(0.0) for c, d, _ in checks), F.lit(0.0))
-    told = F.array_join(F.filter(F.array(*[F.when(c, F.lit(w)) for c, _, w in checks]), lambda x: x.isNotNull()), "; ")
-    return materials.select("part_id", F.round(F.greatest(F.lit(0.0), 1 - lost), 3).alias("confidence"), told.alias("warnings"))
+#: What each thing that a person would have to check takes off (fixed values).
+DEDUCTIONS = {"no quantity": 0.25, "no description": 0.25, "no commodity code": 0.10, "no size": 0.05, "column positions uncertain": 0.15, "row assembled from wrapped lines": 0.05, "category unclear": 0.10}
+#: Words that head columns (fixed values).
+HEADING = r"(?i)^(commodity|commodity\s*code|code|item|item\s*no\.?|no\.?|#|size|npd|bore|desc|description|material|qty|quantity|quant|uom|unit|units|u/m|loc|location|storage|storage\s*location|remarks|notes)$"
+CELLS = ("commodity_code", "size", "description", "quantity", "uom", "storage_location")
+
+
+def row_confidence(rows: DataFrame) -> DataFrame:
+    """1 less a deduction for each thing that a person would have to check, with the warnings."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    checks = [blank("quantity"), blank("description"), blank("commodity_code"), blank("size"), F.col("columns_uncertain"), F.col("wrapped"), blank("category")]
+    lost = sum((F.when(c, F.lit(d)).otherwise(0.0) for c, d in zip(checks, DEDUCTIONS.values(), strict=True)), F.lit(0.0))
+    told = F.array_join(F.filter(F.array(*[F.when(c, F.lit(w)) for c, w in zip(checks, DEDUCTIONS, strict=True)]), lambda x: x.isNotNull()), "; ")
+    return rows.select("part_id", F.round(F.greatest(F.lit(0.0), 1 - lost), 3).alias("confidence"), told.alias("warnings"))
 
 
 def read_paste(texts: DataFrame) -> DataFrame:
-    """Lines of pasted text as numbered rows; blank lines go."""
-    rows = texts.select("doc_id", F.posexplode(F.split("text", "\r?\n")).alias("pos", "line")).filter(F.trim("line") != "")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("rows"), F.sum(F.length("line")).alias("characters"), F.max("pos").cast("long").alias("last_row"))
+    """Pasted text as material lines of six cells, split at tabs, or at commas where a line has none. A first line of headings only (two at least) is left out."""
+    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    lines = F.filter(F.transform(F.split("text", "\r?\n"), bare), lambda x: x != "")
+    cells = lambda x: F.transform(F.when(x.contains("\t"), F.split(x, "\t")).otherwise(F.split(x, ",")), bare)
+    rows = texts.select("doc_id", F.posexplode(F.transform(lines, cells)).alias("pos", "cells"))
+    filled = F.filter("cells", lambda x: x != "")
+    heading = (F.col("pos") == 0) & (F.size(filled) >= 2) & F.forall(filled, lambda x: x.rlike(HEADING))
+    return rows.filter(~heading).select("doc_id", F.col("pos").cast("long").alias("row"), *[F.get("cells", i).alias(c) for i, c in enumerate(CELLS)])

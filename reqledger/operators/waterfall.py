@@ -26,11 +26,12 @@ def settle_backorders(requests: DataFrame, located: DataFrame) -> DataFrame:
     return both.filter("take_confirmed > 0 or take_pending > 0").select("id", "line_id", F.col("take_confirmed").cast("double").alias("take_confirmed"), F.col("take_pending").cast("double").alias("take_pending"), F.when(left == 0, "Fulfilled").otherwise(F.col("status")).alias("status"))
 
 
-def settle_notices(notices: DataFrame, located: DataFrame) -> DataFrame:
-    """Located quantities answer rejection notices, oldest first; one that is fully answered is resolved."""
-    rows = notices.filter("active and kind = 'REJECTED'").join(located, "line_id")
-    taken = rows.withColumn("taken", take(F.col("qty_notified"), F.col("located"), ["line_id"], ["raised_at", "id"])).filter("taken > 0")
-    return taken.select("id", "line_id", F.col("taken").cast("double").alias("taken"), F.when(F.col("taken") >= F.col("qty_notified"), "Resolved").otherwise("Active").alias("status"))
+def settle_notices(notices: DataFrame, located: DataFrame, asked: DataFrame) -> DataFrame:
+    """Located quantities answer rejection notices and new requests answer returned ones, oldest first; one that is fully answered is resolved."""
+    answers = located.select("line_id", F.lit("REJECTED").alias("kind"), F.col("located").alias("answer")).union(asked.select("line_id", F.lit("RETURNED"), "asked"))
+    rows = notices.filter("active").join(answers, ["line_id", "kind"])
+    taken = rows.withColumn("taken", take(F.col("qty_notified"), F.col("answer"), ["line_id", "kind"], ["raised_at", "id"])).filter("taken > 0")
+    return taken.select("id", "line_id", "kind", F.col("taken").cast("double").alias("taken"), F.when(F.col("taken") >= F.col("qty_notified"), "Resolved").otherwise("Active").alias("status"))
 
 
 def resubmit_returned(requests: DataFrame, asked: DataFrame) -> DataFrame:

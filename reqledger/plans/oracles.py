@@ -94,7 +94,6 @@ SELECT *, concat_ws('; ', {', '.join(told)}) AS refused_because FROM aft"""
 
 OWED = "greatest(0, qty_borrowed - qty_repaid)"
 DRAFT_LINES = """dl AS (SELECT drawing, part_id, row_number() OVER (PARTITION BY drawing ORDER BY part_id) AS line_number, sheet IS NULL AS no_sheet, quantity IS NULL AS bad, coalesce(quantity <= 0, false) AS zero, coalesce(NOT regexp_matches(size, '^[0-9/-]+"?(x[0-9/-]+"?)?$'), false) AS odd FROM materials WHERE drawing IS NOT NULL)"""
-CONFIDENCE = "c AS (SELECT part_id, round(greatest(0, 1 - (CASE WHEN quantity IS NULL THEN 0.25 ELSE 0 END + CASE WHEN drawing IS NULL THEN 0.25 ELSE 0 END + CASE WHEN size IS NULL THEN 0.05 ELSE 0 END + CASE WHEN takeoff_sheet = 'OTHER MATERIALS' THEN 0.10 ELSE 0 END)), 3)::double AS confidence, (quantity IS NULL OR drawing IS NULL OR size IS NULL OR takeoff_sheet = 'OTHER MATERIALS') AS warned FROM materials)"
 
 
 def _sizes() -> str:
@@ -142,15 +141,15 @@ def oracle_sql() -> dict[str, str]:
         "dashboard_activity": v(f"SELECT project_id, action, count(*) AS n, cast(sum(quantity) AS double) AS quantity FROM movements WHERE ts > timestamp '{AS_OF}' - interval 24 hours AND ts <= timestamp '{AS_OF}' GROUP BY ALL", "movements"),
         "dashboard_backorders": v("SELECT project_id, status, count(*) AS n, cast(sum(qty_pending + qty_confirmed) AS double) AS quantity FROM backorders WHERE active GROUP BY ALL", "backorders"),
         "dashboard_bags": v("SELECT project_id, count(*) AS items, cast(sum(qty_remaining) AS double) AS quantity FROM bag_items WHERE active GROUP BY ALL", "bag_items"),
-        "health": v(f"SELECT project_id, coalesce(b, 0) AS stale_backorders, coalesce(n, 0) AS stale_notices, coalesce(b, 0) = 0 AND coalesce(n, 0) = 0 AS ok FROM (SELECT DISTINCT project_id FROM requisitions) LEFT JOIN (SELECT project_id, count(*) FILTER (reported_at < timestamp '{AS_OF}' - interval 7 days) AS b FROM backorders WHERE active AND status = 'Pending' GROUP BY 1) USING (project_id) LEFT JOIN (SELECT project_id, count(*) FILTER (raised_at < timestamp '{AS_OF}' - interval 3 days) AS n FROM notices WHERE active GROUP BY 1) USING (project_id)", "requisitions", "backorders", "notices"),
+        "health": v(f"SELECT project_id, coalesce(b, 0) AS stale_backorders, coalesce(n, 0) AS stale_notices, coalesce(g, 0) AS stale_bags, last_activity, coalesce(b, 0) + coalesce(n, 0) + coalesce(g, 0) = 0 AS ok FROM (SELECT DISTINCT project_id FROM requisitions) LEFT JOIN (SELECT project_id, count(*) FILTER (reported_at < timestamp '{AS_OF}' - interval 7 days) AS b FROM backorders WHERE active AND status = 'Pending' GROUP BY 1) USING (project_id) LEFT JOIN (SELECT project_id, count(*) FILTER (raised_at < timestamp '{AS_OF}' - interval 3 days) AS n FROM notices WHERE active GROUP BY 1) USING (project_id) LEFT JOIN (SELECT project_id, count(*) FILTER (bagged_at < timestamp '{AS_OF}' - interval 30 days) AS g FROM bag_stock WHERE active AND qty_remaining > 0 GROUP BY 1) USING (project_id) LEFT JOIN (SELECT project_id, max(day) AS last_activity FROM movements GROUP BY 1) USING (project_id)", "requisitions", "backorders", "notices", "bag_stock", "movements"),
         "donor_candidates": v(f"WITH pairs AS (SELECT s.line_id AS receiver_id, d.line_id AS donor_id, d.qty_available AS lendable, {SHORT.replace('qty_', 's.qty_')} AS shortage FROM lines s JOIN lines d ON s.project_id = d.project_id AND upper(trim(s.commodity_code)) = upper(trim(d.commodity_code)) AND upper(trim(s.size)) = upper(trim(d.size)) AND upper(trim(s.uom)) = upper(trim(d.uom)) AND s.line_id <> d.line_id WHERE s.active AND d.active AND d.qty_available > 0 AND {SHORT.replace('qty_', 's.qty_')} > 0) SELECT receiver_id, donor_id, place, cast(lendable AS double) AS lendable, cast(shortage AS double) AS shortage FROM (SELECT *, row_number() OVER (PARTITION BY receiver_id ORDER BY lendable DESC, donor_id) AS place FROM pairs) WHERE place <= 25", "lines"),
         "time_saved": v("SELECT req_id, count(DISTINCT iso_number) AS drawings, count(*) FILTER (length(description) > 52) AS overflow, cast(17.30 + 33.36 * count(DISTINCT iso_number) + 20 * (count(*) - count(*) FILTER (length(description) > 52)) + 26 * count(*) FILTER (length(description) > 52) AS double) AS seconds FROM lines WHERE active GROUP BY req_id", "lines"),
         "settle_backorders": v(f"WITH {LOCATED}, a AS (SELECT b.*, located, CASE WHEN status IN ('Confirmed', 'Partially Confirmed') THEN qty_confirmed ELSE 0 END AS pool, CASE WHEN status = 'Pending' THEN qty_pending ELSE 0 END AS waiting FROM backorders b JOIN located USING (line_id) WHERE active), f AS (SELECT *, {_take('pool', 'located', 'reported_at, id')} AS tc FROM a), g AS (SELECT *, located - sum(tc) OVER (PARTITION BY line_id) AS left_over FROM f), k AS (SELECT *, {_take('waiting', 'left_over', 'reported_at, id')} AS tp FROM g) SELECT id, line_id, cast(tc AS double) AS take_confirmed, cast(tp AS double) AS take_pending, CASE WHEN qty_confirmed - tc + qty_pending - tp = 0 THEN 'Fulfilled' ELSE status END AS status FROM k WHERE tc > 0 OR tp > 0", "backorders"),
-        "settle_notices": v(f"WITH {LOCATED}, a AS (SELECT n.*, located FROM notices n JOIN located USING (line_id) WHERE active AND kind = 'REJECTED'), t AS (SELECT *, {_take('qty_notified', 'located', 'raised_at, id')} AS taken FROM a) SELECT id, line_id, cast(taken AS double) AS taken, CASE WHEN taken >= qty_notified THEN 'Resolved' ELSE 'Active' END AS status FROM t WHERE taken > 0", "notices"),
+        "settle_notices": v(f"WITH {LOCATED}, asked AS (SELECT line_id, cast(sum(quantity) AS decimal(14,4)) AS asked FROM movements WHERE action = 'BACKORDER_REQUESTED' GROUP BY 1), a AS (SELECT n.*, CASE kind WHEN 'REJECTED' THEN located ELSE asked END AS answer FROM notices n LEFT JOIN located USING (line_id) LEFT JOIN asked USING (line_id) WHERE active AND kind IN ('REJECTED', 'RETURNED')), t AS (SELECT *, {_take('qty_notified', 'answer', 'raised_at, id', 'line_id, kind')} AS taken FROM a WHERE answer IS NOT NULL) SELECT id, line_id, kind, cast(taken AS double) AS taken, CASE WHEN taken >= qty_notified THEN 'Resolved' ELSE 'Active' END AS status FROM t WHERE taken > 0", "notices"),
         "resubmit_returned": v(f"WITH {LOCATED}, a AS (SELECT b.*, located FROM backorders b JOIN located USING (line_id) WHERE active AND status = 'Returned for Review'), t AS (SELECT *, {_take('qty_pending', 'located', 'reported_at, id')} AS taken FROM a) SELECT line_id, count(*) FILTER (taken >= qty_pending) AS revived, cast(greatest(0, any_value(located) - sum(qty_pending)) AS double) AS new_request FROM t GROUP BY line_id", "backorders"),
         "integrity_report": v("SELECT project_id, code, count(*) AS violations, round(sum(difference), 4) AS difference FROM (" + " UNION ALL ".join(f"({s})" for s in CHECKS.values()) + ") GROUP BY ALL", *CHECK_VIEWS),
         "repair_backorder_totals": v("SELECT l.line_id, cast(qty_pending_backorder AS double) AS pending_from, cast(coalesce(p, 0) AS double) AS pending_to, cast(qty_confirmed_backorder AS double) AS confirmed_from, cast(coalesce(c, 0) AS double) AS confirmed_to FROM lines l LEFT JOIN (SELECT line_id, sum(qty_pending) AS p, sum(qty_confirmed) AS c FROM backorders WHERE active GROUP BY 1) b ON l.line_id = b.line_id WHERE l.active AND (qty_pending_backorder <> coalesce(p, 0) OR qty_confirmed_backorder <> coalesce(c, 0))", "lines", "backorders"),
-        "sweep_stale_notices": v("SELECT n.id, kind, CASE WHEN kind IN ('CONFIRMED', 'RETURNED') AND b.id IS NULL THEN 'Superseded' ELSE 'Active' END AS status FROM notices n LEFT JOIN (SELECT id FROM backorders WHERE active) b ON n.id = b.id WHERE n.active", "notices", "backorders"),
+        "sweep_stale_notices": v("WITH i AS (SELECT line_id, sum(quantity) AS issued FROM movements WHERE action IN ('DIRECT_ISSUE', 'ISSUE_FROM_AVAILABLE') GROUP BY 1), r AS (SELECT n.id, kind, CASE WHEN coalesce(issued, 0) >= 1000 THEN 'No longer outstanding' WHEN kind <> 'REJECTED' AND b.id IS NULL THEN 'The request behind it is closed' END AS reason FROM notices n LEFT JOIN (SELECT id FROM backorders WHERE active) b ON n.id = b.id LEFT JOIN i ON i.line_id = n.line_id WHERE n.active) SELECT id, kind, CASE WHEN reason IS NULL THEN 'Active' ELSE 'Superseded' END AS status, reason FROM r", "notices", "backorders"),
         "replay_ledger": v(_replay(), "movements", recursive=True),
         "ledger_balance": v("SELECT line_id, cast(sum(CASE WHEN action IN ('CONFIRM_AVAILABLE', 'DIRECT_ISSUE') THEN quantity ELSE 0 END) AS double) AS located, cast(sum(CASE action WHEN 'CONFIRM_AVAILABLE' THEN quantity WHEN 'ISSUE_FROM_AVAILABLE' THEN -quantity ELSE 0 END) AS double) AS available, cast(sum(CASE WHEN action IN ('DIRECT_ISSUE', 'ISSUE_FROM_AVAILABLE') THEN quantity ELSE 0 END) AS double) AS issued, cast(sum(CASE action WHEN 'BACKORDER_REQUESTED' THEN quantity ELSE 0 END) AS double) AS pending, cast(sum(CASE action WHEN 'BAG' THEN quantity ELSE 0 END) AS double) AS bagged, count(*) AS commands FROM movements GROUP BY line_id", "movements"),
         "state_as_of": v(f"SELECT line_id, cast(sum(CASE WHEN action IN ('DIRECT_ISSUE', 'ISSUE_FROM_AVAILABLE') THEN quantity ELSE 0 END) AS double) AS issued, cast(sum(CASE action WHEN 'BACKORDER_REQUESTED' THEN quantity ELSE 0 END) AS double) AS pending, max(id) AS last_id FROM movements WHERE ts <= timestamp '{AS_OF}' GROUP BY line_id", "movements"),
@@ -163,8 +162,12 @@ def oracle_sql() -> dict[str, str]:
         "assign_bag_numbers": v("SELECT bag_id, items, 'BAG-2024-' || CASE WHEN length(n) >= 5 THEN n ELSE lpad(n, 5, '0') END AS tag_number FROM (SELECT bag_id, items, cast(row_number() OVER (PARTITION BY project_id ORDER BY bag_id) AS string) AS n FROM (SELECT project_id, bag_id, count(*) AS items FROM bag_items GROUP BY 1, 2))", "bag_items"),
         "one_draft_per_number": v("SELECT req_id, CASE WHEN k = 1 THEN number END AS number, CASE WHEN k > 1 THEN 'ALREADY_STAGED' END AS issue FROM (SELECT req_id, number, row_number() OVER (PARTITION BY project_id, number ORDER BY req_id) AS k FROM (SELECT req_id, project_id, 'F' || cast(req_id // 3 AS string) AS number FROM requisitions))", "requisitions"),
         "normalize_materials": v(f"WITH {MATERIALS} SELECT * FROM materials", "material_text"),
-        "row_confidence": v(f"WITH {MATERIALS} SELECT part_id, round(greatest(0, 1 - (CASE WHEN quantity IS NULL THEN 0.25 ELSE 0 END + CASE WHEN drawing IS NULL THEN 0.25 ELSE 0 END + CASE WHEN size IS NULL THEN 0.05 ELSE 0 END + CASE WHEN takeoff_sheet = 'OTHER MATERIALS' THEN 0.10 ELSE 0 END)), 3)::double AS confidence, concat_ws('; ', CASE WHEN quantity IS NULL THEN 'no quantity' END, CASE WHEN drawing IS NULL THEN 'no drawing' END, CASE WHEN size IS NULL THEN 'no size' END, CASE WHEN takeoff_sheet = 'OTHER MATERIALS' THEN 'category unclear' END) AS warnings FROM materials", "material_text"),
-        "read_paste": "SELECT doc_id, count(*) AS rows, cast(sum(length(line)) AS bigint) AS characters, cast(max(pos) - 1 AS bigint) AS last_row FROM (SELECT doc_id, unnest(string_split_regex(text, '\\r?\\n')) AS line, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) AS pos FROM documents) WHERE trim(line, ' ') <> '' GROUP BY doc_id",
+        "row_confidence": v("SELECT part_id, cast(round(greatest(0, 1 - (CASE WHEN quantity = '' THEN 0.25 ELSE 0 END + CASE WHEN description = '' THEN 0.25 ELSE 0 END + CASE WHEN commodity_code = '' THEN 0.10 ELSE 0 END + CASE WHEN size = '' THEN 0.05 ELSE 0 END + CASE WHEN columns_uncertain THEN 0.15 ELSE 0 END + CASE WHEN wrapped THEN 0.05 ELSE 0 END + CASE WHEN category = '' THEN 0.10 ELSE 0 END)), 3) AS double) AS confidence, concat_ws('; ', CASE WHEN quantity = '' THEN 'no quantity' END, CASE WHEN description = '' THEN 'no description' END, CASE WHEN commodity_code = '' THEN 'no commodity code' END, CASE WHEN size = '' THEN 'no size' END, CASE WHEN columns_uncertain THEN 'column positions uncertain' END, CASE WHEN wrapped THEN 'row assembled from wrapped lines' END, CASE WHEN category = '' THEN 'category unclear' END) AS warnings FROM extracted", "extracted"),
+        "read_paste": """WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\r?\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS lines FROM documents), p AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS row FROM l),
+c AS (SELECT doc_id, row, list_transform(CASE WHEN contains(line, chr(9)) THEN string_split(line, chr(9)) ELSE string_split(line, ',') END, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS c FROM p),
+h AS (SELECT *, list_filter(c, lambda x: x <> '') AS f FROM c)
+SELECT doc_id, cast(row AS bigint) AS row, c[1] AS commodity_code, c[2] AS size, c[3] AS description, c[4] AS quantity, c[5] AS uom, c[6] AS storage_location FROM h
+WHERE NOT (row = 0 AND len(f) >= 2 AND len(list_filter(f, lambda x: NOT regexp_full_match(x, '(commodity|commodity\\s*code|code|item|item\\s*no\\.?|no\\.?|#|size|npd|bore|desc|description|material|qty|quantity|quant|uom|unit|units|u/m|loc|location|storage|storage\\s*location|remarks|notes)', 'i'))) = 0)""",
         "replay_workflow": v(_workflow(), "transitions", recursive=True),
         "group_extracted": v(f"WITH {MATERIALS}, {DRAFT_LINES} SELECT drawing, part_id, line_number, concat_ws(',', CASE WHEN no_sheet THEN 'NO_SHEET' END, CASE WHEN bad THEN 'BAD_QUANTITY' END, CASE WHEN zero THEN 'ZERO_QUANTITY' END, CASE WHEN odd THEN 'ODD_SIZE' END) AS issues FROM dl", "material_text"),
         "stage_status": v(f"WITH {MATERIALS}, {DRAFT_LINES}, s AS (SELECT drawing, count(*) AS line_count, cast(sum(no_sheet::int + bad::int + zero::int) AS bigint) AS errors, cast(sum(odd::int) AS bigint) AS warnings FROM dl GROUP BY drawing) SELECT *, CASE WHEN errors > 0 THEN 'Blocked' ELSE 'Ready' END AS status FROM s", "material_text"),
@@ -172,7 +175,7 @@ def oracle_sql() -> dict[str, str]:
         "package_number": v("SELECT project_id, date_required, count(DISTINCT iwp_number) AS candidates, CASE count(DISTINCT iwp_number) WHEN 0 THEN 'missing' WHEN 1 THEN 'unique' ELSE 'multiple' END AS fate, CASE WHEN count(DISTINCT iwp_number) = 1 THEN min(iwp_number) END AS package_number FROM requisitions GROUP BY project_id, date_required", "requisitions"),
         "content_hash": v("SELECT req_id, iso_number, iso_revision, count(*) AS rows, sha256(iso_number || '|' || iso_revision || chr(10) || string_agg(cast(line_number AS string) || '|' || commodity_code || '|' || size || '|' || description, chr(10) ORDER BY line_number)) AS content_hash FROM lines GROUP BY req_id, iso_number, iso_revision", "lines"),
         "spool_reconcile": v("WITH k AS (SELECT drawing_number, revision, count(DISTINCT content_hash) AS copies FROM iso_pages GROUP BY 1, 2), h AS (SELECT drawing_number, revision, source_path AS value, count(DISTINCT content_hash) AS held_by FROM iso_pages GROUP BY 1, 2, 3) SELECT h.*, copies, CASE WHEN held_by = copies THEN 'common' ELSE 'conflict' END AS fate FROM h JOIN k ON h.drawing_number = k.drawing_number AND h.revision = k.revision", "iso_pages"),
-        "write_split": v(f"WITH {MATERIALS}, {CONFIDENCE} SELECT CASE WHEN confidence >= 0.65 THEN 'clean' ELSE 'review' END AS bucket, count(*) AS rows, count(*) FILTER (warned) AS with_warnings FROM c GROUP BY 1", "material_text"),
+        "write_split": v("SELECT CASE WHEN round(1 - (CASE WHEN quantity = '' THEN 0.25 ELSE 0 END + CASE WHEN description = '' THEN 0.25 ELSE 0 END + CASE WHEN commodity_code = '' THEN 0.10 ELSE 0 END + CASE WHEN size = '' THEN 0.05 ELSE 0 END + CASE WHEN columns_uncertain THEN 0.15 ELSE 0 END + CASE WHEN wrapped THEN 0.05 ELSE 0 END + CASE WHEN category = '' THEN 0.10 ELSE 0 END), 3) >= 0.65 THEN 'clean' ELSE 'review' END AS bucket, count(*) AS rows, count(*) FILTER (concat_ws('; ', CASE WHEN quantity = '' THEN 'no quantity' END, CASE WHEN description = '' THEN 'no description' END, CASE WHEN commodity_code = '' THEN 'no commodity code' END, CASE WHEN size = '' THEN 'no size' END, CASE WHEN columns_uncertain THEN 'column positions uncertain' END, CASE WHEN wrapped THEN 'row assembled from wrapped lines' END, CASE WHEN category = '' THEN 'category unclear' END) <> '') AS with_warnings FROM extracted GROUP BY 1", "extracted"),
         "repay_swaps": v(f"WITH {LOCATED}, a AS (SELECT s.*, {OWED} AS owed, located FROM swaps s JOIN located ON donor_id = line_id WHERE status <> 'Cancelled' AND {OWED} > 0), t AS (SELECT *, {_take('owed', 'located', 'created_at, id', 'donor_id')} AS applied FROM a) SELECT id, donor_id, cast(applied AS double) AS applied, cast(owed - applied AS double) AS outstanding, CASE WHEN owed - applied <= 0 THEN 'Repaid' ELSE 'Partially Repaid' END AS status FROM t WHERE applied > 0", "swaps"),
         "open_swaps": v(f"SELECT project_id, id, donor_id, receiver_id, cast({OWED} AS double) AS owed, greatest(0, (epoch_us(timestamp '{AS_OF}') - epoch_us(created_at)) // 86400000000) AS age_days, row_number() OVER (PARTITION BY project_id ORDER BY created_at, id) AS place FROM swaps WHERE status <> 'Cancelled' AND {OWED} > 0", "swaps"),
         "swaps_for_line": v("SELECT line_id, count(*) AS swaps, cast(sum(lent) AS double) AS lent, cast(sum(borrowed) AS double) AS borrowed FROM (SELECT donor_id AS line_id, qty_borrowed AS lent, 0 AS borrowed FROM swaps WHERE status <> 'Cancelled' UNION ALL SELECT receiver_id, 0, qty_borrowed FROM swaps WHERE status <> 'Cancelled') GROUP BY line_id", "swaps"),

@@ -11,7 +11,7 @@ from ..functions import derive, normalize
 from ..operators import drafts, integrity, registers, replay, swaps, takeoff, waterfall
 from ..sources.bridge import domain
 from ..streaming import streams
-from . import oracles
+from . import desk, oracles
 
 AS_OF = oracles.AS_OF
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,14 @@ def _located(movements: DataFrame) -> DataFrame:
     return movements.filter("action = 'CONFIRM_AVAILABLE'").groupBy("line_id").agg(F.sum("quantity").cast("decimal(14,4)").alias("located"))
 
 
+def _asked(movements: DataFrame) -> DataFrame:
+    return movements.filter("action = 'BACKORDER_REQUESTED'").groupBy("line_id").agg(F.sum("quantity").cast("decimal(14,4)").alias("asked"))
+
+
+def _issued(movements: DataFrame) -> DataFrame:
+    return movements.filter("action in ('DIRECT_ISSUE', 'ISSUE_FROM_AVAILABLE')").groupBy("line_id").agg(F.sum("quantity").alias("issued"))
+
+
 def _registered(f: Callable[[DataFrame], DataFrame]) -> Query:
     return _over(lambda r, x: f(registers.register(r, x)), "requisitions", "lines")
 
@@ -76,11 +84,11 @@ def queries() -> dict[str, Query]:
         "dashboard_activity": _over(lambda m: registers.dashboard_activity(m, AS_OF), "movements"),
         "dashboard_backorders": _over(registers.dashboard_backorders, "backorders"),
         "dashboard_bags": _over(registers.dashboard_bags, "bag_items"),
-        "health": _over(lambda r, b, n: registers.health(r, b, n, AS_OF), "requisitions", "backorders", "notices"),
+        "health": _over(lambda r, b, n, s, m: registers.health(r, b, n, s, m, AS_OF), "requisitions", "backorders", "notices", "bag_stock", "movements"),
         "donor_candidates": _over(registers.donor_candidates, "lines"),
         "time_saved": _over(registers.time_saved, "lines"),
         "settle_backorders": _over(lambda b, m: waterfall.settle_backorders(b, _located(m)), "backorders", "movements"),
-        "settle_notices": _over(lambda n, m: waterfall.settle_notices(n, _located(m)), "notices", "movements"),
+        "settle_notices": _over(lambda n, m: waterfall.settle_notices(n, _located(m), _asked(m)), "notices", "movements"),
         "resubmit_returned": _over(lambda b, m: waterfall.resubmit_returned(b, _located(m).withColumnRenamed("located", "asked")), "backorders", "movements"),
         "chk_bag_ledger": _over(integrity.bag_ledger, "lines", "bag_items"),
         "chk_backorder_excess": _over(integrity.backorder_excess, "lines"),
@@ -93,7 +101,7 @@ def queries() -> dict[str, Query]:
         "chk_status": _over(integrity.status, "lines", "stored_statuses"),
         "integrity_report_all": _over(integrity_report_all, "lines", "bag_items", "notices", "backorders", "movements", "stored_statuses"),
         "repair_backorder_totals": _over(integrity.repair_backorder_totals, "lines", "backorders"),
-        "sweep_stale_notices": _over(integrity.sweep_stale_notices, "notices", "backorders"),
+        "sweep_stale_notices": _over(lambda n, b, m: integrity.sweep_stale_notices(n, b, _issued(m)), "notices", "backorders", "movements"),
         "replay_ledger": _over(replay.replay_ledger, "movements"),
         "ledger_balance": _over(replay.ledger_balance, "movements"),
         "state_as_of": _over(lambda m: replay.state_as_of(m, AS_OF), "movements"),
@@ -106,7 +114,7 @@ def queries() -> dict[str, Query]:
         "assign_bag_numbers": _over(takeoff.assign_bag_numbers, "bag_items"),
         "one_draft_per_number": _over(takeoff.one_draft_per_number, "requisitions"),
         "normalize_materials": _over(normalize.normalize_materials, "material_text"),
-        "row_confidence": _over(lambda m: takeoff.row_confidence(normalize.normalize_materials(m)), "material_text"),
+        "row_confidence": _over(takeoff.row_confidence, "extracted"),
         "read_paste": lambda spark, d: takeoff.read_paste(spark.read.parquet(f"{d}/documents.parquet")),
         "replay_workflow": _over(drafts.replay_workflow, "transitions"),
         "group_extracted": _over(lambda m: drafts.group_extracted(normalize.normalize_materials(m)), "material_text"),
@@ -115,7 +123,7 @@ def queries() -> dict[str, Query]:
         "package_number": _over(drafts.package_numbers, "requisitions"),
         "content_hash": _over(drafts.content_hashes, "lines"),
         "spool_reconcile": _over(drafts.reconcile_copies, "iso_pages"),
-        "write_split": _over(lambda m: drafts.split_by_confidence(takeoff.row_confidence(normalize.normalize_materials(m))), "material_text"),
+        "write_split": _over(lambda m: drafts.split_by_confidence(takeoff.row_confidence(m)), "extracted"),
         "repay_swaps": _over(lambda s, m: swaps.repay_swaps(s, _located(m)), "swaps", "movements"),
         "open_swaps": _over(lambda s: swaps.open_swaps(s, AS_OF), "swaps"),
         "swaps_for_line": _over(swaps.swaps_by_line, "swaps"),
@@ -127,8 +135,8 @@ def queries() -> dict[str, Query]:
         "stream_dedup": lambda spark, d: streams.run(streams.dedup(streams.movements(spark, d))),
         "stream_activity": lambda spark, d: streams.run(streams.activity(streams.movements(spark, d)), "complete"),
         "stream_ledger": stream_ledger,
-    }
+    } | desk.queries(_over)
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return oracles.oracle_sql() | desk.oracle_sql()

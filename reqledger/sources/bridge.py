@@ -60,11 +60,48 @@ SELECT p_partkey AS part_id, CASE p_partkey % 8 WHEN 0 THEN '6 IN' WHEN 1 THEN '
   CASE WHEN p_partkey % 13 = 0 THEN '5UG' ELSE p_brand END AS commodity_code,
   CASE p_partkey % 6 WHEN 0 THEN ' d 100  a' WHEN 1 THEN 'D-44--10-' WHEN 2 THEN '' ELSE 'D-' || cast(p_partkey % 50 AS string) END AS raw_drawing,
   CASE p_partkey % 4 WHEN 0 THEN 'SHT 1' WHEN 1 THEN '12' WHEN 2 THEN 'A' ELSE 'Sheet 123' END AS raw_sheet FROM part""",
+    "extracted": """
+SELECT p_partkey AS part_id, CASE p_partkey % 8 WHEN 7 THEN '' ELSE cast(p_size AS string) END AS size, CASE p_partkey % 5 WHEN 4 THEN '' ELSE cast(p_partkey % 30 AS string) END AS quantity,
+  CASE p_partkey % 11 WHEN 0 THEN '' ELSE p_name END AS description, CASE p_partkey % 13 WHEN 0 THEN '' ELSE p_brand END AS commodity_code, CASE p_partkey % 9 WHEN 8 THEN '' ELSE p_type END AS category,
+  p_partkey % 17 = 0 AS columns_uncertain, p_partkey % 6 = 0 AS wrapped FROM part""",
+    "bag_stock": f"""
+SELECT l.line_id, l.req_id, l.project_id, CASE WHEN l.req_id % 7 = 0 THEN 'YARD ' || cast(l.req_id AS string) ELSE 'bt-' || cast(2022 + l.req_id % 3 AS string) || '-' || lpad(cast(l.req_id % 100000 AS string), 5, '0') END AS tag_number,
+  r.date_required AS bagged_at, cast(CASE WHEN l.line_id % 5 = 0 THEN 2 ELSE 0 END AS {Q}) AS qty_issued, l.qty_active_bagged AS qty_remaining, l.active
+FROM lines l JOIN requisitions r ON l.req_id = r.req_id WHERE l.qty_active_bagged > 0""",
+    "bag_rows": """
+SELECT line_id * 2 AS row_id, bag_id, line_id, qty_remaining AS quantity, active FROM bag_items
+UNION ALL SELECT line_id * 2 + 1 AS row_id, bag_id, line_id, qty_remaining AS quantity, active FROM bag_items WHERE line_id % 10 = 3""",
+    "search_terms": """
+SELECT DISTINCT substr(req_number, 1, 3) AS term FROM requisitions UNION SELECT DISTINCT lower(iso_number) || '-' || iso_sheet AS term FROM lines UNION SELECT DISTINCT substr(iso_number, 1, 4) AS term FROM lines""",
+    "decided": """
+SELECT id, id % 50 AS request_id, line_id, ts, CASE id % 4 WHEN 0 THEN 'REJECT' WHEN 1 THEN 'RETURN' WHEN 2 THEN 'CONFIRM' ELSE 'UNKNOWN' END AS decision, id % 3 = 0 AS whole,
+  CASE WHEN id % 10 = 0 THEN 0 ELSE quantity END AS quantity, CASE WHEN id % 5 = 0 THEN 'FT' ELSE 'EA' END AS uom, 'note ' || cast(id AS string) AS notes FROM movements""",
+    "drafts": """
+SELECT req_id AS draft_id, project_id, cast(floor(req_id / 2) AS bigint) AS batch_id, CASE WHEN req_id % 3 = 0 THEN NULL WHEN req_id % 3 = 1 THEN req_number ELSE 'X' || req_number END AS number, CASE WHEN req_id % 10 = 0 THEN ' ' ELSE iwp_number END AS iwp,
+  CASE req_id % 8 WHEN 0 THEN '' ELSE 'd ' || cast(req_id % 50 AS string) END AS raw_drawing, CASE req_id % 9 WHEN 0 THEN '' ELSE cast(req_id % 12 AS string) END AS raw_sheet,
+  CASE req_id % 4 WHEN 0 THEN 'SENT_TO_MATERIAL_ADMIN' WHEN 1 THEN 'NUMBER_ASSIGNED' WHEN 2 THEN 'DRAFT' ELSE 'NUMBER_ASSIGNED' END AS state, req_id % 6 <> 0 AS selected, req_id % 11 = 0 AS archived FROM requisitions""",
+    "draft_lines": """
+SELECT req_id AS draft_id, line_number, CASE line_id % 41 WHEN 0 THEN 'abc' WHEN 1 THEN '' WHEN 2 THEN '0' WHEN 3 THEN '1,200' ELSE cast(line_id % 90 + 1 AS string) END AS raw_quantity,
+  CASE line_id % 37 WHEN 0 THEN 'SEE DETAIL' WHEN 1 THEN '' ELSE size END AS raw_size, CASE line_id % 43 WHEN 0 THEN ' ' ELSE description END AS description FROM lines""",
+    "page_text": """
+SELECT p_partkey AS page_id, CASE p_partkey % 12 WHEN 0 THEN 'short page' WHEN 1 THEN 'Isometric  Drawing Number D-1 and the Bill of' || chr(10) || 'Materials follow here' WHEN 2 THEN 'Installation Work Package cover, IWP Number 12, issued' WHEN 3 THEN 'issued for construction, package AB-12C-7 of this site'
+  WHEN 4 THEN 'Section 15117 fabrication of metallic pipe and tubing, Attachment A - Weld/Braze Log Sheet' WHEN 5 THEN 'Pipe hangers and supports as told by attachment C of it' WHEN 6 THEN 'a Field Material Request is attached to this long page' WHEN 7 THEN 'Logistics plan of the site with many words in it, more'
+  WHEN 8 THEN 'isos in processing: and the iso rev workflow status of all' WHEN 9 THEN 'Installation Work Package page with nothing to be read' WHEN 10 THEN 'only a Bill of Materials is here, without the drawing no' ELSE p_name || ' is not a page that any of the rules knows about' END AS text FROM part""",
+    "bom_rows": """
+SELECT l_orderkey * 1000 + line_number AS row_id, l_partkey % 300 AS page, l_linenumber AS point, CASE l_partkey % 7 WHEN 0 THEN 'PIPE ' WHEN 1 THEN 'GASKET ' WHEN 2 THEN 'STUD BOLT ' WHEN 3 THEN 'ELBOW ' WHEN 4 THEN '' ELSE 'GATE VALVE ' END || CASE WHEN l_partkey % 7 = 4 THEN '' ELSE p_name END AS description,
+  CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE cast(p_size AS string) END AS nominal_size, CASE WHEN l_partkey % 13 = 0 THEN '5UG' WHEN l_partkey % 9 = 0 THEN ' ' ELSE p_brand END AS commodity_code,
+  CASE l_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN cast(l_partkey % 40 AS string) || '.5''' ELSE cast(l_partkey % 12 AS string) END AS quantity,
+  'D-' || cast(l_partkey % 300 AS string) || CASE WHEN l_suppkey % 4 = 0 THEN '' ELSE '-0' || cast(l_suppkey % 4 AS string) END AS drawing, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE 'S' || cast(l_suppkey % 5 AS string) END AS schedule
+FROM raw_lines JOIN part ON l_partkey = p_partkey""",
+    "members": """
+SELECT c_custkey AS user_id, 'P' || cast(c_custkey % 4 AS string) AS project_id, c_custkey % 29 <> 0 AS search, c_custkey % 5 IN (1, 4) AS field_transact, c_custkey % 5 IN (3, 4) AS admin_backorder, c_custkey % 5 = 4 AS owner_edit,
+  c_custkey % 5 IN (2, 4) AS plan_review, c_custkey % 5 IN (3, 4) AND c_custkey % 31 <> 0 AS assign_number, c_custkey % 6 <> 0 AS active FROM customer""",
     "iso_pages": """
 SELECT 'D-' || cast(l_partkey % 500 AS string) AS drawing_number, CASE WHEN l_partkey % 50 = 0 AND l_suppkey % 3 = 2 THEN 'B' ELSE cast(l_suppkey % 3 AS string) END AS revision,
   cast(l_suppkey % 2 AS string) AS content_hash, 'src' || cast(l_orderkey % 10 AS string) AS source_path, l_orderkey * 1000 + line_number AS page FROM raw_lines""",
 }
-NEEDS = {"lines": ["raw_lines"], "stored_statuses": ["raw_lines", "lines"], "backorders": ["movements"], "notices": ["movements", "backorders"], "swaps": ["movements"], "bag_items": ["raw_lines", "lines"], "iso_pages": ["raw_lines"]}
+NEEDS = {"lines": ["raw_lines"], "stored_statuses": ["raw_lines", "lines"], "backorders": ["movements"], "notices": ["movements", "backorders"], "swaps": ["movements"], "bag_items": ["raw_lines", "lines"], "iso_pages": ["raw_lines"], "bag_stock": ["raw_lines", "lines", "requisitions"], "bag_rows": ["raw_lines", "lines", "bag_items"], "search_terms": ["requisitions", "raw_lines", "lines"],
+         "decided": ["movements"], "drafts": ["requisitions"], "draft_lines": ["raw_lines", "lines"], "bom_rows": ["raw_lines"]}
 
 
 def _order(names: list[str]) -> list[str]:
