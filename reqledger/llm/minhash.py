@@ -33,13 +33,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .shared import column, discard, materialize, packed, small_batches, table, unpacked
+from .shared import batch_rows, column, discard, materialize, packed, small_batches, table, unpacked
 from .textbuf import ASCII_SPACE, LOWER, chunks, mix, span_hashes, word_spans
 
 TREES, DEPTH, MIN_DEPTH, NEIGHBOURS, SLACK = 16, 8, 3, 6, 5.0
 #: Hashes of the rotated signature in a sort key, two bytes each.
 KEY_HASHES = 16
 WORDS, PERCENT = 5, 80
+#: Bytes of texts that are cut into words together; a worker holds some dozens of times as much.
+CHUNK_BYTES = 1 << 20
+#: Rows that hold blocks, in an Arrow batch.
+BLOCK_ROWS = 4
 #: Classes of a crowded region in a block, and bytes of their shingle sets.
 BLOCK, BLOCK_BYTES = 1024, 1 << 23
 #: Bits of the broadcast bitmap of wanted ids (32 MB). With more wanted ids than that bears, more texts pass it and are dropped by the join after it.
@@ -50,7 +54,7 @@ MULTIPLIERS, OFFSETS = _SEEDS[: TREES * DEPTH] | np.uint32(1), _SEEDS[TREES * DE
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles; the whole sequence as one where it has fewer words."""
-    for _, data, offsets in chunks(column):
+    for _, data, offsets in chunks(column, CHUNK_BYTES):
         data = LOWER[data]
         starts, stops, before = word_spans(data, offsets, ASCII_SPACE)
         word = span_hashes(data, starts, stops)
@@ -279,7 +283,8 @@ def _crowded(now: DataFrame, neighbours: int, min_depth: int, percent: int, bloc
                         pairs = np.stack([i, j], 1).astype("<u2").tobytes()
                         yield pa.RecordBatch.from_arrays([pa.array([f"{region.hex()}.{name}.{other}.{at}"]), pa.array([x[part][ui]], schema[1].type), pa.array([y[uj]], schema[2].type), pa.array([pairs], pa.binary())], schema=schema)
 
-    out = materialize(both.select("region", "name", "other", "x", "y").mapInArrow(run, "task string, xs array<long>, ys array<long>, at binary"), "crowd")
+    with batch_rows(now.sparkSession, BLOCK_ROWS):
+        out = materialize(both.select("region", "name", "other", "x", "y").mapInArrow(run, "task string, xs array<long>, ys array<long>, at binary"), "crowd")
     for t in (full, member, load, parts, sided, blocks):
         discard(t)
     return out
@@ -369,9 +374,12 @@ def _judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     pairs = candidates(now, neighbours, neighbours + 1)
     crowd = _crowded(now, neighbours, min_depth, percent, block)
     sets = _sets(docs, id_col, text_col, words, classes, ends(pairs).union(crowd.select(F.explode("xs"))).union(crowd.select(F.explode("ys"))))
-    late = materialize(_confirmed(pairs, sets, percent).union(_crowd_confirmed(crowd, sets, percent)), "late")
+    late = materialize(_confirmed(pairs, sets, percent), "late")
+    with batch_rows(docs.sparkSession, BLOCK_ROWS):
+        dense = materialize(_crowd_confirmed(crowd, sets, percent), "dense")
     for t in (pairs, crowd, sets):
         discard(t)
+    written, late = (late, dense), late.union(dense)
     # Links between components: components of the components.
     names = {end: closed.select(F.col("id").alias(end), F.col("component").alias(f"c{end}")) for end in "ab"}
     over = late.join(names["a"], "a", "left").join(names["b"], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
@@ -380,7 +388,7 @@ def _judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     member = materialize(member.select("set_hash", "doc_id", F.coalesce("top", "component").alias("component")), "members")
     least = materialize(member.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     lookup = materialize(member.join(least, "component").select("set_hash", "component_id"), "components")
-    for t in (closed, late, now, member, least, classes):
+    for t in (closed, *written, now, member, least, classes):
         discard(t)
     whole = F.coalesce("component_id", "doc_id")
     out = rows.select("doc_id", "n_shingles", "set_hash").join(lookup, "set_hash", "left").select(
