@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import normalize as N
 
@@ -13,6 +14,10 @@ WELD_LOG = ("SECTION 15117", "FABRICATION OF METALLIC PIPE AND TUBING", "ATTACHM
 PIPE_SUPPORT = ("PIPE HANGERS AND SUPPORTS", "ATTACHMENT C")
 IWP_VALUE = r"(?i)\b[A-Z]{2}-[A-Z0-9]+(?:-[A-Z0-9]+){1,}\b"
 FEWEST_CHARACTERS = 40
+VIEWS = ("EAST SIDE", "LOOKING EAST", "LOOKING NORTH", "LOOKING SOUTH", "LOOKING WEST", "NORTH SIDE", "SOUTH SIDE", "WEST SIDE")
+SAFE = ("pipe_support", "weld_log", "logistics", "attachment", "iso")
+#: A run of image pages is no longer than this, and each has at most so many characters of text.
+LONGEST_RUN, SPARSE = 6, 80
 FLAGS = ("search", "field_transact", "admin_backorder", "owner_edit", "plan_review", "assign_number")
 PROFILES = {"READ_ONLY": "100000", "FIELD": "110000", "PLANNER": "100010", "ADMIN": "101001", "OWNER": "111111"}
 
@@ -84,3 +89,27 @@ def permission_audit(projects: DataFrame, members: DataFrame) -> DataFrame:
     owners = members.filter("active and owner_edit").groupBy("project_id").agg(F.count("*").alias("owners"))
     out = projects.select("project_id").distinct().join(owners, "project_id", "left").na.fill(0, ["owners"])
     return out.withColumn("at_risk", F.col("owners") < 2)
+
+
+def image_runs(pages: DataFrame, classes: DataFrame) -> DataFrame:
+    """Short runs of pages that are one image each, and whether the run is an approved attachment: a page of a known class stands on both sides,
+    and either the run names a view or one of those pages is a pipe support. pages has package_id, page, page_id, text and images."""
+    lone = pages.filter((F.length(F.trim(F.coalesce("text", F.lit("")))) <= SPARSE) & (F.col("images") == 1))
+    within = Window.partitionBy("package_id").orderBy("page")
+    runs = lone.withColumn("island", F.col("page") - F.row_number().over(within))
+    short = runs.withColumn("n", F.count("*").over(Window.partitionBy("package_id", "island"))).filter(F.col("n") <= LONGEST_RUN)
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))), " ")
+    named = short.groupBy("package_id", "island").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.upper(F.regexp_replace(told, r"\s+", " ")).alias("told"))
+    kinds = pages.select("package_id", "page", "page_id").join(classes, "page_id")
+    left = kinds.select("package_id", (F.col("page") + 1).alias("first_page"), F.col("kind").alias("before"))
+    right = kinds.select("package_id", (F.col("page") - 1).alias("last_page"), F.col("kind").alias("after"))
+    out = named.join(left, ["package_id", "first_page"], "left").join(right, ["package_id", "last_page"], "left")
+    view = F.exists(F.array(*map(F.lit, VIEWS)), lambda m: F.contains(F.col("told"), m))
+    approved = F.col("before").isin(*SAFE) & F.col("after").isin(*SAFE) & (view | (F.col("before") == "pipe_support") | (F.col("after") == "pipe_support"))
+    return out.select("package_id", "first_page", "last_page", "before", "after", F.coalesce(approved, F.lit(False)).alias("approved"))
+
+
+def row_modes(rows: DataFrame) -> DataFrame:
+    """Which modes of a scan keep a material row: without pipe (as by default), with pipe, and pipe only. The mode of spools alone keeps none."""
+    pipe = F.coalesce(F.col("description"), F.lit("")).rlike(N.PIPE)
+    return rows.select("row_id", (~pipe).alias("by_default"), F.lit(True).alias("include_pipe"), pipe.alias("pipe_only"), F.lit(False).alias("spools_only"))

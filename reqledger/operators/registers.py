@@ -46,8 +46,10 @@ def register_totals(registered: DataFrame) -> DataFrame:
     return registered.groupBy("project_id").agg(F.count("*").alias("requisitions"), F.sum("line_count").alias("line_count"), *[F.sum(k).alias(k) for k in (*SUMS, "remaining")])
 
 
-def register_filters(requisitions: DataFrame) -> DataFrame:
-    return requisitions.groupBy("project_id").agg(F.array_join(F.array_sort(F.collect_set("priority")), ",").alias("priorities"))
+def register_filters(requisitions: DataFrame, lines: DataFrame) -> DataFrame:
+    """Priorities of each project's requisitions, and statuses of those with lines."""
+    listed = lambda c, name: F.array_join(F.array_sort(F.collect_set(c)), ",").alias(name)
+    return requisitions.join(header_rollup(lines), "req_id", "left").groupBy("project_id").agg(listed("priority", "priorities"), listed("status", "statuses"))
 
 
 #: Width of the slices that a register is numbered in, and the slice of rows without a sort value.

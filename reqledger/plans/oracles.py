@@ -128,7 +128,7 @@ def oracle_sql() -> dict[str, str]:
         "register_totals": v(f"{REG} SELECT project_id, count(*) AS requisitions, cast(sum(line_count) AS bigint) AS line_count, {sums} FROM reg GROUP BY project_id", *rl),
         "register_exceptions": v(f"{REG} SELECT project_id, count(*) AS requisitions, count(*) FILTER (remaining > 0) AS has_remaining, count(*) FILTER (located < requested) AS not_fully_located, count(*) FILTER (available > 0) AS has_available, count(*) FILTER (bagged > 0) AS has_bagged, count(*) FILTER (pending > 0) AS pending_backorder, count(*) FILTER (confirmed > 0) AS confirmed_backorder FROM reg GROUP BY project_id", *rl),
         "register_page": v(f"{REG} SELECT project_id, record, records, cast(ceil(records / 25) AS bigint) AS pages, req_number, sort_value FROM (SELECT project_id, req_number, remaining AS sort_value, row_number() OVER (PARTITION BY project_id ORDER BY remaining DESC, req_number) AS record, count(*) OVER (PARTITION BY project_id) AS records FROM reg) WHERE record BETWEEN 26 AND 50", *rl),
-        "register_filters": v("SELECT project_id, string_agg(DISTINCT priority, ',' ORDER BY priority) AS priorities FROM requisitions GROUP BY project_id", "requisitions"),
+        "register_filters": v(f"WITH h AS (SELECT req_id, CASE WHEN sum({REM}) <= 0 AND sum(qty_requested) > 0 THEN 'Complete' WHEN sum(qty_issued) > 0 THEN 'Partially Issued' WHEN sum(qty_pending_backorder) + sum(qty_confirmed_backorder) > 0 THEN 'Backordered' WHEN sum(qty_confirmed_located) > 0 THEN 'In Progress' ELSE 'Open' END AS status FROM lines WHERE active GROUP BY 1) SELECT project_id, string_agg(DISTINCT priority, ',' ORDER BY priority) AS priorities, string_agg(DISTINCT status, ',' ORDER BY status) AS statuses FROM requisitions LEFT JOIN h USING (req_id) GROUP BY project_id", *rl),
         "line_state": v(f"SELECT line_id, upper(iso_number) || '|' || upper(iso_sheet) AS iso_key, cast({NYL} AS double) AS not_yet_located, cast({REM} AS double) AS remaining, {STATUS} AS line_status FROM lines", "lines"),
         "line_ceilings": v(f"SELECT line_id, cast({LOC} AS double) AS locatable, cast(greatest(0, qty_available + {LOC}) AS double) AS reservable, cast({NEW} AS double) AS new_backorder, cast(greatest(0, qty_available) AS double) AS lendable, cast({SHORT} AS double) AS shortage FROM lines", "lines"),
         "action_limits": v(" UNION ALL ".join(f"SELECT line_id, '{a}' AS action, cast({x} AS double) AS max_quantity FROM lines" for a, x in (("CONFIRM_AVAILABLE", LOC), ("BAG", f"greatest(0, qty_available + {LOC})"), ("DIRECT_ISSUE", f"least({LOC}, {REM})"), ("ISSUE_FROM_AVAILABLE", f"least(qty_available, {REM})"), ("BACKORDER_REQUESTED", NEW))), "lines"),

@@ -11,7 +11,7 @@ from ..functions import derive, normalize
 from ..operators import drafts, integrity, registers, replay, swaps, takeoff, waterfall
 from ..sources.bridge import domain
 from ..streaming import streams
-from . import desk, oracles
+from . import desk, office, oracles
 
 AS_OF = oracles.AS_OF
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +71,7 @@ def queries() -> dict[str, Query]:
         "register_totals": _registered(registers.register_totals),
         "register_exceptions": _registered(registers.register_exceptions),
         "register_page": _registered(lambda r: registers.register_page(r, 2, 25)),
-        "register_filters": _over(registers.register_filters, "requisitions"),
+        "register_filters": _over(registers.register_filters, "requisitions", "lines"),
         "line_state": _over(line_state, "lines"),
         "line_ceilings": _over(line_ceilings, "lines"),
         "action_limits": _over(derive.action_limits, "lines"),
@@ -135,8 +135,8 @@ def queries() -> dict[str, Query]:
         "stream_dedup": lambda spark, d: streams.run(streams.dedup(streams.movements(spark, d))),
         "stream_activity": lambda spark, d: streams.run(streams.activity(streams.movements(spark, d)), "complete"),
         "stream_ledger": stream_ledger,
-    } | desk.queries(_over)
+    } | desk.queries(_over) | office.queries(_over)
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql() | desk.oracle_sql()
+    return oracles.oracle_sql() | desk.oracle_sql() | office.oracle_sql()

@@ -96,12 +96,60 @@ FROM raw_lines JOIN part ON l_partkey = p_partkey""",
     "members": """
 SELECT c_custkey AS user_id, 'P' || cast(c_custkey % 4 AS string) AS project_id, c_custkey % 29 <> 0 AS search, c_custkey % 5 IN (1, 4) AS field_transact, c_custkey % 5 IN (3, 4) AS admin_backorder, c_custkey % 5 = 4 AS owner_edit,
   c_custkey % 5 IN (2, 4) AS plan_review, c_custkey % 5 IN (3, 4) AND c_custkey % 31 <> 0 AS assign_number, c_custkey % 6 <> 0 AS active FROM customer""",
+    "controls": """
+SELECT 'P' || cast(n_nationkey AS string) AS project_id, n_nationkey % 2 = 1 OR n_nationkey = 2 AS field_locked, n_nationkey % 3 = 2 AS import_locked, CASE WHEN n_nationkey = 1 THEN NULL ELSE 'stocktake of ' || n_name END AS reason FROM nation WHERE n_nationkey < 3""",
+    "corrections": """
+SELECT l.line_id AS id, l.line_id, l.req_id, l.project_id, r.last_activity AS applied_at, CASE WHEN l.line_id % 3 = 0 THEN 'CORRECTION_DIRECT_ISSUE' ELSE 'REVERSAL_DIRECT_ISSUE' END AS types, 'recount ' || cast(l.line_number AS string) AS reason
+FROM lines l JOIN requisitions r ON l.req_id = r.req_id WHERE l.line_id % 10 = 3""",
+    "review_items": """
+SELECT draft_id, project_id, batch_id, number, archived, draft_id % 7 = 6 AS published, CASE draft_id % 7 WHEN 0 THEN 'DRAFT' WHEN 1 THEN 'PENDING_PLANNER_REVIEW' WHEN 2 THEN 'PLANNER_APPROVED' WHEN 3 THEN 'PLANNER_RETURNED' WHEN 4 THEN 'PENDING_MATERIAL_MANAGER' WHEN 5 THEN 'NUMBER_ASSIGNED' ELSE 'PUBLISHED' END AS state FROM drafts""",
+    "batches": """
+SELECT batch_id, CASE batch_id % 3 WHEN 0 THEN 'workbook' WHEN 1 THEN 'drawings' ELSE 'manual' END AS source, batch_id % 13 = 0 AS archived, batch_id % 7 = 0 AS published, cast(9 AS bigint) AS line_count, cast(1 AS bigint) AS error_count, cast(2 AS bigint) AS warning_count FROM (SELECT DISTINCT batch_id FROM drafts) d
+UNION ALL SELECT cast(-1 - n_nationkey AS bigint), 'manual', false, false, cast(n_nationkey AS bigint), cast(0 AS bigint), cast(1 AS bigint) FROM nation""",
+    "draft_issues": """
+SELECT draft_id, CASE WHEN line_number = 7 THEN NULL ELSE line_number END AS line_number, CASE WHEN raw_quantity IN ('abc', '') THEN 'BAD_QUANTITY' WHEN raw_quantity = '0' THEN 'ZERO_QUANTITY' WHEN trim(description) = '' THEN 'NO_DESCRIPTION' ELSE 'ODD_SIZE' END AS code,
+  CASE WHEN raw_quantity IN ('abc', '') OR trim(description) = '' THEN 'error' ELSE 'warning' END AS severity, line_number % 3 = 0 AS resolved FROM draft_lines WHERE raw_quantity IN ('abc', '', '0') OR trim(description) = '' OR raw_size = 'SEE DETAIL'""",
+    "incoming": """
+SELECT req_id AS draft_id, project_id, CASE req_id % 3 WHEN 0 THEN cast(req_id + 4 AS string) WHEN 1 THEN 'x' || cast(req_id + 8 - req_id % 8 AS string) ELSE NULL END AS number FROM requisitions WHERE req_id % 5 = 0""",
+    "split_requests": "SELECT id, line_id, CASE WHEN id % 6 = 0 THEN NULL WHEN id % 17 = 0 THEN id + 100000000000 ELSE id - 1 END AS split_from_id, quantity AS qty_requested FROM movements",
+    "pick_values": """
+SELECT CASE p_partkey % 4 WHEN 0 THEN 'BACKORDER_REASON' WHEN 1 THEN 'UOM' WHEN 2 THEN 'PRIORITY' ELSE 'STORAGE_LOCATION' END AS list_name, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'P' || cast(cast(floor(p_partkey / 7) AS bigint) % 4 AS string) END AS project_id,
+  p_type || ' ' || cast(p_size AS string) AS value, p_partkey % 7 <> 0 AS active FROM part""",
+    "line_places": "SELECT project_id, CASE WHEN line_id % 9 = 0 THEN '' ELSE 'BIN ' || iso_sheet || '-' || cast(line_id % 60 AS string) END AS storage_location FROM lines",
+    "owned_profiles": "SELECT 'P' || cast(n_nationkey % 4 AS string) AS project_id, CASE n_nationkey % 5 WHEN 0 THEN 'Default' WHEN 1 THEN 'TAKEOFF' ELSE n_name END AS name FROM nation WHERE n_nationkey < 8",
+    "package_pages": """
+SELECT p_partkey AS page_id, cast(floor(p_partkey / 25) AS bigint) AS package_id, p_partkey % 25 AS page, CASE WHEN p_partkey % 9 IN (3, 4, 5) THEN 1 ELSE 0 END AS images,
+  CASE WHEN p_partkey % 27 = 3 THEN 'view  looking' WHEN p_partkey % 27 = 4 THEN 'north of it' WHEN p_partkey % 9 IN (3, 4, 5) THEN '' WHEN p_partkey % 9 = 2 AND p_partkey % 4 < 2 THEN 'Pipe hangers and supports as told by attachment C of it'
+    WHEN p_partkey % 9 = 6 AND p_partkey % 5 < 3 THEN 'Isometric Drawing Number D-1 and the Bill of Materials follow here' WHEN p_partkey % 9 = 2 THEN 'a Field Material Request is attached to this long page' ELSE p_name || ' is not a page that any of the rules knows about' END AS text FROM part""",
+    "cell_text": """
+SELECT p_partkey AS part_id, CASE p_partkey % 7 WHEN 0 THEN '2-Jan' WHEN 1 THEN 'Mar 4' WHEN 2 THEN '1-DEC' WHEN 3 THEN '8-Maybe' WHEN 4 THEN '5-Foo' WHEN 5 THEN ' 3 april ' ELSE '1/2' END AS raw_size,
+  CASE p_partkey % 5 WHEN 0 THEN '2024-03-09' WHEN 1 THEN '3/9/2024' WHEN 2 THEN ' Mar 9, 2024' WHEN 3 THEN 'soon' ELSE '' END AS raw_date, CASE p_partkey % 4 WHEN 0 THEN '1,' || lpad(cast(p_partkey % 1000 AS string), 3, '0') || '.5' WHEN 1 THEN ' 7 ' WHEN 2 THEN 'n/a' ELSE NULL END AS raw_number,
+  CASE p_partkey % 3 WHEN 0 THEN ' yes' WHEN 1 THEN 'Y' ELSE NULL END AS raw_flag, CASE p_partkey % 3 WHEN 0 THEN 'TXN-1A1855A9-0000-4000-8000-0000000000FF' WHEN 1 THEN '1a1855a9-0000-4000-8000-0000000000ff' ELSE 'odd-key' END AS raw_key,
+  ' User' || cast(p_partkey AS string) || '@Example.COM ' AS raw_email, p_brand || ' / ' || p_name AS package, 'CWA ' || cast(p_partkey % 3 AS string) AS area, p_partkey % 120 AS sheet_index FROM part""",
+    "legacy_headers": """
+SELECT 'FMR-' || cast(o_orderkey AS string) AS fmr_id, ' ' || cast(o_orderkey AS string) || ' ' AS fmr_number, CASE o_orderkey % 4 WHEN 0 THEN cast(cast(o_orderdate AS date) AS string) WHEN 1 THEN '' ELSE 'soon' END AS date_required,
+  CASE o_orderkey % 5 WHEN 0 THEN ' ' ELSE 'In Progress' END AS current_status, CASE o_orderkey % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN ' YES ' ELSE 'no' END AS active FROM orders WHERE o_orderkey % 17 <> 0""",
+    "legacy_lines": """
+SELECT 'LN-' || cast(line_id AS string) AS line_id, 'FMR-' || cast(req_id AS string) AS fmr_id, CASE WHEN line_id % 61 = 0 THEN 'none' WHEN qty_requested > 45 THEN '1,0' || cast(cast(qty_requested AS bigint) AS string) ELSE cast(cast(qty_requested AS bigint) AS string) END AS qty_requested,
+  cast(cast(qty_confirmed_located AS bigint) + CASE WHEN line_id % 53 = 0 THEN 1 ELSE 0 END AS string) AS qty_confirmed_located, cast(cast(qty_available AS bigint) AS string) AS qty_available, cast(cast(qty_active_bagged AS bigint) AS string) AS qty_active_bagged,
+  cast(cast(qty_issued AS bigint) AS string) AS qty_issued, iso_number, CASE WHEN line_id % 71 = 0 THEN ' ' ELSE iso_sheet END AS iso_sheet, CASE line_id % 4 WHEN 0 THEN 'said "now"' WHEN 1 THEN 'two' || chr(10) || 'lines, here' ELSE description END AS notes FROM lines""",
+    "legacy_requests": """
+SELECT 'BO-' || cast(line_id AS string) AS request_id, 'FMR-' || cast(req_id AS string) AS fmr_id, CASE WHEN line_id % 47 = 0 THEN 'LN-0' ELSE 'LN-' || cast(line_id AS string) END AS line_id, cast(cast(qty_pending_backorder AS bigint) AS string) AS qty_pending,
+  CASE line_id % 5 WHEN 0 THEN 'Pending Admin Review' WHEN 1 THEN ' returned to FIELD' WHEN 2 THEN '' WHEN 3 THEN 'Confirmed' ELSE NULL END AS status, CASE line_id % 3 WHEN 0 THEN 'CORR-1A1855A9-0000-4000-8000-0000000000FF' WHEN 1 THEN '' ELSE 'odd' END AS correlation_id FROM lines WHERE qty_pending_backorder > 0""",
+    "grid_rows": """
+SELECT o_orderkey AS sheet_id, 0 AS row, 'FIELD MATERIAL REQUEST' AS cells_text FROM orders UNION ALL SELECT o_orderkey, 1, 'IWP No:;' || cast(o_custkey AS string) || ';Item;x' FROM orders
+UNION ALL SELECT o_orderkey, 2, CASE o_orderkey % 4 WHEN 0 THEN 'Item;Commodity Code;Size;Description;Qty;UOM' WHEN 1 THEN '#;Code;N.P.S;material description;Qty. Req;Unit' WHEN 2 THEN 'No;Cmdty;Dia;Desc;Required amount;U/M' ELSE 'alpha;beta;--' END FROM orders
+UNION ALL SELECT l_orderkey, cast(line_number + 2 AS int), CASE WHEN line_number % 9 = 8 OR (l_orderkey % 10 = 5 AND line_number BETWEEN 2 AND 4) THEN ';;;;;' WHEN l_orderkey % 6 = 2 AND line_number = 4 THEN ';;;Total of all;9;' ELSE
+  cast(line_number AS string) || ';' || p_brand || ';' || CASE WHEN l_partkey % 19 = 0 THEN 'SEE DETAIL' ELSE cast(p_size AS string) END || ';' || CASE WHEN l_partkey % 23 = 0 THEN ' ' ELSE p_name END || ';' || CASE l_partkey % 29 WHEN 0 THEN 'abc' WHEN 1 THEN '0' ELSE cast(cast(l_quantity AS bigint) AS string) END || ';' || CASE WHEN l_partkey % 2 = 0 THEN 'ft' ELSE 'EA' END END
+FROM raw_lines JOIN part ON l_partkey = p_partkey""",
     "iso_pages": """
 SELECT 'D-' || cast(l_partkey % 500 AS string) AS drawing_number, CASE WHEN l_partkey % 50 = 0 AND l_suppkey % 3 = 2 THEN 'B' ELSE cast(l_suppkey % 3 AS string) END AS revision,
   cast(l_suppkey % 2 AS string) AS content_hash, 'src' || cast(l_orderkey % 10 AS string) AS source_path, l_orderkey * 1000 + line_number AS page FROM raw_lines""",
 }
 NEEDS = {"lines": ["raw_lines"], "stored_statuses": ["raw_lines", "lines"], "backorders": ["movements"], "notices": ["movements", "backorders"], "swaps": ["movements"], "bag_items": ["raw_lines", "lines"], "iso_pages": ["raw_lines"], "bag_stock": ["raw_lines", "lines", "requisitions"], "bag_rows": ["raw_lines", "lines", "bag_items"], "search_terms": ["requisitions", "raw_lines", "lines"],
-         "decided": ["movements"], "drafts": ["requisitions"], "draft_lines": ["raw_lines", "lines"], "bom_rows": ["raw_lines"]}
+         "decided": ["movements"], "drafts": ["requisitions"], "draft_lines": ["raw_lines", "lines"], "bom_rows": ["raw_lines"],
+         "corrections": ["raw_lines", "lines", "requisitions"], "review_items": ["requisitions", "drafts"], "batches": ["requisitions", "drafts"], "draft_issues": ["raw_lines", "lines", "draft_lines"], "incoming": ["requisitions"], "split_requests": ["movements"],
+         "line_places": ["raw_lines", "lines"], "legacy_lines": ["raw_lines", "lines"], "legacy_requests": ["raw_lines", "lines"], "grid_rows": ["raw_lines"]}
 
 
 def _order(names: list[str]) -> list[str]:
