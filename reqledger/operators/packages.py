@@ -15,6 +15,7 @@ PIPE_SUPPORT = ("PIPE HANGERS AND SUPPORTS", "ATTACHMENT C")
 IWP_VALUE = r"(?i)\b[A-Z]{2}-[A-Z0-9]+(?:-[A-Z0-9]+){1,}\b"
 FEWEST_CHARACTERS = 40
 VIEWS = ("EAST SIDE", "LOOKING EAST", "LOOKING NORTH", "LOOKING SOUTH", "LOOKING WEST", "NORTH SIDE", "SOUTH SIDE", "WEST SIDE")
+DOUBT_ERRORS = ("missing_quantity", "missing_description")
 SAFE = ("pipe_support", "weld_log", "logistics", "attachment", "iso")
 #: A run of image pages is no longer than this, and each has at most so many characters of text.
 LONGEST_RUN, SPARSE = 6, 80
@@ -113,3 +114,15 @@ def row_modes(rows: DataFrame) -> DataFrame:
     """Which modes of a scan keep a material row: without pipe (as by default), with pipe, and pipe only. The mode of spools alone keeps none."""
     pipe = F.coalesce(F.col("description"), F.lit("")).rlike(N.PIPE)
     return rows.select("row_id", (~pipe).alias("by_default"), F.lit(True).alias("include_pipe"), pipe.alias("pipe_only"), F.lit(False).alias("spools_only"))
+
+
+def group_drawings(rows: DataFrame, reasons: DataFrame, drawings: DataFrame) -> DataFrame:
+    """Issues of the drafts that drawings become: each doubt about a material row, at its line and point, an error where quantity or description
+    is missing; a drawing without material; and that every draft lacks its number. reasons has row_id and a comma-joined list."""
+    placed = rows.withColumn("line_number", F.row_number().over(Window.partitionBy("drawing").orderBy("row_id")).cast("long"))
+    doubts = placed.join(reasons, "row_id").select("drawing", "line_number", F.col("point").cast("string").alias("source_row"), F.explode(F.split("reasons", ",")).alias("reason")).filter("reason <> ''")
+    by_row = doubts.select("drawing", "line_number", "source_row", F.upper("reason").alias("code"), F.when(F.col("reason").isin(*DOUBT_ERRORS), "error").otherwise("warning").alias("severity"))
+    every = drawings.select("drawing").union(rows.select("drawing")).distinct()
+    about = lambda df, code, severity: df.select("drawing", F.lit(None).cast("long"), F.lit(None).cast("string"), F.lit(code), F.lit(severity))
+    empty = every.join(rows.select("drawing").distinct(), "drawing", "left_anti")
+    return by_row.union(about(empty, "NO_MATERIAL", "error")).union(about(every, "NEEDS_FMR_NUMBER", "warning"))

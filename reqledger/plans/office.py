@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cells
-from ..operators import bags, grids, legacy, office, packages, staging
+from ..operators import bags, grids, legacy, office, packages, staging, words
 from ..sources import sheets
 from ..sources.bridge import domain, with_views
 from . import desk
@@ -29,6 +29,8 @@ ff AS (SELECT sheet_id, field, min(col) AS col FROM fc WHERE field IS NOT NULL G
 f2 AS (SELECT sheet_id, string_agg(trim(cell), ',' ORDER BY col) AS unmatched FROM fc WHERE field IS NULL AND trim(cell) <> '' GROUP BY 1)"""
 LEGACY = """hk AS (SELECT DISTINCT fmr_id FROM legacy_headers), gk AS (SELECT DISTINCT line_id FROM legacy_lines WHERE fmr_id IN (SELECT fmr_id FROM hk)),
 rs AS (SELECT 'headers' AS sheet, fmr_id AS old_id, true AS known FROM legacy_headers UNION ALL SELECT 'lines', line_id, fmr_id IN (SELECT fmr_id FROM hk) FROM legacy_lines UNION ALL SELECT 'requests', request_id, fmr_id IN (SELECT fmr_id FROM hk) AND line_id IN (SELECT line_id FROM gk) FROM legacy_requests)"""
+WORD_LINES = """o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY top, x0, word_id) AS rn FROM words),
+r AS (SELECT page_id, word_id, rn, top AS began, 1 AS line FROM o WHERE rn = 1 UNION ALL SELECT o.page_id, o.word_id, o.rn, CASE WHEN abs(o.top - r.began) <= 5 THEN r.began ELSE o.top END, CASE WHEN abs(o.top - r.began) <= 5 THEN r.line ELSE r.line + 1 END FROM r JOIN o ON o.page_id = r.page_id AND o.rn = r.rn + 1)"""
 NUMBER = "coalesce(try_cast(replace(coalesce({}, ''), ',', '') AS double), 0)"
 
 
@@ -98,6 +100,10 @@ def queries(over) -> dict:
         "read_export": read_export,
         "write_takeoff": write_takeoff,
         "manifest_history": manifest_history,
+        "line_grouping": over(words.line_grouping, "words"),
+        "bucket_words": over(lambda w, r: words.bucket_words(w, words.line_grouping(w), r), "words", "column_ranges"),
+        "drawing_identity": over(words.drawing_identity, "words", "word_pages"),
+        "group_drawings": over(lambda m, p: packages.group_drawings(m, packages.material_review(m), p.select(F.col("drawing_number").alias("drawing"))), "bom_rows", "iso_pages"),
         "find_header_row": over(grids.header_rows, "grid_rows"),
         "extract_lines": over(grids.material_lines, "grid_rows"),
         "fit_report": over(grids.fit_report, "grid_rows"),
@@ -165,6 +171,15 @@ FROM r LEFT JOIN k b ON r.package_id = b.package_id AND b.page = first_page - 1
 SELECT f.on_sheet, count(line_number) AS rows, count(DISTINCT line_number) AS drawings FROM (VALUES ('COMBINED'), ('BLINDS'), ('PIPE & FITTINGS'), ('BOLTS & GASKETS'), ('SUPPORTS'), ('VALVES'), ('BIRDSCREENS'), ('OTHER MATERIALS')) f(on_sheet) LEFT JOIN w ON f.on_sheet = w.on_sheet GROUP BY 1""", "bom_rows"),
         "manifest_history": v("""WITH d AS (SELECT *, coalesce(trim(commodity_code), '') = '' OR coalesce(trim(description), '') = '' OR coalesce(trim(nominal_size), '') = '' OR coalesce(trim(quantity), '') = '' OR row_id <> min(row_id) OVER (PARTITION BY page, point) AS doubt FROM bom_rows)
 SELECT 'PK-' || cast(page % 20 AS varchar) AS package_number, count(DISTINCT page) AS runs, count(DISTINCT drawing) AS drawings, count(*) AS rows, count(*) FILTER (doubt) AS review_rows, round(count(*) FILTER (doubt) / count(*), 4) AS review_rate FROM d GROUP BY 1""", "bom_rows"),
+        "line_grouping": v(f"WITH {WORD_LINES} SELECT page_id, word_id, cast(line AS bigint) AS line FROM r", "words", recursive=True),
+        "bucket_words": v(f"WITH {WORD_LINES} SELECT r.page_id, cast(line AS bigint) AS line, name AS column_name, string_agg(text, ' ' ORDER BY x0, r.word_id) AS text FROM r JOIN words w ON r.word_id = w.word_id JOIN column_ranges c ON c.page_id = r.page_id AND x0 >= x_from AND x0 < x_to GROUP BY 1, 2, 3", "words", "column_ranges", recursive=True),
+        "drawing_identity": v("""WITH f AS (SELECT *, upper(text) AS number FROM words WHERE starts_with(text, 'd-')), t AS (SELECT page_id, number FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY x0 + top DESC, word_id) AS k FROM f WHERE x0 >= 330 AND top >= 400) WHERE k = 1),
+n AS (SELECT page_id, number, count(*) AS c, min((top, x0, word_id)) AS first FROM f GROUP BY 1, 2), m AS (SELECT page_id, number FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY c DESC, first) AS k FROM n) WHERE k = 1)
+SELECT p.page_id, coalesce(t.number, m.number, upper(source_name)) AS drawing, CASE WHEN t.number IS NOT NULL THEN 'title_block' WHEN m.number IS NOT NULL THEN 'repeated' ELSE 'file_name' END AS rule FROM word_pages p LEFT JOIN t ON p.page_id = t.page_id LEFT JOIN m ON p.page_id = m.page_id""", "words", "word_pages"),
+        "group_drawings": v("""WITH b AS (SELECT *, row_number() OVER (PARTITION BY drawing ORDER BY row_id) AS line_number, row_id <> min(row_id) OVER (PARTITION BY page, point) AS again FROM bom_rows), d AS (SELECT drawing_number AS drawing FROM iso_pages UNION SELECT drawing FROM bom_rows)
+SELECT drawing, line_number, cast(point AS varchar) AS source_row, code, severity FROM (SELECT *, 'MISSING_QUANTITY' AS code, 'error' AS severity FROM b WHERE coalesce(trim(quantity), '') = '' UNION ALL SELECT *, 'MISSING_DESCRIPTION', 'error' FROM b WHERE coalesce(trim(description), '') = ''
+  UNION ALL SELECT *, 'MISSING_COMMODITY_CODE', 'warning' FROM b WHERE coalesce(trim(commodity_code), '') = '' UNION ALL SELECT *, 'MISSING_NOMINAL_SIZE', 'warning' FROM b WHERE coalesce(trim(nominal_size), '') = '' UNION ALL SELECT *, 'DUPLICATE_BOM_POINT_NUMBER', 'warning' FROM b WHERE again)
+UNION ALL SELECT drawing, NULL, NULL, 'NO_MATERIAL', 'error' FROM d WHERE drawing NOT IN (SELECT drawing FROM bom_rows) UNION ALL SELECT drawing, NULL, NULL, 'NEEDS_FMR_NUMBER', 'warning' FROM d""", "bom_rows", "iso_pages"),
         "find_header_row": v(f"WITH {HEADINGS}, {HEAD} SELECT * FROM fp", "grid_rows"),
         "extract_lines": v(f"""WITH {HEADINGS}, {HEAD}, x AS (SELECT g.sheet_id, row, {cell('description')} AS description, {cell('quantity')} AS q, {cell('size')} AS z, {cell('uom')} AS u, {cell('commodity_code')} AS commodity_code FROM gl g JOIN fp ON g.sheet_id = fp.sheet_id AND row > header_row),
 b AS (SELECT *, description = '' AND q = '' AS blank FROM x), e AS (SELECT sheet_id, min(row) AS stop FROM (SELECT *, lag(blank, 1, false) OVER w AND lag(blank, 2, false) OVER w AND blank AS third FROM b WINDOW w AS (PARTITION BY sheet_id ORDER BY row)) WHERE third OR (NOT blank AND lower(description) LIKE 'total%') GROUP BY 1)

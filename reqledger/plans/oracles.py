@@ -184,7 +184,7 @@ WHERE NOT (row = 0 AND len(f) >= 2 AND len(list_filter(f, lambda x: NOT regexp_f
         "field_notes_topk": v("WITH n AS (SELECT line_id, ts, id, action AS note FROM movements WHERE action <> 'CONFIRM_AVAILABLE' UNION ALL SELECT line_id, reported_at, id, status FROM backorders), p AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY ts DESC, id DESC, note) AS place, count(*) OVER (PARTITION BY line_id) AS notes FROM n) SELECT line_id, notes, notes > 20 AS truncated, string_agg(cast(id AS string) || ':' || note, ',' ORDER BY place) AS listed FROM p WHERE place <= 20 GROUP BY line_id, notes", "backorders"),
         "bag_closure": v("SELECT bag_id, count(*) AS items, CASE WHEN bool_or(active AND qty_remaining > 0) THEN 'Active' ELSE 'Closed' END AS status FROM bag_items GROUP BY bag_id", "bag_items"),
         "stream_sessions": "SELECT line_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY line_id ORDER BY ts, event_id) AS k FROM (SELECT user_id AS line_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < interval 30 minutes THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY line_id, k",
-        "stream_dedup": f"SELECT DISTINCT user_id AS line_id, {act} AS action FROM events",
+        "stream_dedup": f"SELECT event_id AS id, user_id AS line_id, {act} AS action, cast(ceil(value / 10) AS double) AS quantity FROM events",
         "stream_activity": f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, {act} AS action, count(*) AS n, sum(ceil(value / 10)) AS quantity FROM events GROUP BY ALL",
     }
     out |= {k: v(s, *CHECK_VIEWS) for k, s in CHECKS.items()}

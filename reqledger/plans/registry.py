@@ -132,7 +132,7 @@ def queries() -> dict[str, Query]:
         "field_notes_topk": _over(swaps.field_notes, "movements", "backorders"),
         "bag_closure": _over(swaps.bag_closure, "bag_items"),
         "stream_sessions": lambda spark, d: streams.run(streams.sessions(streams.movements(spark, d)), "complete"),
-        "stream_dedup": lambda spark, d: streams.run(streams.dedup(streams.movements(spark, d))),
+        "stream_dedup": lambda spark, d: streams.run(streams.dedup(streams.movements(spark, d).union(streams.movements(spark, d)))),
         "stream_activity": lambda spark, d: streams.run(streams.activity(streams.movements(spark, d)), "complete"),
         "stream_ledger": stream_ledger,
     } | desk.queries(_over) | office.queries(_over)

@@ -142,6 +142,13 @@ UNION ALL SELECT o_orderkey, 2, CASE o_orderkey % 4 WHEN 0 THEN 'Item;Commodity
 UNION ALL SELECT l_orderkey, cast(line_number + 2 AS int), CASE WHEN line_number % 9 = 8 OR (l_orderkey % 10 = 5 AND line_number BETWEEN 2 AND 4) THEN ';;;;;' WHEN l_orderkey % 6 = 2 AND line_number = 4 THEN ';;;Total of all;9;' ELSE
   cast(line_number AS string) || ';' || p_brand || ';' || CASE WHEN l_partkey % 19 = 0 THEN 'SEE DETAIL' ELSE cast(p_size AS string) END || ';' || CASE WHEN l_partkey % 23 = 0 THEN ' ' ELSE p_name END || ';' || CASE l_partkey % 29 WHEN 0 THEN 'abc' WHEN 1 THEN '0' ELSE cast(cast(l_quantity AS bigint) AS string) END || ';' || CASE WHEN l_partkey % 2 = 0 THEN 'ft' ELSE 'EA' END END
 FROM raw_lines JOIN part ON l_partkey = p_partkey""",
+    "words": """
+SELECT l_orderkey * 1000 + line_number AS word_id, l_orderkey AS page_id, cast(l_partkey % 600 AS double) AS x0, cast(l_suppkey % 10 AS double) * 3 + cast(line_number % 3 AS double) * 200 AS top, cast(600 AS double) AS page_width, cast(500 AS double) AS page_height,
+  CASE WHEN l_partkey % 3 = 0 THEN 'd-' || cast(l_partkey % 12 AS string) ELSE p_brand END AS text FROM raw_lines JOIN part ON l_partkey = p_partkey""",
+    "word_pages": "SELECT o_orderkey AS page_id, 'pkg-' || cast(o_custkey AS string) AS source_name FROM orders",
+    "column_ranges": """
+SELECT o_orderkey AS page_id, 'code' AS name, cast(20 AS double) AS x_from, cast(150 + o_orderkey % 3 * 20 AS double) AS x_to FROM orders UNION ALL SELECT o_orderkey, 'description', cast(150 + o_orderkey % 3 * 20 AS double), cast(350 AS double) FROM orders
+UNION ALL SELECT o_orderkey, 'quantity', cast(350 AS double), cast(580 AS double) FROM orders""",
     "iso_pages": """
 SELECT 'D-' || cast(l_partkey % 500 AS string) AS drawing_number, CASE WHEN l_partkey % 50 = 0 AND l_suppkey % 3 = 2 THEN 'B' ELSE cast(l_suppkey % 3 AS string) END AS revision,
   cast(l_suppkey % 2 AS string) AS content_hash, 'src' || cast(l_orderkey % 10 AS string) AS source_path, l_orderkey * 1000 + line_number AS page FROM raw_lines""",
@@ -149,7 +156,7 @@ SELECT 'D-' || cast(l_partkey % 500 AS string) AS drawing_number, CASE WHEN l_pa
 NEEDS = {"lines": ["raw_lines"], "stored_statuses": ["raw_lines", "lines"], "backorders": ["movements"], "notices": ["movements", "backorders"], "swaps": ["movements"], "bag_items": ["raw_lines", "lines"], "iso_pages": ["raw_lines"], "bag_stock": ["raw_lines", "lines", "requisitions"], "bag_rows": ["raw_lines", "lines", "bag_items"], "search_terms": ["requisitions", "raw_lines", "lines"],
          "decided": ["movements"], "drafts": ["requisitions"], "draft_lines": ["raw_lines", "lines"], "bom_rows": ["raw_lines"],
          "corrections": ["raw_lines", "lines", "requisitions"], "review_items": ["requisitions", "drafts"], "batches": ["requisitions", "drafts"], "draft_issues": ["raw_lines", "lines", "draft_lines"], "incoming": ["requisitions"], "split_requests": ["movements"],
-         "line_places": ["raw_lines", "lines"], "legacy_lines": ["raw_lines", "lines"], "legacy_requests": ["raw_lines", "lines"], "grid_rows": ["raw_lines"]}
+         "line_places": ["raw_lines", "lines"], "legacy_lines": ["raw_lines", "lines"], "legacy_requests": ["raw_lines", "lines"], "grid_rows": ["raw_lines"], "words": ["raw_lines"]}
 
 
 def _order(names: list[str]) -> list[str]:

@@ -13,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 ACTIONS = {"view": "CONFIRM_AVAILABLE", "click": "BAG", "purchase": "ISSUE_FROM_AVAILABLE", "error": "DIRECT_ISSUE"}
 #: The log is ordered within files but not between them; later rows than this are dropped.
 LATENESS = "3650 days"
+#: A movement that is sent again comes within this time of the first (fixed value).
+RESENT = "48 hours"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -45,8 +47,8 @@ def run(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def dedup(log: DataFrame) -> DataFrame:
-    """The first movement of each line and action, whatever is sent again within the watermark."""
-    return log.withWatermark("ts", LATENESS).dropDuplicatesWithinWatermark(["line_id", "action"]).select("line_id", "action")
+    """Whole movements, each once however often it is sent again within 48 hours; the state of older ones is given up."""
+    return log.withWatermark("ts", RESENT).dropDuplicatesWithinWatermark(["line_id", "id"]).select("id", "line_id", "action", "quantity")
 
 
 def activity(log: DataFrame, width: str = "1 hour") -> DataFrame:
