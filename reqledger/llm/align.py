@@ -26,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .packing import CACHE_WORDS, UNCUT, Encoder
+from .packing import UNCUT, Encoder
 from .shared import batch_rows, discard, materialize, small_batches, table
 from .textbuf import ASCII_SPACE, chunks, same_spans, span_hashes
 
 #: Tokens of A between two entries into a long document, and (document, pair) entries of a block.
 LANE, BLOCK_PAIRS = 1024, 1_000_000
+#: Pieces whose ids a worker remembers, and bytes of text in one state (a longer text has one of its own): both bound a worker's memory.
+CACHE_WORDS, STATE_BYTES = 150_000, 1 << 20
 #: Groups with more links than this are counted by their distinct ids.
 WIDE = 1 << 16
 #: Rows of a dictionary that a batch of the exploded table holds.
@@ -274,7 +276,7 @@ def aligned(docs: DataFrame, a_file: str, b_file: str, block_pairs: int = BLOCK_
             if not len(n):
                 continue
             spaced = pc.binary_join_element_wise(pa.scalar(b" ", pa.large_binary()), text.filter(pa.array(full)), pa.scalar(b"", pa.large_binary()))
-            for at, data, offsets in chunks(spaced):
+            for at, data, offsets in chunks(spaced, STATE_BYTES):
                 rows = n[at : at + len(offsets) - 1]
                 a, edge_a, b, edge_b, good = both.encode(data, offsets)
                 size_a, size_b = np.where(good, np.diff(edge_a), 0), np.where(good, np.diff(edge_b), 0)
