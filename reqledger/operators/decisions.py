@@ -26,17 +26,21 @@ def raise_notices(decided: DataFrame) -> DataFrame:
     return total.select("line_id", "request_id", "kind", severity.alias("severity"), F.col("quantity").cast("double").alias("quantity"), F.concat(amount, told).alias("headline"), "notes")
 
 
-def refusals(pairs: DataFrame) -> DataFrame:
-    """Why a donor cannot lend to a receiver, the first reason in order; null where it can. pairs has donor and receiver as structs."""
+def incompatible(donor: Column, receiver: Column) -> Column:
+    """Why a donor cannot lend to a receiver, the first reason in order; null where it can. Both are structs of code, size and unit."""
 
-    def key(side: str, name: str) -> Column:
-        return F.upper(F.trim(F.coalesce(F.col(f"{side}.{name}"), F.lit(""))))
+    def key(side: Column, name: str) -> Column:
+        return F.upper(F.trim(F.coalesce(side[name], F.lit(""))))
 
-    reason = (
-        F.when(key("donor", "commodity_code") == "", NO_CODE).when(key("donor", "commodity_code") != key("receiver", "commodity_code"), OTHER_CODE)
-        .when(key("donor", "size") != key("receiver", "size"), OTHER_SIZE).when(key("donor", "uom") != key("receiver", "uom"), OTHER_UNIT)
+    return (
+        F.when(key(donor, "commodity_code") == "", NO_CODE).when(key(donor, "commodity_code") != key(receiver, "commodity_code"), OTHER_CODE)
+        .when(key(donor, "size") != key(receiver, "size"), OTHER_SIZE).when(key(donor, "uom") != key(receiver, "uom"), OTHER_UNIT)
     )
-    return pairs.select(F.col("donor.line_id").alias("donor_id"), F.col("receiver.line_id").alias("receiver_id"), reason.alias("reason"))
+
+
+def refusals(pairs: DataFrame) -> DataFrame:
+    """The reason of each pair; pairs has donor and receiver as structs."""
+    return pairs.select(F.col("donor.line_id").alias("donor_id"), F.col("receiver.line_id").alias("receiver_id"), incompatible(F.col("donor"), F.col("receiver")).alias("reason"))
 
 
 def neighbours(lines: DataFrame) -> DataFrame:
@@ -58,12 +62,24 @@ def validate_drafts(drafts: DataFrame, lines: DataFrame, strict: bool = True) ->
     return found.withColumn("severity", F.when(F.col("code").isin(*ERRORS), "error").otherwise("warning"))
 
 
-def assign_numbers(drafts: DataFrame) -> DataFrame:
-    """Drafts that wait for a number get consecutive ones after the highest of their project, in order of id."""
-    highest = drafts.filter(F.col("number").rlike("^[0-9]+$")).groupBy("project_id").agg(F.max(F.col("number").cast("long")).alias("highest"))
-    waiting = drafts.filter((F.col("state") == "SENT_TO_MATERIAL_ADMIN") & F.col("number").isNull() & ~F.col("archived"))
-    placed = numbered(waiting, "project_id", F.floor(F.col("draft_id") / 10_000), ["draft_id"], "place")
-    return placed.join(highest, "project_id", "left").select("draft_id", "project_id", (F.coalesce("highest", F.lit(0)) + F.col("place")).cast("long").alias("assigned"))
+#: States of a draft that may be given a number (fixed values).
+NUMBERED_FROM = ("PENDING_MATERIAL_MANAGER", "NUMBER_ASSIGNED")
+
+
+def assign_numbers(drafts: DataFrame, published: DataFrame) -> DataFrame:
+    """The number that each draft that may have one gets. A typed number holds unless it is published in the project or an earlier draft there typed it too, whatever the case;
+    drafts without one get consecutive numbers, in order of id, after the highest that the project has published or that is typed."""
+    typed = F.upper(F.trim(F.coalesce("number", F.lit(""))))
+    waiting = drafts.filter(F.col("state").isin(*NUMBERED_FROM) & ~F.col("archived")).select("draft_id", "project_id", typed.alias("typed"))
+    taken = published.select("project_id", F.upper(F.trim("number")).alias("typed")).distinct().withColumn("taken", F.lit(True))
+    first = waiting.filter("typed <> ''").groupBy("project_id", "typed").agg(F.min("draft_id").alias("first"))
+    asked = waiting.filter("typed <> ''").join(first, ["project_id", "typed"]).join(taken, ["project_id", "typed"], "left")
+    code = F.when(F.col("taken") | (F.col("draft_id") != F.col("first")), "NUMBER_IN_USE").otherwise("OK")
+    held = asked.select("draft_id", "project_id", code.alias("code"), F.when(code == "OK", F.col("typed")).alias("assigned"))
+    numbers = taken.select("project_id", "typed").union(waiting.select("project_id", "typed")).filter(F.col("typed").rlike("^[0-9]+$"))
+    highest = numbers.groupBy("project_id").agg(F.max(F.col("typed").cast("long")).alias("highest"))
+    placed = numbered(waiting.filter("typed = ''"), "project_id", ["draft_id"], "place").join(highest, "project_id", "left")
+    return held.union(placed.select("draft_id", "project_id", F.lit("OK"), (F.coalesce("highest", F.lit(0)) + F.col("place")).cast("long").cast("string")))
 
 
 def publishable(drafts: DataFrame, issues: DataFrame, lines: DataFrame) -> DataFrame:

@@ -38,12 +38,18 @@ def notice_without_request(notices: DataFrame, requests: DataFrame) -> DataFrame
     return _found(notices.filter("active and kind <> 'REJECTED'").join(requests.filter("active and qty_pending > 0").select("id"), "id", "left_anti"), "NOTICE_WITHOUT_REQUEST", "id", F.col("qty_notified"))
 
 
+#: Quantities of a line that may not be below zero (fixed values).
+QUANTITIES = ("requested", "confirmed_located", "active_bagged", "available", "issued", "pending_backorder", "confirmed_backorder")
+
+
 def row_constraints(lines: DataFrame) -> DataFrame:
-    """One row for each rule that a line breaks."""
+    """One row for each rule of a sound line that a line breaks: the schema's checks and those of a loaded sheet. Nulls break the rules on missing drawings only."""
+    q = {n: F.col(f"qty_{n}") for n in QUANTITIES}
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
     rules = {
-        "LOCATED_SPLIT": F.col("qty_confirmed_located") != F.col("qty_available") + F.col("qty_active_bagged") + F.col("qty_issued"),
-        "ISSUED_OVER_REQUESTED": F.col("qty_issued") > F.col("qty_requested"), "NEGATIVE": F.least("qty_available", "qty_issued", "qty_active_bagged") < 0, "SMALL_REQUEST": F.col("qty_requested") < 2,
-    }
+        "NOTHING_REQUESTED": q["requested"] <= 0, "LOCATED_SPLIT": F.abs(q["confirmed_located"] - (q["available"] + q["active_bagged"] + q["issued"])) > 1e-4,
+        "ISSUED_OVER_REQUESTED": q["issued"] > q["requested"], "LOCATED_OVER_REQUESTED": q["confirmed_located"] > q["requested"],
+    } | {f"NEGATIVE_{n.upper()}": c < 0 for n, c in q.items()} | {"NO_ISO_NUMBER": blank("iso_number"), "NO_ISO_SHEET": blank("iso_sheet")}
     broken = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda x: x.isNotNull())
     return lines.select("project_id", F.explode(broken).alias("code"), F.col("line_id").cast("long").alias("entity_id"), F.col("qty_requested").cast("double").alias("difference"))
 

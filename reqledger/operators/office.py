@@ -99,8 +99,7 @@ def pick_lists(projects: DataFrame, values: DataFrame, places: DataFrame, used:
 
 
 def bag_queue_order(queue: DataFrame) -> DataFrame:
-    """The place of each bag item from the oldest and from the newest, tags between equals. A project is cut by day, so no task sorts all of it."""
-    day = F.unix_date("bagged_at").cast("long")
-    oldest = numbered(queue, "project_id", day, ["bagged_at", "tag_number", "line_id"], "oldest_first")
-    both = numbered(oldest, "project_id", -day, [F.col("bagged_at").desc(), "tag_number", "line_id"], "newest_first")
+    """The place of each bag item from the oldest and from the newest, tags between equals."""
+    oldest = numbered(queue, "project_id", ["bagged_at", "tag_number", "line_id"], "oldest_first")
+    both = numbered(oldest, "project_id", [F.col("bagged_at").desc(), "tag_number", "line_id"], "newest_first")
     return both.select("project_id", "tag_number", "line_id", "oldest_first", "newest_first")

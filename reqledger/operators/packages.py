@@ -63,7 +63,7 @@ def takeoff_rows(materials: DataFrame) -> DataFrame:
     rows = materials.withColumn("item_type", kind)
     amount = F.when((F.col("item_type") == "PIPE") & plain.rlike(feet), F.regexp_extract(plain, feet, 1)).otherwise(plain)
     return rows.select(
-        "row_id", F.col("drawing").alias("line_number"), F.regexp_extract("drawing", r"-(\d{1,2})\s*$", 1).alias("sheet"), F.coalesce("schedule", F.lit("")).alias("pipe_spec"), amount.alias("quantity"),
+        "row_id", *[F.coalesce(c, F.lit("")).alias(n) for c, n in (("cwa", "cwa"), ("iwp", "iwp"), ("description", "description"), ("nominal_size", "size"), ("commodity_code", "commodity_code"))], F.col("drawing").alias("line_number"), F.regexp_extract("drawing", r"-(\d{1,2})\s*$", 1).alias("sheet"), F.coalesce("schedule", F.lit("")).alias("pipe_spec"), amount.alias("quantity"),
         F.when(F.col("item_type") == "PIPE", "LF").otherwise("EA").alias("uom"), "item_type", N.takeoff_sheet(F.col("item_type"), F.col("description"), F.col("commodity_code")).alias("takeoff_sheet"),
     )
 

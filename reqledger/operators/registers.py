@@ -52,15 +52,11 @@ def register_filters(requisitions: DataFrame, lines: DataFrame) -> DataFrame:
     return requisitions.join(header_rollup(lines), "req_id", "left").groupBy("project_id").agg(listed("priority", "priorities"), listed("status", "statuses"))
 
 
-#: Width of the slices that a register is numbered in, and the slice of rows without a sort value.
-PAGE_SLICE, LAST_SLICE = 25, 1 << 62
-
-
 def register_page(registered: DataFrame, page: int, size: int, sort: str = "remaining") -> DataFrame:
     """A page of each project's register by a sort key, largest first; the size is held to 10 to 100."""
     size = min(100, max(10, size))
     records = registered.groupBy("project_id").agg(F.count("*").alias("records"))
-    places = numbered(registered, "project_id", F.coalesce(-F.floor(F.col(sort) / PAGE_SLICE), F.lit(LAST_SLICE)), [F.col(sort).desc_nulls_last(), "req_number"], "record")
+    places = numbered(registered, "project_id", [F.col(sort).desc_nulls_last(), "req_number"], "record")
     here = places.filter(F.col("record").between((page - 1) * size + 1, page * size)).join(records, "project_id")
     return here.select("project_id", "record", "records", F.ceil(F.col("records") / size).alias("pages"), "req_number", F.col(sort).alias("sort_value"))
 
@@ -82,14 +78,14 @@ def header_rollup(lines: DataFrame) -> DataFrame:
 def backorder_queue(backorders: DataFrame, status: str | None = None) -> DataFrame:
     """Active requests of each project in order of line and time, numbered for paging."""
     rows = backorders.filter("active") if status is None else backorders.filter("active").filter(F.col("status") == status)
-    placed = numbered(rows, "project_id", F.floor(F.col("line_id") / 16), ["line_id", "reported_at", "id"], "place")
+    placed = numbered(rows, "project_id", ["line_id", "reported_at", "id"], "place")
     return placed.select("project_id", "id", "line_id", "status", F.col("qty_pending").cast("double").alias("qty_pending"), F.col("qty_confirmed").cast("double").alias("qty_confirmed"), "place")
 
 
 def outstanding_notices(notices: DataFrame) -> DataFrame:
     """Active notices of each project: critical before warning before info, oldest first."""
     rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    placed = numbered(notices.filter("active"), "project_id", F.struct(rank.alias("rank"), F.col("day")), [rank, "raised_at", "id"], "place")
+    placed = numbered(notices.filter("active"), "project_id", [rank, "raised_at", "id"], "place")
     return placed.select("project_id", "id", "line_id", "kind", "severity", F.col("qty_notified").cast("double").alias("qty_notified"), "place")
 
 

@@ -33,7 +33,7 @@ def open_swaps(swaps: DataFrame, as_of: str) -> DataFrame:
     """Swaps with something owed, with their age in whole days, each project's oldest first."""
     owing = swaps.filter("status <> 'Cancelled'").withColumn("owed", _owed()).filter("owed > 0")
     days = F.expr(f"cast(floor((unix_micros(timestamp '{as_of} UTC') - unix_micros(cast(created_at as timestamp))) / 86400000000) as bigint)")
-    placed = numbered(owing, "project_id", F.to_date("created_at"), ["created_at", "id"], "place")
+    placed = numbered(owing, "project_id", ["created_at", "id"], "place")
     return placed.select("project_id", "id", "donor_id", "receiver_id", F.col("owed").cast("double").alias("owed"), F.greatest(F.lit(0), days).alias("age_days"), "place")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bags import next_counters
 from .order import numbered
 
 
@@ -42,12 +43,13 @@ def iso_candidates(terms: DataFrame) -> DataFrame:
     return terms.select("term", F.explode(found).alias("candidate")).filter("candidate <> ''")
 
 
-def assign_bag_numbers(items: DataFrame) -> DataFrame:
-    """Numbers of a project's bags in order, padded to five places and growing beyond."""
-    bags = items.groupBy("project_id", "bag_id").agg(F.count("*").alias("items"))
-    placed = numbered(bags, "project_id", F.substring("bag_id", 1, 5), ["bag_id"], "place")
-    n = F.col("place").cast("string")
-    return placed.select("bag_id", "items", F.concat(F.lit("BAG-2024-"), F.when(F.length(n) >= 5, n).otherwise(F.lpad(n, 5, "0"))).alias("tag_number"))
+def assign_bag_numbers(items: DataFrame, requisitions: DataFrame, stock: DataFrame, prefix: str = "BT") -> DataFrame:
+    """Numbers of bags without one, in order within project and year of their requisition. A year goes on after the highest number that the project has used in it, or starts at 1; five places, growing beyond."""
+    bags = items.groupBy("project_id", "bag_id", "req_id").agg(F.count("*").alias("items")).join(requisitions.select("req_id", F.year("date_required").alias("year")), "req_id")
+    base = next_counters(stock).filter(F.col("prefix") == prefix).select("project_id", "year", "next_counter")
+    placed = numbered(bags.withColumn("counter", F.concat_ws("|", "project_id", "year")), "counter", ["bag_id"], "place").join(base, ["project_id", "year"], "left")
+    n = (F.coalesce("next_counter", F.lit(1)) + F.col("place") - 1).cast("long").cast("string")
+    return placed.select("bag_id", "items", F.concat(F.lit(f"{prefix}-"), F.col("year").cast("string"), F.lit("-"), F.when(F.length(n) >= 5, n).otherwise(F.lpad(n, 5, "0"))).alias("tag_number"))
 
 
 def one_draft_per_number(requisitions: DataFrame) -> DataFrame:

@@ -40,3 +40,15 @@ def resubmit_returned(requests: DataFrame, asked: DataFrame) -> DataFrame:
     taken = rows.withColumn("taken", take(F.col("qty_pending"), F.col("asked"), ["line_id"], ["reported_at", "id"]))
     out = taken.groupBy("line_id", "asked").agg(F.count_if(F.col("taken") >= F.col("qty_pending")).alias("revived"), F.sum("qty_pending").alias("covered"))
     return out.select("line_id", "revived", F.greatest(F.lit(0).cast("decimal(14,4)"), F.col("asked") - F.col("covered")).cast("double").alias("new_request"))
+
+
+def resubmit_requests(requests: DataFrame, asked: DataFrame) -> DataFrame:
+    """The request rows of the same: returned ones that are answered (one that is wholly covered waits for the office again, a partly covered one stays returned), and a new one for what is left (no id yet)."""
+    rows = requests.filter("active and status = 'Returned for Review' and qty_pending > 0").join(asked, "line_id")
+    taken = rows.withColumn("applied", take(F.col("qty_pending"), F.col("asked"), ["line_id"], ["reported_at", "id"])).filter("applied > 0")
+    revives = F.col("applied") >= F.col("qty_pending")
+    answered = taken.select("line_id", "id", F.col("applied").cast("double").alias("applied"), F.col("qty_pending").cast("double").alias("qty_pending"), F.when(revives, "Pending").otherwise("Returned for Review").alias("status"))
+    absorbed = taken.groupBy("line_id").agg(F.sum("applied").alias("absorbed"))
+    left = asked.join(absorbed, "line_id", "left").withColumn("rest", F.col("asked") - F.coalesce("absorbed", F.lit(0))).filter("rest > 0")
+    fresh = left.select("line_id", F.lit(None).cast("long").alias("id"), F.lit(0.0).alias("applied"), F.col("rest").cast("double").alias("qty_pending"), F.lit("Pending").alias("status"))
+    return answered.union(fresh)

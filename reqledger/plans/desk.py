@@ -9,7 +9,7 @@ AS_OF = "2024-01-15"
 TYPES = ("CASE WHEN regexp_matches(coalesce(commodity_code, ''), '^5(UGSP|UG|US|MUG|FSS|FS|MHR|ABS|MS|CH|CC|CI|C|SH|S|DA|ISC|BG|MG|G)') THEN 'SUPPORT' WHEN starts_with(description, 'STUD BOLT') THEN 'BOLT' WHEN starts_with(description, 'GASKET') THEN 'GASKET' "
          "WHEN starts_with(description, 'PIPE') THEN 'PIPE' WHEN starts_with(description, 'ELBOW') THEN 'FITTING' ELSE 'SPECIALTY' END")
 TAKEOFF = f"""t AS (SELECT *, {TYPES} AS item_type FROM bom_rows), k AS (SELECT row_id, drawing AS line_number, regexp_extract(drawing, '-([0-9]{{1,2}})$', 1) AS sheet, coalesce(schedule, '') AS pipe_spec,
-  CASE WHEN item_type = 'PIPE' THEN replace(quantity, '''', '') ELSE quantity END AS quantity, CASE WHEN item_type = 'PIPE' THEN 'LF' ELSE 'EA' END AS uom, item_type,
+  coalesce(cwa, '') AS cwa, 'IWP-' || cast(page % 20 AS varchar) AS iwp, coalesce(description, '') AS description, coalesce(nominal_size, '') AS size, coalesce(commodity_code, '') AS commodity_code, CASE WHEN item_type = 'PIPE' THEN replace(quantity, '''', '') ELSE quantity END AS quantity, CASE WHEN item_type = 'PIPE' THEN 'LF' ELSE 'EA' END AS uom, item_type,
   CASE WHEN item_type IN ('BOLT', 'GASKET') THEN 'BOLTS & GASKETS' WHEN item_type = 'SUPPORT' THEN 'SUPPORTS' WHEN starts_with(description, 'GATE VALVE') THEN 'VALVES' WHEN item_type IN ('PIPE', 'FITTING') THEN 'PIPE & FITTINGS' ELSE 'OTHER MATERIALS' END AS takeoff_sheet FROM t)"""
 QUEUE = f"""q AS (SELECT s.project_id, tag_number, s.line_id, req_number, line_number, commodity_code, priority, bagged_at, CASE WHEN s.qty_issued > 0 THEN 'PARTIALLY_ISSUED' ELSE 'READY_FOR_FIELD' END AS readiness,
   bagged_at <= date '{AS_OF}' - 14 AS stale, upper(iso_number) || '|' || upper(iso_sheet) AS iso_key, cast(qty_remaining AS double) AS qty_remaining FROM bag_stock s JOIN lines l ON s.line_id = l.line_id JOIN requisitions r ON s.req_id = r.req_id WHERE s.active AND qty_remaining > 0)"""
@@ -39,7 +39,7 @@ def queries(over) -> dict:
         "raise_notices": over(decisions.raise_notices, "decided"),
         "incompatibility_reason": over(lambda x: decisions.refusals(decisions.neighbours(x)), "lines"),
         "validate_drafts": over(decisions.validate_drafts, "drafts", "draft_lines"),
-        "assign_numbers": over(decisions.assign_numbers, "drafts"),
+        "assign_numbers": over(decisions.assign_numbers, "drafts", "published_numbers"),
         "publish_drafts": over(lambda d, x: decisions.publishable(d, decisions.validate_drafts(d, x, strict=False), x), "drafts", "draft_lines"),
         "classify_pages": over(packages.classify_pages, "page_text"),
         "page_counts": over(lambda p: packages.page_counts(packages.classify_pages(p)), "page_text"),
@@ -83,8 +83,11 @@ SELECT line_id, request_id, kind, CASE kind WHEN 'REJECTED' THEN 'critical' WHEN
         "incompatibility_reason": v("""SELECT d.line_id AS donor_id, r.line_id AS receiver_id, CASE WHEN trim(d.commodity_code) = '' THEN 'no commodity code to match on' WHEN upper(trim(d.commodity_code)) <> upper(trim(r.commodity_code)) THEN 'a different commodity code' WHEN upper(trim(d.size)) <> upper(trim(r.size)) THEN 'a different size' WHEN upper(trim(d.uom)) <> upper(trim(r.uom)) THEN 'a different unit of measure' END AS reason
 FROM lines d JOIN lines r ON d.req_id = r.req_id AND r.line_number = d.line_number + 1""", "lines"),
         "validate_drafts": v(f"WITH {ISSUES} SELECT draft_id, line_number, code, severity FROM i", "drafts", "draft_lines"),
-        "assign_numbers": v("""WITH h AS (SELECT project_id, max(cast(number AS bigint)) AS highest FROM drafts WHERE regexp_matches(number, '^[0-9]+$') GROUP BY 1)
-SELECT draft_id, d.project_id, coalesce(highest, 0) + row_number() OVER (PARTITION BY d.project_id ORDER BY draft_id) AS assigned FROM drafts d LEFT JOIN h ON d.project_id = h.project_id WHERE state = 'SENT_TO_MATERIAL_ADMIN' AND number IS NULL AND NOT archived""", "drafts"),
+        "assign_numbers": v("""WITH w AS (SELECT draft_id, project_id, upper(trim(coalesce(number, ''))) AS t FROM drafts WHERE state IN ('PENDING_MATERIAL_MANAGER', 'NUMBER_ASSIGNED') AND NOT archived), p AS (SELECT DISTINCT project_id, upper(trim(number)) AS t FROM published_numbers),
+h AS (SELECT project_id, max(cast(t AS bigint)) AS highest FROM (SELECT project_id, t FROM w UNION ALL SELECT project_id, t FROM p) WHERE regexp_matches(t, '^[0-9]+$') GROUP BY 1),
+c AS (SELECT w.*, CASE WHEN p.t IS NOT NULL OR row_number() OVER (PARTITION BY w.project_id, w.t ORDER BY draft_id) > 1 THEN 'NUMBER_IN_USE' ELSE 'OK' END AS code FROM w LEFT JOIN p ON p.project_id = w.project_id AND p.t = w.t WHERE w.t <> '')
+SELECT draft_id, project_id, code, CASE WHEN code = 'OK' THEN t END AS assigned FROM c
+UNION ALL SELECT draft_id, w.project_id, 'OK', cast(coalesce(highest, 0) + row_number() OVER (PARTITION BY w.project_id ORDER BY draft_id) AS varchar) FROM w LEFT JOIN h ON h.project_id = w.project_id WHERE t = ''""", "drafts", "published_numbers"),
         "publish_drafts": v(f"WITH {ISSUES}, b AS (SELECT DISTINCT batch_id FROM i JOIN drafts USING (draft_id) WHERE severity = 'error' AND code <> 'NO_FMR_NUMBER') SELECT sha256(project_id || '|' || cast(d.draft_id AS varchar)) AS req_key, d.draft_id, project_id, batch_id, n AS line_count FROM drafts d JOIN n ON d.draft_id = n.draft_id WHERE selected AND NOT archived AND state = 'NUMBER_ASSIGNED' AND batch_id NOT IN (SELECT batch_id FROM b)", "drafts", "draft_lines"),
         "classify_pages": v(f"WITH {pages} SELECT page_id, kind FROM c", "page_text"),
         "page_counts": v(f"WITH {pages} SELECT kind, count(*) AS pages FROM c GROUP BY 1", "page_text"),

@@ -47,6 +47,13 @@ def write_takeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sheets.read_takeoff(spark, path)
 
 
+def read_takeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the form written to sheets and read back."""
+    path = sheets.fresh(spark, "takeoff")
+    sheets.write_takeoff(packages.takeoff_rows(domain(spark, sf_dir, "bom_rows")[0]), path)
+    return sheets.read_takeoff_rows(spark, path)
+
+
 def manifest_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, path = domain(spark, sf_dir, "bom_rows")[0], sheets.fresh(spark, "manifests")
     sheets.write_manifests(rows, packages.material_review(rows), path)
@@ -99,6 +106,7 @@ def queries(over) -> dict:
         "migrate_gate": over(legacy.load_gate, "legacy_lines"),
         "read_export": read_export,
         "write_takeoff": write_takeoff,
+        "read_takeoff": read_takeoff,
         "manifest_history": manifest_history,
         "line_grouping": over(words.line_grouping, "words"),
         "bucket_words": over(lambda w, r: words.bucket_words(w, words.line_grouping(w), r), "words", "column_ranges"),
@@ -169,6 +177,7 @@ FROM r LEFT JOIN k b ON r.package_id = b.package_id AND b.page = first_page - 1
         "read_export": v("SELECT *, cast(NULL AS varchar) AS not_there FROM legacy_lines", "legacy_lines"),
         "write_takeoff": v(f"""WITH {types}, r AS (SELECT * FROM k WHERE takeoff_sheet <> 'SUPPORTS'), w AS (SELECT 'COMBINED' AS on_sheet, line_number FROM r UNION ALL SELECT takeoff_sheet, line_number FROM r)
 SELECT f.on_sheet, count(line_number) AS rows, count(DISTINCT line_number) AS drawings FROM (VALUES ('COMBINED'), ('BLINDS'), ('PIPE & FITTINGS'), ('BOLTS & GASKETS'), ('SUPPORTS'), ('VALVES'), ('BIRDSCREENS'), ('OTHER MATERIALS')) f(on_sheet) LEFT JOIN w ON f.on_sheet = w.on_sheet GROUP BY 1""", "bom_rows"),
+        "read_takeoff": v(f"WITH {types} SELECT unnest(['COMBINED', takeoff_sheet]) AS on_sheet, cwa, iwp, line_number, sheet, pipe_spec, trim(description) AS description, size, trim(commodity_code) AS commodity_code, quantity, uom, '' AS epic_paint_code, '' AS cust_paint_code, '' AS color FROM k", "bom_rows"),
         "manifest_history": v("""WITH d AS (SELECT *, coalesce(trim(commodity_code), '') = '' OR coalesce(trim(description), '') = '' OR coalesce(trim(nominal_size), '') = '' OR coalesce(trim(quantity), '') = '' OR row_id <> min(row_id) OVER (PARTITION BY page, point) AS doubt FROM bom_rows)
 SELECT 'PK-' || cast(page % 20 AS varchar) AS package_number, count(DISTINCT page) AS runs, count(DISTINCT drawing) AS drawings, count(*) AS rows, count(*) FILTER (doubt) AS review_rows, round(count(*) FILTER (doubt) / count(*), 4) AS review_rate FROM d GROUP BY 1""", "bom_rows"),
         "line_grouping": v(f"WITH {WORD_LINES} SELECT page_id, word_id, cast(line AS bigint) AS line FROM r", "words", recursive=True),

@@ -20,6 +20,7 @@ REG = f"""WITH s AS (SELECT req_id, count(*) AS line_count, {', '.join(f'sum({c}
 reg AS (SELECT r.req_id, r.project_id, r.req_number, r.priority, r.date_required, coalesce(line_count, 0) AS line_count, {', '.join(f'cast(coalesce({k}, 0) AS double) AS {k}' for k in COLS)},
   cast(CASE WHEN requested > 0 THEN floor(cast(issued AS double) * 100 / cast(requested AS double) + 0.5) ELSE 0 END AS bigint) AS pct_issued FROM requisitions r LEFT JOIN s ON r.req_id = s.req_id WHERE r.active)"""
 LOCATED = "located AS (SELECT line_id, cast(sum(quantity) AS decimal(14,4)) AS located FROM movements WHERE action = 'CONFIRM_AVAILABLE' GROUP BY line_id)"
+ASKED = LOCATED.replace("located", "asked").replace("CONFIRM_AVAILABLE", "BACKORDER_REQUESTED")
 
 
 def _take(quantity: str, budget: str, order: str, key: str = "line_id") -> str:
@@ -32,9 +33,11 @@ LEFT JOIN (SELECT line_id, sum(qty_remaining) AS held FROM bag_items WHERE activ
     "chk_backorder_excess": f"SELECT project_id, 'BACKORDER_EXCESS' AS code, line_id AS entity_id, cast(qty_pending_backorder + qty_confirmed_backorder - {NYL} AS double) AS difference FROM lines WHERE active AND qty_pending_backorder + qty_confirmed_backorder > {NYL}",
     "chk_orphan_bag_item": "SELECT project_id, 'ORPHAN_BAG_ITEM' AS code, line_id AS entity_id, cast(qty_remaining AS double) AS difference FROM bag_items WHERE qty_remaining > 0 AND line_id IN (SELECT line_id FROM lines WHERE NOT active)",
     "chk_notice_without_request": "SELECT project_id, 'NOTICE_WITHOUT_REQUEST' AS code, id AS entity_id, cast(qty_notified AS double) AS difference FROM notices WHERE active AND kind <> 'REJECTED' AND id NOT IN (SELECT id FROM backorders WHERE active AND qty_pending > 0)",
-    "chk_row_constraints": """SELECT project_id, code, line_id AS entity_id, cast(qty_requested AS double) AS difference FROM (
-SELECT *, 'LOCATED_SPLIT' AS code FROM lines WHERE qty_confirmed_located <> qty_available + qty_active_bagged + qty_issued UNION ALL SELECT *, 'ISSUED_OVER_REQUESTED' FROM lines WHERE qty_issued > qty_requested
-UNION ALL SELECT *, 'NEGATIVE' FROM lines WHERE least(qty_available, qty_issued, qty_active_bagged) < 0 UNION ALL SELECT *, 'SMALL_REQUEST' FROM lines WHERE qty_requested < 2)""",
+    "chk_row_constraints": """SELECT project_id, unnest(list_filter([CASE WHEN qty_requested <= 0 THEN 'NOTHING_REQUESTED' END, CASE WHEN abs(qty_confirmed_located - (qty_available + qty_active_bagged + qty_issued)) > 0.0001 THEN 'LOCATED_SPLIT' END,
+  CASE WHEN qty_issued > qty_requested THEN 'ISSUED_OVER_REQUESTED' END, CASE WHEN qty_confirmed_located > qty_requested THEN 'LOCATED_OVER_REQUESTED' END, CASE WHEN qty_requested < 0 THEN 'NEGATIVE_REQUESTED' END, CASE WHEN qty_confirmed_located < 0 THEN 'NEGATIVE_CONFIRMED_LOCATED' END,
+  CASE WHEN qty_active_bagged < 0 THEN 'NEGATIVE_ACTIVE_BAGGED' END, CASE WHEN qty_available < 0 THEN 'NEGATIVE_AVAILABLE' END, CASE WHEN qty_issued < 0 THEN 'NEGATIVE_ISSUED' END, CASE WHEN qty_pending_backorder < 0 THEN 'NEGATIVE_PENDING_BACKORDER' END,
+  CASE WHEN qty_confirmed_backorder < 0 THEN 'NEGATIVE_CONFIRMED_BACKORDER' END, CASE WHEN coalesce(trim(iso_number), '') = '' THEN 'NO_ISO_NUMBER' END, CASE WHEN coalesce(trim(iso_sheet), '') = '' THEN 'NO_ISO_SHEET' END], lambda x: x IS NOT NULL)) AS code,
+  line_id AS entity_id, cast(qty_requested AS double) AS difference FROM counted_lines""",
 }
 #: The reference's other checks; integrity_report_all unites these with CHECKS.
 MORE_CHECKS = {
@@ -48,8 +51,8 @@ LEFT JOIN (SELECT line_id, sum(CASE WHEN starts_with(action, 'REVERSAL_') THEN -
     "chk_status": f"""SELECT l.project_id, 'STATUS' AS code, l.line_id AS entity_id, cast({REM} AS double) AS difference FROM lines l JOIN stored_statuses s ON l.line_id = s.line_id
 WHERE l.active AND ((line_status = 'Issued' AND {REM} > 1e-4) OR (line_status = 'Open' AND qty_confirmed_located > 1e-4) OR ({REM} <= 1e-4 AND qty_requested > 0 AND line_status <> 'Issued'))""",
 }
-MORE_VIEWS = ("lines", "bag_items", "notices", "backorders", "movements", "stored_statuses")
-CHECK_VIEWS = ("lines", "bag_items", "notices", "backorders")
+MORE_VIEWS = ("lines", "counted_lines", "bag_items", "notices", "backorders", "movements", "stored_statuses")
+CHECK_VIEWS = ("lines", "counted_lines", "bag_items", "notices", "backorders")
 
 
 def _replay() -> str:
@@ -146,7 +149,8 @@ def oracle_sql() -> dict[str, str]:
         "time_saved": v("SELECT req_id, count(DISTINCT iso_number) AS drawings, count(*) FILTER (length(description) > 52) AS overflow, cast(17.30 + 33.36 * count(DISTINCT iso_number) + 20 * (count(*) - count(*) FILTER (length(description) > 52)) + 26 * count(*) FILTER (length(description) > 52) AS double) AS seconds FROM lines WHERE active GROUP BY req_id", "lines"),
         "settle_backorders": v(f"WITH {LOCATED}, a AS (SELECT b.*, located, CASE WHEN status IN ('Confirmed', 'Partially Confirmed') THEN qty_confirmed ELSE 0 END AS pool, CASE WHEN status = 'Pending' THEN qty_pending ELSE 0 END AS waiting FROM backorders b JOIN located USING (line_id) WHERE active), f AS (SELECT *, {_take('pool', 'located', 'reported_at, id')} AS tc FROM a), g AS (SELECT *, located - sum(tc) OVER (PARTITION BY line_id) AS left_over FROM f), k AS (SELECT *, {_take('waiting', 'left_over', 'reported_at, id')} AS tp FROM g) SELECT id, line_id, cast(tc AS double) AS take_confirmed, cast(tp AS double) AS take_pending, CASE WHEN qty_confirmed - tc + qty_pending - tp = 0 THEN 'Fulfilled' ELSE status END AS status FROM k WHERE tc > 0 OR tp > 0", "backorders"),
         "settle_notices": v(f"WITH {LOCATED}, asked AS (SELECT line_id, cast(sum(quantity) AS decimal(14,4)) AS asked FROM movements WHERE action = 'BACKORDER_REQUESTED' GROUP BY 1), a AS (SELECT n.*, CASE kind WHEN 'REJECTED' THEN located ELSE asked END AS answer FROM notices n LEFT JOIN located USING (line_id) LEFT JOIN asked USING (line_id) WHERE active AND kind IN ('REJECTED', 'RETURNED')), t AS (SELECT *, {_take('qty_notified', 'answer', 'raised_at, id', 'line_id, kind')} AS taken FROM a WHERE answer IS NOT NULL) SELECT id, line_id, kind, cast(taken AS double) AS taken, CASE WHEN taken >= qty_notified THEN 'Resolved' ELSE 'Active' END AS status FROM t WHERE taken > 0", "notices"),
-        "resubmit_returned": v(f"WITH {LOCATED}, a AS (SELECT b.*, located FROM backorders b JOIN located USING (line_id) WHERE active AND status = 'Returned for Review'), t AS (SELECT *, {_take('qty_pending', 'located', 'reported_at, id')} AS taken FROM a) SELECT line_id, count(*) FILTER (taken >= qty_pending) AS revived, cast(greatest(0, any_value(located) - sum(qty_pending)) AS double) AS new_request FROM t GROUP BY line_id", "backorders"),
+        "resubmit_returned": v(f"WITH {ASKED}, a AS (SELECT b.*, asked FROM backorders b JOIN asked USING (line_id) WHERE active AND status = 'Returned for Review'), t AS (SELECT *, {_take('qty_pending', 'asked', 'reported_at, id')} AS taken FROM a) SELECT line_id, count(*) FILTER (taken >= qty_pending) AS revived, cast(greatest(0, any_value(asked) - sum(qty_pending)) AS double) AS new_request FROM t GROUP BY line_id", "backorders"),
+        "resubmit_requests": v(f"WITH {ASKED}, a AS (SELECT b.*, asked FROM backorders b JOIN asked USING (line_id) WHERE active AND status = 'Returned for Review'), t AS (SELECT *, {_take('qty_pending', 'asked', 'reported_at, id')} AS taken FROM a) SELECT line_id, id, cast(taken AS double) AS applied, cast(qty_pending AS double) AS qty_pending, CASE WHEN taken >= qty_pending THEN 'Pending' ELSE 'Returned for Review' END AS status FROM t WHERE taken > 0 UNION ALL SELECT line_id, NULL, 0, cast(asked - coalesce(s, 0) AS double), 'Pending' FROM asked LEFT JOIN (SELECT line_id, sum(taken) AS s FROM t GROUP BY 1) USING (line_id) WHERE asked > coalesce(s, 0)", "backorders"),
         "integrity_report": v("SELECT project_id, code, count(*) AS violations, round(sum(difference), 4) AS difference FROM (" + " UNION ALL ".join(f"({s})" for s in CHECKS.values()) + ") GROUP BY ALL", *CHECK_VIEWS),
         "repair_backorder_totals": v("SELECT l.line_id, cast(qty_pending_backorder AS double) AS pending_from, cast(coalesce(p, 0) AS double) AS pending_to, cast(qty_confirmed_backorder AS double) AS confirmed_from, cast(coalesce(c, 0) AS double) AS confirmed_to FROM lines l LEFT JOIN (SELECT line_id, sum(qty_pending) AS p, sum(qty_confirmed) AS c FROM backorders WHERE active GROUP BY 1) b ON l.line_id = b.line_id WHERE l.active AND (qty_pending_backorder <> coalesce(p, 0) OR qty_confirmed_backorder <> coalesce(c, 0))", "lines", "backorders"),
         "sweep_stale_notices": v("WITH i AS (SELECT line_id, sum(quantity) AS issued FROM movements WHERE action IN ('DIRECT_ISSUE', 'ISSUE_FROM_AVAILABLE') GROUP BY 1), r AS (SELECT n.id, kind, CASE WHEN coalesce(issued, 0) >= 1000 THEN 'No longer outstanding' WHEN kind <> 'REJECTED' AND b.id IS NULL THEN 'The request behind it is closed' END AS reason FROM notices n LEFT JOIN (SELECT id FROM backorders WHERE active) b ON n.id = b.id LEFT JOIN i ON i.line_id = n.line_id WHERE n.active) SELECT id, kind, CASE WHEN reason IS NULL THEN 'Active' ELSE 'Superseded' END AS status, reason FROM r", "notices", "backorders"),
@@ -159,7 +163,7 @@ def oracle_sql() -> dict[str, str]:
         "scan_counts": v(f"WITH {REVISIONS} SELECT fate, count(*) AS pages, count(DISTINCT drawing_number) AS drawings FROM fates GROUP BY fate", "iso_pages"),
         "purchase_rollup": v("SELECT project_id, commodity_code, size, uom, cast(sum(qty_requested) AS double) AS quantity, count(*) AS line_count FROM lines WHERE active GROUP BY ALL", "lines"),
         "iso_candidates": v("WITH t AS (SELECT DISTINCT iso_number, iso_sheet, iso_number || '-' || iso_sheet AS term FROM lines) SELECT term, term AS candidate FROM t UNION SELECT term, iso_number || '|' || iso_sheet FROM t UNION SELECT term, iso_number || '|' || cast(cast(iso_sheet AS int) AS string) FROM t", "lines"),
-        "assign_bag_numbers": v("SELECT bag_id, items, 'BAG-2024-' || CASE WHEN length(n) >= 5 THEN n ELSE lpad(n, 5, '0') END AS tag_number FROM (SELECT bag_id, items, cast(row_number() OVER (PARTITION BY project_id ORDER BY bag_id) AS string) AS n FROM (SELECT project_id, bag_id, count(*) AS items FROM bag_items GROUP BY 1, 2))", "bag_items"),
+        "assign_bag_numbers": v("WITH m AS (SELECT project_id, regexp_extract(upper(trim(tag_number)), '^BT-([0-9]{4})-([0-9]+)$', ['y', 'c']) AS x FROM bag_stock), h AS (SELECT project_id, cast(x.y AS bigint) AS year, max(cast(x.c AS bigint)) AS top FROM m WHERE x.y <> '' GROUP BY 1, 2), b AS (SELECT i.project_id, bag_id, year(date_required) AS year, count(*) AS items FROM bag_items i JOIN requisitions r ON r.req_id = i.req_id GROUP BY 1, 2, 3), n AS (SELECT b.*, cast(coalesce(top, 0) + row_number() OVER (PARTITION BY b.project_id, b.year ORDER BY bag_id) AS varchar) AS n FROM b LEFT JOIN h ON h.project_id = b.project_id AND h.year = b.year) SELECT bag_id, items, 'BT-' || cast(year AS varchar) || '-' || CASE WHEN length(n) >= 5 THEN n ELSE lpad(n, 5, '0') END AS tag_number FROM n", "bag_items", "requisitions", "bag_stock"),
         "one_draft_per_number": v("SELECT req_id, CASE WHEN k = 1 THEN number END AS number, CASE WHEN k > 1 THEN 'ALREADY_STAGED' END AS issue FROM (SELECT req_id, number, row_number() OVER (PARTITION BY project_id, number ORDER BY req_id) AS k FROM (SELECT req_id, project_id, 'F' || cast(req_id // 3 AS string) AS number FROM requisitions))", "requisitions"),
         "normalize_materials": v(f"WITH {MATERIALS} SELECT * FROM materials", "material_text"),
         "row_confidence": v("SELECT part_id, cast(round(greatest(0, 1 - (CASE WHEN quantity = '' THEN 0.25 ELSE 0 END + CASE WHEN description = '' THEN 0.25 ELSE 0 END + CASE WHEN commodity_code = '' THEN 0.10 ELSE 0 END + CASE WHEN size = '' THEN 0.05 ELSE 0 END + CASE WHEN columns_uncertain THEN 0.15 ELSE 0 END + CASE WHEN wrapped THEN 0.05 ELSE 0 END + CASE WHEN category = '' THEN 0.10 ELSE 0 END)), 3) AS double) AS confidence, concat_ws('; ', CASE WHEN quantity = '' THEN 'no quantity' END, CASE WHEN description = '' THEN 'no description' END, CASE WHEN commodity_code = '' THEN 'no commodity code' END, CASE WHEN size = '' THEN 'no size' END, CASE WHEN columns_uncertain THEN 'column positions uncertain' END, CASE WHEN wrapped THEN 'row assembled from wrapped lines' END, CASE WHEN category = '' THEN 'category unclear' END) AS warnings FROM extracted", "extracted"),

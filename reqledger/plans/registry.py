@@ -11,7 +11,7 @@ from ..functions import derive, normalize
 from ..operators import drafts, integrity, registers, replay, swaps, takeoff, waterfall
 from ..sources.bridge import domain
 from ..streaming import streams
-from . import desk, office, oracles
+from . import desk, field, office, oracles
 
 AS_OF = oracles.AS_OF
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,12 +56,12 @@ def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("line_id", "s.*")
 
 
-def integrity_report(lines: DataFrame, items: DataFrame, notices: DataFrame, requests: DataFrame) -> DataFrame:
-    return integrity.report(integrity.bag_ledger(lines, items), integrity.backorder_excess(lines), integrity.orphan_items(lines, items), integrity.notice_without_request(notices, requests), integrity.row_constraints(lines))
+def integrity_report(lines: DataFrame, items: DataFrame, notices: DataFrame, requests: DataFrame, counted: DataFrame) -> DataFrame:
+    return integrity.report(integrity.bag_ledger(lines, items), integrity.backorder_excess(lines), integrity.orphan_items(lines, items), integrity.notice_without_request(notices, requests), integrity.row_constraints(counted))
 
 
-def integrity_report_all(lines: DataFrame, items: DataFrame, notices: DataFrame, requests: DataFrame, movements: DataFrame, stored: DataFrame) -> DataFrame:
-    five = (integrity.bag_ledger(lines, items), integrity.backorder_excess(lines), integrity.orphan_items(lines, items), integrity.notice_without_request(notices, requests), integrity.row_constraints(lines))
+def integrity_report_all(lines: DataFrame, items: DataFrame, notices: DataFrame, requests: DataFrame, counted: DataFrame, movements: DataFrame, stored: DataFrame) -> DataFrame:
+    five = (integrity.bag_ledger(lines, items), integrity.backorder_excess(lines), integrity.orphan_items(lines, items), integrity.notice_without_request(notices, requests), integrity.row_constraints(counted))
     return integrity.report(*five, integrity.backorder_ledger(lines, requests), integrity.issued_history(lines, movements), integrity.status(lines, stored))
 
 
@@ -89,17 +89,18 @@ def queries() -> dict[str, Query]:
         "time_saved": _over(registers.time_saved, "lines"),
         "settle_backorders": _over(lambda b, m: waterfall.settle_backorders(b, _located(m)), "backorders", "movements"),
         "settle_notices": _over(lambda n, m: waterfall.settle_notices(n, _located(m), _asked(m)), "notices", "movements"),
-        "resubmit_returned": _over(lambda b, m: waterfall.resubmit_returned(b, _located(m).withColumnRenamed("located", "asked")), "backorders", "movements"),
+        "resubmit_returned": _over(lambda b, m: waterfall.resubmit_returned(b, _asked(m)), "backorders", "movements"),
+        "resubmit_requests": _over(lambda b, m: waterfall.resubmit_requests(b, _asked(m)), "backorders", "movements"),
         "chk_bag_ledger": _over(integrity.bag_ledger, "lines", "bag_items"),
         "chk_backorder_excess": _over(integrity.backorder_excess, "lines"),
         "chk_orphan_bag_item": _over(integrity.orphan_items, "lines", "bag_items"),
         "chk_notice_without_request": _over(integrity.notice_without_request, "notices", "backorders"),
-        "chk_row_constraints": _over(integrity.row_constraints, "lines"),
-        "integrity_report": _over(integrity_report, "lines", "bag_items", "notices", "backorders"),
+        "chk_row_constraints": _over(integrity.row_constraints, "counted_lines"),
+        "integrity_report": _over(integrity_report, "lines", "bag_items", "notices", "backorders", "counted_lines"),
         "chk_backorder_ledger": _over(integrity.backorder_ledger, "lines", "backorders"),
         "chk_issued_history": _over(integrity.issued_history, "lines", "movements"),
         "chk_status": _over(integrity.status, "lines", "stored_statuses"),
-        "integrity_report_all": _over(integrity_report_all, "lines", "bag_items", "notices", "backorders", "movements", "stored_statuses"),
+        "integrity_report_all": _over(integrity_report_all, "lines", "bag_items", "notices", "backorders", "counted_lines", "movements", "stored_statuses"),
         "repair_backorder_totals": _over(integrity.repair_backorder_totals, "lines", "backorders"),
         "sweep_stale_notices": _over(lambda n, b, m: integrity.sweep_stale_notices(n, b, _issued(m)), "notices", "backorders", "movements"),
         "replay_ledger": _over(replay.replay_ledger, "movements"),
@@ -111,7 +112,7 @@ def queries() -> dict[str, Query]:
         "scan_counts": _over(lambda p: takeoff.scan_counts(takeoff.select_revisions(p)), "iso_pages"),
         "purchase_rollup": _over(takeoff.purchase_rollup, "lines"),
         "iso_candidates": _over(lambda x: takeoff.iso_candidates(x.select(F.concat_ws("-", "iso_number", "iso_sheet").alias("term")).distinct()), "lines"),
-        "assign_bag_numbers": _over(takeoff.assign_bag_numbers, "bag_items"),
+        "assign_bag_numbers": _over(takeoff.assign_bag_numbers, "bag_items", "requisitions", "bag_stock"),
         "one_draft_per_number": _over(takeoff.one_draft_per_number, "requisitions"),
         "normalize_materials": _over(normalize.normalize_materials, "material_text"),
         "row_confidence": _over(takeoff.row_confidence, "extracted"),
@@ -135,8 +136,8 @@ def queries() -> dict[str, Query]:
         "stream_dedup": lambda spark, d: streams.run(streams.dedup(streams.movements(spark, d).union(streams.movements(spark, d)))),
         "stream_activity": lambda spark, d: streams.run(streams.activity(streams.movements(spark, d)), "complete"),
         "stream_ledger": stream_ledger,
-    } | desk.queries(_over) | office.queries(_over)
+    } | desk.queries(_over) | office.queries(_over) | field.queries(_over)
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql() | desk.oracle_sql() | office.oracle_sql()
+    return oracles.oracle_sql() | desk.oracle_sql() | office.oracle_sql() | field.oracle_sql()

@@ -28,6 +28,10 @@ SELECT l_orderkey * 1000 + line_number AS line_id, l_orderkey AS req_id, 'P' ||
   cast(CASE state_code WHEN 'ON' THEN floor(l_quantity / 5) ELSE 0 END AS {Q}) AS qty_pending_backorder,
   cast(CASE state_code WHEN 'FR' THEN floor(l_quantity / 6) ELSE 0 END AS {Q}) AS qty_confirmed_backorder
 FROM raw_lines JOIN part ON l_partkey = p_partkey""",
+    "counted_lines": f"""
+SELECT line_id, project_id, CASE WHEN line_id % 211 = 0 THEN ' ' ELSE iso_number END AS iso_number, CASE WHEN line_id % 223 = 0 THEN NULL ELSE iso_sheet END AS iso_sheet, cast(CASE WHEN line_id % 61 = 0 THEN 0 WHEN line_id % 227 = 0 THEN -qty_requested ELSE qty_requested END AS {Q}) AS qty_requested,
+  cast(qty_confirmed_located + CASE WHEN line_id % 67 = 0 THEN 1 WHEN line_id % 229 = 0 THEN -90 ELSE 0 END AS {Q}) AS qty_confirmed_located, cast(qty_available - CASE WHEN line_id % 233 = 0 THEN 40 ELSE 0 END AS {Q}) AS qty_available, cast(qty_active_bagged - CASE WHEN line_id % 239 = 0 THEN 40 ELSE 0 END AS {Q}) AS qty_active_bagged,
+  cast(qty_issued + CASE WHEN line_id % 71 = 0 THEN 2 WHEN line_id % 241 = 0 THEN -90 ELSE 0 END AS {Q}) AS qty_issued, cast(qty_pending_backorder - CASE WHEN line_id % 251 = 0 THEN 40 ELSE 0 END AS {Q}) AS qty_pending_backorder, cast(qty_confirmed_backorder - CASE WHEN line_id % 257 = 0 THEN 40 ELSE 0 END AS {Q}) AS qty_confirmed_backorder FROM lines""",
     "stored_statuses": """
 SELECT line_id, CASE WHEN line_id % 89 = 0 THEN 'Open' WHEN line_id % 83 = 0 THEN 'Issued' WHEN qty_issued >= qty_requested THEN 'Issued' WHEN qty_issued > 0 THEN 'Partially Issued'
   WHEN qty_confirmed_located > 0 THEN 'Partially Located' ELSE 'Open' END AS line_status FROM lines""",
@@ -53,6 +57,16 @@ SELECT event_id AS id, user_id AS draft_id, ts, CASE event_id % 6 WHEN 0 THEN 'S
     "swaps": f"""
 SELECT id, line_id AS donor_id, line_id + 1 AS receiver_id, project_id, ts AS created_at, quantity AS qty_borrowed, cast(CASE WHEN id % 3 = 0 THEN floor(quantity / 3) ELSE 0 END AS {Q}) AS qty_repaid,
   CASE WHEN id % 11 = 0 THEN 'Cancelled' WHEN id % 3 = 0 THEN 'Partially Repaid' ELSE 'Open' END AS status FROM movements WHERE action = 'BAG'""",
+    "field_log": f"""
+SELECT event_id AS id, user_id AS line_id, ts, CASE WHEN event_id % 101 = 100 THEN 'UNDO' ELSE CASE event_id % 11 WHEN 0 THEN 'CONFIRM_AVAILABLE' WHEN 1 THEN 'BAG' WHEN 2 THEN 'ISSUE_FROM_BAG' WHEN 3 THEN 'BACKORDER_REQUESTED' WHEN 4 THEN 'OFFICE_CONFIRM' WHEN 5 THEN 'OFFICE_RETURN'
+  WHEN 6 THEN 'BACKORDER_REQUESTED' WHEN 7 THEN 'DIRECT_ISSUE' WHEN 8 THEN 'OFFICE_REJECT' WHEN 9 THEN 'ISSUE_FROM_AVAILABLE' ELSE 'BACKORDER_REQUESTED' END END AS action,
+  cast(CASE WHEN event_id % 37 = 0 THEN 0 WHEN event_id % 5 = 0 AND event_id % 11 IN (4, 5, 8) THEN NULL ELSE ceil(value / CASE WHEN event_id % 3 = 0 THEN 12 ELSE 40 END) END AS {Q}) AS quantity, CASE event_id % 13 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'T' || cast(event_id % 3 AS string) END AS tag,
+  CASE WHEN event_id % 29 = 0 THEN '' ELSE 'RACK' END AS place, CASE WHEN event_id % 31 = 0 THEN NULL ELSE 'crew' END AS issued_to, CASE WHEN event_id % 17 = 0 THEN '' ELSE 'needed' END AS notes, cast(60 + user_id % 7 * 40 AS {Q}) AS requested FROM events""",
+    "lenders": """
+SELECT line_id, project_id, commodity_code, size, uom, row_number() OVER (PARTITION BY project_id, commodity_code, size, uom ORDER BY line_id) AS k FROM lines WHERE active AND qty_available > 0""",
+    "borrow_requests": f"""
+SELECT s.line_id * 4 + l.k AS id, s.line_id * 7919 % 100003 AS asked_at, CASE WHEN s.line_id % 37 = 0 THEN s.line_id WHEN s.line_id % 41 = 0 AND s.line_number > 1 THEN s.line_id - 1 ELSE l.line_id END AS donor_id, s.line_id AS receiver_id, cast(CASE WHEN s.line_id % 31 = 0 THEN 0 ELSE 1 + s.line_id % 9 END AS {Q}) AS quantity
+FROM lines s JOIN lenders l ON s.project_id = l.project_id AND s.commodity_code = l.commodity_code AND s.size = l.size AND s.uom = l.uom AND l.k < 4 WHERE s.active AND s.line_id % 3 = 0 AND (s.qty_issued < s.qty_requested OR s.line_id % 5 = 0)""",
     "material_text": """
 SELECT p_partkey AS part_id, CASE p_partkey % 8 WHEN 0 THEN '6 IN' WHEN 1 THEN '1.5' WHEN 2 THEN '0.75' WHEN 3 THEN '2X1 1/2' WHEN 4 THEN '1-1/2' WHEN 5 THEN '3/4"' WHEN 6 THEN 'SEE DETAIL' END AS raw_size,
   CASE p_partkey % 5 WHEN 0 THEN '1,200' WHEN 1 THEN '49.2''' WHEN 2 THEN '40 FT' WHEN 3 THEN 'abc' ELSE '' END AS raw_quantity,
@@ -79,7 +93,8 @@ SELECT id, id % 50 AS request_id, line_id, ts, CASE id % 4 WHEN 0 THEN 'REJECT'
     "drafts": """
 SELECT req_id AS draft_id, project_id, cast(floor(req_id / 2) AS bigint) AS batch_id, CASE WHEN req_id % 3 = 0 THEN NULL WHEN req_id % 3 = 1 THEN req_number ELSE 'X' || req_number END AS number, CASE WHEN req_id % 10 = 0 THEN ' ' ELSE iwp_number END AS iwp,
   CASE req_id % 8 WHEN 0 THEN '' ELSE 'd ' || cast(req_id % 50 AS string) END AS raw_drawing, CASE req_id % 9 WHEN 0 THEN '' ELSE cast(req_id % 12 AS string) END AS raw_sheet,
-  CASE req_id % 4 WHEN 0 THEN 'SENT_TO_MATERIAL_ADMIN' WHEN 1 THEN 'NUMBER_ASSIGNED' WHEN 2 THEN 'DRAFT' ELSE 'NUMBER_ASSIGNED' END AS state, req_id % 6 <> 0 AS selected, req_id % 11 = 0 AS archived FROM requisitions""",
+  CASE req_id % 4 WHEN 0 THEN 'PENDING_MATERIAL_MANAGER' WHEN 1 THEN 'NUMBER_ASSIGNED' WHEN 2 THEN 'DRAFT' ELSE 'NUMBER_ASSIGNED' END AS state, req_id % 6 <> 0 AS selected, req_id % 11 = 0 AS archived FROM requisitions""",
+    "published_numbers": "SELECT project_id, req_number AS number FROM requisitions WHERE req_id % 5 = 0 UNION ALL SELECT project_id, 'x' || req_number FROM requisitions WHERE req_id % 7 = 0",
     "draft_lines": """
 SELECT req_id AS draft_id, line_number, CASE line_id % 41 WHEN 0 THEN 'abc' WHEN 1 THEN '' WHEN 2 THEN '0' WHEN 3 THEN '1,200' ELSE cast(line_id % 90 + 1 AS string) END AS raw_quantity,
   CASE line_id % 37 WHEN 0 THEN 'SEE DETAIL' WHEN 1 THEN '' ELSE size END AS raw_size, CASE line_id % 43 WHEN 0 THEN ' ' ELSE description END AS description FROM lines""",
@@ -91,7 +106,8 @@ SELECT p_partkey AS page_id, CASE p_partkey % 12 WHEN 0 THEN 'short page' WHEN 1
 SELECT l_orderkey * 1000 + line_number AS row_id, l_partkey % 300 AS page, l_linenumber AS point, CASE l_partkey % 7 WHEN 0 THEN 'PIPE ' WHEN 1 THEN 'GASKET ' WHEN 2 THEN 'STUD BOLT ' WHEN 3 THEN 'ELBOW ' WHEN 4 THEN '' ELSE 'GATE VALVE ' END || CASE WHEN l_partkey % 7 = 4 THEN '' ELSE p_name END AS description,
   CASE WHEN l_suppkey % 6 = 0 THEN NULL ELSE cast(p_size AS string) END AS nominal_size, CASE WHEN l_partkey % 13 = 0 THEN '5UG' WHEN l_partkey % 9 = 0 THEN ' ' ELSE p_brand END AS commodity_code,
   CASE l_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN cast(l_partkey % 40 AS string) || '.5''' ELSE cast(l_partkey % 12 AS string) END AS quantity,
-  'D-' || cast(l_partkey % 300 AS string) || CASE WHEN l_suppkey % 4 = 0 THEN '' ELSE '-0' || cast(l_suppkey % 4 AS string) END AS drawing, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE 'S' || cast(l_suppkey % 5 AS string) END AS schedule
+  'D-' || cast(l_partkey % 300 AS string) || CASE WHEN l_suppkey % 4 = 0 THEN '' ELSE '-0' || cast(l_suppkey % 4 AS string) END AS drawing, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE 'S' || cast(l_suppkey % 5 AS string) END AS schedule,
+  CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE 'CWA ' || cast(l_partkey % 4 AS string) END AS cwa, 'IWP-' || cast(l_partkey % 300 % 20 AS string) AS iwp
 FROM raw_lines JOIN part ON l_partkey = p_partkey""",
     "members": """
 SELECT c_custkey AS user_id, 'P' || cast(c_custkey % 4 AS string) AS project_id, c_custkey % 29 <> 0 AS search, c_custkey % 5 IN (1, 4) AS field_transact, c_custkey % 5 IN (3, 4) AS admin_backorder, c_custkey % 5 = 4 AS owner_edit,
@@ -156,7 +172,7 @@ SELECT 'D-' || cast(l_partkey % 500 AS string) AS drawing_number, CASE WHEN l_pa
 NEEDS = {"lines": ["raw_lines"], "stored_statuses": ["raw_lines", "lines"], "backorders": ["movements"], "notices": ["movements", "backorders"], "swaps": ["movements"], "bag_items": ["raw_lines", "lines"], "iso_pages": ["raw_lines"], "bag_stock": ["raw_lines", "lines", "requisitions"], "bag_rows": ["raw_lines", "lines", "bag_items"], "search_terms": ["requisitions", "raw_lines", "lines"],
          "decided": ["movements"], "drafts": ["requisitions"], "draft_lines": ["raw_lines", "lines"], "bom_rows": ["raw_lines"],
          "corrections": ["raw_lines", "lines", "requisitions"], "review_items": ["requisitions", "drafts"], "batches": ["requisitions", "drafts"], "draft_issues": ["raw_lines", "lines", "draft_lines"], "incoming": ["requisitions"], "split_requests": ["movements"],
-         "line_places": ["raw_lines", "lines"], "legacy_lines": ["raw_lines", "lines"], "legacy_requests": ["raw_lines", "lines"], "grid_rows": ["raw_lines"], "words": ["raw_lines"]}
+         "line_places": ["raw_lines", "lines"], "legacy_lines": ["raw_lines", "lines"], "legacy_requests": ["raw_lines", "lines"], "grid_rows": ["raw_lines"], "words": ["raw_lines"], "published_numbers": ["requisitions"], "counted_lines": ["raw_lines", "lines"], "lenders": ["raw_lines", "lines"], "borrow_requests": ["raw_lines", "lines", "lenders"]}
 
 
 def _order(names: list[str]) -> list[str]:

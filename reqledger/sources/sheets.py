@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming.streams import shared_root
@@ -55,10 +56,22 @@ def write_takeoff(rows: DataFrame, path: str) -> None:
     cells.union(empty).write.partitionBy("on_sheet").option("header", True).option("quoteAll", True).option("lineSep", "\r\n").csv(path)
 
 
+def _empty() -> Column:
+    """The line of a sheet without rows: its mark and nothing else, so that an area of that name is still a row."""
+    blank = [F.coalesce(c, F.lit("")) == "" for c in FORM if c != "cwa"]
+    return reduce(lambda x, y: x & y, blank, F.col("cwa").eqNullSafe(NOTHING))
+
+
+def read_takeoff_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows as they were written, cell by cell."""
+    found = spark.read.schema(", ".join(f"{c} string" for c in (*FORM, "on_sheet"))).option("header", True).csv(path).filter(~_empty())
+    return found.select("on_sheet", *[F.coalesce(c, F.lit("")).alias(c) for c in FORM])
+
+
 def read_takeoff(spark: SparkSession, path: str) -> DataFrame:
     """Rows of each sheet that write_takeoff wrote; 0 for a sheet with nothing on it."""
     found = spark.read.schema(", ".join(f"{c} string" for c in (*FORM, "on_sheet"))).option("header", True).csv(path)
-    return found.groupBy("on_sheet").agg(F.count_if(~F.col("cwa").eqNullSafe(NOTHING)).alias("rows"), F.countDistinct("line_number").alias("drawings"))
+    return found.groupBy("on_sheet").agg(F.count_if(~_empty()).alias("rows"), F.countDistinct("line_number").alias("drawings"))
 
 
 def write_manifests(materials: DataFrame, reasons: DataFrame, path: str) -> None:
