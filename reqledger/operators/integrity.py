@@ -70,6 +70,11 @@ def issued_history(lines: DataFrame, movements: DataFrame) -> DataFrame:
     """Issued quantity of a line against its issue movements."""
     kept = movements.filter(F.regexp_replace("action", "^(CORRECTION|REVERSAL)_", "").isin(*ISSUES))
     told = kept.groupBy("line_id").agg(F.sum(F.when(F.col("action").startswith("REVERSAL_"), -F.col("quantity")).otherwise(F.col("quantity"))).alias("told"))
+    return issued_difference(lines, told)
+
+
+def issued_difference(lines: DataFrame, told: DataFrame) -> DataFrame:
+    """Issued quantity of a line against told(line_id, told)."""
     gap = F.col("qty_issued") - F.coalesce("told", F.lit(0))
     return _found(lines.filter("active").join(told, "line_id", "left").filter(F.abs(gap) > TOLERANCE), "ISSUED_HISTORY", "line_id", gap)
 

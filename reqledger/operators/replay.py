@@ -47,10 +47,20 @@ def replay_ledger(movements: DataFrame, requested: float = 1000) -> DataFrame:
     return folded.select("line_id", *[F.col(f"s.{n}").cast("double").alias(n) for n in STATE], "s.accepted", "s.refused")
 
 
-def ledger_balance(movements: DataFrame) -> DataFrame:
-    """Sums of signed movements by line, whatever the order: what the log alone says of each bucket."""
+def bucket_sums(movements: DataFrame) -> DataFrame:
+    """Sums of signed movements by line and bucket, exact, and the number of commands; sums of parts add up to the sums of the whole."""
     change = lambda i: F.sum(sum((F.when(F.col("action") == a, F.col("quantity") * d[i]).otherwise(0) for a, d in DELTAS.items()), F.lit(0)))
-    return movements.groupBy("line_id").agg(*[change(i).cast("double").alias(n) for i, n in enumerate(STATE) if n != "bagged"], F.sum(F.when(F.col("action") == "BAG", F.col("quantity")).otherwise(0)).cast("double").alias("bagged"), F.count("*").alias("commands"))
+    bagged = F.sum(F.when(F.col("action") == "BAG", F.col("quantity")).otherwise(0))
+    return movements.groupBy("line_id").agg(*[change(i).cast("decimal(28,4)").alias(n) for i, n in enumerate(STATE) if n != "bagged"], bagged.cast("decimal(28,4)").alias("bagged"), F.count("*").alias("commands"))
+
+
+def told_sums(sums: DataFrame) -> DataFrame:
+    return sums.withColumns({n: F.col(n).cast("double") for n in STATE})
+
+
+def ledger_balance(movements: DataFrame) -> DataFrame:
+    """What the log alone says of each bucket, whatever the order."""
+    return told_sums(bucket_sums(movements))
 
 
 def state_as_of(movements: DataFrame, when: str) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import borrow, fieldlog
-from ..sources.bridge import with_views
+from ..sources.bridge import domain, with_views
+from ..streaming import alerts
+from ..streaming.streams import movements
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,14 +111,27 @@ SWAP_PARTS = {
 def _double(df: DataFrame) -> DataFrame:
     return df.withColumn("quantity", F.col("quantity").cast("double"))
 
+#: Ageing: a limit that passed before the close, or before the end of the log less the delay. Conflicts: a key is claimed anew once its 48 hours are over, so claims are a recursion over a key's rows.
+STREAMS = {
+    "stream_ageing": """WITH o AS (SELECT event_id AS id, ts, CASE event_type WHEN 'signup' THEN 'request' WHEN 'error' THEN 'notice' WHEN 'click' THEN 'bag' END AS kind FROM events), k AS (SELECT *, CASE WHEN id % 4 <> 0 THEN ts + to_days(cast(id % 34 AS integer)) END AS closed FROM o WHERE kind IS NOT NULL),
+x AS (SELECT id, k.kind, closed, days, ts + to_days(days) AS due FROM k JOIN (VALUES ('request', 7), ('notice', 3), ('bag', 14), ('bag', 30)) l(kind, days) ON k.kind = l.kind)
+SELECT id, kind, days FROM x WHERE closed > due OR closed IS NULL AND due < (SELECT max(greatest(ts, coalesce(closed, ts))) FROM k) - interval 1 hour""",
+    "stream_conflicts": """WITH RECURSIVE r AS (SELECT user_id AS line_id, event_id AS id, ts + to_hours(h) AS came, more AS body, h FROM events JOIN (VALUES (1, 0, 0), (7, 2, 0), (11, 5, 1), (13, 72, 2), (17, 100, 3)) v(every, h, more) ON event_id % every = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY came) AS k FROM r), c AS (SELECT line_id, id, k, came AS began, body AS held, came, body FROM n WHERE k = 1
+  UNION ALL SELECT n.line_id, n.id, n.k, CASE WHEN n.came > began + interval 48 hours THEN n.came ELSE began END, CASE WHEN n.came > began + interval 48 hours THEN n.body ELSE held END, n.came, n.body FROM c JOIN n ON n.id = c.id AND n.k = c.k + 1)
+SELECT line_id, id, cast(floor(epoch(came - began) / 3600) AS bigint) AS hours FROM c WHERE body <> held""",
+}
+
 
 def queries(over: Callable[..., Query]) -> dict[str, Query]:
     replayed = lambda kind: over(lambda log: fieldlog.part(fieldlog.replay_full(log), kind), "field_log")
     planned = lambda f: over(lambda q, x: f(borrow.plan_swaps(q, x), x), "borrow_requests", "lines")
     return {name: replayed(kind) for name, (kind, _) in PARTS.items()} | {
         "plan_swaps": planned(lambda s, _: _double(s)), "swap_movements": planned(lambda s, _: borrow.movements(s)), "swap_lines_after": planned(borrow.after),
+        "stream_ageing": alerts.stream_ageing, "stream_conflicts": alerts.stream_conflicts, "stream_balance": alerts.stream_balance,
+        "stream_integrity": lambda spark, d: alerts.stream_integrity(domain(spark, d, "lines")[0], movements(spark, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(f"{REPLAY} {told}", "field_log", recursive=True) for name, (_, told) in PARTS.items()} | {name: with_views(f"{SWAPS} {told}", "borrow_requests", "lines", recursive=True) for name, told in SWAP_PARTS.items()}
+    return {name: with_views(f"{REPLAY} {told}", "field_log", recursive=True) for name, (_, told) in PARTS.items()} | {name: with_views(f"{SWAPS} {told}", "borrow_requests", "lines", recursive=True) for name, told in SWAP_PARTS.items()} | STREAMS

@@ -140,4 +140,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql() | desk.oracle_sql() | office.oracle_sql() | field.oracle_sql()
+    told = oracles.oracle_sql()
+    return told | desk.oracle_sql() | office.oracle_sql() | field.oracle_sql() | {"stream_balance": told["ledger_balance"], "stream_integrity": told["chk_issued_history"]}
