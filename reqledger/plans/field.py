@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import borrow, fieldlog
+from ..operators import bom, borrow, fieldlog
 from ..sources.bridge import domain, with_views
+from ..sources.written import written
 from ..streaming import alerts
 from ..streaming.streams import movements
 
@@ -122,16 +123,60 @@ n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY came) AS k FROM r),
 SELECT line_id, id, cast(floor(epoch(came - began) / 3600) AS bigint) AS hours FROM c WHERE body <> held""",
 }
 
+_NAMES = {"item_no": "NO PT PTNO ITEM ITEMNO", "size": "NPD NPDIN SIZE DIA IN", "description": "DESCRIPTION DESC", "ident": "CMDTYCODE CMDTY CMDTYCD COMMODITY COMMODITYCODE IDENT IDENTNO MATERIALCODE", "qty": "QTY QUANTITY", "remarks": "REMARKS REMARK"}
+_CODE = "(?i)^(PS[-A-Z0-9]*|[A-Z]{0,3}[0-9]{5,}[A-Z0-9]*|C[A-Z0-9]{6,}|[0-9][A-Z]{1,6}[0-9]*(-[A-Z0-9]+)+|[0-9][A-Z]{1,6}[0-9]*[A-Z]?[0-9]*[A-Z]?)$"
+_QTY = "^[0-9]+([.][0-9]+)?[''′]?$"
+#: Lines by recursion, as the first word's top counts; then the section, its headings and rules, and the spans of rows.
+BOM = f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY top, x0, word_id) AS rn FROM bom_words),
+r AS (SELECT page_id, word_id, rn, top AS began, cast(1 AS bigint) AS line FROM o WHERE rn = 1 UNION ALL SELECT o.page_id, o.word_id, o.rn, CASE WHEN abs(o.top - r.began) <= 5 THEN r.began ELSE o.top END, CASE WHEN abs(o.top - r.began) <= 5 THEN r.line ELSE r.line + 1 END FROM r JOIN o ON o.page_id = r.page_id AND o.rn = r.rn + 1),
+w AS (SELECT o.page_id, o.word_id, x0, top, trim(text) AS text, line, lag(trim(text), 1, '') OVER (PARTITION BY o.page_id, line ORDER BY x0, o.word_id) AS prior FROM o JOIN r ON r.word_id = o.word_id AND r.page_id = o.page_id),
+ln AS (SELECT page_id, line, list(text ORDER BY x0, word_id) AS toks, string_agg(text, ' ' ORDER BY x0, word_id) AS txt FROM w GROUP BY 1, 2),
+s1 AS (SELECT page_id, min(line) AS b FROM ln WHERE regexp_matches(txt, '(?i)\\bBILL\\s+OF\\s+MATERIALS?\\b') GROUP BY 1), s2 AS (SELECT s1.page_id, b, min(line) AS e FROM s1 LEFT JOIN ln ON ln.page_id = s1.page_id AND line > b AND regexp_matches(txt, '(?i)\\b(REV\\.?\\s*NO\\.?|ISSUED\\s+FOR\\s+CONSTRUCTION)\\b') GROUP BY 1, 2),
+ins AS (SELECT ln.* FROM ln JOIN s2 ON s2.page_id = ln.page_id WHERE line > b AND (e IS NULL OR line < e)),
+hd AS (SELECT page_id, line, name, min(x0) AS x FROM (SELECT w.*, coalesce(h1.name, h2.name) AS name FROM w LEFT JOIN nm h1 ON h1.t = regexp_replace(upper(text), '[^A-Z0-9]', '', 'g') LEFT JOIN nm h2 ON h2.t = regexp_replace(upper(prior || text), '[^A-Z0-9]', '', 'g')) WHERE name IS NOT NULL GROUP BY 1, 2, 3),
+fo AS (SELECT t.page_id, t.line, h.name, min(h.x) AS x FROM (SELECT DISTINCT hd.page_id, hd.line FROM hd JOIN ins USING (page_id, line)) t JOIN hd h ON h.page_id = t.page_id AND h.line BETWEEN t.line - 1 AND t.line + 1 GROUP BY 1, 2, 3),
+pk AS (SELECT page_id, min(line) AS line FROM (SELECT page_id, line FROM fo GROUP BY 1, 2 HAVING count(*) >= 3) GROUP BY 1),
+cl AS (SELECT page_id, name, x, lead(x) OVER (PARTITION BY page_id ORDER BY x, name) AS nx FROM fo JOIN pk USING (page_id, line)),
+gp AS (SELECT page_id, name, max(struct_pack(g := nxt - x0, at_ := (nxt + x0) / 2)) AS m FROM (SELECT *, lead(x0) OVER (PARTITION BY page_id, name ORDER BY x0) AS nxt FROM (SELECT DISTINCT cl.page_id, name, x0 FROM cl JOIN (SELECT w.page_id, x0 FROM w JOIN ins USING (page_id, line)) q ON q.page_id = cl.page_id AND x0 BETWEEN x AND nx)) WHERE nxt IS NOT NULL GROUP BY 1, 2),
+ed AS (SELECT page_id, name, x, coalesce(lag(ru) OVER (PARTITION BY page_id ORDER BY x, name), 0) AS x_from, coalesce(ru, 'infinity'::double) AS x_to FROM (SELECT cl.*, CASE WHEN m.g > 12 THEN m.at_ ELSE (x + nx) / 2 END AS ru FROM cl LEFT JOIN gp ON gp.page_id = cl.page_id AND gp.name = cl.name)),
+ce AS (SELECT w.page_id, line, name, trim(string_agg(text, ' ' ORDER BY x0, word_id)) AS cell FROM w JOIN ed ON ed.page_id = w.page_id AND x0 >= x_from AND x0 < x_to GROUP BY 1, 2, 3),
+kd AS (SELECT i.page_id, i.line, txt, CASE WHEN regexp_matches(pl, 'SHEET|REVISION|DRAWNBY|CHECKEDBY|APPROVED|SCALE|PROJECTNO|CONTRACTNO|WEIGHT|PIECEMARKS|CONTON|ISOMETRICSPECIFICNOTE|GENERALNOTE') OR coalesce(named, 0) >= 3 OR txt = '' THEN 'none'
+   WHEN len(toks) <= 4 AND NOT (len(list_filter(toks[1:2], lambda t: regexp_matches(t, '^[0-9]{{1,3}}$'))) > 0 AND len(list_filter(toks[-2:], lambda t: regexp_matches(t, '{_QTY}'))) > 0) AND regexp_matches(pl, '^(PIP|FITTINGS|FLANGES|VALVES|GASKETS|BOLT|SUPPORTS|HANGERS|INSTR|MISC|SPECIAL|PAINT|INSULATION|BILLOFMATERIAL)') THEN 'category'
+   WHEN regexp_matches(coalesce(it.cell, ''), '^[0-9]{{1,3}}$') THEN 'row' WHEN coalesce(it.cell, '') = '' THEN 'rest' ELSE 'none' END AS kind
+  FROM (SELECT *, regexp_replace(upper(txt), '[^A-Z0-9]', '', 'g') AS pl FROM ins WHERE page_id IN (SELECT page_id FROM pk)) i LEFT JOIN (SELECT page_id, line, count(*) AS named FROM hd GROUP BY 1, 2) h ON h.page_id = i.page_id AND h.line = i.line LEFT JOIN ce it ON it.page_id = i.page_id AND it.line = i.line AND it.name = 'item_no'),
+sp AS (SELECT page_id, line, cast(row_no AS bigint) AS row_no, kind, coalesce(category, '') AS category, txt AS text FROM (SELECT *, count(*) FILTER (kind = 'row') OVER d AS row_no, last_value(CASE WHEN kind IN ('row', 'category') THEN kind END IGNORE NULLS) OVER d AS mark, last_value(CASE WHEN kind = 'category' THEN txt END IGNORE NULLS) OVER d AS category FROM kd WINDOW d AS (PARTITION BY page_id ORDER BY line ROWS UNBOUNDED PRECEDING)) WHERE kind = 'row' OR (kind = 'rest' AND mark = 'row')),
+qc AS (SELECT w.page_id, row_no, w.text, abs(x0 - x) AS far, row_number() OVER (PARTITION BY w.page_id, row_no ORDER BY abs(x0 - x), top, x0, w.text) AS k FROM w JOIN sp ON sp.page_id = w.page_id AND sp.line = w.line JOIN ed ON ed.page_id = w.page_id AND ed.name = 'qty' AND x0 >= x_from AND x0 < x_to WHERE regexp_matches(w.text, '{_QTY}')),
+pv AS (SELECT sp.page_id, row_no, sp.line, kind, category, {", ".join(f"coalesce(max(cell) FILTER (name = '{n}'), '') AS {n}" for n in _NAMES)} FROM sp LEFT JOIN ce ON ce.page_id = sp.page_id AND ce.line = sp.line GROUP BY ALL),
+tk AS (SELECT *, list_filter(string_split_regex(ident, '\\s+'), lambda t: t <> '') AS ti, list_filter(string_split_regex(qty, '\\s+'), lambda t: t <> '') AS tq FROM pv),
+sx AS (SELECT *, coalesce(list_filter(ti, lambda t: regexp_matches(t, '{_CODE}'))[1], '') AS code, array_to_string(list_filter(ti, lambda t: NOT regexp_matches(t, '{_CODE}')), ' ') AS si, coalesce(list_filter(tq, lambda t: regexp_matches(t, '{_QTY}'))[-1], '') AS num, array_to_string(list_filter(tq, lambda t: NOT regexp_matches(t, '{_QTY}')), ' ') AS sq FROM tk),
+fl AS (SELECT page_id, row_no, line, category, item_no, size, CASE kind WHEN 'row' THEN code ELSE ident END AS ident, CASE kind WHEN 'row' THEN num ELSE qty END AS qty, CASE WHEN kind <> 'row' THEN description ELSE CASE WHEN code = trim(description || ' ' || si) THEN '' ELSE description || ' ' || si END || ' ' || sq END AS description FROM sx)"""
+BOM_PARTS = {
+    "column_edges": "SELECT page_id, name, x, x_from, x_to FROM ed",
+    "bom_row_spans": "SELECT * FROM sp",
+    "bom_material_rows": "SELECT * FROM (SELECT page_id, row_no, max(category) AS category, count(*) AS lines, " + ", ".join(f"coalesce(arg_min({n}, line) FILTER ({n} <> ''), '') AS {n}" for n in ("item_no", "size", "ident", "qty")) + ", trim(regexp_replace(string_agg(description, ' ' ORDER BY line), ' +', ' ', 'g')) AS description FROM fl GROUP BY 1, 2) WHERE description <> '' OR qty <> ''",
+    "pick_code_qty": "SELECT a.page_id, a.row_no, a.text AS quantity, CASE WHEN b.k IS NULL THEN '' WHEN a.far <= 20 AND b.far - a.far >= 8 THEN 'ignored_numeric_annotation' ELSE 'multiple_quantity_candidates' END AS note FROM qc a LEFT JOIN qc b ON b.page_id = a.page_id AND b.row_no = a.row_no AND b.k = 2 WHERE a.k = 1",
+}
+_NM = "nm AS (SELECT name, unnest(string_split(t, ' ')) AS t FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _NAMES.items()) + ") v(name, t))"
+
+
+def _on_edges(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    def run(words: DataFrame) -> DataFrame:
+        placed = bom.placed(words)
+        return f(placed, written(bom.column_edges(placed), "edges"))
+
+    return run
+
 
 def queries(over: Callable[..., Query]) -> dict[str, Query]:
     replayed = lambda kind: over(lambda log: fieldlog.part(fieldlog.replay_full(log), kind), "field_log")
     planned = lambda f: over(lambda q, x: f(borrow.plan_swaps(q, x), x), "borrow_requests", "lines")
     return {name: replayed(kind) for name, (kind, _) in PARTS.items()} | {
         "plan_swaps": planned(lambda s, _: _double(s)), "swap_movements": planned(lambda s, _: borrow.movements(s)), "swap_lines_after": planned(borrow.after),
+        "column_edges": over(lambda w: bom.column_edges(bom.placed(w)), "bom_words"), **{name: over(_on_edges(f), "bom_words") for name, f in (("bom_row_spans", bom.row_spans), ("bom_material_rows", bom.material_rows), ("pick_code_qty", bom.pick_quantities))},
         "stream_ageing": alerts.stream_ageing, "stream_conflicts": alerts.stream_conflicts, "stream_balance": alerts.stream_balance,
         "stream_integrity": lambda spark, d: alerts.stream_integrity(domain(spark, d, "lines")[0], movements(spark, d)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(f"{REPLAY} {told}", "field_log", recursive=True) for name, (_, told) in PARTS.items()} | {name: with_views(f"{SWAPS} {told}", "borrow_requests", "lines", recursive=True) for name, told in SWAP_PARTS.items()} | STREAMS
+    return {name: with_views(f"{REPLAY} {told}", "field_log", recursive=True) for name, (_, told) in PARTS.items()} | {name: with_views(f"{SWAPS} {told}", "borrow_requests", "lines", recursive=True) for name, told in SWAP_PARTS.items()} | STREAMS | {name: with_views(BOM.replace("WITH o AS", f"WITH {_NM}, o AS", 1) + " " + told, "bom_words", recursive=True) for name, told in BOM_PARTS.items()}

@@ -165,6 +165,15 @@ SELECT l_orderkey * 1000 + line_number AS word_id, l_orderkey AS page_id, cast(l
     "column_ranges": """
 SELECT o_orderkey AS page_id, 'code' AS name, cast(20 AS double) AS x_from, cast(150 + o_orderkey % 3 * 20 AS double) AS x_to FROM orders UNION ALL SELECT o_orderkey, 'description', cast(150 + o_orderkey % 3 * 20 AS double), cast(350 AS double) FROM orders
 UNION ALL SELECT o_orderkey, 'quantity', cast(350 AS double), cast(580 AS double) FROM orders""",
+    "bom_words": """
+SELECT o_orderkey * 1000000 + k AS word_id, o_orderkey AS page_id, cast(x AS double) AS x0, cast(y AS double) AS top, text FROM orders CROSS JOIN (VALUES (1, -1, 700, 40, 'BILL'), (2, -1, 730, 40, 'OF'), (3, -1, 750, 40, 'MATERIALS'), (4, 0, 698, 60, 'PT'), (5, 0, 715, 60, 'NO'), (6, 0, 760, 60, 'DESCRIPTION'), (7, 0, 852, 60, 'NPD'), (8, 0, 905, 60, 'CMDTY'), (9, 0, 935, 60, 'CODE'), (10, 0, 978, 60, 'Qty.'),
+  (11, 1, 700, 56, 'PT'), (12, 1, 850, 56, 'NPD'), (13, 1, 908, 56, 'CMDTY'), (14, 1, 697, 64, 'NO'), (15, 1, 770, 64, 'DESCRIPTION'), (16, 1, 980, 64, 'QTY'), (17, 1, 906, 72, 'CODE'), (18, 2, 700, 60, 'ITEM'), (19, 2, 765, 60, 'DESC'), (20, 2, 980, 60, 'QUANTITY'), (21, -1, 705, 20, 'NO'), (22, -1, 760, 20, 'DESCRIPTION'), (23, -1, 900, 20, 'REMARKS'),
+  (24, -1, 700, 9000, 'ISSUED'), (25, -1, 740, 9000, 'FOR'), (26, -1, 770, 9000, 'CONSTRUCTION'), (27, -1, 701, 9020, '7'), (28, -1, 745, 9020, 'AFTER'), (29, -1, 980, 9020, '2'), (30, 3, 700, 60, 'PT')) h(k, form, x, y, text) WHERE form = -1 OR form = CASE WHEN o_orderkey % 11 = 0 THEN 3 ELSE o_orderkey % 3 END
+UNION ALL SELECT l_orderkey * 1000000 + line_number * 1000 + k, l_orderkey, cast(x AS double) + CASE WHEN k IN (2, 3) THEN l_partkey % 7 ELSE 0 END, cast(100 + line_number * 30 + y AS double), CASE k WHEN 1 THEN cast(line_number AS string) WHEN 2 THEN p_name WHEN 3 THEN 'SCH' || cast(l_suppkey % 90 AS string) WHEN 4 THEN cast(p_size AS string) || '"'
+    WHEN 5 THEN CASE WHEN l_partkey % 23 = 0 THEN 'LBS,' ELSE 'C' || cast(1000000 + p_partkey AS string) END WHEN 6 THEN cast(cast(l_quantity AS bigint) AS string) || CASE WHEN l_partkey % 6 = 0 THEN '.5''' ELSE '' END WHEN 7 THEN '3' WHEN 8 THEN 'FULL' WHEN 9 THEN 'BORE' WHEN 10 THEN 'FLANGES' WHEN 11 THEN 'PIPE' WHEN 12 THEN 'SUPPORTS' WHEN 13 THEN 'SHEET' WHEN 14 THEN 'A1' WHEN 15 THEN 'X' ELSE '4' END
+  FROM raw_lines JOIN part ON l_partkey = p_partkey CROSS JOIN (VALUES (1, 702, 0), (2, 742, 1), (3, 800, 2), (4, 855, 0), (5, 910, 1), (6, 982, 0), (7, 948, 3), (8, 745, 9), (9, 790, 9), (10, 703, 18), (11, 703, 18), (12, 740, 18), (13, 720, 24), (14, 760, 24), (15, 705, 0), (16, 1003, 1)) w(k, x, y)
+  WHERE CASE k WHEN 1 THEN l_partkey % 31 <> 0 WHEN 4 THEN l_suppkey % 6 <> 0 WHEN 6 THEN l_orderkey % 13 <> 0 WHEN 7 THEN l_suppkey % 7 = 0 WHEN 8 THEN l_partkey % 5 = 0 WHEN 9 THEN l_partkey % 5 = 0 WHEN 10 THEN line_number % 4 = 0 AND l_orderkey % 2 = 0 WHEN 11 THEN line_number % 4 = 0 AND l_orderkey % 2 = 1 WHEN 12 THEN line_number % 4 = 0 AND l_orderkey % 2 = 1
+    WHEN 13 THEN line_number % 5 = 2 WHEN 14 THEN line_number % 5 = 2 WHEN 15 THEN l_partkey % 37 = 5 WHEN 16 THEN l_suppkey % 9 = 1 ELSE true END""",
     "iso_pages": """
 SELECT 'D-' || cast(l_partkey % 500 AS string) AS drawing_number, CASE WHEN l_partkey % 50 = 0 AND l_suppkey % 3 = 2 THEN 'B' ELSE cast(l_suppkey % 3 AS string) END AS revision,
   cast(l_suppkey % 2 AS string) AS content_hash, 'src' || cast(l_orderkey % 10 AS string) AS source_path, l_orderkey * 1000 + line_number AS page FROM raw_lines""",
@@ -172,7 +181,7 @@ SELECT 'D-' || cast(l_partkey % 500 AS string) AS drawing_number, CASE WHEN l_pa
 NEEDS = {"lines": ["raw_lines"], "stored_statuses": ["raw_lines", "lines"], "backorders": ["movements"], "notices": ["movements", "backorders"], "swaps": ["movements"], "bag_items": ["raw_lines", "lines"], "iso_pages": ["raw_lines"], "bag_stock": ["raw_lines", "lines", "requisitions"], "bag_rows": ["raw_lines", "lines", "bag_items"], "search_terms": ["requisitions", "raw_lines", "lines"],
          "decided": ["movements"], "drafts": ["requisitions"], "draft_lines": ["raw_lines", "lines"], "bom_rows": ["raw_lines"],
          "corrections": ["raw_lines", "lines", "requisitions"], "review_items": ["requisitions", "drafts"], "batches": ["requisitions", "drafts"], "draft_issues": ["raw_lines", "lines", "draft_lines"], "incoming": ["requisitions"], "split_requests": ["movements"],
-         "line_places": ["raw_lines", "lines"], "legacy_lines": ["raw_lines", "lines"], "legacy_requests": ["raw_lines", "lines"], "grid_rows": ["raw_lines"], "words": ["raw_lines"], "published_numbers": ["requisitions"], "counted_lines": ["raw_lines", "lines"], "lenders": ["raw_lines", "lines"], "borrow_requests": ["raw_lines", "lines", "lenders"]}
+         "line_places": ["raw_lines", "lines"], "legacy_lines": ["raw_lines", "lines"], "legacy_requests": ["raw_lines", "lines"], "grid_rows": ["raw_lines"], "words": ["raw_lines"], "published_numbers": ["requisitions"], "bom_words": ["raw_lines"], "counted_lines": ["raw_lines", "lines"], "lenders": ["raw_lines", "lines"], "borrow_requests": ["raw_lines", "lines", "lenders"]}
 
 
 def _order(names: list[str]) -> list[str]:
