@@ -72,7 +72,7 @@ def action_limits(lines: DataFrame) -> DataFrame:
     """One row for each line and action, with the most that the action may move."""
     limits = {
         "CONFIRM_AVAILABLE": locatable(), "BAG": reservable(), "DIRECT_ISSUE": F.least(locatable(), remaining()),
-        "ISSUE_FROM_AVAILABLE": F.least(num("qty_available"), remaining()), "BACKORDER_REQUESTED": new_backorder(),
+        "ISSUE_FROM_AVAILABLE": F.least(num("qty_available"), remaining()), "BACKORDER_REQUESTED": new_backorder(), "ISSUE_FROM_BAG": F.least(num("qty_active_bagged"), remaining()),
     }
     pairs = F.array(*[F.struct(F.lit(a).alias("action"), v.cast("double").alias("limit")) for a, v in limits.items()])
     return lines.select("line_id", F.explode(pairs).alias("x")).select("line_id", "x.action", F.col("x.limit").alias("max_quantity"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import cells
+
 # Patterns that decide units, types and sheets.
 SUPPORT_CODE = r"(?i)^5(?:UGSP|UG|US|MUGSP|MUG|FSS\d*|FS\d*|MHR\d*|ABS\d*|MS|CH|CC|CI|C|SH|S\d|DA\d*|ISC|BG\d*|MG\d*|G\d*)"
 BLIND = r"(?i)\bBLINDS?\b"
@@ -43,10 +45,11 @@ def _one_size(raw: Column) -> Column:
 
 
 def size(raw: Column) -> Column:
-    """6", 1-1/2", 1/2"; each side of a reducer on its own. Text that is no size stays."""
+    """6", 1-1/2", 1/2"; each side of a reducer on its own; a fraction that a workbook took for a date is one again. Text that is no size stays."""
     text = F.trim(raw)
     reducer = text.rlike(r"^\d[^xX]*[xX]\s*\d[^xX]*$")
-    return F.when(reducer, F.array_join(F.transform(F.split(text, r"\s*[xX]\s*"), _one_size), "x")).otherwise(_one_size(text))
+    dated = cells.size_from_date(raw)
+    return F.when(dated.isNotNull(), F.concat(dated, F.lit('"'))).when(reducer, F.array_join(F.transform(F.split(text, r"\s*[xX]\s*"), _one_size), "x")).otherwise(_one_size(text))
 
 
 def quantity(raw: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import normalize as N
+from ..sources.written import written
 from .decisions import READABLE_SIZE
 
 # Fixed values of the baseline profile: headings of each field, words that end the table, words of headings that suggest a field (tried in this order).
@@ -34,6 +35,24 @@ HINTS = {
 }
 ESSENTIAL = ("description", "quantity")
 SEARCHED, BLANKS = 40, 3
+#: Labels of the fields above a table, and those fields that a sheet must have; names of sheets that hold none (fixed values).
+HEADER = {
+    "fmr_number": ("FMR No", "FMR Number", "FMR #", "FMR"),
+    "iwp_number": ("IWP No", "IWP Number", "IWP #", "IWP"),
+    "iso_number": ("ISO No", "ISO Number", "Drawing No", "Drawing", "ISO"),
+    "iso_sheet": ("Sheet", "Sht", "Sheet No", "ISO Sheet"),
+    "iso_revision": ("Rev", "Revision"),
+    "requested_by": ("Requested By", "Requestor", "Requested"),
+    "date_required": ("Date Required", "Required Date", "Need By", "RAD"),
+    "priority": ("Priority", "Urgency"),
+    "destination": ("Destination", "Deliver To", "Delivery"),
+    "warehouse": ("Warehouse", "Store", "Stores"),
+    "craft": ("Craft", "Discipline"),
+}
+MUST_HAVE, DEFAULT_SHEET = ("fmr_number", "iso_number"), "01"
+SKIPPED = r"(?i)^instructions|^notes$|^legend|^cover"
+#: Rows above the table that are searched where there is none, and how far a value stands from its label.
+HEADER_ROWS, RIGHT, BELOW = 30, 3, 2
 
 
 def _squash(text: Column) -> Column:
@@ -68,9 +87,9 @@ def header_rows(grid: DataFrame, columns: dict = COLUMNS) -> DataFrame:
     return best.select("sheet_id", F.col("row").alias("header_row"), F.col("matched").cast("long").alias("score"), *[F.when(F.col(f"at_{f}") > 0, F.col(f"at_{f}") - 1).alias(f) for f in columns])
 
 
-def material_lines(grid: DataFrame, columns: dict = COLUMNS) -> DataFrame:
+def material_lines(grid: DataFrame, columns: dict = COLUMNS, heads: DataFrame | None = None) -> DataFrame:
     """Material rows under each sheet's header up to a total or three blank rows on end, normalised, numbered, with their issues. Sheets are apart, so a sheet's order is kept in one window of that sheet."""
-    heads = header_rows(grid, columns)
+    heads = header_rows(grid, columns) if heads is None else heads
     rows = with_cells(grid).join(heads, "sheet_id").filter("row > header_row")
     at = lambda f: F.coalesce(F.trim(F.get("cells", F.col(f))), F.lit(""))
     rows = rows.select("sheet_id", "row", at("description").alias("description"), at("quantity").alias("raw_quantity"), at("size").alias("raw_size"), at("uom").alias("raw_uom"), at("commodity_code").alias("commodity_code"))
@@ -113,3 +132,73 @@ def learn_headings(grid: DataFrame, columns: dict = COLUMNS) -> DataFrame:
     seen = fit_report(grid, columns).select("sheet_id", F.explode(F.split("unmatched", ",")).alias("heading")).filter("heading <> ''")
     out = seen.withColumn("key", F.coalesce(F.nullif(_squash(F.col("heading")), F.lit("")), F.upper("heading"))).groupBy("key").agg(F.min("heading").alias("heading"), F.countDistinct("sheet_id").alias("sheets"))
     return out.select("heading", suggestion(F.col("heading")).alias("field"), "sheets")
+
+
+def _label(text: Column) -> Column:
+    return F.regexp_replace(F.upper(F.trim(text)), r"[:.\s]+$", "")
+
+
+def _field_of(label: Column, header: dict) -> Column:
+    out = F.lit(None).cast("string")
+    for field, aliases in header.items():
+        out = F.when(label.isin(*[a.upper().rstrip(":. ") for a in aliases]), field).otherwise(out)
+    return out
+
+
+def _is_label(text: Column) -> Column:
+    """A cell of which a line ends as labels do is no value."""
+    return text.rlike(r"(?m)[:=]\s*$")
+
+
+def labeled_values(grid: DataFrame, header: dict = HEADER, columns: dict = COLUMNS, heads: DataFrame | None = None) -> DataFrame:
+    """The fields above each sheet's table: sheet_id, field, value, and where it stands.
+
+    The first cell in reading order that yields a value for a field wins. A cell yields one by its own text ("label: value", then a label with its value on the next line), or, if it is a label, by the
+    cells to its right (3) and then below (2), empty ones and labels passed over. A field without one takes the first filled cell under a table heading of its name. Cells meet their neighbours as columns of their
+    own row and of the two next rows, so nothing is joined."""
+    heads = written(header_rows(grid, columns), "heads") if heads is None else heads
+    down = Window.partitionBy("sheet_id").orderBy("row")
+    rows = with_cells(grid)
+    after = [F.when(F.lead("row", k).over(down) == F.col("row") + k, F.lead("cells", k).over(down)).alias(f"down{k}") for k in range(1, BELOW + 1)]
+    above = rows.select("sheet_id", "row", "cells", *after).join(heads.select("sheet_id", "header_row"), "sheet_id", "left").filter(F.col("row") < F.coalesce("header_row", F.lit(HEADER_ROWS)))
+    cell = above.select("sheet_id", "row", *[f"down{k}" for k in range(1, BELOW + 1)], "cells", F.posexplode("cells").alias("col", "raw")).withColumn("raw", F.trim("raw")).filter("raw <> ''")
+    pieces = F.filter(F.transform(F.split("raw", r"\r?\n"), lambda t: F.trim(t)), lambda t: t != "")
+    split = r"^(.+?)\s*[:=]\s*(.+)$"
+    entry = lambda rank, k, field, value: F.struct(F.lit(rank).alias("rank"), k.alias("k"), field.alias("field"), F.trim(value).alias("value"))
+    inline = F.transform("pieces", lambda t, k: entry(0, k, F.when(t.rlike(split), _field_of(_label(F.regexp_extract(t, split, 1)), header)), F.regexp_extract(t, split, 2)))
+    stacked = F.transform("pieces", lambda t, k: entry(1, k, _field_of(_label(t), header), F.coalesce(F.get("pieces", k + 1), F.lit(""))))
+    near = [F.get("cells", F.col("col") + k) for k in range(1, RIGHT + 1)] + [F.get(f"down{k}", F.col("col")) for k in range(1, BELOW + 1)]
+    value = F.coalesce(*[F.when((F.trim(c) != "") & ~_is_label(F.trim(c)), F.trim(c)) for c in near], F.lit(""))
+    beside = F.array(entry(2, F.lit(0), _field_of(_label(F.col("raw")), header), value))
+    found = cell.withColumn("pieces", pieces).select("sheet_id", "row", "col", F.explode(F.filter(F.concat(inline, stacked, beside), lambda e: e["field"].isNotNull() & (e["value"] != ""))).alias("e"))
+    first = found.groupBy("sheet_id", F.col("e.field").alias("field")).agg(F.min_by("e.value", F.struct("row", "col", "e.rank", "e.k")).alias("value"))
+    # Headings of the table that have a field's name, the first of each, and the first filled cell below.
+    table = rows.join(heads.select("sheet_id", "header_row"), "sheet_id")
+    squashed = {f: sorted({"".join(c for c in a.upper() if c.isalnum()) for a in aliases}) for f, aliases in header.items()}
+    at = lambda f: F.array_position(F.transform("cells", lambda c: _squash(c).isin(*squashed[f])), True)
+    named = table.filter("row = header_row").select("sheet_id", "header_row", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), at(f).alias("at")) for f in header])).alias("h")).filter("h.at > 0")
+    under = rows.join(named, "sheet_id").filter("row > header_row").withColumn("value", F.trim(F.get("cells", F.col("h.at").cast("int") - 1))).filter("value <> ''")
+    column = under.groupBy("sheet_id", F.col("h.field").alias("field")).agg(F.min_by("value", "row").alias("column_value"))
+    both = first.join(column, ["sheet_id", "field"], "full")
+    return both.select("sheet_id", "field", F.coalesce("value", "column_value").alias("value"), F.when(F.col("value").isNotNull(), "label").otherwise("column").alias("place"))
+
+
+def extract_corpus(grid: DataFrame, header: dict = HEADER, columns: dict = COLUMNS) -> DataFrame:
+    """Each sheet that is not skipped by its name, with its header fields, the count of its material lines and the codes that keep it from use (field after a colon), in order; none for a sound sheet."""
+    kept = grid.filter(~F.trim("sheet_name").rlike(SKIPPED))
+    heads = written(header_rows(kept, columns), "heads")
+    sheets = kept.groupBy("sheet_id").agg(F.min("sheet_name").alias("sheet_name"))
+    fields = labeled_values(kept, header, columns, heads).groupBy("sheet_id").pivot("field", list(header)).agg(F.first("value"))
+    counts = material_lines(kept, columns, heads).groupBy("sheet_id").agg(F.count("*").alias("lines"))
+    rows = sheets.join(fields, "sheet_id", "left").join(heads.select("sheet_id", "header_row", *[F.col(c).isNotNull().alias(f"has_{c}") for c in ESSENTIAL]), "sheet_id", "left").join(counts, "sheet_id", "left")
+    table, lines = F.col("header_row").isNotNull(), F.coalesce("lines", F.lit(0))
+    codes = [F.when(F.col(f).isNull(), F.lit(f"MISSING_HEADER:{f}")) for f in MUST_HAVE] + [F.when(~table, F.lit("NO_TABLE"))]
+    codes += [F.when(table & ~F.col(f"has_{c}"), F.lit(f"MISSING_COLUMN:{c}")) for c in sorted(ESSENTIAL)] + [F.when(table & (lines == 0), F.lit("NO_LINES"))]
+    out = rows.withColumns({"iso_number": N.drawing(F.col("iso_number")), "iso_sheet": F.coalesce(N.sheet(F.col("iso_sheet")), F.lit(DEFAULT_SHEET))})
+    return out.select("sheet_id", "sheet_name", *header, lines.cast("long").alias("lines"), F.array_join(F.array_compact(F.array(*codes)), ",").alias("rejected_for"))
+
+
+def rejects(extracted: DataFrame) -> DataFrame:
+    """A row for each reason that keeps a sheet from use."""
+    each = extracted.filter("rejected_for <> ''").select("sheet_id", F.explode(F.split("rejected_for", ",")).alias("reason"))
+    return each.select("sheet_id", F.split("reason", ":").alias("r")).select("sheet_id", F.col("r")[0].alias("code"), F.coalesce(F.get("r", F.lit(1)), F.lit("")).alias("field"))

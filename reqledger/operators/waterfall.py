@@ -12,20 +12,35 @@ def take(quantity: Column, budget: Column, partition: list[str], order: list[str
     return F.greatest(F.lit(0).cast("decimal(14,4)"), F.least(quantity, budget - F.coalesce(before, F.lit(0))))
 
 
-def settle_backorders(requests: DataFrame, located: DataFrame) -> DataFrame:
-    """located(line_id, located) settles confirmed parts first (of confirmed and partly confirmed requests), then, with the rest, pending requests; oldest first."""
+def _budgets(requests: DataFrame, located: DataFrame, totals: DataFrame) -> DataFrame:
+    """Active requests of located lines, with what each could give and the line's budget for confirmed parts: no more than the line's own total."""
     zero = F.lit(0).cast("decimal(14,4)")
-    rows = requests.filter("active").join(located, "line_id")
+    rows = requests.filter("active").join(located, "line_id").join(totals.select("line_id", F.col("confirmed").alias("owed"), F.col("pending").alias("waits")), "line_id")
     pool = F.when(F.col("status").isin("Confirmed", "Partially Confirmed"), F.col("qty_confirmed")).otherwise(zero)
     waiting = F.when(F.col("status") == "Pending", F.col("qty_pending")).otherwise(zero)
+    budget = F.least("located", F.greatest(zero, F.col("owed")))
+    out = rows.withColumns({"pool": pool, "waiting": waiting, "budget": budget})
+    return out.withColumn("desync", F.sum("pool").over(Window.partitionBy("line_id")) < F.col("budget"))
+
+
+def settle_backorders(requests: DataFrame, located: DataFrame, totals: DataFrame) -> DataFrame:
+    """located(line_id, located) settles confirmed parts first (of confirmed and partly confirmed requests), then, with the rest, pending requests; oldest first, neither beyond the line's
+    totals(line_id, confirmed, pending). Lines whose requests hold less than their confirmed total asks for are left alone; backorder_desync names them."""
+    zero = F.lit(0).cast("decimal(14,4)")
     order = ["reported_at", "id"]
-    first = rows.withColumn("take_confirmed", take(pool, F.col("located"), ["line_id"], order))
-    spent = first.withColumn("left_over", F.col("located") - F.sum("take_confirmed").over(Window.partitionBy("line_id")))
-    both = spent.withColumn("take_pending", take(waiting, F.col("left_over"), ["line_id"], order))
+    first = _budgets(requests, located, totals).filter("not desync").withColumn("take_confirmed", take(F.col("pool"), F.col("budget"), ["line_id"], order))
+    spent = first.withColumn("left_over", F.least(F.col("located") - F.sum("take_confirmed").over(Window.partitionBy("line_id")), F.greatest(zero, F.col("waits"))))
+    both = spent.withColumn("take_pending", take(F.col("waiting"), F.col("left_over"), ["line_id"], order))
     left = F.col("qty_confirmed") - F.col("take_confirmed") + F.col("qty_pending") - F.col("take_pending")
     return both.filter("take_confirmed > 0 or take_pending > 0").select("id", "line_id", F.col("take_confirmed").cast("double").alias("take_confirmed"), F.col("take_pending").cast("double").alias("take_pending"), F.when(left == 0, "Fulfilled").otherwise(F.col("status")).alias("status"))
 
 
+def backorder_desync(requests: DataFrame, located: DataFrame, totals: DataFrame) -> DataFrame:
+    """Located lines whose requests cannot give what their confirmed total asks for; they need repair before anything is settled."""
+    held = _budgets(requests, located, totals).filter("desync").groupBy("line_id").agg(F.sum("pool").alias("held"), F.first("budget").alias("asked"))
+    return held.select("line_id", F.col("held").cast("double").alias("held"), F.col("asked").cast("double").alias("asked"))
+
+
 def settle_notices(notices: DataFrame, located: DataFrame, asked: DataFrame) -> DataFrame:
     """Located quantities answer rejection notices and new requests answer returned ones, oldest first; one that is fully answered is resolved."""
     answers = located.select("line_id", F.lit("REJECTED").alias("kind"), F.col("located").alias("answer")).union(asked.select("line_id", F.lit("RETURNED"), "asked"))

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bom, borrow, fieldlog
+from ..operators import bom, borrow, fieldlog, grids
 from ..sources.bridge import domain, with_views
 from ..sources.written import written
 from ..streaming import alerts
 from ..streaming.streams import movements
+from . import office
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -158,6 +159,38 @@ BOM_PARTS = {
 }
 _NM = "nm AS (SELECT name, unnest(string_split(t, ' ')) AS t FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _NAMES.items()) + ") v(name, t))"
 
+_LABELS = {"fmr_number": "FMR NO;FMR NUMBER;FMR #;FMR", "iwp_number": "IWP NO;IWP NUMBER;IWP #;IWP", "iso_number": "ISO NO;ISO NUMBER;DRAWING NO;DRAWING;ISO", "iso_sheet": "SHEET;SHT;SHEET NO;ISO SHEET", "iso_revision": "REV;REVISION", "requested_by": "REQUESTED BY;REQUESTOR;REQUESTED",
+           "date_required": "DATE REQUIRED;REQUIRED DATE;NEED BY;RAD", "priority": "PRIORITY;URGENCY", "destination": "DESTINATION;DELIVER TO;DELIVERY", "warehouse": "WAREHOUSE;STORE;STORES", "craft": "CRAFT;DISCIPLINE"}
+_HEADS = f"{office.HEADINGS}, {office.HEAD}".replace("grid_rows", "src")
+_LAB = "regexp_replace(upper(trim({})), '[:.\\s]+$', '')"
+_SPLIT = "^(.+?)\\s*[:=]\\s*(.+)$"
+#: Cells with their neighbours by joins of rows, every way to a value with its rank, and the first of each field.
+LABELS = f"""hl AS (SELECT field, unnest(string_split(t, ';')) AS a FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in _LABELS.items())}) v(field, t)),
+cx AS (SELECT g.sheet_id, g.row, trim(unnest(g.c)) AS raw, generate_subscripts(g.c, 1) AS col, g.c, d1.c AS c1, d2.c AS c2 FROM gl g LEFT JOIN fp ON fp.sheet_id = g.sheet_id LEFT JOIN gl d1 ON d1.sheet_id = g.sheet_id AND d1.row = g.row + 1 LEFT JOIN gl d2 ON d2.sheet_id = g.sheet_id AND d2.row = g.row + 2 WHERE g.row < coalesce(header_row, 30)),
+pp AS (SELECT *, list_filter(list_transform(string_split(raw, chr(10)), lambda t: trim(t)), lambda t: t <> '') AS ps, list_filter(list_transform([c[col + 1], c[col + 2], c[col + 3], c1[col], c2[col]], lambda t: trim(coalesce(t, ''))), lambda t: t <> '' AND NOT regexp_matches(t, '(?m)[:=]\\s*$'))[1] AS near FROM cx WHERE raw <> ''),
+pi AS (SELECT sheet_id, row, col, ps, unnest(ps) AS t, generate_subscripts(ps, 1) AS i FROM pp),
+vl AS (SELECT sheet_id, row, col, 0 AS rk, i, field, trim(regexp_extract(t, '{_SPLIT}', 2)) AS value FROM pi JOIN hl ON regexp_matches(t, '{_SPLIT}') AND {_LAB.format(f"regexp_extract(t, '{_SPLIT}', 1)")} = a
+  UNION ALL SELECT sheet_id, row, col, 1, i, field, ps[i + 1] FROM pi JOIN hl ON {_LAB.format("t")} = a WHERE i < len(ps) UNION ALL SELECT sheet_id, row, col, 2, 0, field, near FROM pp JOIN hl ON {_LAB.format("raw")} = a WHERE near IS NOT NULL),
+v1 AS (SELECT sheet_id, field, arg_min(value, (row, col, rk, i)) AS value FROM vl WHERE value <> '' GROUP BY 1, 2),
+tc AS (SELECT h.sheet_id, header_row, field, min(i) AS at_ FROM (SELECT sheet_id, header_row, unnest(c) AS cell, generate_subscripts(c, 1) AS i FROM gl JOIN fp USING (sheet_id) WHERE row = header_row) h JOIN hl ON regexp_replace(upper(cell), '[^A-Z0-9]', '', 'g') = regexp_replace(a, '[^A-Z0-9]', '', 'g') GROUP BY ALL),
+v2 AS (SELECT tc.sheet_id, field, arg_min(trim(c[at_]), row) AS value FROM tc JOIN gl ON gl.sheet_id = tc.sheet_id AND row > header_row WHERE trim(coalesce(c[at_], '')) <> '' GROUP BY 1, 2),
+lv AS (SELECT sheet_id, field, coalesce(v1.value, v2.value) AS value, CASE WHEN v1.value IS NOT NULL THEN 'label' ELSE 'column' END AS place FROM v1 FULL JOIN v2 USING (sheet_id, field))"""
+_KEPT = "src AS (SELECT * FROM form_rows WHERE NOT regexp_matches(trim(sheet_name), '(?i)^instructions|^notes$|^legend|^cover'))"
+_CELL = "trim(coalesce(c[{} + 1], ''))"
+CORPUS = f"""{LABELS}, bd AS (SELECT g.sheet_id, row, {_CELL.format("description")} AS ds, {_CELL.format("quantity")} AS qs FROM gl g JOIN fp ON fp.sheet_id = g.sheet_id WHERE row > header_row),
+en AS (SELECT *, ds = '' AND qs = '' AS blank, max(CASE WHEN ds <> '' AND regexp_matches(ds, '(?i)^(total|grand total|subtotal|end of)') OR b3 = 3 THEN 1 ELSE 0 END) OVER (PARTITION BY sheet_id ORDER BY row) AS past FROM (SELECT *, sum(CASE WHEN ds = '' AND qs = '' THEN 1 ELSE 0 END) OVER (PARTITION BY sheet_id ORDER BY row ROWS 2 PRECEDING) AS b3 FROM bd)),
+lc AS (SELECT sheet_id, count(*) AS lines FROM en WHERE past = 0 AND NOT blank GROUP BY 1), hv AS (SELECT sheet_id, {", ".join(f"max(value) FILTER (field = '{f}') AS {f}" for f in _LABELS)} FROM lv GROUP BY 1),
+xs AS (SELECT k.sheet_id, k.sheet_name, hv.* EXCLUDE (sheet_id), coalesce(lines, 0) AS lines, concat_ws(',', CASE WHEN fmr_number IS NULL THEN 'MISSING_HEADER:fmr_number' END, CASE WHEN iso_number IS NULL THEN 'MISSING_HEADER:iso_number' END, CASE WHEN header_row IS NULL THEN 'NO_TABLE' END,
+  CASE WHEN header_row IS NOT NULL AND description IS NULL THEN 'MISSING_COLUMN:description' END, CASE WHEN header_row IS NOT NULL AND quantity IS NULL THEN 'MISSING_COLUMN:quantity' END, CASE WHEN header_row IS NOT NULL AND coalesce(lines, 0) = 0 THEN 'NO_LINES' END) AS rejected_for
+  FROM (SELECT DISTINCT sheet_id, sheet_name FROM src) k LEFT JOIN hv ON hv.sheet_id = k.sheet_id LEFT JOIN fp ON fp.sheet_id = k.sheet_id LEFT JOIN lc ON lc.sheet_id = k.sheet_id)"""
+_DRAWING = "nullif(regexp_replace(regexp_replace(regexp_replace(upper(trim(iso_number)), '\\s+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), '')"
+_SHEET = "coalesce(CASE WHEN trim(iso_sheet) = '' THEN NULL WHEN regexp_extract(iso_sheet, '([0-9]+)\\s*$', 1) = '' THEN upper(trim(iso_sheet)) ELSE CASE WHEN length(cast(cast(regexp_extract(iso_sheet, '([0-9]+)\\s*$', 1) AS bigint) AS varchar)) >= 2 THEN cast(cast(regexp_extract(iso_sheet, '([0-9]+)\\s*$', 1) AS bigint) AS varchar) ELSE lpad(cast(cast(regexp_extract(iso_sheet, '([0-9]+)\\s*$', 1) AS bigint) AS varchar), 2, '0') END END, '01')"
+SHEETS = {
+    "labeled_values": f"WITH src AS (SELECT * FROM form_rows), {_HEADS}, {LABELS} SELECT sheet_id, field, value, place FROM lv",
+    "extract_corpus": f"WITH {_KEPT}, {_HEADS}, {CORPUS} SELECT * REPLACE ({_DRAWING} AS iso_number, {_SHEET} AS iso_sheet) FROM xs",
+    "extract_rejects": f"WITH {_KEPT}, {_HEADS}, {CORPUS} SELECT sheet_id, split_part(r, ':', 1) AS code, split_part(r, ':', 2) AS field FROM (SELECT sheet_id, unnest(string_split(rejected_for, ',')) AS r FROM xs WHERE rejected_for <> '')",
+}
+
 
 def _on_edges(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
     def run(words: DataFrame) -> DataFrame:
@@ -172,6 +205,7 @@ def queries(over: Callable[..., Query]) -> dict[str, Query]:
     planned = lambda f: over(lambda q, x: f(borrow.plan_swaps(q, x), x), "borrow_requests", "lines")
     return {name: replayed(kind) for name, (kind, _) in PARTS.items()} | {
         "plan_swaps": planned(lambda s, _: _double(s)), "swap_movements": planned(lambda s, _: borrow.movements(s)), "swap_lines_after": planned(borrow.after),
+        "labeled_values": over(grids.labeled_values, "form_rows"), "extract_corpus": over(grids.extract_corpus, "form_rows"), "extract_rejects": over(lambda g: grids.rejects(grids.extract_corpus(g)), "form_rows"),
         "column_edges": over(lambda w: bom.column_edges(bom.placed(w)), "bom_words"), **{name: over(_on_edges(f), "bom_words") for name, f in (("bom_row_spans", bom.row_spans), ("bom_material_rows", bom.material_rows), ("pick_code_qty", bom.pick_quantities))},
         "stream_ageing": alerts.stream_ageing, "stream_conflicts": alerts.stream_conflicts, "stream_balance": alerts.stream_balance,
         "stream_integrity": lambda spark, d: alerts.stream_integrity(domain(spark, d, "lines")[0], movements(spark, d)),
@@ -179,4 +213,4 @@ def queries(over: Callable[..., Query]) -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(f"{REPLAY} {told}", "field_log", recursive=True) for name, (_, told) in PARTS.items()} | {name: with_views(f"{SWAPS} {told}", "borrow_requests", "lines", recursive=True) for name, told in SWAP_PARTS.items()} | STREAMS | {name: with_views(BOM.replace("WITH o AS", f"WITH {_NM}, o AS", 1) + " " + told, "bom_words", recursive=True) for name, told in BOM_PARTS.items()}
+    return {name: with_views(f"{REPLAY} {told}", "field_log", recursive=True) for name, (_, told) in PARTS.items()} | {name: with_views(f"{SWAPS} {told}", "borrow_requests", "lines", recursive=True) for name, told in SWAP_PARTS.items()} | STREAMS | {name: with_views(BOM.replace("WITH o AS", f"WITH {_NM}, o AS", 1) + " " + told, "bom_words", recursive=True) for name, told in BOM_PARTS.items()} | {name: with_views(told, "form_rows") for name, told in SHEETS.items()}

@@ -22,6 +22,9 @@ reg AS (SELECT r.req_id, r.project_id, r.req_number, r.priority, r.date_required
 LOCATED = "located AS (SELECT line_id, cast(sum(quantity) AS decimal(14,4)) AS located FROM movements WHERE action = 'CONFIRM_AVAILABLE' GROUP BY line_id)"
 ASKED = LOCATED.replace("located", "asked").replace("CONFIRM_AVAILABLE", "BACKORDER_REQUESTED")
 
+BUDGETS = """q AS (SELECT b.*, located, t.pending AS waits, least(located, greatest(0, t.confirmed)) AS budget, CASE WHEN status IN ('Confirmed', 'Partially Confirmed') THEN qty_confirmed ELSE 0 END AS pool, CASE WHEN status = 'Pending' THEN qty_pending ELSE 0 END AS waiting
+  FROM backorders b JOIN located USING (line_id) JOIN line_totals t USING (line_id) WHERE b.active), a AS (SELECT *, sum(pool) OVER (PARTITION BY line_id) AS held FROM q)"""
+
 
 def _take(quantity: str, budget: str, order: str, key: str = "line_id") -> str:
     return f"greatest(0, least({quantity}, {budget} - coalesce(sum({quantity}) OVER (PARTITION BY {key} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))"
@@ -100,7 +103,7 @@ DRAFT_LINES = """dl AS (SELECT drawing, part_id, row_number() OVER (PARTITION BY
 
 
 def _sizes() -> str:
-    return """CASE raw_size WHEN '6 IN' THEN '6"' WHEN '1.5' THEN '1-1/2"' WHEN '0.75' THEN '3/4"' WHEN '2X1 1/2' THEN '2"x1-1/2"' WHEN '1-1/2' THEN '1-1/2"' WHEN '3/4"' THEN '3/4"' WHEN 'SEE DETAIL' THEN 'SEE DETAIL' END"""
+    return """CASE raw_size WHEN '6 IN' THEN '6"' WHEN '1.5' THEN '1-1/2"' WHEN '0.75' THEN '3/4"' WHEN '2X1 1/2' THEN '2"x1-1/2"' WHEN '1-1/2' THEN '1-1/2"' WHEN '3/4"' THEN '3/4"' WHEN 'SEE DETAIL' THEN 'SEE DETAIL' WHEN '2-Jan' THEN '1/2"' WHEN 'Mar-4' THEN '3/4"' END"""
 
 
 def _m(column: str, pattern: str) -> str:
@@ -134,7 +137,7 @@ def oracle_sql() -> dict[str, str]:
         "register_filters": v(f"WITH h AS (SELECT req_id, CASE WHEN sum({REM}) <= 0 AND sum(qty_requested) > 0 THEN 'Complete' WHEN sum(qty_issued) > 0 THEN 'Partially Issued' WHEN sum(qty_pending_backorder) + sum(qty_confirmed_backorder) > 0 THEN 'Backordered' WHEN sum(qty_confirmed_located) > 0 THEN 'In Progress' ELSE 'Open' END AS status FROM lines WHERE active GROUP BY 1) SELECT project_id, string_agg(DISTINCT priority, ',' ORDER BY priority) AS priorities, string_agg(DISTINCT status, ',' ORDER BY status) AS statuses FROM requisitions LEFT JOIN h USING (req_id) GROUP BY project_id", *rl),
         "line_state": v(f"SELECT line_id, upper(iso_number) || '|' || upper(iso_sheet) AS iso_key, cast({NYL} AS double) AS not_yet_located, cast({REM} AS double) AS remaining, {STATUS} AS line_status FROM lines", "lines"),
         "line_ceilings": v(f"SELECT line_id, cast({LOC} AS double) AS locatable, cast(greatest(0, qty_available + {LOC}) AS double) AS reservable, cast({NEW} AS double) AS new_backorder, cast(greatest(0, qty_available) AS double) AS lendable, cast({SHORT} AS double) AS shortage FROM lines", "lines"),
-        "action_limits": v(" UNION ALL ".join(f"SELECT line_id, '{a}' AS action, cast({x} AS double) AS max_quantity FROM lines" for a, x in (("CONFIRM_AVAILABLE", LOC), ("BAG", f"greatest(0, qty_available + {LOC})"), ("DIRECT_ISSUE", f"least({LOC}, {REM})"), ("ISSUE_FROM_AVAILABLE", f"least(qty_available, {REM})"), ("BACKORDER_REQUESTED", NEW))), "lines"),
+        "action_limits": v(" UNION ALL ".join(f"SELECT line_id, '{a}' AS action, cast({x} AS double) AS max_quantity FROM lines" for a, x in (("CONFIRM_AVAILABLE", LOC), ("BAG", f"greatest(0, qty_available + {LOC})"), ("DIRECT_ISSUE", f"least({LOC}, {REM})"), ("ISSUE_FROM_AVAILABLE", f"least(qty_available, {REM})"), ("BACKORDER_REQUESTED", NEW), ("ISSUE_FROM_BAG", f"least(qty_active_bagged, {REM})"))), "lines"),
         "drawing_summary": v(f"SELECT project_id, iso_number, iso_sheet, iso_revision, count(*) AS line_count, count(DISTINCT req_id) AS requisitions, cast(sum(qty_requested) AS double) AS requested, cast(sum(qty_issued) AS double) AS issued, cast(sum({REM}) AS double) AS remaining, cast(CASE WHEN sum(qty_requested) > 0 THEN floor(cast(sum(qty_issued) AS double) * 100 / cast(sum(qty_requested) AS double) + 0.5) ELSE 0 END AS bigint) AS pct_issued FROM lines WHERE active GROUP BY ALL", "lines"),
         "header_rollup": v(f"SELECT req_id, CASE WHEN sum({REM}) <= 0 AND sum(qty_requested) > 0 THEN 'Complete' WHEN sum(qty_issued) > 0 THEN 'Partially Issued' WHEN sum(qty_pending_backorder) + sum(qty_confirmed_backorder) > 0 THEN 'Backordered' WHEN sum(qty_confirmed_located) > 0 THEN 'In Progress' ELSE 'Open' END AS status FROM lines WHERE active GROUP BY req_id", "lines"),
         "backorder_queue": v("SELECT project_id, id, line_id, status, cast(qty_pending AS double) AS qty_pending, cast(qty_confirmed AS double) AS qty_confirmed, row_number() OVER (PARTITION BY project_id ORDER BY line_id, reported_at, id) AS place FROM backorders WHERE active", "backorders"),
@@ -147,7 +150,8 @@ def oracle_sql() -> dict[str, str]:
         "health": v(f"SELECT project_id, coalesce(b, 0) AS stale_backorders, coalesce(n, 0) AS stale_notices, coalesce(g, 0) AS stale_bags, last_activity, coalesce(b, 0) + coalesce(n, 0) + coalesce(g, 0) = 0 AS ok FROM (SELECT DISTINCT project_id FROM requisitions) LEFT JOIN (SELECT project_id, count(*) FILTER (reported_at < timestamp '{AS_OF}' - interval 7 days) AS b FROM backorders WHERE active AND status = 'Pending' GROUP BY 1) USING (project_id) LEFT JOIN (SELECT project_id, count(*) FILTER (raised_at < timestamp '{AS_OF}' - interval 3 days) AS n FROM notices WHERE active GROUP BY 1) USING (project_id) LEFT JOIN (SELECT project_id, count(*) FILTER (bagged_at < timestamp '{AS_OF}' - interval 30 days) AS g FROM bag_stock WHERE active AND qty_remaining > 0 GROUP BY 1) USING (project_id) LEFT JOIN (SELECT project_id, max(day) AS last_activity FROM movements GROUP BY 1) USING (project_id)", "requisitions", "backorders", "notices", "bag_stock", "movements"),
         "donor_candidates": v(f"WITH pairs AS (SELECT s.line_id AS receiver_id, d.line_id AS donor_id, d.qty_available AS lendable, {SHORT.replace('qty_', 's.qty_')} AS shortage FROM lines s JOIN lines d ON s.project_id = d.project_id AND upper(trim(s.commodity_code)) = upper(trim(d.commodity_code)) AND upper(trim(s.size)) = upper(trim(d.size)) AND upper(trim(s.uom)) = upper(trim(d.uom)) AND s.line_id <> d.line_id WHERE s.active AND d.active AND d.qty_available > 0 AND {SHORT.replace('qty_', 's.qty_')} > 0) SELECT receiver_id, donor_id, place, cast(lendable AS double) AS lendable, cast(shortage AS double) AS shortage FROM (SELECT *, row_number() OVER (PARTITION BY receiver_id ORDER BY lendable DESC, donor_id) AS place FROM pairs) WHERE place <= 25", "lines"),
         "time_saved": v("SELECT req_id, count(DISTINCT iso_number) AS drawings, count(*) FILTER (length(description) > 52) AS overflow, cast(17.30 + 33.36 * count(DISTINCT iso_number) + 20 * (count(*) - count(*) FILTER (length(description) > 52)) + 26 * count(*) FILTER (length(description) > 52) AS double) AS seconds FROM lines WHERE active GROUP BY req_id", "lines"),
-        "settle_backorders": v(f"WITH {LOCATED}, a AS (SELECT b.*, located, CASE WHEN status IN ('Confirmed', 'Partially Confirmed') THEN qty_confirmed ELSE 0 END AS pool, CASE WHEN status = 'Pending' THEN qty_pending ELSE 0 END AS waiting FROM backorders b JOIN located USING (line_id) WHERE active), f AS (SELECT *, {_take('pool', 'located', 'reported_at, id')} AS tc FROM a), g AS (SELECT *, located - sum(tc) OVER (PARTITION BY line_id) AS left_over FROM f), k AS (SELECT *, {_take('waiting', 'left_over', 'reported_at, id')} AS tp FROM g) SELECT id, line_id, cast(tc AS double) AS take_confirmed, cast(tp AS double) AS take_pending, CASE WHEN qty_confirmed - tc + qty_pending - tp = 0 THEN 'Fulfilled' ELSE status END AS status FROM k WHERE tc > 0 OR tp > 0", "backorders"),
+        "settle_backorders": v(f"WITH {LOCATED}, {BUDGETS}, f AS (SELECT *, {_take('pool', 'budget', 'reported_at, id')} AS tc FROM a WHERE held >= budget), g AS (SELECT *, least(located - sum(tc) OVER (PARTITION BY line_id), greatest(0, waits)) AS left_over FROM f), k AS (SELECT *, {_take('waiting', 'left_over', 'reported_at, id')} AS tp FROM g) SELECT id, line_id, cast(tc AS double) AS take_confirmed, cast(tp AS double) AS take_pending, CASE WHEN qty_confirmed - tc + qty_pending - tp = 0 THEN 'Fulfilled' ELSE status END AS status FROM k WHERE tc > 0 OR tp > 0", "backorders", "line_totals"),
+        "backorder_desync": v(f"WITH {LOCATED}, {BUDGETS} SELECT DISTINCT line_id, cast(held AS double) AS held, cast(budget AS double) AS asked FROM a WHERE held < budget", "backorders", "line_totals"),
         "settle_notices": v(f"WITH {LOCATED}, asked AS (SELECT line_id, cast(sum(quantity) AS decimal(14,4)) AS asked FROM movements WHERE action = 'BACKORDER_REQUESTED' GROUP BY 1), a AS (SELECT n.*, CASE kind WHEN 'REJECTED' THEN located ELSE asked END AS answer FROM notices n LEFT JOIN located USING (line_id) LEFT JOIN asked USING (line_id) WHERE active AND kind IN ('REJECTED', 'RETURNED')), t AS (SELECT *, {_take('qty_notified', 'answer', 'raised_at, id', 'line_id, kind')} AS taken FROM a WHERE answer IS NOT NULL) SELECT id, line_id, kind, cast(taken AS double) AS taken, CASE WHEN taken >= qty_notified THEN 'Resolved' ELSE 'Active' END AS status FROM t WHERE taken > 0", "notices"),
         "resubmit_returned": v(f"WITH {ASKED}, a AS (SELECT b.*, asked FROM backorders b JOIN asked USING (line_id) WHERE active AND status = 'Returned for Review'), t AS (SELECT *, {_take('qty_pending', 'asked', 'reported_at, id')} AS taken FROM a) SELECT line_id, count(*) FILTER (taken >= qty_pending) AS revived, cast(greatest(0, any_value(asked) - sum(qty_pending)) AS double) AS new_request FROM t GROUP BY line_id", "backorders"),
         "resubmit_requests": v(f"WITH {ASKED}, a AS (SELECT b.*, asked FROM backorders b JOIN asked USING (line_id) WHERE active AND status = 'Returned for Review'), t AS (SELECT *, {_take('qty_pending', 'asked', 'reported_at, id')} AS taken FROM a) SELECT line_id, id, cast(taken AS double) AS applied, cast(qty_pending AS double) AS qty_pending, CASE WHEN taken >= qty_pending THEN 'Pending' ELSE 'Returned for Review' END AS status FROM t WHERE taken > 0 UNION ALL SELECT line_id, NULL, 0, cast(asked - coalesce(s, 0) AS double), 'Pending' FROM asked LEFT JOIN (SELECT line_id, sum(taken) AS s FROM t GROUP BY 1) USING (line_id) WHERE asked > coalesce(s, 0)", "backorders"),

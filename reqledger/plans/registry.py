@@ -87,7 +87,8 @@ def queries() -> dict[str, Query]:
         "health": _over(lambda r, b, n, s, m: registers.health(r, b, n, s, m, AS_OF), "requisitions", "backorders", "notices", "bag_stock", "movements"),
         "donor_candidates": _over(registers.donor_candidates, "lines"),
         "time_saved": _over(registers.time_saved, "lines"),
-        "settle_backorders": _over(lambda b, m: waterfall.settle_backorders(b, _located(m)), "backorders", "movements"),
+        "settle_backorders": _over(lambda b, m, t: waterfall.settle_backorders(b, _located(m), t), "backorders", "movements", "line_totals"),
+        "backorder_desync": _over(lambda b, m, t: waterfall.backorder_desync(b, _located(m), t), "backorders", "movements", "line_totals"),
         "settle_notices": _over(lambda n, m: waterfall.settle_notices(n, _located(m), _asked(m)), "notices", "movements"),
         "resubmit_returned": _over(lambda b, m: waterfall.resubmit_returned(b, _asked(m)), "backorders", "movements"),
         "resubmit_requests": _over(lambda b, m: waterfall.resubmit_requests(b, _asked(m)), "backorders", "movements"),

@@ -45,6 +45,8 @@ SELECT id, line_id, project_id, ts AS reported_at, day, CASE id % 4 WHEN 0 THEN
   cast(CASE id % 4 WHEN 1 THEN quantity WHEN 2 THEN floor(quantity / 2) ELSE 0 END AS {Q}) AS qty_confirmed,
   cast(CASE id % 4 WHEN 1 THEN 0 WHEN 2 THEN quantity - floor(quantity / 2) ELSE quantity END AS {Q}) AS qty_pending, id % 9 <> 0 AS active
 FROM movements WHERE action = 'BACKORDER_REQUESTED'""",
+    "line_totals": f"""
+SELECT line_id, cast(sum(CASE WHEN status IN ('Confirmed', 'Partially Confirmed') THEN qty_confirmed ELSE 0 END) + CASE WHEN line_id % 5 = 0 THEN 500 ELSE 0 END AS {Q}) AS confirmed, cast(floor(sum(CASE WHEN status = 'Pending' THEN qty_pending ELSE 0 END) / CASE WHEN line_id % 7 = 0 THEN 2 ELSE 1 END) AS {Q}) AS pending FROM backorders WHERE active GROUP BY line_id""",
     "notices": f"""
 SELECT id, line_id, project_id, CASE id % 3 WHEN 0 THEN 'REJECTED' WHEN 1 THEN 'RETURNED' ELSE 'CONFIRMED' END AS kind,
   CASE id % 3 WHEN 0 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'info' END AS severity, qty_requested AS qty_notified, reported_at AS raised_at, day, active FROM backorders""",
@@ -68,7 +70,7 @@ SELECT line_id, project_id, commodity_code, size, uom, row_number() OVER (PARTIT
 SELECT s.line_id * 4 + l.k AS id, s.line_id * 7919 % 100003 AS asked_at, CASE WHEN s.line_id % 37 = 0 THEN s.line_id WHEN s.line_id % 41 = 0 AND s.line_number > 1 THEN s.line_id - 1 ELSE l.line_id END AS donor_id, s.line_id AS receiver_id, cast(CASE WHEN s.line_id % 31 = 0 THEN 0 ELSE 1 + s.line_id % 9 END AS {Q}) AS quantity
 FROM lines s JOIN lenders l ON s.project_id = l.project_id AND s.commodity_code = l.commodity_code AND s.size = l.size AND s.uom = l.uom AND l.k < 4 WHERE s.active AND s.line_id % 3 = 0 AND (s.qty_issued < s.qty_requested OR s.line_id % 5 = 0)""",
     "material_text": """
-SELECT p_partkey AS part_id, CASE p_partkey % 8 WHEN 0 THEN '6 IN' WHEN 1 THEN '1.5' WHEN 2 THEN '0.75' WHEN 3 THEN '2X1 1/2' WHEN 4 THEN '1-1/2' WHEN 5 THEN '3/4"' WHEN 6 THEN 'SEE DETAIL' END AS raw_size,
+SELECT p_partkey AS part_id, CASE p_partkey % 8 WHEN 0 THEN '6 IN' WHEN 1 THEN '1.5' WHEN 2 THEN '0.75' WHEN 3 THEN '2X1 1/2' WHEN 4 THEN '1-1/2' WHEN 5 THEN '3/4"' WHEN 6 THEN 'SEE DETAIL' ELSE CASE WHEN p_partkey % 3 = 0 THEN '2-Jan' WHEN p_partkey % 3 = 1 THEN 'Mar-4' END END AS raw_size,
   CASE p_partkey % 5 WHEN 0 THEN '1,200' WHEN 1 THEN '49.2''' WHEN 2 THEN '40 FT' WHEN 3 THEN 'abc' ELSE '' END AS raw_quantity,
   CASE p_partkey % 9 WHEN 0 THEN 'PIPE ' WHEN 1 THEN 'GASKET ' WHEN 2 THEN 'STUD BOLT ' WHEN 3 THEN 'ELBOW ' WHEN 4 THEN 'GATE VALVE ' WHEN 5 THEN 'BLIND FLANGE ' WHEN 6 THEN 'PAINT ' WHEN 7 THEN 'U-BOLT GUIDE FOR PIPE ' ELSE '' END || upper(p_name) AS description,
   CASE WHEN p_partkey % 13 = 0 THEN '5UG' ELSE p_brand END AS commodity_code,
@@ -174,6 +176,15 @@ UNION ALL SELECT l_orderkey * 1000000 + line_number * 1000 + k, l_orderkey, cast
   FROM raw_lines JOIN part ON l_partkey = p_partkey CROSS JOIN (VALUES (1, 702, 0), (2, 742, 1), (3, 800, 2), (4, 855, 0), (5, 910, 1), (6, 982, 0), (7, 948, 3), (8, 745, 9), (9, 790, 9), (10, 703, 18), (11, 703, 18), (12, 740, 18), (13, 720, 24), (14, 760, 24), (15, 705, 0), (16, 1003, 1)) w(k, x, y)
   WHERE CASE k WHEN 1 THEN l_partkey % 31 <> 0 WHEN 4 THEN l_suppkey % 6 <> 0 WHEN 6 THEN l_orderkey % 13 <> 0 WHEN 7 THEN l_suppkey % 7 = 0 WHEN 8 THEN l_partkey % 5 = 0 WHEN 9 THEN l_partkey % 5 = 0 WHEN 10 THEN line_number % 4 = 0 AND l_orderkey % 2 = 0 WHEN 11 THEN line_number % 4 = 0 AND l_orderkey % 2 = 1 WHEN 12 THEN line_number % 4 = 0 AND l_orderkey % 2 = 1
     WHEN 13 THEN line_number % 5 = 2 WHEN 14 THEN line_number % 5 = 2 WHEN 15 THEN l_partkey % 37 = 5 WHEN 16 THEN l_suppkey % 9 = 1 ELSE true END""",
+    "form_rows": """
+SELECT o_orderkey AS sheet_id, CASE o_orderkey % 13 WHEN 0 THEN 'Instructions (2)' WHEN 1 THEN 'NOTES' WHEN 2 THEN 'Notes to buyer' WHEN 3 THEN 'cover' ELSE 'FMR ' || cast(o_orderkey AS string) END AS sheet_name, 0 AS row, CASE o_orderkey % 5 WHEN 0 THEN 'FMR No:;' || cast(o_orderkey AS string) || ';SHT:;' || cast(o_orderkey % 9 AS string) WHEN 1 THEN 'title;FMR: F-' || cast(o_orderkey AS string) || ' ;;'
+  WHEN 2 THEN 'FMR #;SHT:; ;77' WHEN 3 THEN 'form;FMR Number.' || chr(10) || 'S-' || cast(o_orderkey AS string) || ';Sheet;A12' ELSE 'no label here;FMR No' END AS cells_text FROM orders
+UNION ALL SELECT o_orderkey, CASE o_orderkey % 13 WHEN 0 THEN 'Instructions (2)' WHEN 1 THEN 'NOTES' WHEN 2 THEN 'Notes to buyer' WHEN 3 THEN 'cover' ELSE 'FMR ' || cast(o_orderkey AS string) END, 1, CASE o_orderkey % 4 WHEN 0 THEN 'Drawing No.;Rev:;;;' WHEN 1 THEN 'ISO = d 10 ' || cast(o_orderkey % 7 AS string) || ';Rev:;B:2' WHEN 2 THEN 'x;iso no;D--' || cast(o_orderkey % 30 AS string) || ';IWP;Craft:;Deliver To;north' ELSE '' END FROM orders
+UNION ALL SELECT o_orderkey, CASE o_orderkey % 13 WHEN 0 THEN 'Instructions (2)' WHEN 1 THEN 'NOTES' WHEN 2 THEN 'Notes to buyer' WHEN 3 THEN 'cover' ELSE 'FMR ' || cast(o_orderkey AS string) END, 2, CASE o_orderkey % 4 WHEN 0 THEN ';7;' WHEN 1 THEN 'Requestor;;;' || o_orderpriority || ';Priority:;' || o_orderpriority ELSE 'Urgency;;; ;far' END FROM orders
+UNION ALL SELECT o_orderkey, CASE o_orderkey % 13 WHEN 0 THEN 'Instructions (2)' WHEN 1 THEN 'NOTES' WHEN 2 THEN 'Notes to buyer' WHEN 3 THEN 'cover' ELSE 'FMR ' || cast(o_orderkey AS string) END, 3, CASE WHEN o_orderkey % 8 = 0 THEN 'D-' || cast(o_orderkey % 40 AS string) ELSE 'Craft: Pipe' || chr(10) || 'Warehouse = W' || cast(o_orderkey % 3 AS string) END || ';Need By;' || cast(cast(o_orderdate AS date) AS string) FROM orders
+UNION ALL SELECT o_orderkey, CASE o_orderkey % 13 WHEN 0 THEN 'Instructions (2)' WHEN 1 THEN 'NOTES' WHEN 2 THEN 'Notes to buyer' WHEN 3 THEN 'cover' ELSE 'FMR ' || cast(o_orderkey AS string) END, 4, CASE WHEN o_orderkey % 6 = 5 THEN 'alpha;beta' ELSE 'Item;Code;Size;Description;' || CASE WHEN o_orderkey % 7 = 0 THEN 'Many' ELSE 'Qty' END || ';UOM;' || CASE WHEN o_orderkey % 4 = 3 THEN 'Drawing-No' ELSE 'Remarks' END END FROM orders
+UNION ALL SELECT l_orderkey, CASE l_orderkey % 13 WHEN 0 THEN 'Instructions (2)' WHEN 1 THEN 'NOTES' WHEN 2 THEN 'Notes to buyer' WHEN 3 THEN 'cover' ELSE 'FMR ' || cast(l_orderkey AS string) END, cast(line_number + 4 AS int), CASE WHEN l_orderkey % 17 = 0 THEN ';;;;;;' ELSE cast(line_number AS string) || ';' || p_brand || ';' || cast(p_size AS string) || ';' || p_name || ';' || cast(cast(l_quantity AS bigint) AS string) || ';EA;' || CASE WHEN line_number = 1 THEN '' ELSE 'D-9-' || cast(l_partkey % 5 AS string) END END
+  FROM raw_lines JOIN part ON l_partkey = p_partkey""",
     "iso_pages": """
 SELECT 'D-' || cast(l_partkey % 500 AS string) AS drawing_number, CASE WHEN l_partkey % 50 = 0 AND l_suppkey % 3 = 2 THEN 'B' ELSE cast(l_suppkey % 3 AS string) END AS revision,
   cast(l_suppkey % 2 AS string) AS content_hash, 'src' || cast(l_orderkey % 10 AS string) AS source_path, l_orderkey * 1000 + line_number AS page FROM raw_lines""",
@@ -181,7 +192,7 @@ SELECT 'D-' || cast(l_partkey % 500 AS string) AS drawing_number, CASE WHEN l_pa
 NEEDS = {"lines": ["raw_lines"], "stored_statuses": ["raw_lines", "lines"], "backorders": ["movements"], "notices": ["movements", "backorders"], "swaps": ["movements"], "bag_items": ["raw_lines", "lines"], "iso_pages": ["raw_lines"], "bag_stock": ["raw_lines", "lines", "requisitions"], "bag_rows": ["raw_lines", "lines", "bag_items"], "search_terms": ["requisitions", "raw_lines", "lines"],
          "decided": ["movements"], "drafts": ["requisitions"], "draft_lines": ["raw_lines", "lines"], "bom_rows": ["raw_lines"],
          "corrections": ["raw_lines", "lines", "requisitions"], "review_items": ["requisitions", "drafts"], "batches": ["requisitions", "drafts"], "draft_issues": ["raw_lines", "lines", "draft_lines"], "incoming": ["requisitions"], "split_requests": ["movements"],
-         "line_places": ["raw_lines", "lines"], "legacy_lines": ["raw_lines", "lines"], "legacy_requests": ["raw_lines", "lines"], "grid_rows": ["raw_lines"], "words": ["raw_lines"], "published_numbers": ["requisitions"], "bom_words": ["raw_lines"], "counted_lines": ["raw_lines", "lines"], "lenders": ["raw_lines", "lines"], "borrow_requests": ["raw_lines", "lines", "lenders"]}
+         "line_places": ["raw_lines", "lines"], "legacy_lines": ["raw_lines", "lines"], "legacy_requests": ["raw_lines", "lines"], "grid_rows": ["raw_lines"], "words": ["raw_lines"], "published_numbers": ["requisitions"], "bom_words": ["raw_lines"], "form_rows": ["raw_lines"], "line_totals": ["movements", "backorders"], "counted_lines": ["raw_lines", "lines"], "lenders": ["raw_lines", "lines"], "borrow_requests": ["raw_lines", "lines", "lenders"]}
 
 
 def _order(names: list[str]) -> list[str]:
