@@ -7,7 +7,7 @@ the best passage at THRESHOLD or more. A licence file is one named like one, or
 licence files, and a file without its own takes that of the nearest directory above it: directories, not files, are joined with
 their ancestors, so a directory with a third of all files costs one row.
 
-Null or empty text has no licence of its own. A null path stands in the root. Ties go to the template's name in order. Rows that repeat an id are
+Null or empty text has no licence of its own. A null or empty path stands in no directory; a path without a slash stands in the root, which relative and absolute paths share. Other columns may have any name. Ties go to the template's name in order. Rows that repeat an id are
 files of their own. An empty table gives no rows."""
 
 from __future__ import annotations
@@ -130,12 +130,11 @@ def scan(files: DataFrame, id_col: str, path: Column, text_col: str, templates:
 
     schema = named.select("id", "path").schema.add("own_license", "string").add("own_score", "double").add("is_license_file", "boolean")
     own = materialize(named.mapInArrow(run, schema), "own")
-    above = F.regexp_replace("path", "/[^/]*$", "")
-    given = own.filter("is_license_file").groupBy(above.alias("above")).agg(F.min_by("own_license", F.struct(-F.col("own_score"), "own_license")).alias("given"))
-    folder = F.when(F.col("path").contains("/"), above).otherwise("")
-    folders = own.select(folder.alias("folder")).distinct()
+    folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path") != "", "")
+    given = own.filter("is_license_file").groupBy(folder.alias("above")).agg(F.min_by("own_license", F.struct(-F.col("own_score"), "own_license")).alias("given"))
+    folders = own.select(folder.alias("folder")).filter("folder is not null").distinct()
     steps = F.split("folder", "/")
-    ancestors = folders.select("folder", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))).alias("above"))
+    ancestors = folders.select("folder", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))))).alias("above"))
     nearest = ancestors.join(given, "above").groupBy("folder").agg(F.max_by("given", F.length("above")).alias("given"), F.max_by("above", F.length("above")).alias("inherited_from"))
     nearest = materialize(nearest, "inherited")
     out = own.withColumn("folder", folder).join(nearest, "folder", "left")

@@ -363,6 +363,15 @@ def test_licenses(spark, none):
     assert all(got[i].license is None for i in (4, 6, None, 7)) and len(got) == len(files)
 
 
+def test_licenses_at_the_root(spark):
+    mit = "Released under the MIT License."
+    for root, inside in (("LICENSE", ("main.py", "src/x.py", "src/a/b/y.py")), ("/LICENSE", ("/main.py", "/src/x.py", "/src/a/b/y.py"))):
+        files = [(0, root, mit), *[(i, p, "code") for i, p in enumerate(inside, 1)], (7, None, "code"), (8, inside[1].replace("x.py", "LICENSE/odd.py"), "code"), (9, inside[1].replace("x.py", "LICENSE"), "This work is licensed under the GNU General Public License, version 3.")]
+        rows = spark.createDataFrame(files, "id long, path string, body string").selectExpr("*", "1 as folder", "'x' as text")
+        got = {r.id: (r.license, r.inherited_from) for r in licenses.scan(rows, "id", rows.path, "body").collect()}
+        assert got[0] == ("MIT", None) and got[1] == ("MIT", "") and got[2][0] == got[3][0] == got[8][0] == "GPL-3.0" and got[7] == (None, None)
+
+
 def test_pipeline_stages(spark, tmp_path, rows):
     spark.createDataFrame(rows, DOCS).drop("score", "start").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
