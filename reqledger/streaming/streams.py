@@ -18,8 +18,11 @@ RESENT = "48 hours"
 
 
 def shared_root(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local run (tests) gets a new folder that is then set; a cluster must name one that all its machines share."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
