@@ -1,6 +1,6 @@
 """Secret scan: fixed patterns, and a randomness test battery for tokens that no pattern names.
 
-Column expressions only. A token of 20 or more characters with a digit gets an encoding (hex, base32, base64). Three
+Column expressions only. A token of 20 or more characters gets an encoding (hex, base32, base64). Three
 tests measure how far it is from "drawn at random from that alphabet": chi-squared uniformity over eight equal cells,
 Wald-Wolfowitz runs about the middle of the alphabet, and lag-1 serial correlation. Fisher's method joins their p-values.
 What must be bounded is the share of ordinary names among the tokens reported, so the null hypothesis of the discovery step is "a structured
@@ -12,7 +12,8 @@ identifiers than ENOUGH takes in the bands below it, whose identifiers look the
 without words of Latin letters) nothing is reported as random.
 
 Null text counts as empty and has no spans; every input row gives one output row, repeated ones and null ids too. An
-empty table gives no rows. Other columns may have any name; one named as the added column, in any case, is replaced."""
+empty table gives no rows. Work grows with a text's length times the square root of its spans, so texts of megabytes with
+tens of thousands of spans take seconds; no text is cut short. Other columns may have any name; one named as the added column, in any case, is replaced."""
 
 from __future__ import annotations
 
@@ -26,8 +27,8 @@ from .shared import column, packed, table, unpacked
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs are maximal, so a length bound in the pattern drops just the short ones.
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
-#: A maximal run of token characters that holds a digit; it is tried at its start only.
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: A maximal run of token characters; it is tried at its start only.
+TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 CELLS, FALSE_DISCOVERY, BINS = 8, 0.05, 200
@@ -36,7 +37,8 @@ ENOUGH = 100
 WINDOW, PER_STYLE = 240, (3, 4, 6)
 TO_HEX = ("ghijklmnopqrstuvwxyz", "0123456789abcdef0123")
 TO_BASE32 = ("0189", "2345")
-SPAN = "array<struct<start:int,end:int,text:string>>"
+SPAN = "struct<start:int,end:int,text:string>"
+FOUND = "struct<start:int,rank:int,end:int,kind:string,text:string>"
 OPEN, SHUT, OTHER = "\u0001", "\u0002", "\u0003"
 
 
@@ -46,21 +48,48 @@ def marked(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(f"{OPEN}$0{SHUT}")), OPEN)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def blocks(items: Column) -> Column:
+    """The array cut into about as many blocks as each has items; none of an empty array."""
+
+    def cut(seen: Column) -> Column:
+        xs, size = seen["xs"], seen["size"]
+        return F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int")), lambda i: F.slice(xs, i * size + 1, size))).otherwise(F.array())
+
+    return let(let(items, lambda xs: F.struct(xs.alias("xs"), F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(xs).cast("double"))).cast("int")).alias("size"))), cut)
+
+
+def running(items: Column, begin: Column, advance, emit, kind: str, state: str = "int") -> Column:
+    """emit(state, item) for each item, where the state before it is advance() over those before. First the states at the starts of blocks, then each block by itself: an array of n items costs n * sqrt(n) references."""
+
+    def start(acc: Column, block: Column) -> Column:
+        return F.struct(F.aggregate(block, acc["state"], advance).alias("state"), F.concat(acc["out"], F.array(acc["state"])).alias("out"))
+
+    def one(acc: Column, item: Column) -> Column:
+        return F.struct(advance(acc["state"], item).alias("state"), F.concat(acc["out"], F.array(emit(acc["state"], item))).alias("out"))
+
+    def within(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("state"), F.array().cast(f"array<{kind}>").alias("out")), one, lambda acc: acc["out"])
+
+    def starts(cut: Column) -> Column:
+        return F.aggregate(cut, F.struct(begin.alias("state"), F.array().cast(f"array<{state}>").alias("out")), start, lambda acc: acc["out"])
+
+    return F.flatten(let(blocks(items), lambda cut: F.zip_with(cut, starts(cut), within)))
+
+
 def spans(parts: Column) -> Column:
     """Start, end (code points, end exclusive) and text of each match in marked() text."""
 
-    def add(acc: Column, part: Column) -> Column:
+    def span(pos: Column, part: Column) -> Column:
         found = F.substring_index(part, SHUT, 1)
-        span = F.struct(acc["pos"].alias("start"), (acc["pos"] + F.length(found)).alias("end"), found.alias("text"))
-        return F.struct((acc["pos"] + F.length(part) - 1).alias("pos"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.struct(pos.alias("start"), (pos + F.length(found)).alias("end"), found.alias("text"))
 
-    begin = F.struct(F.length(parts[0]).alias("pos"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), begin, add, lambda acc: acc["out"])
-
-
-def let(value: Column, use) -> Column:
-    """use(value), with value worked out once however often it is used."""
-    return F.transform(F.array(value), use)[0]
+    rest = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    return running(rest, F.length(parts[0]), lambda pos, part: pos + F.length(part) - 1, span, SPAN)
 
 
 def upper_tail(z: Column) -> Column:
@@ -203,8 +232,12 @@ def scan(docs: DataFrame, limits: dict[tuple[str, int], int], text_col: str = "t
     base = F.concat(kind("assign", lambda s: F.length(F.regexp_extract(s["text"], ASSIGN, 2)) >= 6), kind("access", lambda s: F.lit(True)), kind("hex", lambda s: F.lit(True)))
     got = got.select("row", base.alias("base"), "random")
     most = lambda token: F.element_at(limit, F.concat_ws(":", encoding(token), band(token).cast("string")))
-    fresh = kind("random", lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])) & (_bin(battery(s["text"])) <= most(s["text"])))
-    return got.select(*unpacked(docs, to), F.array_sort(F.concat("base", fresh)).alias(to))
+    # In order of starts, base spans first: a token lies in a base span when one that began by then ends no earlier.
+    all_ = F.array_sort(F.concat("base", kind("random", lambda s: F.lit(True))))
+    base_end = lambda seen, s: F.when(s["rank"] < KINDS.index("random"), F.greatest(seen, s["end"])).otherwise(seen)
+    told = running(all_, F.lit(0), base_end, lambda seen, s: F.struct((seen >= s["end"]).alias("inside"), s.alias("span")), f"struct<inside:boolean,span:{FOUND}>")
+    stays = lambda t: (t["span"]["kind"] != "random") | (~t["inside"] & (_bin(battery(t["span"]["text"])) <= most(t["span"]["text"])))
+    return got.select(*unpacked(docs, to), F.transform(F.filter(told, stays), lambda t: t["span"]).alias(to))
 
 
 def joined(found: Column) -> Column:
@@ -212,14 +245,17 @@ def joined(found: Column) -> Column:
 
 
 def redacted(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each span (overlapping ones as one) replaced by the mark."""
+    """The text with each span (overlapping ones as one) replaced by the mark. What lies between is cut out of the text by blocks first, as a place in a string is found by counting."""
+    gap = "struct<from:int,to:int>"
+    gaps = F.filter(running(found, F.lit(0), lambda pos, s: F.greatest(pos, s["end"]), lambda pos, s: F.struct(pos.alias("from"), s["start"].alias("to")), gap), lambda g: g["to"] >= g["from"])
+    gaps = F.concat(gaps, F.array(F.struct(F.array_max(F.transform(found, lambda s: s["end"])).alias("from"), F.length(text).alias("to"))))
 
-    def add(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["pos"]
-        piece = F.when(fresh, F.concat(F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.concat(acc["out"], piece).alias("out"))
+    def pieces(block: Column) -> Column:
+        begin = block[0]["from"]
+        held = F.substring(text, begin + 1, F.element_at(block, -1)["to"] - begin)
+        return let(held, lambda t: F.transform(block, lambda g: F.substring(t, g["from"] - begin + 1, g["to"] - g["from"])))
 
-    return F.aggregate(found, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), add, lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text))))
+    return F.array_join(F.flatten(F.transform(blocks(gaps), pieces)), mark)
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -260,6 +260,24 @@ def test_secrets(spark, docs, none):
     assert secrets.scan(docs.withColumnRenamed("start", "Row"), {}, to="SCORE").count() == docs.count() and secrets.redact(none).count() == 0
 
 
+def test_secrets_of_a_very_long_text(spark):
+    """20,000 spans of one text, overlapping ones among them, as brute force finds them; redacted, only the rest stays."""
+    made = random.Random(3)
+    piece = lambda i: (f"{made.getrandbits(120):030x}", f"token={made.getrandbits(120):030x}é", "AKIA" + "Q7" * 9, "plain 漢 words " * 5)[i % 4]
+    text = " ".join(piece(i) for i in range(20_000))
+    table = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
+    found = secrets.scan(table, {("base64", 9): 3}, to="found")
+    got = {r.doc_id: r for r in found.select("doc_id", "found", secrets.redacted(F.col("text"), F.col("found")).alias("clean")).collect()}
+    spans = [s for s in got[1].found if s.kind != "random"]
+    assert [f"{s.kind}:{s.start}:{s.end}" for s in spans] == brute_secrets(text) and len(spans) == 20_000 and not got[2].found and not got[3].found
+    pos, clean = 0, []
+    for s in got[1].found:
+        if s.start >= pos:
+            clean += [text[pos : s.start], "[SECRET]"]
+        pos = max(pos, s.end)
+    assert got[1].clean == "".join([*clean, text[pos:]])
+
+
 def test_mixing(spark, none):
     data = [(i, words(20 + i % 7, i), "big" if i % 3 == 0 else f"s{i % 11}") for i in range(900)] + [(1, None, "empty"), (None, None, None), (5, words(20, 1), None)]
     table = spark.createDataFrame(data, "doc_id long, text string, source string").selectExpr("*", "1 as block")
