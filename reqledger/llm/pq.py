@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by product quantisation: coarse inverted lists, residual subspace codes, table-lookup distances, exact cosine rerank.
 
 Vectors are scaled to length one, and equal ones become one class first, so copies cost one row. A bounded sample trains the
-coarse centroids (as many as the square root of the number of classes) and, on its residuals, the codebooks of the subspaces; both go to the
+coarse centroids by k-means (as many as the square root of the number of classes, but at least PER_LIST sampled vectors to each) and, on its residuals, the codebooks of the subspaces; both go to the
 executors as small arrays. Every class is stored in its nearest list with its codes and the length of its quantisation error, and probes
 its nearest lists. How many suffice is measured, not guessed: vectors of the sample are turned by exactly the threshold's angle towards
 others, and of these simulated pairs, the hardest there are, every one must meet, as it does when either side probes the other's list.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .graph import components
 from .shared import batch_rows, discard, materialize, table
 
-#: Rows that centroids and codebooks are trained on, at most.
-SAMPLE, SUBSPACES, CODES, BLOCK = 16_384, 16, 64, 2048
+#: Rows that centroids and codebooks are trained on: so many, or PER_LIST for each list where that is more, and never more than SAMPLE_MOST.
+SAMPLE, SAMPLE_MOST, PER_LIST, SUBSPACES, CODES, BLOCK = 16_384, 131_072, 8, 16, 64, 2048
 #: Simulated pairs that fix the number of probes, and the fewest probes.
 SIMULATED, LEAST_PROBES = 8192, 8
 COSINE = 0.9
@@ -40,7 +40,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        near = np.argmin((c * c).sum(1) - 2 * x @ c.T, axis=1)
+        near = np.concatenate([np.argmin((c * c).sum(1) - 2 * part @ c.T, axis=1) for part in np.array_split(x, 1 + len(x) * k // (1 << 24))])
         sums, n = np.zeros_like(c), np.bincount(near, minlength=len(c))
         np.add.at(sums, near, x)
         c[n > 0] = sums[n > 0] / n[n > 0, None]
@@ -74,8 +74,8 @@ class Quantizer:
     """Coarse centroids and the codebooks of residual subspaces."""
 
     def __init__(self, sample: np.ndarray, lists: int, subspaces: int, codes: int, cosine: float):
-        lists = min(lists, len(sample))
-        self.centroids = kmeans(sample, lists) if 8 * lists <= len(sample) else sample[np.random.default_rng(6).permutation(len(sample))[:lists]]
+        lists = max(1, min(lists, len(sample) // PER_LIST))
+        self.centroids = kmeans(sample, lists)
         residual = np.concatenate([x - self.centroids[self.nearest(x)] for x in np.array_split(sample, 1 + len(sample) // 2048)])
         self.edges = np.linspace(0, sample.shape[1], min(subspaces, sample.shape[1]) + 1).astype(int)
         self.books = [kmeans(residual[:, a:b], min(codes, len(sample)), 8) for a, b in zip(self.edges[:-1], self.edges[1:], strict=True)]
@@ -164,8 +164,9 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n = classes.count()
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    picked = classes.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(sample).select("v").toArrow().column(0).combine_chunks()
-    quantizer = Quantizer(unit(as_matrix(picked)), max(1, round(n**0.5)), SUBSPACES, CODES, cosine)
+    lists = max(1, round(n**0.5))
+    picked = classes.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(min(SAMPLE_MOST, max(sample, PER_LIST * lists))).select("v").toArrow().column(0).combine_chunks()
+    quantizer = Quantizer(unit(as_matrix(picked)), lists, SUBSPACES, CODES, cosine)
     shared = spark.sparkContext.broadcast(quantizer)
     radius = (2 - 2 * cosine) ** 0.5
 

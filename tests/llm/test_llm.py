@@ -205,6 +205,15 @@ def test_embedding_links(spark):
     assert pq.embedding_links(table.limit(0)).count() == 0
 
 
+def test_coarse_centroids_are_trained_at_every_size():
+    """However many lists are asked for, each centroid is a mean that k-means left, with PER_LIST sampled vectors to a list; few vectors make one list."""
+    x = pq.unit(np.random.default_rng(4).normal(size=(800, 16)))
+    for asked, made in ((20, 20), (100, 100), (500, 100)):
+        q = pq.Quantizer(x, asked, 4, 16, 0.9)
+        assert len(q.centroids) == made and np.array_equal(q.centroids, pq.kmeans(x, made)) and 1 <= q.many <= made
+    assert len(pq.Quantizer(x[:5], 2, 4, 16, 0.9).centroids) == 1
+
+
 def test_additive_recall(spark):
     data = vectors(900, 4)
     table = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
