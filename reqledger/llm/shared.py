@@ -15,9 +15,11 @@ BATCH_ROWS = "1000"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a new local one that is then set."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local session (as in tests) gets a new local one, and a cluster an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
