@@ -46,3 +46,14 @@ def test_rows_of_a_list(spark):
     got = {r.item_no: (r.category, r.description, r["size"], r.qty, r.lines) for r in bom.material_rows(placed, edges).collect()}
     assert got == {"1": ("PIPE", "PIPE, SMLS API 5L", '6"', "29.5'", 2), "2": ("FLANGES", "FLANGE", '4"', "2", 1)}
     assert {r.row_no: (r.quantity, r.note) for r in bom.pick_quantities(placed, edges).collect()}[1] == ("29.5'", "")
+
+
+def test_heading_rows_meet_their_sheet_in_one_pass(spark):
+    """No table of headings is joined to the rows, so none is sent whole to the driver, and the grid is read once."""
+    grid = spark.createDataFrame([(1, "A", 0, "FMR No:;7"), (1, "A", 1, "Item;Qty;Description;#"), (1, "A", 2, "1;2;pipe;x"), (1, "A", 3, ";;total"), (1, "A", 4, "2;2;pipe;x")], "sheet_id long, sheet_name string, row int, cells_text string")
+    for found, n in ((grids.labeled_values(grid), 1), (grids.extract_corpus(grid), 1), (grids.material_lines(grid), 1)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("LogicalRDD") == 1
+        assert found.count() == n
+    head = grids.header_rows(grid).first()
+    assert (head.header_row, head.score, head.line_number, head.quantity) == (1, 3, 0, 1)
