@@ -1,132 +1,86 @@
 """What a stream of movements must tell by itself: requests, notices and bags that stay open too long, keys that come back with another body, and lines that contradict their history.
 
-Ageing and conflicts keep a few values for each key, and event-time timers take them away, so the state follows what is open and not the log. All three give the rows of their batch twins
-whatever the batches are and wherever a run was stopped and taken up again, as long as rows come within the watermark's delay."""
+Ageing and conflicts keep a few values for each key between micro-batches, as a table that the next batch is grouped with; what event time has passed is left out of it, so it follows what is open and
+not the log. No key makes a call of its own: a batch is one grouping. All three give the rows of their batch twins whatever the batches are and wherever a run was stopped and taken up again, as long as rows come within DELAY."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators import integrity, replay
 from .streams import movements, shared_root
 
-#: Days after which something that is still open is told (fixed values).
+#: Days after which something that is still open is told (fixed values, ascending).
 LIMITS = {"request": (7,), "notice": (3,), "bag": (14, 30)}
-#: How late rows may come, and how long a key is held (fixed value).
-DELAY, HELD_HOURS = "1 hour", 48
-DAY = 86_400_000_000
-STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-@contextmanager
-def rocks(spark: SparkSession) -> Iterator[None]:
-    """While it is open, state is kept in RocksDB, which keyed processors need."""
-    before = spark.conf.get(STORE)
-    spark.conf.set(STORE, ROCKS)
-    try:
-        yield
-    finally:
-        spark.conf.set(STORE, before)
-
-
-def _due(opened: int, days: int) -> int:
-    """The millisecond by which a limit has passed."""
-    return -(-(opened + days * DAY) // 1000)
-
-
-class Ageing(StatefulProcessor):
-    """A thing's opening time and kind while it is open; a timer for each limit. A close that comes after a limit tells it at once, as the timer would have."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.opened = handle.getValueState("opened", "kind string, ts long, closed long")
-
-    def _told(self, key: tuple, kind: str, days: int) -> Row:
-        return Row(id=key[0], kind=kind, days=days)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        kind, ts, closed = self.opened.get() if self.opened.exists() else (None, None, None)
-        waiting = set(self.handle.listTimers())
-        for row in rows:
-            if row.what == "open" and ts is None:
-                kind, ts = row.kind, row.at
-                for days in LIMITS[kind]:
-                    self.handle.registerTimer(_due(ts, days))
-                    waiting.add(_due(ts, days))
-            elif row.what == "close":
-                closed = row.at if closed is None else min(closed, row.at)
-                if ts is None:
-                    self.handle.registerTimer(row.at // 1000 + 1)
-                    waiting.add(row.at // 1000 + 1)
-        if ts is not None and closed is not None:
-            for timer in waiting:
-                self.handle.deleteTimer(timer)
-            self.opened.clear()
-            # Limits whose timers are gone have been told.
-            yield from (self._told(key, kind, days) for days in LIMITS[kind] if closed > ts + days * DAY and _due(ts, days) in waiting)
-        elif ts is not None or closed is not None:
-            self.opened.update((kind, ts, closed))
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        if not self.opened.exists():
-            return
-        kind, ts, _ = self.opened.get()
-        if ts is None:  # a close whose opening never came
-            self.opened.clear()
-            return
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        yield from (self._told(key, kind, days) for days in LIMITS[kind] if _due(ts, days) == due)
-        if due >= _due(ts, LIMITS[kind][-1]):
-            self.opened.clear()
-
-    def close(self) -> None:
-        pass
-
-
-def ageing(log: DataFrame) -> DataFrame:
-    """log(id, kind, what, ts): openings and closings of requests, notices and bags. A row for each limit that a thing outlived, by the watermark."""
-    rows = log.withWatermark("ts", DELAY).select("id", "kind", "what", F.unix_micros("ts").alias("at"), "ts")
-    return rows.groupBy("id").transformWithState(Ageing(), "id long, kind string, days int", "append", "EventTime")
-
-
-class Conflicts(StatefulProcessor):
-    """The first body of a key, for as long as the key is held."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.first = handle.getValueState("first", "body string, ts long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        held = HELD_HOURS * 3_600_000_000
-        body, ts = self.first.get() if self.first.exists() else (None, None)
-        for row in sorted(rows, key=lambda r: (r.at, r.body)):
-            if ts is None or row.at > ts + held:
-                body, ts = row.body, row.at
-                self.handle.registerTimer((ts + held) // 1000 + 1)
-            elif row.body != body:
-                yield Row(line_id=key[0], id=key[1], hours=(row.at - ts) // 3_600_000_000)
-        self.first.update((body, ts))
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        if self.first.exists() and (self.first.get()[1] + HELD_HOURS * 3_600_000_000) // 1000 + 1 <= expiredTimerInfo.getExpiryTimeInMs():
-            self.first.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-def conflicts(log: DataFrame) -> DataFrame:
+#: How late rows may come (microseconds), and how long a key is held (fixed values).
+DELAY, HELD_HOURS = 3_600_000_000, 48
+HOUR, DAY = 3_600_000_000, 86_400_000_000
+
+
+@dataclass
+class Kept:
+    """A stream's rows (with ts) and their step: rows of a batch, what is held of the batches before (None at first) and the event time that has passed (microseconds) give, for each key, an array told of alerts and a struct held (null for nothing)."""
+
+    rows: DataFrame
+    told: str
+    step: Callable[[DataFrame, DataFrame | None, int], DataFrame]
+
+    @property
+    def sparkSession(self) -> SparkSession:
+        return self.rows.sparkSession
+
+
+def _age(rows: DataFrame, held: DataFrame | None, mark: int) -> DataFrame:
+    at = F.unix_micros("ts")
+    # An opening that is held comes before one that is new.
+    opened = lambda new, ts: F.struct(F.lit(new).alias("new"), ts.alias("ts"), F.col("kind"))
+    seen = rows.select("id", F.when(F.col("what") == "open", opened(1, at)).alias("opened"), F.when(F.col("what") == "close", at).alias("closed"), F.lit(0).alias("days"))
+    if held is not None:
+        seen = seen.unionByName(held.select("held.*").select("id", F.when(F.col("ts").isNotNull(), opened(0, F.col("ts"))).alias("opened"), "closed", "days"))
+    each = seen.groupBy("id").agg(F.min("opened").alias("opened"), F.min("closed").alias("closed"), F.max("days").alias("days")).select("id", "opened.kind", "opened.ts", "closed", "days")
+    limits = F.create_map(*[x for k, days in LIMITS.items() for x in (F.lit(k), F.array(*map(F.lit, days)))])[F.col("kind")]
+    due = lambda d: F.col("ts") + d.cast("long") * DAY
+    # A limit is told once it has passed, unless the thing was closed before.
+    passed = F.filter(limits, lambda d: (d > F.col("days")) & F.when(F.col("closed").isNotNull(), F.col("closed") > due(d)).otherwise(due(d) < mark))
+    each = each.withColumn("limits", limits).withColumn("passed", F.coalesce(passed, F.array().cast("array<int>")))
+    waits = F.col("closed").isNull() & (due(F.element_at("limits", -1)) >= mark)
+    early = F.col("ts").isNull() & (F.col("closed") >= mark)  # a close whose opening may still come
+    keep = F.struct("id", "kind", "ts", "closed", F.greatest("days", F.array_max("passed")).alias("days"))
+    return each.select(F.transform("passed", lambda d: F.struct(F.col("id"), F.col("kind"), d.alias("days"))).alias("told"), F.when(waits | early, keep).alias("held"))
+
+
+def ageing(log: DataFrame) -> Kept:
+    """log(id, kind, what, ts): openings and closings of requests, notices and bags. A row for each limit that a thing outlived by event time."""
+    return Kept(log.select("id", "kind", "what", "ts"), "id long, kind string, days int", _age)
+
+
+def _conflict(rows: DataFrame, held: DataFrame | None, mark: int) -> DataFrame:
+    first = "struct<ts: bigint, body: string>"
+    seen = rows.select("line_id", "id", F.struct(F.unix_micros("ts").alias("ts"), "body").alias("came"), F.lit(None).cast(first).alias("first"))
+    if held is not None:
+        seen = seen.unionByName(held.select("held.*").select("line_id", "id", F.lit(None).cast(first).alias("came"), F.struct("ts", "body").alias("first")))
+    each = seen.groupBy("line_id", "id").agg(F.array_sort(F.collect_list("came")).alias("came"), F.max("first").alias("first"))
+    none = F.struct(F.col("first.ts").alias("ts"), F.col("first.body").alias("body"), F.array().cast("array<bigint>").alias("hours"))
+
+    def step(s, r):
+        fresh = s["ts"].isNull() | (r["ts"] > s["ts"] + HELD_HOURS * HOUR)
+        hours = F.when(~fresh & (r["body"] != s["body"]), F.array_append(s["hours"], F.floor((r["ts"] - s["ts"]) / HOUR).cast("bigint"))).otherwise(s["hours"])
+        return F.struct(F.when(fresh, r["ts"]).otherwise(s["ts"]).alias("ts"), F.when(fresh, r["body"]).otherwise(s["body"]).alias("body"), hours.alias("hours"))
+
+    out = each.select("line_id", "id", F.aggregate("came", none, step).alias("s"))
+    told = F.transform("s.hours", lambda h: F.struct(F.col("line_id"), F.col("id"), h.alias("hours")))
+    return out.select(told.alias("told"), F.when(F.col("s.ts") + HELD_HOURS * HOUR >= mark, F.struct("line_id", "id", "s.ts", "s.body")).alias("held"))
+
+
+def conflicts(log: DataFrame) -> Kept:
     """Movements that come under a user's key within 48 hours of its first use with another body; log(line_id, id, ts and the body's columns)."""
     body = F.sha2(F.to_json(F.struct(*[c for c in sorted(log.columns) if c not in ("line_id", "id", "ts")])), 256)
-    rows = log.withWatermark("ts", DELAY).select("line_id", "id", F.unix_micros("ts").alias("at"), body.alias("body"), "ts")
-    return rows.groupBy("line_id", "id").transformWithState(Conflicts(), "line_id long, id long, hours long", "append", "EventTime")
+    return Kept(log.select("line_id", "id", body.alias("body"), "ts"), "line_id long, id long, hours long", _conflict)
 
 
 class Balances:
@@ -143,8 +97,7 @@ class Balances:
         if number:
             sums = self.at(number - 1).unionByName(sums).groupBy("line_id").agg(*[F.sum(c).cast(sums.schema[c].dataType).alias(c) for c in sums.columns if c != "line_id"])
         sums.write.mode("overwrite").parquet(f"{self.folder}/snapshot={number}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/snapshot={number - 2}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, f"{self.folder}/snapshot={number - 2}")
 
     def follow(self, log: DataFrame) -> DataFrame:
         """Run to the end of what is there, from where the last run stopped, and give the last snapshot."""
@@ -156,18 +109,34 @@ class Balances:
         return replay.bucket_sums(log.sparkSession.createDataFrame([], log.schema)) if last is None else self.at(last)
 
 
-def started(log: DataFrame, folder: str, put) -> None:
-    """One run to the end of what is there, from where the last one in the folder stopped; put(batch, number) takes the rows."""
-    with rocks(log.sparkSession):
-        log.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def gathered(log: DataFrame, folder: str | None = None) -> DataFrame:
-    """All rows that a stream has given in the runs over a folder, each batch written once however often it ran."""
-    spark = log.sparkSession
+def gathered(kept: Kept, folder: str | None = None) -> DataFrame:
+    """All alerts that a stream has given in the runs over a folder, each batch written once however often it ran. A run goes to the end of what is there, from where the last one stopped.
+
+    A batch reads what the one before it held and the time that had passed by then, and writes its own beside them, so a batch that runs again does the same; older ones are deleted."""
+    spark = kept.sparkSession
     folder = folder or f"{shared_root(spark)}/alerts-{uuid.uuid4().hex}"
-    started(log, folder, lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}"))
-    return spark.read.schema(log.schema).parquet(f"{folder}/out").select(*log.columns)
+
+    def put(batch: DataFrame, number: int) -> None:
+        passed = spark.read.parquet(f"{folder}/mark={number - 1}").first()[0] if number else None
+        rows = batch if passed is None else batch.filter(F.unix_micros("ts") > passed)
+        latest = rows.agg(F.max(F.unix_micros("ts"))).first()[0]
+        mark = max(x for x in (passed, None if latest is None else latest - DELAY, -(1 << 62)) if x is not None)
+        held = spark.read.parquet(f"{folder}/held={number - 1}").filter("held is not null") if number else None
+        kept.step(rows, held, mark).filter("size(told) > 0 or held is not null").write.mode("overwrite").parquet(f"{folder}/held={number}")
+        told = spark.read.parquet(f"{folder}/held={number}").select(F.explode("told").alias("t")).select("t.*")
+        told.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        spark.range(1).select(F.lit(mark).cast("long").alias("mark")).write.mode("overwrite").parquet(f"{folder}/mark={number}")
+        for name in ("held", "mark"):
+            _delete(spark, f"{folder}/{name}={number - 2}")
+
+    kept.rows.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(kept.told).parquet(f"{folder}/out")
+    return found.select(*found.columns[: kept.told.count(",") + 1])
 
 
 def openings(spark: SparkSession, sf_dir: str) -> DataFrame:

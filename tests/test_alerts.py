@@ -68,3 +68,16 @@ def test_balances_count_a_batch_once(spark, tmp_path):
     got = replay.told_sums(kept.follow(exact(stream(4))))
     want = replay.ledger_balance(exact(spark.createDataFrame(rows, schema)))
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_batch_is_one_grouping_and_holds_what_is_open(spark, tmp_path):
+    """No key calls Python, and keys whose time has passed are not held on."""
+    rows = [(1, k, "a", START + timedelta(hours=k)) for k in range(100)]
+    stream, rows = files(spark, tmp_path, rows, "line_id long, id long, action string, ts timestamp", 2)
+    folder = f"file://{tmp_path}/run"
+    kept = alerts.conflicts(stream(2))
+    assert alerts.gathered(kept, folder).count() == 0
+    held = spark.read.parquet(f"{folder}/held=1").select("held.*")
+    assert sorted(r.id for r in held.collect()) == [k for k in range(100) if k + 48 >= 98]
+    batch = spark.createDataFrame(rows[:1], "line_id long, id long, action string, ts timestamp").withColumnRenamed("action", "body")
+    assert "Python" not in kept.step(batch, held.select(F.struct("*").alias("held")), 0)._jdf.queryExecution().optimizedPlan().toString()
