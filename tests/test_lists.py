@@ -1,6 +1,7 @@
 """Header fields of sheets and rows of drawing lists on small hand-made inputs."""
 
 from reqledger.operators import bom, grids
+from reqledger.operators.words import line_grouping
 
 
 def sheet(spark, *rows, name="FMR 1", sheet_id=1):
@@ -57,3 +58,11 @@ def test_heading_rows_meet_their_sheet_in_one_pass(spark):
         assert found.count() == n
     head = grids.header_rows(grid).first()
     assert (head.header_row, head.score, head.line_number, head.quantity) == (1, 3, 0, 1)
+
+
+def test_placed_words_come_back_without_a_join(spark):
+    """The text goes through the page's fold with its word, so all words of the pages are shuffled once."""
+    rows = spark.createDataFrame([(1, i, float(i), 9.0 * (i // 2), f" w{i} ") for i in range(4)], "page_id long, word_id long, x0 double, top double, text string")
+    lines = line_grouping(rows, carried=("text",))
+    assert lines._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1 and "Join" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.word_id, r.text, r.x0, r.top, r.line) for r in bom.placed(rows).collect()) == [(i, f"w{i}", float(i), 9.0 * (i // 2), 1 + i // 2) for i in range(4)]
