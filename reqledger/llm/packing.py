@@ -30,6 +30,8 @@ CAPACITY, END_ID = 2048, 1
 #: Tokens of remainders that are packed together.
 WINDOW_TOKENS = 1 << 22
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
+#: Pieces in an Arrow batch: at full length 4 MB of ids.
+BATCH_PIECES = 500
 #: Distinct words whose ids a worker remembers.
 CACHE_WORDS = 700_000
 
@@ -194,14 +196,15 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
             nonlocal rest, waiting, made
             rest.sort(key=lambda r: (-len(r[2]), r[0] is None, r[0] or 0, r[1]))
             placed, cost = assign([len(r[2]) // 4 for r in rest], capacity, linear, quadratic)
-            rows = []
-            for item, start, length, s, offset in placed:
-                doc, first, ids, total = rest[item]
-                rows.append((doc, first + start, length, ids[4 * start : 4 * (start + length)], total, base + made + s, offset, float(cost[s])))
+            # Pieces are cut out batch by batch, so a window's ids are held once.
+            for at in range(0, len(placed), BATCH_PIECES):
+                rows = []
+                for item, start, length, s, offset in placed[at : at + BATCH_PIECES]:
+                    doc, first, ids, total = rest[item]
+                    rows.append((doc, first + start, length, ids[4 * start : 4 * (start + length)], total, base + made + s, offset, float(cost[s])))
+                yield batch(rows)
             made += len(cost)
             rest, waiting = [], 0
-            for at in range(0, len(rows), 5000):
-                yield batch(rows[at : at + 5000])
 
         for got in batches:
             rows = []
@@ -214,9 +217,9 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
                 if whole < total:
                     rest.append((doc, whole, ids[4 * whole :], total))
                     waiting += total - whole
-                if len(rows) >= 1000:
-                    yield batch(rows)
-                    rows = []
+                while len(rows) >= BATCH_PIECES:
+                    yield batch(rows[:BATCH_PIECES])
+                    rows = rows[BATCH_PIECES:]
                 if waiting >= window_tokens:
                     yield from flush()
             if rows:
