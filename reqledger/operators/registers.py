@@ -132,18 +132,19 @@ def health(requisitions: DataFrame, backorders: DataFrame, notices: DataFrame, s
 def donor_candidates(lines: DataFrame, most: int = 25) -> DataFrame:
     """For each short line, the lines of its project with equal code, size and unit that have stock, most stock first.
 
-    A line takes at most `most` donors, and only itself can be passed over, so the most + 1 best of each material are all that any line can need."""
+    A line takes at most `most` donors, and only itself can be passed over, so the most + 1 best of each material are all that any line can need. They are one short
+    list by material, in order, so a line's places are read off its list and no pair is shuffled."""
     key = [F.col("project_id"), *[F.upper(F.trim(c)).alias(f"k_{c}") for c in ("commodity_code", "size", "uom")]]
     names = ["project_id", "k_commodity_code", "k_size", "k_uom"]
     live = lines.filter("active").filter(F.trim("commodity_code") != "")
     donors = live.filter(derive.lendable() > 0).select(*key, F.col("line_id").alias("donor_id"), derive.lendable().alias("lendable"))
     best = Window.partitionBy(*names).orderBy(F.desc("lendable"), "donor_id")
-    donors = donors.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= most + 1).drop("n")
+    donors = donors.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= most + 1)
+    lists = donors.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("n", "donor_id", "lendable"))).alias("donors"))
     short = live.filter(derive.shortage() > 0).select(*key, F.col("line_id").alias("receiver_id"), derive.shortage().alias("shortage"))
-    pairs = short.join(donors, names).filter("donor_id <> receiver_id")
-    order = Window.partitionBy("receiver_id").orderBy(F.desc("lendable"), "donor_id")
-    ranked = pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
-    return ranked.select("receiver_id", "donor_id", "place", F.col("lendable").cast("double").alias("lendable"), F.col("shortage").cast("double").alias("shortage"))
+    others = F.slice(F.filter("donors", lambda d: d["donor_id"] != F.col("receiver_id")), 1, most)
+    ranked = short.join(lists, names).select("receiver_id", "shortage", F.posexplode(others).alias("at", "d"))
+    return ranked.select("receiver_id", "d.donor_id", (F.col("at") + 1).alias("place"), F.col("d.lendable").cast("double").alias("lendable"), F.col("shortage").cast("double").alias("shortage"))
 
 
 def time_saved(lines: DataFrame) -> DataFrame:
