@@ -1,8 +1,9 @@
 """Borrowing between lines: a batch of requests decided in order, where donors run out and receivers fill up.
 
 What one request takes decides what the next may have, on both sides, so requests that compete are decided one after the other. Most do not compete: a line that can
-serve all that is asked of it, and needs all that is asked for it, refuses nothing whatever the order. Only the other lines tie requests together; the components of that smaller graph are
-folded, each in order, with the balances of its contended lines as state."""
+serve all that is asked of it, and needs all that is asked for it, refuses nothing whatever the order. A donor and its receiver are of one material, so requests of different materials never meet:
+a material's requests are folded in order with the balances of their lines as state. Of a material with more than LARGE requests only the contended lines tie requests together, and the components of that
+smaller graph are folded instead."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import derive
 from ..sources.written import written
@@ -19,6 +20,8 @@ from .decisions import incompatible
 from .fold import folded
 
 UNIT = 10_000
+#: Requests of a material that one fold takes, which bounds its state.
+LARGE = 200_000
 
 
 def _needs() -> Column:
@@ -43,19 +46,37 @@ def _step(state: dict, r: dict) -> Iterator[dict]:
         code = "OK"
         # What a line lends it needs again; what it borrows is issued at once.
         donor[0], donor[1], receiver[1] = donor[0] - q, donor[1] + q, receiver[1] - q
-    yield {"id": r["id"], "code": code}
+    yield {"id": r["id"], "donor_id": r["donor_id"], "receiver_id": r["receiver_id"], "quantity": r["given"], "code": code}
 
 
-def plan_swaps(requests: DataFrame, lines: DataFrame) -> DataFrame:
+def plan_swaps(requests: DataFrame, lines: DataFrame, large: int = LARGE) -> DataFrame:
     """Each request (id, asked_at, donor_id, receiver_id, quantity) with OK or the code of its refusal, in order of asked_at and id.
 
     Requests of unknown lines are refused with NOT_FOUND. Null quantities count as zero."""
     sides = lines.select("line_id", F.struct("commodity_code", "size", "uom").alias("of"), F.col("qty_available").alias("shelf"), _needs().alias("needs"))
     side = lambda role: sides.select(F.col("line_id").alias(f"{role}_id"), F.struct("of", "shelf", "needs").alias(role))
-    named = requests.select("id", "asked_at", "donor_id", "receiver_id", F.coalesce("quantity", F.lit(0)).alias("quantity")).join(side("donor"), "donor_id", "left").join(side("receiver"), "receiver_id", "left")
+    named = requests.select("id", "asked_at", "donor_id", "receiver_id", F.col("quantity").alias("given"), F.coalesce("quantity", F.lit(0)).alias("quantity")).join(side("donor"), "donor_id", "left").join(side("receiver"), "receiver_id", "left")
     code = F.when(F.col("donor").isNull() | F.col("receiver").isNull(), "NOT_FOUND").when(F.col("quantity") <= 0, "LEDGER_RULE").when(F.col("donor_id") == F.col("receiver_id"), "SAME_LINE").when(incompatible(F.col("donor.of"), F.col("receiver.of")).isNotNull(), "INCOMPATIBLE")
     judged = written(named.withColumn("code", code), "requests")
-    asked = judged.filter("code is null")
+    material = F.to_json(F.struct(*[F.upper(F.trim(F.coalesce(F.col(f"donor.of.{c}"), F.lit("")))).alias(c) for c in ("commodity_code", "size", "uom")]))
+    asked = judged.filter("code is null").withColumn("material", material)
+    big = written(asked.groupBy("material").count().filter(F.col("count") > large).select("material"), "materials")
+    if big.isEmpty():
+        rows = _rows(_whole(asked))
+    else:
+        rows = _rows(_whole(asked.join(big, "material", "left_anti"))).union(_rows(_parted(asked.join(big, "material", "left_semi"), sides)))
+    out = StructType([*requests.select("id", "donor_id", "receiver_id", "quantity").schema.fields, StructField("code", StringType())])
+    decided = folded(rows, "group", ["asked_at", "id"], out, lambda _: {}, _step, lambda _: iter(()))
+    return judged.filter("code is not null").select("id", "donor_id", "receiver_id", F.col("given").alias("quantity"), "code").union(decided)
+
+
+def _whole(asked: DataFrame) -> DataFrame:
+    """Every request in the group of its material."""
+    return asked.withColumns({"donor_tied": F.lit(True), "receiver_tied": F.lit(True), "group": F.concat(F.lit("m"), "material")})
+
+
+def _parted(asked: DataFrame, sides: DataFrame) -> DataFrame:
+    """Every request in the group of its component of contended lines; those that meet no contended line are groups of their own."""
     # A line is contended if more is asked of it, or for it, than it could give or take at the start; both roles count.
     roles = F.explode(F.array(F.struct(F.col("donor_id").alias("line_id"), F.col("quantity").alias("out"), F.lit(0).cast("decimal(14,4)").alias("into")), F.struct(F.col("receiver_id").alias("line_id"), F.lit(0).cast("decimal(14,4)").alias("out"), F.col("quantity").alias("into"))))
     demand = asked.select(roles.alias("r")).groupBy("r.line_id").agg(F.sum("r.out").alias("out"), F.sum("r.into").alias("into"))
@@ -64,12 +85,12 @@ def plan_swaps(requests: DataFrame, lines: DataFrame) -> DataFrame:
     edges = both.filter("donor_tied or receiver_tied").select(F.when(F.col("donor_tied"), F.col("donor_id")).otherwise(F.col("receiver_id")).alias("a"), F.when(F.col("receiver_tied"), F.col("receiver_id")).otherwise(F.col("donor_id")).alias("b"))
     group = components(edges)
     keyed = both.withColumn("node", F.when(F.col("donor_tied"), F.col("donor_id")).when(F.col("receiver_tied"), F.col("receiver_id"))).join(group, "node", "left")
+    return keyed.withColumn("group", F.when(F.col("component").isNull(), F.concat(F.lit("r"), "id")).otherwise(F.concat(F.lit("c"), "component")))
+
+
+def _rows(grouped: DataFrame) -> DataFrame:
     units = lambda c: F.round(F.col(c) * UNIT).cast("long")
-    # Requests that meet no contended line are groups of their own.
-    rows = keyed.select("id", "asked_at", "donor_id", "receiver_id", units("quantity").alias("quantity"), units("donor.shelf").alias("shelf"), units("donor.needs").alias("donor_needs"), units("receiver.shelf").alias("receiver_shelf"), units("receiver.needs").alias("needs"), "donor_tied", "receiver_tied", F.when(F.col("component").isNull(), F.concat(F.lit("r"), "id")).otherwise(F.concat(F.lit("c"), "component")).alias("group"))
-    decided = folded(rows, "group", ["asked_at", "id"], _parse_datatype_string("id long, code string"), lambda _: {}, _step, lambda _: iter(()))
-    told = judged.filter("code is not null").select("id", "code").union(decided)
-    return requests.select("id", "donor_id", "receiver_id", "quantity").join(told, "id")
+    return grouped.select("id", "asked_at", "donor_id", "receiver_id", "given", units("quantity").alias("quantity"), units("donor.shelf").alias("shelf"), units("donor.needs").alias("donor_needs"), units("receiver.shelf").alias("receiver_shelf"), units("receiver.needs").alias("needs"), "donor_tied", "receiver_tied", "group")
 
 
 def movements(swaps: DataFrame) -> DataFrame:
