@@ -408,3 +408,14 @@ def test_pipeline_stages(spark, tmp_path, rows):
         assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
     assert "hunter22abc" not in "".join(r.text or "" for r in corpus_pipeline.secrets_stage(spark, docs, str(tmp_path)).collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+@pytest.mark.parametrize("replica", [400, 4000])
+def test_toxicity_learns_from_every_label(spark, replica):
+    """Texts of more than 20,000 characters and rows beyond one replica are learned from too: what only they show is found."""
+    made = [(i, words(30, i) + " grumbal " + words(30, i + 5000) + " 123456" * 3000) if i % 4 == 0 else (i, words(60, i)) for i in range(800)]
+    assert all(len(t) > 20_000 for i, t in made if i % 4 == 0)
+    table = spark.createDataFrame(made, "doc_id long, text string")
+    net = toxicity.train(table, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(800)], "doc_id long, toxic int"), replica=replica)
+    held = spark.createDataFrame([(i, words(60, i + 900) + (" grumbal" if i % 2 else "")) for i in range(40)], "doc_id long, text string")
+    assert sum((r.score >= toxicity.CUT) == bool(r.doc_id % 2) for r in toxicity.score(held, net).collect()) >= 36
