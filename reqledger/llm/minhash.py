@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .shared import batch_rows, column, discard, materialize, packed, small_batches, table, unpacked
+from .shared import batch_rows, column, discard, listed, materialize, packed, small_batches, table, unpacked
 from .textbuf import ASCII_SPACE, LOWER, chunks, mix, span_hashes, word_spans
 
 TREES, DEPTH, MIN_DEPTH, NEIGHBOURS, SLACK = 16, 8, 3, 6, 5.0
@@ -46,8 +46,6 @@ CHUNK_BYTES = 1 << 20
 BLOCK_ROWS = 4
 #: Classes of a crowded region in a block, and bytes of their shingle sets.
 BLOCK, BLOCK_BYTES = 1024, 1 << 23
-#: Bits of the broadcast bitmap of wanted ids (32 MB). With more wanted ids than that bears, more texts pass it and are dropped by the join after it.
-BITMAP_BITS = 1 << 28
 _SEEDS = np.random.default_rng(11).integers(0, 1 << 32, 2 * TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
 MULTIPLIERS, OFFSETS = _SEEDS[: TREES * DEPTH] | np.uint32(1), _SEEDS[TREES * DEPTH :]
 
@@ -178,17 +176,6 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, similarity double")
 
 
-def _listed(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose doc_id is in wanted, and a few of the others, by a bitmap of hashed ids that every task gets."""
-    bits = min(BITMAP_BITS, 1 << (16 * wanted.count()).bit_length())
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    bitmap = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap"))
-    at = F.bitmap_bit_position("place")
-    byte = F.conv(F.hex(F.substring("bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    kept = rows.withColumn("place", place).withColumn("bucket", F.bitmap_bucket_number("place")).join(F.broadcast(bitmap), "bucket")
-    return kept.filter(byte.bitwiseAND(F.array(*[F.lit(1 << i) for i in range(8)])[(at % 8).cast("int")]) != 0).select(*rows.columns)
-
-
 def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, classes: DataFrame, met: DataFrame) -> DataFrame:
     """(rep, shingles) of the classes in met(rep): the sets worked out again from the texts, so that none but these are ever shuffled."""
     wanted = materialize(classes.select("rep", "doc_id", "set_hash").join(met.distinct(), "rep"), "wanted")
@@ -201,7 +188,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, classes: Data
             keep = pa.array([xxhash.xxh3_128_digest(s) == h for s, h in zip(sets, got.column(1).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([got.column(0).filter(keep), pa.array(sets, pa.binary()).filter(keep)], schema=schema)
 
-    rows = _listed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), wanted).join(wanted, "doc_id")
+    rows = listed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), wanted).join(wanted, "doc_id")
     out = materialize(rows.select("rep", "set_hash", "text").mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
     discard(wanted)
     return out

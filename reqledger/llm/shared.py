@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: bounds a worker's memory when texts are long.
 BATCH_ROWS = "1000"
+#: Bits of the broadcast bitmap of wanted ids (32 MB). With more wanted ids than that bears, more texts pass it and are dropped by the join after it.
+BITMAP_BITS = 1 << 28
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -55,6 +57,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def listed(rows: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is in wanted (of the same type), and a few of the others, by a bitmap of hashed ids that every task gets."""
+    bits = min(BITMAP_BITS, 1 << (16 * wanted.count()).bit_length())
+    place = F.pmod(F.xxhash64(id_col), F.lit(bits))
+    bitmap = wanted.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bitmap"))
+    at = F.bitmap_bit_position("place")
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    kept = rows.withColumn("place", place).withColumn("bucket", F.bitmap_bucket_number("place")).join(F.broadcast(bitmap), "bucket")
+    return kept.filter(byte.bitwiseAND(F.array(*[F.lit(1 << i) for i in range(8)])[(at % 8).cast("int")]) != 0).select(*rows.columns)
+
+
 @contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """While it is open, Arrow batches have at most so many rows; for rows that hold whole blocks."""
