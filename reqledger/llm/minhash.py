@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import components
-from .shared import batch_rows, column, discard, listed, materialize, packed, small_batches, table, unpacked
+from .shared import batch_rows, column, discard, let_go, listed, materialize, packed, small_batches, table, unpacked
 from .textbuf import ASCII_SPACE, LOWER, chunks, mix, span_hashes, word_spans
 
 TREES, DEPTH, MIN_DEPTH, NEIGHBOURS, SLACK = 16, 8, 3, 6, 5.0
@@ -41,7 +41,7 @@ TREES, DEPTH, MIN_DEPTH, NEIGHBOURS, SLACK = 16, 8, 3, 6, 5.0
 KEY_HASHES = 16
 WORDS, PERCENT = 5, 80
 #: Bytes of texts that are cut into words together; a worker holds some dozens of times as much.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Rows that hold blocks, in an Arrow batch.
 BLOCK_ROWS = 4
 #: Classes of a crowded region in a block, and bytes of their shingle sets.
@@ -52,6 +52,7 @@ MULTIPLIERS, OFFSETS = _SEEDS[: TREES * DEPTH] | np.uint32(1), _SEEDS[TREES * DE
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles; the whole sequence as one where it has fewer words."""
+    let_go()
     for _, data, offsets in chunks(column, CHUNK_BYTES):
         data = LOWER[data]
         starts, stops, before = word_spans(data, offsets, ASCII_SPACE)

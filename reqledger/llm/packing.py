@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import small_batches, table
+from .shared import KEPT, small_batches, table
 from .textbuf import ASCII_SPACE, chunks, same_spans, span_hashes
 
 CAPACITY, END_ID = 2048, 1
@@ -149,6 +149,7 @@ def encoder(file: str) -> Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _encoders[file] = Encoder(file)
+        KEPT["packing"] = _encoders.clear
     return _encoders[file]
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: bounds a worker's memory when texts are long.
 BATCH_ROWS = "1000"
+#: Bytes in an Arrow batch, whatever its rows: a thousand long texts or pairs of sets would take many times as much in the JVM and in the worker.
+BATCH_BYTES = 4 << 20
+#: What operators keep in a Python worker from task to task, and how it is let go; Spark gives the same worker to the next operator.
+KEPT: dict[str, Callable[[], None]] = {}
 #: Bits of the broadcast bitmap of wanted ids (32 MB). With more wanted ids than that bears, more texts pass it and are dropped by the join after it.
 BITMAP_BITS = 1 << 28
 
@@ -51,10 +57,25 @@ def discard(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows, unless the session sets fewer."""
+    """Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes, unless the session sets fewer."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > int(BATCH_ROWS):
         spark.conf.set(key, BATCH_ROWS)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().removesuffix("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:  # "1m" and the like was set by someone
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def let_go() -> None:
+    """Free what another operator's earlier tasks keep in this worker."""
+    if KEPT:
+        while KEPT:
+            KEPT.popitem()[1]()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # else the C library keeps the memory
+        if trim:
+            trim(0)
 
 
 def listed(rows: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
