@@ -54,3 +54,17 @@ def test_odd_words_of_a_page(spark):
     empty = words.filter("page_id > 99")
     assert [f(empty).count() for f in (bom.column_edges, bom.row_spans, bom.material_rows, bom.pick_quantities)] == [0, 0, 0, 0]
     assert [(r.page_id, r.quantity) for r in bom.pick_quantities(words).orderBy("page_id").collect()] == [(-2, "3"), (1, "3")]
+
+
+def test_material_rows_in_one_shuffle(spark):
+    words = spark.createDataFrame([w for n in range(40) for w in page(n)], WORDS)
+    told = bom.material_rows(words)
+    one_shuffle(told, 40)
+    assert {(r.item_no, r.description, r.qty, r.lines, r.category) for r in told.collect()} == {("1", "PIPE long", "3", 2, "")}
+
+
+def test_columns_given_take_the_place_of_a_pages_own(spark):
+    """A page without given columns gives no rows; given ranges may leave gaps."""
+    words = spark.createDataFrame([*page(1), *page(2)], WORDS)
+    given = bom.column_edges(words).filter("page_id = 2").withColumn("x_to", F.when(F.col("name") == "qty", 300.0).otherwise(F.col("x_to")))
+    assert [(r.page_id, r.item_no, r.qty) for r in bom.material_rows(words, given).collect()] == [(2, "1", "2")]
