@@ -68,3 +68,12 @@ def test_columns_given_take_the_place_of_a_pages_own(spark):
     words = spark.createDataFrame([*page(1), *page(2)], WORDS)
     given = bom.column_edges(words).filter("page_id = 2").withColumn("x_to", F.when(F.col("name") == "qty", 300.0).otherwise(F.col("x_to")))
     assert [(r.page_id, r.item_no, r.qty) for r in bom.material_rows(words, given).collect()] == [(2, "1", "2")]
+
+
+def test_quantities_in_one_shuffle(spark):
+    """The nearest number wins, the next one is a doubt, or an annotation where it is far behind."""
+    far = [(7, i, float(x), float(top), {"2": "9"}.get(text, text)) for i, (text, x, top) in enumerate((t, 280 if t == "2" else x, y) for t, x, y in LIST)]
+    words = spark.createDataFrame([*[w for n in range(5) for w in page(n)], *far], WORDS)
+    told = bom.pick_quantities(words)
+    one_shuffle(told, 6)
+    assert {(r.page_id, r.quantity, r.note) for r in told.collect()} == {*((n, "3", "multiple_quantity_candidates") for n in range(5)), (7, "3", "ignored_numeric_annotation")}
