@@ -77,3 +77,9 @@ def test_quantities_in_one_shuffle(spark):
     told = bom.pick_quantities(words)
     one_shuffle(told, 6)
     assert {(r.page_id, r.quantity, r.note) for r in told.collect()} == {*((n, "3", "multiple_quantity_candidates") for n in range(5)), (7, "3", "ignored_numeric_annotation")}
+
+
+def test_row_spans_in_one_shuffle(spark):
+    words = spark.createDataFrame([w for n in range(40) for w in page(n)], WORDS)
+    one_shuffle(bom.row_spans(words), 80)
+    assert {(r.line, r.row_no, r.kind, r.text) for r in bom.row_spans(words).collect()} == {(3, 1, "row", "1 PIPE 2 3"), (4, 1, "rest", "long")}
